@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, mixing, secrets
+from . import decontaminate, langid, licenses, mixing, neardup, quality, secrets
 from .common import table
 
 
@@ -23,12 +24,27 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=85)
+
+
+def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    fitted = langid.fit(docs.where(~langid.held_out(4, 2)))
+    found = langid.predict(docs.select("doc_id", "text"), fitted)
+    return found.select("doc_id", langid.held_out(4, 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_ambiguous").alias("ambiguous"))
+
+
 def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_mix": op2_mix, "op4_secrets": op4_secrets, "op8_licenses": op8_licenses}
+    return {"op1_decontaminate": op1_decontaminate, "op2_mix": op2_mix, "op4_secrets": op4_secrets, "op5_quality": op5_quality, "op6_neardup": op6_neardup, "op9_langid": op9_langid, "op8_licenses": op8_licenses}
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
