@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, mixing, neardup, quality, secrets
+from . import decontaminate, langid, licenses, lm, mixing, neardup, quality, secrets
 from .common import table
 
 
@@ -43,8 +43,13 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(table(spark, sf_dir, "documents"))
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lm.score(table(spark, sf_dir, "documents").select("doc_id", "text"), ~langid.held_out(10, 0))
+    return found.withColumn("held_out", langid.held_out(10, 0))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_mix": op2_mix, "op4_secrets": op4_secrets, "op5_quality": op5_quality, "op6_neardup": op6_neardup, "op9_langid": op9_langid, "op8_licenses": op8_licenses}
+    return {"op1_decontaminate": op1_decontaminate, "op2_mix": op2_mix, "op4_secrets": op4_secrets, "op5_quality": op5_quality, "op6_neardup": op6_neardup, "op9_langid": op9_langid, "op8_licenses": op8_licenses, "op10_lm": op10_lm}
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
