@@ -61,11 +61,10 @@ def identifier_samples(docs: DataFrame, max_docs: int = 2000) -> DataFrame:
     not on what is scanned.
     """
     some = docs.where("text is not null and doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    ws = F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{2,}(?![A-Za-z0-9+/_=-])"), F.lit(0))
-    some = some.select(F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size(ws) - 3, F.lit(0)), F.lit(3)), lambda i: F.slice(ws, i + 1, 3))).alias("w")).where("size(w) > 0")
+    runs = F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{2,}(?: [A-Za-z]{2,}){0,2}(?![A-Za-z0-9+/_=-])"), F.lit(0))
+    some = some.select(F.explode(runs).alias("w"))
     glue = F.element_at(F.array(F.lit("_"), F.lit("-"), F.lit("/"), F.lit("")), (F.pmod(F.xxhash64("w"), F.lit(4)) + 1).cast("int"))
-    joined = F.aggregate("w", F.lit(""), lambda a, x: F.when(a == "", x).otherwise(F.concat(a, glue, x)))
-    return some.select(joined.alias("text"), F.lit(0).alias("label"))
+    return some.select(F.replace("w", F.lit(" "), glue).alias("text"), F.lit(0).alias("label"))
 
 
 def _index(character: Column) -> Column:
