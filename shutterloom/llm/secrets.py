@@ -54,7 +54,7 @@ def generated_samples(spark: SparkSession, rows: int = 4000) -> DataFrame:
     return spark.range(0, rows, 1, 1).select(F.element_at(F.array(*forms), (F.col("id") % 4 + 1).cast("int")).alias("text"), F.lit(1).alias("label"))
 
 
-def identifier_samples(docs: DataFrame, max_docs: int = 2000) -> DataFrame:
+def identifier_samples(docs: DataFrame, max_docs: int = 500) -> DataFrame:
     """text, label: ordinary words, single, joined by _ or -, or run together, label 0.
 
     They come from the max_docs documents whose doc_id has the smallest hash: a bound on what trains the models,
@@ -109,7 +109,7 @@ def scan(docs: DataFrame, samples: DataFrame, threshold: float = 0.5) -> DataFra
     return docs.withColumn("found", F.array_sort(F.concat("_base", F.when(F.size("_more") > 0, more).otherwise(F.col("_more"))))).drop("_base", "_more")
 
 
-def default_samples(docs: DataFrame, rows: int = 4000, max_docs: int = 2000) -> DataFrame:
+def default_samples(docs: DataFrame, rows: int = 4000, max_docs: int = 500) -> DataFrame:
     return generated_samples(docs.sparkSession, rows).unionByName(identifier_samples(docs, max_docs))
 
 
