@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, lm, mixing, neardup, quality, secrets
+from . import ann, decontaminate, langid, licenses, lm, mixing, neardup, quality, secrets, suffixdedup
 from .common import table
 
 
@@ -20,6 +20,14 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op7_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -49,7 +57,7 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_mix": op2_mix, "op4_secrets": op4_secrets, "op5_quality": op5_quality, "op6_neardup": op6_neardup, "op9_langid": op9_langid, "op8_licenses": op8_licenses, "op10_lm": op10_lm}
+    return {"op1_decontaminate": op1_decontaminate, "op2_mix": op2_mix, "op3_ann": op3_ann, "op7_suffixdedup": op7_suffixdedup, "op4_secrets": op4_secrets, "op5_quality": op5_quality, "op6_neardup": op6_neardup, "op9_langid": op9_langid, "op8_licenses": op8_licenses, "op10_lm": op10_lm}
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
