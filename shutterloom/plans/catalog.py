@@ -5,11 +5,309 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..functions import expr, formats
+from ..operators import islands, ratings, storage, verdict, winner
+from ..operators.ordering import numbered
+from .frames import BURST, FRAMES_SQL, frames, grouped, judged, table
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+@_query(f"WITH {FRAMES_SQL} SELECT id, path, ord FROM f")
+def capture_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames(spark, sf_dir).select("id", "path", "ord")
+
+
+@_query(f"WITH {FRAMES_SQL} SELECT id, burst_group, burst_pos, burst_len FROM b WHERE burst_group IS NOT NULL")
+def bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = islands.bursts(frames(spark, sf_dir), BURST)
+    return rows.where("burst_group is not null").select("id", "burst_group", "burst_pos", "burst_len")
+
+
+@_query(f"WITH {FRAMES_SQL} SELECT id, sim_group, sim_pos, sim_len FROM s WHERE sim_group IS NOT NULL")
+def similar_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouped(spark, sf_dir).where("sim_group is not null").select("id", "sim_group", "sim_pos", "sim_len")
+
+
+@_query("""
+WITH e AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+g AS (SELECT a.*, CASE WHEN t - lag(t) OVER w < 3600000 THEN 0 ELSE 1 END AS st FROM e a WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+r AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY i) AS run FROM g)
+SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id, run ORDER BY i) AS BIGINT) AS pos, len FROM (SELECT *, count(*) OVER (PARTITION BY user_id, run) AS len FROM r) WHERE len >= 2
+""")
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    t = expr.epoch_ms(F.col("ts"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", t.alias("t"))
+    rows = rows.withColumn("_s", F.when(F.col("t") - F.lag("t").over(w) < 3_600_000, 0).otherwise(1)).withColumn("run", F.sum("_s").over(w))
+    run = Window.partitionBy("user_id", "run")
+    rows = rows.withColumn("len", F.count(F.lit(1)).over(run)).withColumn("pos", F.row_number().over(run.orderBy("ts", "event_id")).cast("long"))
+    return rows.where("len >= 2").select("user_id", "event_id", "pos", "len")
+
+
+_WIN = """
+w0 AS (SELECT src_folder, ord, id, af, global_sharpness, clip_sum, ord // 8 AS grp, scored, decode_ok_eligible AS eligible FROM (SELECT *, af >= 0.55 AND exposure_score >= 0.6 AND least(af, exposure_score) >= 0.5 AS decode_ok_eligible FROM f)),
+w1 AS (SELECT *, bool_and(scored) OVER (PARTITION BY grp) AS every FROM w0),
+w2 AS (SELECT grp, id, af, row_number() OVER (PARTITION BY grp ORDER BY af DESC, global_sharpness DESC, clip_sum, ord) AS r FROM w1 WHERE every AND eligible)
+"""
+
+
+@_query(f"WITH {FRAMES_SQL}, {_WIN} SELECT g.grp, w2.id AS winner_id, w2.af AS winner_af FROM (SELECT DISTINCT grp FROM w0) g LEFT JOIN w2 ON w2.grp = g.grp AND r = 1")
+def winners_without_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With no faces the ladder is a total order, which SQL can sort by."""
+    rows = frames(spark, sf_dir).withColumns({"grp": F.floor(F.col("ord") / 8), "eligible": verdict.keep_eligible(0.5), "eyes_open": F.lit(None).cast("double"), "face_sharpness": F.lit(None).cast("double")})
+    return winner.winners(rows, "grp")
+
+
+_FOLD = """
+k1 AS (SELECT *, af >= 0.55 AND exposure_score >= 0.6 AND least(af, exposure_score) >= 0.5 AS eligible FROM b WHERE burst_group IS NOT NULL),
+k2 AS (SELECT burst_group, bool_and(scored) AS every, list({'id': id, 'eyes': eyes_open, 'face': face_sharpness, 'af': af, 'gs': global_sharpness, 'clip': clip_sum} ORDER BY ord) FILTER (WHERE eligible) AS m FROM k1 GROUP BY 1),
+k3 AS (SELECT burst_group, CASE WHEN every AND len(m) > 0 THEN list_reduce(m, lambda w, x:
+  CASE WHEN CASE
+    WHEN w.eyes IS NOT NULL AND x.eyes IS NOT NULL AND (x.eyes >= 0.5) <> (w.eyes >= 0.5) THEN x.eyes >= 0.5
+    WHEN w.face IS NOT NULL AND x.face IS NOT NULL AND x.face <> w.face THEN x.face > w.face
+    WHEN x.af <> w.af THEN x.af > w.af WHEN x.gs <> w.gs THEN x.gs > w.gs ELSE x.clip < w.clip END THEN x ELSE w END) END AS best FROM k2)
+"""
+
+
+@_query(f"WITH {FRAMES_SQL}, {_FOLD} SELECT burst_group, best.id AS winner_id, best.af AS winner_af FROM k3")
+def burst_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole ladder, folded in order."""
+    return winner.winners(grouped(spark, sf_dir).withColumn("eligible", verdict.keep_eligible(0.5)), "burst_group")
+
+
+@_query()
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = judged(spark, sf_dir)
+    return rows.select("id", "verdict", F.round("confidence", 6).alias("confidence"), F.array_join("reasons", "; ").alias("reasons"), "burst_is_winner", F.round("burst_margin", 6).alias("burst_margin"))
+
+
+_VERDICT = """
+v1 AS (SELECT *, greatest(0.0, least(1.0, CASE WHEN af < 0.12 THEN (0.12 - af) / 0.12 * (CASE WHEN af_valid THEN 1.0 ELSE 0.5 END) * (CASE WHEN abs(tenengrad - af) > 0.35 THEN 0.6 ELSE 1.0 END) ELSE 0.0 END)) AS soft,
+  CASE WHEN eyes_open >= 0 AND eyes_open < 0.2 THEN (0.2 - eyes_open) / 0.2 ELSE 0.0 END AS eyes FROM f),
+v2 AS (SELECT *, greatest(soft, eyes) + 0.1 * least(soft, eyes) AS c0 FROM v1),
+v3 AS (SELECT *, CASE WHEN c0 > 0 THEN least(1.0, c0 + CASE WHEN blown_pct >= 0.25 THEN 0.05 ELSE 0 END + CASE WHEN crushed_pct >= 0.35 THEN 0.05 ELSE 0 END) ELSE 0 END AS c1,
+  af >= 0.55 AND exposure_score >= 0.6 AND least(af, exposure_score) >= 0.5 AS keep FROM v2)
+"""
+
+
+@_query(f"""WITH {FRAMES_SQL}, {_VERDICT}
+SELECT id, CASE WHEN c1 > 0 THEN CASE WHEN c1 >= 0.5 THEN 'reject' END WHEN keep THEN 'keep' END AS verdict,
+  round(CASE WHEN c1 > 0 THEN c1 WHEN keep THEN least(af, exposure_score) ELSE 0.0 END, 6) AS confidence,
+  CASE WHEN c1 > 0 THEN concat_ws('; ', CASE WHEN soft > 0 THEN CASE WHEN motion_blur_likelihood > 0.5 THEN 'motion blur' ELSE 'soft focus' END END, CASE WHEN eyes > 0 THEN 'closed eyes' END,
+    CASE WHEN blown_pct >= 0.25 THEN 'blown highlights' END, CASE WHEN crushed_pct >= 0.35 THEN 'crushed shadows' END) WHEN keep THEN 'sharp, well exposed' ELSE '' END AS reasons FROM v3""")
+def verdicts_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cascade for frames outside of any group."""
+    none = {f"{p}_{c}": F.lit(v).cast(t) for p in ("burst", "sim") for c, v, t in (("group", None, "int"), ("pos", None, "int"), ("len", None, "int"), ("is_winner", False, "boolean"), ("margin", 0.0, "double"))}
+    rows = verdict.with_verdict(frames(spark, sf_dir).withColumns(none), "low")
+    return rows.select("id", "verdict", F.round("confidence", 6).alias("confidence"), F.array_join("reasons", "; ").alias("reasons"))
+
+
+@_query(f"""WITH {FRAMES_SQL}, {_VERDICT}, fav AS (SELECT id, row_number() OVER (ORDER BY aesthetic DESC, id) AS r FROM v3 WHERE c1 = 0 AND keep AND aesthetic >= 0.55)
+SELECT id FROM fav WHERE r <= (SELECT least(15, greatest(3, ceil(count(*) * 0.05))) FROM f)""")
+def favourites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    none = {f"{p}_{c}": F.lit(v).cast(t) for p in ("burst", "sim") for c, v, t in (("group", None, "int"), ("pos", None, "int"), ("len", None, "int"), ("is_winner", False, "boolean"), ("margin", 0.0, "double"))}
+    rows = verdict.with_favourites(verdict.with_verdict(frames(spark, sf_dir).withColumns(none), "low"))
+    return rows.where("verdict = 'favorite'").select("id")
+
+
+@_query(f"""WITH {FRAMES_SQL}, v AS (SELECT *, row_number() OVER (ORDER BY ord) - 1 AS i, CASE WHEN burst_group IS NOT NULL THEN 'burst' WHEN sim_group IS NOT NULL THEN 'similar' END AS kind,
+  coalesce(burst_group, sim_group) AS grp, coalesce(burst_len, sim_len) AS len FROM s WHERE rating IS NULL),
+k AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY kind, grp ORDER BY i) = 1 THEN 0 ELSE 1 END AS st FROM v WHERE kind IS NOT NULL),
+n AS (SELECT *, sum(st) OVER (PARTITION BY kind, grp ORDER BY i) AS nth FROM k),
+g AS (SELECT kind, grp, nth, min(i) AS seg_start, max(i) AS e, count(*) AS n, max(len) AS len FROM n GROUP BY ALL)
+SELECT CAST(row_number() OVER (ORDER BY seg_start) - 1 AS INTEGER) AS seg_id, kind, grp, CAST(seg_start AS INTEGER) AS seg_start, n, nth = 1 AS labelled, len,
+  CASE WHEN lag(e) OVER (ORDER BY seg_start) + 1 = seg_start THEN 6 ELSE 10 END AS gap_before FROM g""")
+def display_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return islands.segments(grouped(spark, sf_dir).where("rating is null"))
+
+
+@_query(f"""WITH {FRAMES_SQL} SELECT id, ord, min(CASE WHEN rating IS NULL THEN ord END) OVER (ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_unrated,
+  max(CASE WHEN rating IS NULL THEN ord END) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_unrated FROM f""")
+def unrated_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ratings.neighbours(frames(spark, sf_dir).select("id", "ord", "rating"), bucket=1000).select("id", "ord", "next_unrated", "previous_unrated")
+
+
+@_query(f"WITH {FRAMES_SQL} SELECT ord FROM f WHERE rating = 'keep' ORDER BY abs(ord - 500), ord LIMIT 1")
+def snapped_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frames(spark, sf_dir)
+    return ratings.snapped(rows.where(ratings.passes("keeps", F.col("rating"), F.lit(None)) & (F.col("rating") == "keep")), 500)
+
+
+@_query(f"WITH {FRAMES_SQL}, e AS (SELECT ord FROM f WHERE id IN (30, 60)) SELECT id, ord FROM f WHERE rating IS NOT NULL AND ord BETWEEN (SELECT min(ord) FROM e) AND (SELECT max(ord) FROM e)")
+def range_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ratings.between(frames(spark, sf_dir).where("rating is not null"), 30, 60).select("id", "ord")
+
+
+@_query(f"""WITH {FRAMES_SQL}, {_VERDICT}, x AS (SELECT rating, CASE WHEN c1 > 0 THEN CASE WHEN c1 >= 0.5 THEN 'reject' END WHEN keep THEN 'keep' END AS verdict FROM v3)
+SELECT count(*) AS total, count(rating) AS rated, count(*) - count(rating) AS unrated, count(*) FILTER (WHERE rating IN ('keep', 'favorite')) AS keeps, count(*) FILTER (WHERE rating = 'favorite') AS favorites,
+  count(*) FILTER (WHERE rating = 'reject') AS rejects, count(*) FILTER (WHERE rating IS NULL AND verdict IS NOT NULL) AS suggested FROM x""")
+def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frames(spark, sf_dir)
+    given = rows.where("rating is not null").select(F.col("id").alias("img_id"), "rating")
+    return ratings.counts(rows, given, verdicts_alone(spark, sf_dir).where("verdict is not null"))
+
+
+@_query(f"WITH {FRAMES_SQL} SELECT 'keeps' AS mode, id FROM f WHERE rating IN ('keep', 'favorite') UNION ALL SELECT 'unrated', id FROM f WHERE rating IS NULL UNION ALL SELECT 'rejects', id FROM f WHERE rating = 'reject' UNION ALL SELECT 'favorites', id FROM f WHERE rating = 'favorite'")
+def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frames(spark, sf_dir)
+    modes = ("keeps", "unrated", "rejects", "favorites")
+    shown = F.array_compact(F.array(*[F.when(ratings.passes(m, F.col("rating"), F.lit(None)), F.lit(m)) for m in modes]))
+    return rows.select("id", F.explode(shown).alias("mode"))
+
+
+@_query("""WITH a AS (SELECT event_id AS seq, user_id AS img_id, CASE event_id % 4 WHEN 0 THEN 'keep' WHEN 1 THEN 'reject' WHEN 2 THEN 'favorite' END AS after FROM events)
+SELECT img_id, arg_max_null(after, seq) AS rating FROM a GROUP BY 1 HAVING rating IS NOT NULL""")
+def rating_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    after = F.when(e % 4 == 0, "keep").when(e % 4 == 1, "reject").when(e % 4 == 2, "favorite")
+    log = table(spark, sf_dir, "events").select(e.alias("seq"), F.col("user_id").alias("img_id"), F.lit("?").alias("before"), after.alias("after"))
+    return ratings.current(log)
+
+
+@_query()
+def undo_redo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    kind = F.when(e % 5 == 3, "undo").when(e % 7 == 4, "redo").otherwise("rate")
+    rating = F.when(e % 4 == 0, "keep").when(e % 4 == 1, "reject").when(e % 4 == 2, "favorite")
+    log = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("session"), e.alias("seq"), kind.alias("kind"), (e % 40).alias("img_id"), rating.alias("rating"))
+    return ratings.replay(log)
+
+
+@_query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND n_chars >= 500")
+def work_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where("n_chars >= 500").select(F.col("doc_id").alias("id"))
+    none = docs.limit(0)
+    rated = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("img_id"))
+    return ratings.work_list(docs, rated, none, none).select(F.col("id").alias("doc_id"))
+
+
+@_query("""SELECT CASE WHEN quality IS NULL THEN 'unlabeled' WHEN n_chars < 1000 AND quality = 0 THEN 'hit' WHEN n_chars < 1000 THEN 'false_reject' WHEN quality = 0 THEN 'miss' ELSE 'quiet' END AS outcome, count(*) AS n
+FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""")
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("n_chars") < 1000, "reject").alias("verdict"))
+    return ratings.confusion(docs, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 0).alias("rejected")))
+
+
+@_query("""WITH e AS (SELECT doc_id AS used, source || '/' || doc_id AS path, n_chars AS bytes FROM documents),
+c AS (SELECT *, sum(bytes) OVER () AS total, coalesce(sum(bytes) OVER (ORDER BY used, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
+SELECT path, used, bytes FROM c WHERE total > 1500000 AND total - before > 1500000 * 0.9""")
+def lru_victims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "doc_id").alias("path"), F.col("doc_id").alias("used"), F.col("n_chars").alias("bytes"))
+    return storage.evicted(entries, 1_500_000)
+
+
+@_query("""WITH k AS (SELECT user_id % 40 AS key, epoch_us(max(ts)) // 1000000 AS last_opened, count(*) AS n FROM events GROUP BY 1)
+SELECT key, last_opened, n FROM k WHERE last_opened >= (SELECT max(last_opened) FROM k) - 14 * 86400 ORDER BY last_opened DESC, key LIMIT 5""")
+def recent_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 40).alias("key")).agg(F.max("ts").alias("t"), F.count(F.lit(1)).alias("n"))
+    rows = e.select(F.array(F.lpad(F.col("key").cast("string"), 3, "0"), F.lit("x")).alias("paths"), "key", "n", F.col("t").cast("string").alias("last_opened"))
+    now = e.agg(F.max(F.col("t").cast("timestamp")).alias("now"))
+    made = storage.recents(rows.join(F.broadcast(now)), F.col("now"))
+    return made.select("key", F.floor(expr.epoch_ms(F.col("last_opened").cast("timestamp_ntz")) / 1000).alias("last_opened"), "n")
+
+
+@_query(f"WITH {FRAMES_SQL} SELECT src_folder, min(ord) AS first_ord, count(*) AS n, count(rating) AS rated FROM f GROUP BY 1")
+def folder_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return storage.folders(frames(spark, sf_dir))
+
+
+@_query(f"WITH {FRAMES_SQL} SELECT coalesce(min(ord) FILTER (WHERE rating IS NULL), 0) AS ord FROM f")
+def resume_at(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return storage.resume_position(frames(spark, sf_dir))
+
+
+@_query("""WITH w AS (SELECT 'in/' || source || '/' || (doc_id % 400) || '.cr3' AS source, 'out/' || (doc_id % 400) || '.cr3' AS dest FROM documents),
+d AS (SELECT DISTINCT * FROM w), ex AS (SELECT DISTINCT 'in/' || source || '/' || (doc_id % 400) || '.cr3' AS path FROM documents WHERE doc_id % 3 <> 0 UNION SELECT 'out/' || (doc_id % 400) || '.cr3' FROM documents WHERE doc_id % 400 < 40)
+SELECT source, dest, CASE WHEN source NOT IN (SELECT path FROM ex) THEN 'skip_missing' WHEN dest IN (SELECT path FROM ex) OR row_number() OVER (PARTITION BY dest ORDER BY source) > 1 THEN 'skip_exists' ELSE 'do' END AS action FROM d""")
+def move_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    name = F.concat((F.col("doc_id") % 400).cast("string"), F.lit(".cr3"))
+    inner = F.concat(F.lit("in/"), F.col("source"), F.lit("/"), name).alias("path")
+    there = docs.where("doc_id % 3 <> 0").select(inner).union(docs.where("doc_id % 400 < 40").select(F.concat(F.lit("out/"), name)))
+    return storage.transfer_plan(docs.select(inner), there, "out")
+
+
+@_query("""SELECT p_partkey, CASE WHEN s > 0 THEN CASE WHEN s >= 1 THEN printf('%.1fs', s) ELSE '1/' || CAST(floor(1 / s + 0.5) AS BIGINT) || 's' END END AS shutter, printf('f/%.1f', p_size / 4.0 + 0.26) AS aperture,
+  printf('%.1f MB', p_partkey * 4099 / 1048576.0) AS size, p_size || ' × ' || (p_size * 3) AS dims FROM (SELECT *, p_size / 37.0::DOUBLE AS s FROM part)""")
+def formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", formats.shutter(size / 37.0).alias("shutter"), formats.aperture(size / 4.0 + 0.26).alias("aperture"), formats.file_size(F.col("p_partkey") * 4099).alias("size"), formats.dimensions(size, size * 3).alias("dims")
+    )
+
+
+@_query("""SELECT page_id, regexp_extract(url, '([^/]*)/*$', 1) AS base, regexp_replace(left(regexp_replace(url, '[<>:"/\\\\|?*]', '', 'g'), 32), '[.\\s]+$', '') AS folder,
+  CASE WHEN length(url) <= 20 THEN url ELSE left(url, 10) || '…' || right(url, 9) END AS short FROM pages""")
+def path_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", formats.basename(url).alias("base"), formats.sanitised_folder(url).alias("folder"), formats.middle_truncated(url, 20).alias("short"))
+
+
+@_query("SELECT o_orderkey, bit_count(xor(o_orderkey * 2654435761, o_custkey * 40503 * 65537)) AS d FROM orders")
+def hash_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = lambda c: F.lpad(F.hex(c), 16, "0")
+    return table(spark, sf_dir, "orders").select("o_orderkey", expr.hamming(h(F.col("o_orderkey") * 2_654_435_761), h(F.col("o_custkey") * 40_503 * 65_537)).cast("tinyint").alias("d"))
+
+
+@_query("""WITH e AS (SELECT vec_id, embedding, lag(embedding) OVER (ORDER BY vec_id) AS p FROM embeddings)
+SELECT vec_id, round(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(p AS DOUBLE[])), 6) AS cosine, coalesce(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(p AS DOUBLE[])) >= 0.25, false) AS linked FROM e""")
+def adjacent_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = numbered(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.floor(F.col("vec_id") / 100_000), F.col("vec_id"))
+    before = e.select((F.col("ord") + 1).alias("ord"), F.col("embedding").alias("p"))
+    d = expr.dot(F.col("embedding"), F.col("p"))
+    return e.join(before, "ord", "left").select("vec_id", F.round(d, 6).alias("cosine"), F.coalesce(d >= 0.25, F.lit(False)).alias("linked"))
+
+
+@_query("""WITH h AS (SELECT l_returnflag, l_linestatus, least(255, greatest(0, CAST(floor(l_extendedprice * 256 / 120000) AS INTEGER))) AS bin, count(*) AS n FROM lineitem GROUP BY ALL),
+c AS (SELECT *, sum(n) OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY bin) AS cum, sum(n) OVER (PARTITION BY l_returnflag, l_linestatus) AS total FROM h)
+SELECT l_returnflag, l_linestatus, CAST(min(bin) FILTER (WHERE cum >= ceil(total / 20)) AS INTEGER) AS p5, CAST(min(bin) FILTER (WHERE cum >= total - floor(total / 20)) AS INTEGER) AS p95,
+  (min(bin) FILTER (WHERE cum >= total - floor(total / 20)) - min(bin) FILTER (WHERE cum >= ceil(total / 20))) / 255.0::DOUBLE AS spread FROM c GROUP BY 1, 2""")
+def histogram_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return storage.lower_percentiles(table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], F.col("l_extendedprice"), 256, 120_000)
+
+
+@_query("""WITH r AS (SELECT l_suppkey, l_extendedprice AS v, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) AS i FROM lineitem),
+k AS (SELECT l_suppkey, list(v ORDER BY i) AS v FROM r WHERE i <= 16 GROUP BY 1) SELECT l_suppkey, v[(len(v) - 1) // 2 + 1] AS noise_floor FROM k""")
+def noise_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return storage.lowest_median(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_extendedprice")
+
+
+@_query("""WITH r AS (SELECT user_id AS path, event_id AS seq, event_type AS camera, CASE WHEN event_id % 5 = 0 THEN CAST(event_id % 6 AS INTEGER) END AS lrc_rating, CASE WHEN event_id % 3 = 0 THEN 'h' || event_id END AS phash FROM events)
+SELECT path, arg_max(camera, seq) AS camera, arg_max(lrc_rating, seq) FILTER (WHERE lrc_rating IS NOT NULL) AS lrc_rating, arg_max(phash, seq) FILTER (WHERE phash IS NOT NULL) AS phash FROM r GROUP BY 1""")
+def merged_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("path"), e.alias("seq"), F.col("event_type").alias("camera"), F.when(e % 5 == 0, (e % 6).cast("int")).alias("lrc_rating"), F.when(e % 3 == 0, F.concat(F.lit("h"), e.cast("string"))).alias("phash"))
+    return ratings.merged_meta(rows).select("path", "camera", "lrc_rating", "phash")
+
+
+@_query("""SELECT event_id, least(1.0, value / 300) * (1 - least(1.0, value / 150)) AS blur, least(greatest(ln(1 + value / 0.5) / 12, 0), 1) AS sharp,
+  CASE WHEN event_id % 4 <> 0 THEN least(30000, CAST(1000 * pow(2, event_id % 4 - 1) AS INTEGER)) END AS wait_ms FROM events WHERE value > 0""")
+def frame_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e, v = F.col("event_id"), F.col("value")
+    rows = table(spark, sf_dir, "events").where("value > 0")
+    wait = expr.backoff_ms(F.when(e % 4 == 0, 4).otherwise(e % 4))
+    return rows.select("event_id", expr.motion_blur(v / 300, F.lit(1.0), F.least(F.lit(1.0), v / 150)).alias("blur"), expr.normalised_sharpness(v, F.lit(0.5)).alias("sharp"), wait.alias("wait_ms"))
