@@ -92,7 +92,7 @@ def phash(y: np.ndarray) -> str:
         return "0" * 16
     block = (_DCT @ _box(y) @ _DCT.T)[:8, :8].ravel()
     ac = np.sort(block[1:])
-    if not np.isfinite(block).all() or np.abs(ac).max() < 1e-3:
+    if not np.isfinite(block).all() or np.abs(ac).max() < 0.5:
         return "0" * 16
     bits = block > (ac[31] + ac[32]) / 2
     return f"{sum(1 << int(i) for i in np.flatnonzero(bits)):016x}"
@@ -177,6 +177,6 @@ def features(images: DataFrame) -> DataFrame:
                 y = luma(rgb)
                 blown, crushed = clipped(rgb)
                 rows.append((path, True, w, h, laplacian_variance(y), tenengrad(y), noise_floor(y), texture_spread(y), exposure_score(y), blown, crushed, phash(y)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FEATURES.split(", ")])
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FEATURES.split(", ")], dtype=object)
 
     return images.select("path", "width", "height", "rgb").mapInPandas(run, FEATURES)

@@ -174,6 +174,6 @@ def parsed(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [{"path": p} | metadata(bytes(c) if c is not None else b"") for p, c in zip(batch["path"], batch["content"], strict=True)]
-            yield pd.DataFrame(rows, columns=names)
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     return files.select("path", "content").mapInPandas(run, METADATA)
