@@ -32,6 +32,7 @@ _FOUND = T.StructType(
         T.StructField("runs", T.ArrayType(T.LongType())),
         T.StructField("items", T.ArrayType(T.LongType())),
         T.StructField("longest", T.LongType()),
+        T.StructField("text_hash", T.LongType()),
     ]
 )
 
@@ -145,7 +146,7 @@ def _matches(docs: DataFrame, block: list[tuple[int, str]], window: int) -> Data
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = Automaton(((i, words(t.encode())) for i, t in sent.value), window)
-        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("runs", pa.list_(pa.int64())), ("items", pa.list_(pa.int64())), ("longest", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("runs", pa.list_(pa.int64())), ("items", pa.list_(pa.int64())), ("longest", pa.int64()), ("text_hash", pa.int64())])
         for batch in batches:
             ids, made = batch.column(0), ([], [], [], [])
             for text in texts(batch.column(1)):
@@ -153,13 +154,14 @@ def _matches(docs: DataFrame, block: list[tuple[int, str]], window: int) -> Data
                 runs, items, longest = automaton.scan(ws)
                 for column, value in zip(made, (len(ws), runs, sorted(items), longest), strict=True):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(x, f.type) for x, f in zip(made, list(schema)[1:], strict=True))], schema=schema)
+            columns = [pa.array(x, f.type) for x, f in zip(made, list(schema)[1:-1], strict=True)]
+            yield pa.RecordBatch.from_arrays([ids, *columns, batch.column(2)], schema=schema)
 
     return docs.mapInArrow(scan, _FOUND)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """For each row of docs (doc_id, text): doc_id, n_words, runs, items, longest.
+    """For each row of docs (doc_id, text): doc_id, n_words, runs, items, longest, text_hash.
 
     ``runs`` holds the hit words as start, end, start, end ... (ends exclusive), ``items`` the sorted item_ids with
     a window in the text, ``longest`` the longest run of words that any item has. A null or empty text has no words.
@@ -167,6 +169,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_w
     then told apart by doc_id and text, and those alike in both are one.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
     found = None
     for block in item_blocks(benchmark, block_words):
         one = _matches(docs, block, window)
@@ -184,8 +187,8 @@ def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wo
     blocks = sum(1 for _ in item_blocks(benchmark, block_words))
     found = matches(docs, benchmark, window, block_words)
     if blocks > 1:  # one row for each block: runs are merged, items united
-        found = found.groupBy("doc_id", "n_words").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("longest").alias("longest"))
-        hit = F.size(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size("runs") / 2 - 1), lambda i: F.sequence(F.get("runs", (2 * i).cast("int")), F.get("runs", (2 * i + 1).cast("int")) - 1)))))
+        found = found.groupBy("doc_id", "n_words", "text_hash").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("longest").alias("longest"))
+        hit = F.size(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size("runs") / 2).cast("int") - 1)), lambda i: F.sequence(F.get("runs", (2 * i).cast("int")), F.get("runs", (2 * i + 1).cast("int")) - 1)))))
         hit = F.when(F.size("runs") == 0, 0).otherwise(hit)
     else:
         hit = F.aggregate("runs", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("sign")), lambda a, x: F.struct((a["sum"] + a["sign"] * x).alias("sum"), (-a["sign"]).alias("sign")))["sum"]
