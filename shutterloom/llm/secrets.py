@@ -72,10 +72,11 @@ def _index(character: Column) -> Column:
     return F.instr(F.lit(ALPHABET), character)
 
 
-def ratios(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
+def ratios(samples: DataFrame, smoothing: float = 0.5, backing: float = 5.0) -> list[float]:
     """SIDE * SIDE log-likelihood ratios, at the first character's index * SIDE + the second's.
 
-    Add-smoothing keeps unseen pairs finite. Without samples every ratio is 0. The counts come from a grouping over
+    Pairs fall back on the second character's own share, which add-smoothing keeps over 0. Without samples every
+    ratio is 0. The counts come from a grouping over
     the samples; what reaches the driver is this table, whose size is fixed.
     """
     neighbours = F.transform(F.sequence(F.lit(1), F.length("text") - 1), lambda i: F.substring("text", i, 2))
@@ -83,7 +84,9 @@ def ratios(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     pairs = pairs.select("label", _index(F.substring("pair", 1, 1)).alias("a"), _index(F.substring("pair", 2, 1)).alias("b"))
     counts = {(r.label, r.a, r.b): r.n for r in pairs.groupBy("label", "a", "b").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = {(label, a): sum(counts.get((label, a, b), 0) for b in range(SIDE)) for label in (0, 1) for a in range(SIDE)}
-    log_p = lambda label, a, b: math.log((counts.get((label, a, b), 0) + smoothing) / (rows[label, a] + smoothing * SIDE))
+    singles = {(label, b): sum(counts.get((label, a, b), 0) for a in range(SIDE)) + smoothing for label in (0, 1) for b in range(SIDE)}
+    share = {(label, b): n / sum(singles[label, c] for c in range(SIDE)) for (label, b), n in singles.items()}
+    log_p = lambda label, a, b: math.log((counts.get((label, a, b), 0) + backing * share[label, b]) / (rows[label, a] + backing))
     return [round(log_p(1, a, b) - log_p(0, a, b), 5) for a in range(SIDE) for b in range(SIDE)]
 
 

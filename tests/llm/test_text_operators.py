@@ -62,7 +62,9 @@ def test_secret_base_spans_and_markov(spark):
     key = "Zk3xQ9vT1mB7wLr0Jd8sYp2N"
     cases = ["token=abc", "secret=token : abcdefg", "x API_KEY: 'a1b2c3d4' \U0001f600 Token=\"zzzzzz\"", "AKIA" + "Q" * 16 + " AKIAshort", "AKIA" * 6, "f" * 24 + " " + "0" * 23 + "g" + "a" * 30, f"see {key} there", "ordinaryidentifiername_with_words", "password = passwd=123456"]
     rows = [(200 + i, t, "en", "s", len(t)) for i, t in enumerate(cases)]
-    got = {(r.doc_id, r.base_sha256): r for r in secrets.report(docs(spark, rows, True)).collect()}
+    names = ["ordinary_identifier", "name_with_some_words", "identifiername", "wordsandnames", "another_ordinary_name", "readwordsfile", "in_order"]
+    samples = secrets.generated_samples(spark).union(spark.createDataFrame([(n, 0) for n in names * 20] + [(None, 0), ("x", None), ("", 1)], "text string, label int"))
+    got = {(r.doc_id, r.base_sha256): r for r in secrets.report(docs(spark, rows, True), samples).collect()}
     for doc, text in [(r[0], r[1] or "") for r in [*ODD, *rows]]:
         base = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 6]
         base += [(m.start(), 1, m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 20]
@@ -70,7 +72,7 @@ def test_secret_base_spans_and_markov(spark):
         r = got[doc, hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, e, k in sorted(base)).encode()).hexdigest()]
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for _, _, _, kind in base) for k in ("assign", "access", "hex"))
     assert [r.spans for r in got.values() if r.doc_id == 206] == ["markov:4:28"] and [r.spans for r in got.values() if r.doc_id == 207] == [""]
-    clean = {r.doc_id: r for r in secrets.redact(docs(spark, rows)).where("doc_id >= 200").collect()}
+    clean = {r.doc_id: r for r in secrets.redact(docs(spark, rows), samples).where("doc_id >= 200").collect()}
     assert clean[206].text == "see [SECRET] there" and clean[206].n_chars == 18 and clean[200].text == "token=abc"
     assert secrets.redact(docs(spark).limit(0)).count() == 0
 
