@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from shutterloom.llm import decontaminate, langid, mixing, neardup, secrets
 from shutterloom.llm.common import materialise, table
@@ -27,12 +28,14 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group: that of the smallest doc_id; of rows alike in doc_id and component just one."""
+    """Keeps one document of each group: that of the smallest doc_id; of rows alike in doc_id and text just one."""
     names = docs.columns
     classes = neardup.classify(docs, width=5, percent=80)
-    # a doc_id may have several texts, of which some may be kept: n_shingles and the id do not tell them apart, the group does
-    kept = classes.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*names)
+    kept = classes.where("kept").select(F.col("row_key").alias("_row"))
+    rows = docs.withColumn("_row", neardup.row_key()).join(kept, "_row", "left_semi")
+    # the join has brought rows of one key together
+    first = F.row_number().over(Window.partitionBy("_row").orderBy("source", "lang"))
+    return rows.withColumn("_first", first).where("_first = 1").select(*names)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -79,12 +79,12 @@ STATEMENTS = (
 #: Templates of named licenses, best first: priority, confidence, keyword form, pattern form. {n}: name, {v}: version.
 _VERSIONED = (
     (0, 0.99, "spdx license identifier", "spdx license identifier {n} (?:v )?{v}(?! [0-9])"),
-    (1, 0.95, "{n}", "(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?{n}(?: licen[cs]e)?(?: version| v)? v?{v}(?! [0-9])"),
+    (1, 0.95, "under", "(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?{n}(?: licen[cs]e)?(?: version| v)? v?{v}(?! [0-9])"),
     (2, 0.85, "{n}", "{n}(?: licen[cs]e)?(?: version| v)? v?{v}(?! [0-9])"),
 )
 _PLAIN = (
     (3, 0.95, "spdx license identifier", "spdx license identifier {n}"),
-    (4, 0.9, "{n}", "(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?{n}(?: licen[cs]e)?"),
+    (4, 0.9, "under", "(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?{n}(?: licen[cs]e)?"),
     (6, 0.7, "{n} licen", "{n} licen[cs]e"),
 )
 
@@ -102,13 +102,22 @@ def rules() -> list[tuple[int, str, float, str, str]]:
     return [(i, label, conf, f" {keyword}", f"(?<= ){pattern}(?= )" if priority else f"(?<= ){pattern}") for i, (priority, label, conf, keyword, pattern) in enumerate(sorted(made))]
 
 
-#: What any rule's keyword or any base phrase contains: the first test of a text.
-GATE = r" (?:licen|spdx|cc by|cc0|creative ?commons|general public|all rights|copyright|public domain|permission (?:is|to)|redistribut|apache|mozilla|gnu|mit |bsd |gpl|lgpl|agpl|mpl|epl|cddl|wtfpl|eupl|ofl|odbl|gfdl|unencumbered|proprietary|without (?:permission|warranty)|substantial portions|endorse or|as is )"
+_SEP = f"{NOT_WORD}+"
+#: How the first words of all rules and base phrases go; a text without any has no detection.
+_FIRST = (
+    "licen[cs]", "spdx", "cc by", "cc0", "creative ?commons", "rights reserved", "copyright", "public domain", "permission (?:is hereby|to use)",
+    "redistribut(?:ion|e it)", "(?:licensed|released|distributed|available|published) under", "apache", "mozilla", "gnu", "[la]?gpl", "mpl", "epl", "cddl", "wtfpl",
+    "eupl", "ofl", "odbl", "gfdl", "bsl", "psf", "unencumbered", "proprietary", "without (?:permission|prior|written|express|warranty)", "substantial portions",
+    "endorse or", "as is without", "artistic", "eclipse public", "boost software", "python", "sil open", "open (?:font|database)", "european union public", "affero",
+    "do what the", "common development", "general public",
+)
+#: The cheap first test, on lower-cased text before its words are cut.
+GATE = f"(?:^|{NOT_WORD})(?:{'|'.join(_FIRST).replace(' ', _SEP)})"
 
 
 def normalised(text: Column) -> Column:
-    """The words, lower-cased, each between two single spaces; one space if there are none."""
-    return F.regexp_replace(F.concat(F.lit(" "), ascii_lower(F.coalesce(text.cast("string"), F.lit(""))), F.lit(" ")), f"{NOT_WORD}+", " ")
+    """The words of lower-cased text, each between two single spaces; one space if there are none."""
+    return F.regexp_replace(F.concat(F.lit(" "), text, F.lit(" ")), _SEP, " ")
 
 
 def _spaces(text: Column) -> Column:
@@ -142,12 +151,15 @@ def scan(docs: DataFrame) -> DataFrame:
     named = [dict(zip(("priority", "label", "confidence", "keyword", "pattern"), r, strict=True)) for r in rules()]
     every = F.from_json(F.lit(json.dumps(named)), "array<struct<priority:int,label:string,confidence:double,keyword:string,pattern:string>>")
     norm = F.col("_norm")
-    docs = docs.withColumn("_norm", normalised(F.col("text"))).withColumn("n_words", (_spaces(norm) - 1).cast("long"))
+    docs = docs.withColumn("_low", ascii_lower(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    docs = docs.withColumn("_gate", F.col("_low").rlike(GATE)).withColumn("n_words", F.size(F.array_remove(F.split("_low", _SEP, -1), "")).cast("long"))
+    docs = docs.withColumn("_norm", F.when(F.col("_gate"), normalised(F.col("_low"))).otherwise(F.lit(" ")))
     base = F.concat(*[_labelled(_words_before(norm, phrase), label) for phrase, label in BASE])
-    docs = docs.withColumn("_gate", norm.rlike(GATE))
     docs = docs.withColumn("base", F.when(F.col("_gate"), base).otherwise(F.array().cast("array<struct<label:string,word:int>>")))
-    near = F.filter(every, lambda r: F.contains(norm, r["keyword"]) & F.rlike(norm, r["pattern"]))
-
+    # each keyword is looked for once, and only the rules of those found are tried
+    keywords = F.array(*[F.lit(k) for k in sorted({r[3] for r in rules()})])
+    docs = docs.withColumn("_found", F.when(F.col("_gate"), F.filter(keywords, lambda k: F.contains(norm, k))))
+    near = F.filter(every, lambda r: F.array_contains(F.col("_found"), r["keyword"]) & F.rlike(norm, r["pattern"]))
     kind = "array<struct<priority:int,label:string,confidence:double,start:int,end:int>>"
 
     def places(r: Column) -> Column:
@@ -163,9 +175,10 @@ def scan(docs: DataFrame) -> DataFrame:
 
         return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("all")), step)["all"]
 
-    docs = docs.withColumn("_all", F.when(F.col("_gate"), F.flatten(F.transform(near, places))).otherwise(F.array().cast(kind)))
+    # _found is named twice, so that it is not worked out again for every rule
+    docs = docs.withColumn("_all", F.when(F.size("_found") > 0, F.flatten(F.transform(near, places))).otherwise(F.array().cast(kind)))
     inside = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (y["priority"] < x["priority"])
-    return docs.withColumn("detections", F.filter("_all", lambda x: ~F.exists("_all", lambda y: inside(x, y)))).drop("_norm", "_gate", "_all")
+    return docs.withColumn("detections", F.filter("_all", lambda x: ~F.exists("_all", lambda y: inside(x, y)))).drop("_low", "_norm", "_gate", "_found", "_all")
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -19,13 +19,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise, texts
 
-LOW = 24  # smallest hashes that a class has in inverted lists
-SKETCH = 256  # smallest hashes in a sketch
+LOW = 12  # smallest hashes that a class has in inverted lists
+SKETCH = 768  # smallest hashes in a sketch
 MISS = 1e-8  # chance that two sets just at the threshold share no list
 BLOCK = 4096  # classes of one list in one task, at most twice
 _POWERS = np.concatenate(([np.uint64(1)], np.full(4095, 0x9E3779B97F4A7C15, dtype=np.uint64))).cumprod(dtype=np.uint64)
@@ -93,8 +93,13 @@ def needed(threshold: float, low: int = LOW, miss: float = MISS) -> int:
     return max(1, c)
 
 
+def row_key() -> Column:
+    """What rows alike in doc_id and text have in common."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def _sketched(docs: DataFrame, width: int) -> DataFrame:
-    """_id, _n (set size), _class (digest of the set), _low (smallest hashes), _sketch (upper halves of more), for each row."""
+    """_id, _row (row_key), _n (set size), _class (digest of the set), _low (smallest hashes), _sketch (upper halves of more), for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,12 +111,12 @@ def _sketched(docs: DataFrame, width: int) -> DataFrame:
                 low.append(s[:LOW].view(np.int64))
                 sketch.append((s[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(low, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                ["_id", "_n", "_class", "_low", "_sketch"],
+                [batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(low, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                ["_id", "_row", "_n", "_class", "_low", "_sketch"],
             )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"))
-    return rows.mapInArrow(run, "_id long, _n long, _class binary, _low array<long>, _sketch binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("_text"), row_key().alias("_row"))
+    return rows.mapInArrow(run, "_id long, _row long, _n long, _class binary, _low array<long>, _sketch binary")
 
 
 def _lists(classes: DataFrame, threshold: float) -> DataFrame:
@@ -136,6 +141,10 @@ def _pairs(lists: DataFrame, classes: DataFrame, threshold: float, second: bool)
     other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     lists = lists.withColumn("_other", other).select("_rep", "_value", F.least("_own", "_other").alias("_p"), F.greatest("_own", "_other").alias("_q"))
     comp = F.col("_comp") if second else F.col("_rep")
+    if second:  # lists that are all one component have nothing left to find
+        known = lists.join(classes.select("_rep", "_comp"), "_rep")
+        apart = known.groupBy("_value", "_p", "_q").agg(F.min("_comp").alias("_lo"), F.max("_comp").alias("_hi")).where("_lo <> _hi")
+        lists = lists.join(apart.select("_value", "_p", "_q"), ["_value", "_p", "_q"], "left_semi")
     held = lists.join(classes.select("_rep", "_n", "_sketch", comp.alias("_c")), "_rep")
     held = held.repartition("_value", "_p", "_q").sortWithinPartitions("_value", "_p", "_q", "_rep")
 
@@ -263,7 +272,7 @@ def _with_component(classes: DataFrame, comps: DataFrame) -> DataFrame:
 
 
 def classify(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of docs (doc_id, text).
+    """doc_id, n_shingles, component_id, kept, row_key: one row for each row of docs (doc_id, text).
 
     Two texts are linked if their sets of ``width``-word shingles have 100 * intersection >= percent * union;
     component_id is the smallest doc_id that links reach, kept says that it is the row's own. A null text, or one
@@ -286,6 +295,6 @@ def classify(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     after = _with_component(classes, components(links.union(more)))
     least = after.groupBy("_comp").agg(F.min("_least").alias("component_id"))
     ends = after.join(least, "_comp").select("_class", "component_id", F.lit(True).alias("_in"))
-    made = rows.select("_id", "_n", "_class").join(ends, "_class", "left")
+    made = rows.select("_id", "_row", "_n", "_class").join(ends, "_class", "left")
     component = F.when(F.col("_in"), F.col("component_id")).otherwise(F.col("_id"))
-    return made.select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("_id")).alias("kept"))
+    return made.select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("_id")).alias("kept"), F.col("_row").alias("row_key"))

@@ -37,7 +37,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=85)
+    return neardup.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), width=3, percent=85).drop("row_key")
 
 
 def op9_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -147,44 +147,45 @@ def anchors(text: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def _anchored(docs: DataFrame, length: int) -> DataFrame:
-    """_id, _bytes, _class (SHA-256 of the text) and _anchors for each row."""
-    kind = "_id long, _bytes long, _class binary, _anchors array<struct<h:bigint,p:bigint,lo:bigint,hi:bigint>>"
-    item = pa.struct([(n, pa.int64()) for n in ("h", "p", "lo", "hi")])
+def _anchored(rows: DataFrame, length: int) -> DataFrame:
+    """_id, _key, _bytes, _sha (SHA-256 of the text) and _hashes (of its anchors) for each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size, digest, found = [], [], []
-            for text in texts(batch.column(1)):
+            for text in texts(batch.column(2)):
                 size.append(len(text))
                 digest.append(hashlib.sha256(text).digest())
-                found.append(anchors(text, length))
-            ends = np.concatenate(([0], np.cumsum([len(x[0]) for x in found]))).astype(np.int32)
-            columns = [np.concatenate([x[i] for x in found]) if found else np.zeros(0) for i in range(4)]
-            flat = pa.StructArray.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c.astype(np.int64)) for c in columns], fields=list(item))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["_id", "_bytes", "_class", "_anchors"])
+                found.append(anchors(text, length)[0].view(np.int64))
+            ends = np.concatenate(([0], np.cumsum([len(x) for x in found]))).astype(np.int32)
+            flat = pa.array(np.concatenate([*found, np.zeros(0, dtype=np.int64)]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), flat)], ["_id", "_key", "_bytes", "_sha", "_hashes"])
 
-    return docs.mapInArrow(run, kind)
+    return rows.select("_id", "_key", "_text").mapInArrow(run, "_id long, _key long, _bytes long, _sha binary, _hashes array<long>")
 
 
 def _contexts(held: DataFrame, length: int) -> DataFrame:
-    """_h, _class, _p (places), _lo, _at (anchor's place in the context), _context: alike contexts of one text are one row."""
+    """_h, _class, _key, _p (places), _at (anchor's place in the context), _context, for _class, _key, _text and the wanted _hashes.
+
+    Alike contexts of one text are one row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, 200):
                 batch = whole.slice(start, 200)
                 rows: list[tuple] = []
-                for cls, text, found in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                for cls, key, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                     seen: dict[tuple[int, bytes, int], list[int]] = {}
-                    for x in found:
-                        seen.setdefault((x["h"], text[x["lo"] : x["hi"] + length], x["p"] - x["lo"]), []).append(x["p"])
-                    rows += [(h, cls, ps, at, context) for (h, context, at), ps in seen.items()]
-                columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-                kinds = (pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["_h", "_class", "_p", "_at", "_context"])
+                    h, p, lo, hi = anchors(text, length)
+                    for i in np.flatnonzero(np.isin(h.view(np.int64), np.array(wanted, dtype=np.int64))).tolist():
+                        seen.setdefault((int(h[i].astype(np.int64)), text[lo[i] : hi[i] + length], int(p[i] - lo[i])), []).append(int(p[i]))
+                    rows += [(x, cls, key, ps, at, context) for (x, context, at), ps in seen.items()]
+                columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.int32(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["_h", "_class", "_key", "_p", "_at", "_context"])
 
-    return held.mapInArrow(run, "_h long, _class binary, _p array<long>, _at int, _context binary")
+    return held.mapInArrow(run, "_h long, _class binary, _key long, _p array<long>, _at int, _context binary")
 
 
 def _orders(sides: list[list[bytes]]) -> list[np.ndarray]:
@@ -249,45 +250,50 @@ def repeated(contexts: list[tuple[int, int, bytes, bool]], length: int = LENGTH)
 
 
 def _in_groups(contexts: DataFrame, length: int) -> DataFrame:
-    """_class, _from, _to: the bytes that each context has in windows that stand twice."""
+    """_class, _key, _from, _to: the bytes that each context has in windows that stand twice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(rows: list[tuple]) -> pa.RecordBatch:
-            # a group of one context, once in its text, has nothing twice
             made = []
-            for row, found in zip(rows, repeated([(r[0], r[3], r[4], len(r[2]) > 1) for r in rows], length) if rows else (), strict=True):
+            for row, found in zip(rows, repeated([(r[0], r[4], r[5], len(r[3]) > 1) for r in rows], length) if rows else (), strict=True):
                 if found:
-                    made += [(row[1], p - found[1], p - found[0] + length) for p in row[2]]
-            a, b, c = zip(*made, strict=True) if made else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.int64()), pa.array(c, pa.int64())], ["_class", "_from", "_to"])
+                    made += [(row[1], row[2], p - found[1], p - found[0] + length) for p in row[3]]
+            a, b, c, d = zip(*made, strict=True) if made else ((), (), (), ())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.int64())], ["_class", "_key", "_from", "_to"])
 
         rows: list[tuple] = []
-        cut = 0  # where the last group begins
-        for batch in batches:
-            for row in zip(*[batch.column(i).to_pylist() for i in range(5)], strict=True):
-                if rows and row[0] != rows[-1][0]:
-                    if len(rows) - cut == 1 and len(rows[-1][2]) == 1:
-                        rows.pop()
-                    if len(rows) >= _CHUNK:
-                        yield solved(rows)
-                        rows = []
-                    cut = len(rows)
-                rows.append(row)
+        cut, seen = 0, set()  # where the last group begins, and its texts and places: a repeated row brings them again
+        for whole in batches:
+            for start in range(0, whole.num_rows, 1000):
+                batch = whole.slice(start, 1000)
+                for row in zip(*[batch.column(i).to_pylist() for i in range(6)], strict=True):
+                    if rows and row[0] != rows[-1][0]:
+                        if len(rows) - cut == 1 and len(rows[-1][3]) == 1:
+                            rows.pop()  # a group of one context, once in its text, has nothing twice
+                        if len(rows) >= _CHUNK:
+                            yield solved(rows)
+                            rows = []
+                        cut, seen = len(rows), set()
+                    if (row[1], row[3][0]) not in seen:
+                        seen.add((row[1], row[3][0]))
+                        rows.append(row)
         yield solved(rows)
 
-    ordered = contexts.select("_h", "_class", "_p", "_at", "_context").repartition("_h").sortWithinPartitions("_h")
-    return ordered.mapInArrow(run, "_class binary, _from long, _to long")
+    ordered = contexts.repartition("_h").sortWithinPartitions("_h")
+    return ordered.mapInArrow(run, "_class binary, _key long, _from long, _to long")
 
 
 def _by_hash(contexts: DataFrame, length: int) -> DataFrame:
     """The same for anchors with very many contexts: all their windows, by hash of content, in a grouping."""
     starts = F.sequence(F.lit(0), F.length("_context") - length)
-    rows = contexts.select("_h", "_class", "_p", "_at", "_context", F.explode(starts).alias("_s"))
+    rows = contexts.withColumn("_first", F.get("_p", F.lit(0))).select("_class", "_key", "_p", "_first", "_at", "_context", F.explode(starts).alias("_s"))
     window = F.expr(f"substring(_context, _s + 1, {length})")
-    rows = rows.select("_class", "_p", (F.col("_at") - F.col("_s")).alias("_d"), F.sha2(window, 256).alias("_w"))
-    twice = rows.groupBy("_w").agg(F.sum(F.size("_p")).alias("_n")).where("_n > 1").select("_w")
-    found = rows.join(twice, "_w", "left_semi").select("_class", F.explode("_p").alias("_x"), "_d")
-    return found.groupBy("_class", "_x").agg((F.col("_x") - F.max("_d")).alias("_from"), (F.col("_x") - F.min("_d") + length).alias("_to")).select("_class", "_from", "_to")
+    rows = rows.select("_class", "_key", "_p", "_first", (F.col("_at") - F.col("_s")).alias("_d"), F.substring(F.unhex(F.sha2(window, 256)), 1, 16).alias("_w"))
+    # a repeated row brings the same places again
+    twice = rows.groupBy("_w", "_class", "_first").agg(F.first(F.size("_p")).alias("_n")).groupBy("_w").agg(F.sum("_n").alias("_n")).where("_n > 1").select("_w")
+    found = rows.join(twice, "_w", "left_semi").select("_class", "_key", F.explode("_p").alias("_x"), "_d")
+    made = found.groupBy("_class", "_key", "_x").agg(F.max("_d").alias("_hi"), F.min("_d").alias("_lo"))
+    return made.select("_class", "_key", (F.col("_x") - F.col("_hi")).alias("_from"), (F.col("_x") - F.col("_lo") + length).alias("_to"))
 
 
 def _cut(held: DataFrame) -> DataFrame:
@@ -325,39 +331,31 @@ def remove(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD) -> DataFra
     they share a doc_id; a null doc_id stays null.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    found = materialise(_anchored(rows, length))
-    sizes = found.groupBy("_class").agg(F.count(F.lit(1)).alias("_copies"), F.first("_anchors").alias("_anchors"))
-    places = materialise(sizes.where("size(_anchors) > 0").select("_class", F.explode("_anchors").alias("_x")))
+    rows = rows.withColumn("_key", F.xxhash64("_id", "_text"))
+    found = materialise(_anchored(rows, length)).withColumn("_class", F.substring("_sha", 1, 16))
+    sizes = found.groupBy("_class").agg(F.count(F.lit(1)).alias("_copies"), F.min("_key").alias("_key"), F.first("_hashes").alias("_hashes"))
     # counted by text, so that copies do not make an anchor common
-    shared = places.groupBy(F.col("_x.h").alias("_h")).agg(F.count(F.lit(1)).alias("_df")).where("_df > 1")
-    places = places.join(shared, F.col("_x.h") == F.col("_h")).groupBy("_class").agg(F.collect_list("_x").alias("_shared"))
-    held = materialise(_one_text(found, rows, places))
-    contexts = _contexts(held, length)
-    common = shared.where(F.col("_df") > crowd).select("_h")
-    if common.limit(1).count():
-        contexts = materialise(contexts)
-        crowded = _by_hash(contexts.join(common, "_h", "left_semi"), length)
-        cuts = _in_groups(contexts.join(common, "_h", "left_anti"), length).union(crowded)
-    else:
-        cuts = _in_groups(contexts, length)
-    cuts = cuts.groupBy("_class").agg(F.collect_list(F.struct("_from", "_to")).alias("_cuts"))
-    made = _cut(cuts.join(held.select("_class", "_text"), "_class").select("_class", "_text", "_cuts"))
+    places = sizes.where("size(_hashes) > 0").select("_class", "_key", F.explode("_hashes").alias("_h"))
+    shared = places.groupBy("_h").agg(F.count(F.lit(1)).alias("_df")).where("_df > 1")
+    of = lambda test: F.collect_list(F.when(test, F.col("_h")))
+    wanted = materialise(places.join(shared, "_h").groupBy("_class", "_key").agg(of(F.col("_df") <= crowd).alias("_near"), of(F.col("_df") > crowd).alias("_crowded")))
+    # the same exchange of texts, by key, serves the contexts and the cuts
+    text = rows.select("_key", "_text")
+    own = F.substring(F.unhex(F.sha2(F.col("_text").cast("binary"), 256)), 1, 16) == F.col("_class")  # keys are shorter than digests
+    held = text.join(wanted.hint("shuffle_hash"), "_key").where(own)
+    cuts = _in_groups(_contexts(held.where("size(_near) > 0").select("_class", "_key", "_text", "_near"), length), length)
+    if wanted.where("size(_crowded) > 0").limit(1).count():
+        cuts = cuts.union(_by_hash(_contexts(held.where("size(_crowded) > 0").select("_class", "_key", "_text", "_crowded"), length), length))
+    cuts = cuts.groupBy("_class", "_key").agg(F.collect_list(F.struct("_from", "_to")).alias("_cuts"))
+    made = _cut(text.join(cuts.hint("shuffle_hash"), "_key").where(own).select("_class", "_text", "_cuts"))
+    made = made.dropDuplicates(["_class"])
     copies = sizes.where("_copies > 1").select("_class", F.lit(True).alias("_twice"))
-    result = found.select("_id", "_bytes", "_class").join(copies, "_class", "left").join(made, "_class", "left")
+    result = found.select("_id", "_bytes", "_sha", "_class").join(copies, "_class", "left").join(made, "_class", "left")
     whole = F.col("_twice") & (F.col("_bytes") >= length)
     empty = hashlib.sha256(b"").hexdigest()
     return result.select(
         F.col("_id").alias("doc_id"), F.col("_bytes").alias("n_bytes"), F.when(whole, F.col("_bytes")).otherwise(F.coalesce("_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, 1).otherwise(F.coalesce("_spans", F.lit(0))).cast("long").alias("n_spans"),
-        F.when(whole, F.lit(empty)).otherwise(F.coalesce("_hash", F.lower(F.hex("_class")))).alias("kept_sha256"),
+        F.when(whole, F.lit(empty)).otherwise(F.coalesce("_hash", F.lower(F.hex("_sha")))).alias("kept_sha256"),
     )
 
-
-def _one_text(found: DataFrame, rows: DataFrame, places: DataFrame) -> DataFrame:
-    """_class, _text, _shared: the text of each class that has shared anchors, from the first of its rows."""
-    first = found.groupBy("_class").agg(F.min(F.struct(F.col("_id").isNull().alias("null"), F.col("_id").alias("id"))).alias("_first"))
-    wanted = places.join(first, "_class").select(F.col("_first.id").alias("_want"), F.col("_class").alias("_of"), "_shared")
-    # rows that share a doc_id may have other texts: the digest decides
-    met = rows.join(wanted, F.col("_id").eqNullSafe(F.col("_want")))
-    met = met.where(F.unhex(F.sha2(F.col("_text").cast("binary"), 256)) == F.col("_of"))
-    return met.select(F.col("_of").alias("_class"), "_text", "_shared").dropDuplicates(["_class"])
