@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, texts
+from .common import discard, materialise, texts
 
 LOW = 12  # smallest hashes that a class has in inverted lists
 SKETCH = 768  # smallest hashes in a sketch
@@ -228,7 +228,7 @@ def _class_texts(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: i
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union of their full sets, which come from the texts."""
+    """The pairs with 100 * intersection >= percent * union of their full sets, which come from the texts; written."""
     held = materialise(_class_texts(docs, pairs, classes, width))
     one, two = held.select(F.col("_rep").alias("_a"), F.col("_text").alias("_s")), held.select(F.col("_rep").alias("_b"), F.col("_text").alias("_t"))
 
@@ -244,7 +244,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["_a", "_b"]).filter(pa.array(ok, pa.bool_()))
 
-    return pairs.join(two, "_b").join(one, "_a").select("_a", "_b", "_s", "_t").mapInArrow(run, "_a long, _b long")
+    made = materialise(pairs.join(two, "_b").join(one, "_a").select("_a", "_b", "_s", "_t").mapInArrow(run, "_a long, _b long"))
+    discard(held)
+    return made
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -254,16 +256,17 @@ def components(links: DataFrame) -> DataFrame:
     table in the shared folder, and nothing but a count reaches the driver.
     """
     both = materialise(links.select("_a", "_b").union(links.select("_b", "_a")).distinct())
-    labels = both.groupBy(F.col("_a").alias("_node")).agg(F.least(F.min("_b"), F.min("_a")).alias("_comp"))
-    labels = materialise(labels)
+    labels = materialise(both.groupBy(F.col("_a").alias("_node")).agg(F.least(F.min("_b"), F.min("_a")).alias("_comp")))
     while True:
         near = both.join(labels.select(F.col("_node").alias("_b"), "_comp"), "_b").groupBy(F.col("_a").alias("_node")).agg(F.min("_comp").alias("_m"))
         step = labels.join(near, "_node").select("_node", F.col("_comp").alias("_was"), F.least("_comp", "_m").alias("_comp"))
         jump = labels.select(F.col("_node").alias("_comp"), F.col("_comp").alias("_j"))
         step = materialise(step.join(jump, "_comp", "left").select("_node", "_was", F.least("_comp", "_j").alias("_comp")))
-        labels = step.select("_node", "_comp")
+        discard(labels)
+        labels = step
         if not step.where("_comp <> _was").limit(1).count():
-            return labels
+            discard(both)
+            return labels.select("_node", "_comp")
 
 
 def _with_component(classes: DataFrame, comps: DataFrame) -> DataFrame:
@@ -282,19 +285,22 @@ def classify(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     several texts, each text has its own result.
     """
     threshold = percent / 100
-    rows = materialise(_sketched(docs, width))
-    grown = rows.where("_n > 0").groupBy("_class").agg(F.min("_id").alias("_least"), F.first("_n").alias("_n"), F.first("_low").alias("_low"), F.first("_sketch").alias("_sketch"))
+    sketched = materialise(_sketched(docs, width))
+    grown = sketched.where("_n > 0").groupBy("_class").agg(F.min("_id").alias("_least"), F.first("_n").alias("_n"), F.first("_low").alias("_low"), F.first("_sketch").alias("_sketch"))
     # the key of a class is a hash of its digest, so that rows which share a doc_id stay apart
     classes = materialise(grown.withColumn("_rep", F.xxhash64("_class")))
+    rows = materialise(sketched.select("_id", "_row", "_n", "_class"))
+    discard(sketched)
     lists = materialise(_lists(classes, threshold))
     first = materialise(_pairs(lists, classes, threshold, False))
-    links = materialise(_confirmed(first, docs, classes, width, percent))
-    after = materialise(_with_component(classes, components(links)))
-    rest = materialise(_pairs(lists, after, threshold, True).join(first, ["_a", "_b"], "left_anti"))
-    more = materialise(_confirmed(rest, docs, classes, width, percent))
-    after = _with_component(classes, components(links.union(more)))
+    links = _confirmed(first, docs, classes, width, percent)
+    comps = components(links)
+    rest = materialise(_pairs(lists, _with_component(classes, comps), threshold, True).join(first, ["_a", "_b"], "left_anti"))
+    more = _confirmed(rest, docs, classes, width, percent)
+    after = materialise(_with_component(classes.select("_rep", "_class", "_least"), components(links.union(more))))
+    discard(classes, lists, first, links, comps, rest, more)
     least = after.groupBy("_comp").agg(F.min("_least").alias("component_id"))
     ends = after.join(least, "_comp").select("_class", "component_id", F.lit(True).alias("_in"))
-    made = rows.select("_id", "_row", "_n", "_class").join(ends, "_class", "left")
+    made = rows.join(ends, "_class", "left")
     component = F.when(F.col("_in"), F.col("component_id")).otherwise(F.col("_id"))
     return made.select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("_id")).alias("kept"), F.col("_row").alias("row_key"))
