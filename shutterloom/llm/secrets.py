@@ -57,10 +57,12 @@ def generated_samples(spark: SparkSession, rows: int = 4000) -> DataFrame:
 def identifier_samples(docs: DataFrame, max_docs: int = 500) -> DataFrame:
     """text, label: ordinary words, single, joined by _ or -, or run together, label 0.
 
-    They come from the max_docs documents whose doc_id has the smallest hash: a bound on what trains the models,
-    not on what is scanned.
+    They come from the at most max_docs documents whose doc_id has the smallest hash: a bound on what trains the
+    models, not on what is scanned. Rows of one doc_id count as one, that with the smallest text.
     """
-    some = docs.where("text is not null and doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
+    ids = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).distinct()
+    # at most max_docs ids meet in a task, and none of the texts
+    some = docs.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).where("text is not null")
     runs = F.regexp_extract_all("text", F.lit(r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{2,}(?: [A-Za-z]{2,}){0,2}(?![A-Za-z0-9+/_=-])"), F.lit(0))
     some = some.select(F.explode(runs).alias("w"))
     glue = F.element_at(F.array(F.lit("_"), F.lit("-"), F.lit("/"), F.lit("")), (F.pmod(F.xxhash64("w"), F.lit(4)) + 1).cast("int"))
