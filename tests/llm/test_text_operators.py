@@ -149,6 +149,17 @@ def test_language_model(spark, head):
     assert lm.score(df.limit(0), ~held).count() == 0
 
 
+def test_language_model_scores_long_unseen_tokens(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, speech("en", 40, rng)) for i in range(40)] + [(100, "the"), (101, "the " + "qz7" * 1666 + "qz"), (102, "the " + "qz7" * 3333)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.score(df, F.col("doc_id") < 100, sweeps=2).where("doc_id >= 100").collect()}
+    # each further byte of an unseen token costs at least as much as the commonest byte would
+    assert got[101].score < got[100].score - 1000
+    assert got[102].score < got[101].score - 1000
+    assert got[101].perplexity > got[100].perplexity
+
+
 def test_spelling_probabilities_sum_to_one():
     symbols, context, of = lm.spelled([b"the", b"then", b"of", b"", b"\xc3\xa9"] * 3)
     cells, to = np.unique(context * 257 + symbols, return_inverse=True)
