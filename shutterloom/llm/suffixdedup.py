@@ -262,7 +262,9 @@ def _in_groups(contexts: DataFrame, length: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d, pa.int64())], ["_class", "_key", "_from", "_to"])
 
         rows: list[tuple] = []
-        cut, seen = 0, set()  # where the last group begins, and its texts and places: a repeated row brings them again
+        # where the last group begins, and its texts, places and windows: a repeated row brings them again, while an
+        # anchor at a cut of its text into pieces has two contexts with other windows
+        cut, seen = 0, set()
         for whole in batches:
             for start in range(0, whole.num_rows, 1000):
                 batch = whole.slice(start, 1000)
@@ -274,8 +276,8 @@ def _in_groups(contexts: DataFrame, length: int) -> DataFrame:
                             yield solved(rows)
                             rows = []
                         cut, seen = len(rows), set()
-                    if (row[1], row[3][0]) not in seen:
-                        seen.add((row[1], row[3][0]))
+                    if (mark := (row[1], row[3][0], row[4], len(row[5]))) not in seen:
+                        seen.add(mark)
                         rows.append(row)
         yield solved(rows)
 

@@ -113,6 +113,19 @@ def test_suffix_dedup(spark, crowd):
     assert sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
 
 
+def test_suffix_dedup_across_a_cut(spark):
+    rng = np.random.default_rng(9)
+    letters = lambda n: bytes(rng.integers(97, 123, n, dtype=np.uint8)).decode()
+    piece, size = suffixdedup._PIECE, 420
+    passage = letters(size)
+    # windows of the passage start on both sides of the cut; what stands around it differs
+    texts = ["0" + letters(piece - 12) + "1" + passage + "2" + letters(2000), "3" + passage + "4"]
+    got = {r.doc_id: r for r in suffixdedup.remove(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(texts):
+        kept = text.replace(passage, "")
+        assert (got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (size, 1, hashlib.sha256(kept.encode()).hexdigest())
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffixdedup.remove(docs(spark).limit(0)).count() == 0 and suffixdedup.remove(docs(spark).where("length(text) < 100")).count() == 6
 
