@@ -72,7 +72,7 @@ STATEMENTS = (
     ("reserved", "all rights reserved", "all rights reserved"),
     ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}"),
     ("proprietary", "proprietary", "proprietary and confidential"),
-    ("proprietary", "without permission", "may not be (?:copied|reproduced|distributed|used) without (?:prior |written |express )*permission"),
+    ("proprietary", "may not be", "may not be (?:copied|reproduced|distributed|used) without (?:prior |written |express )*permission"),
     ("no-warranty", "without warranty", "(?:provided|distributed) (?:as is )?without warranty"),
 )
 
@@ -105,7 +105,7 @@ def rules() -> list[tuple[int, str, float, str, str]]:
 _SEP = f"{NOT_WORD}+"
 #: How the first words of all rules and base phrases go; a text without any has no detection.
 _FIRST = (
-    "licen[cs]", "spdx", "cc by", "cc0", "creative ?commons", "rights reserved", "copyright", "public domain", "permission (?:is hereby|to use)",
+    "licen[cs]", "spdx", "cc by", "cc0", "creative commons", "creativecommons", "rights reserved", "copyright", "public domain", "permission (?:is hereby|to use)",
     "redistribut(?:ion|e it)", "(?:licensed|released|distributed|available|published) under", "apache", "mozilla", "gnu", "[la]?gpl", "mpl", "epl", "cddl", "wtfpl",
     "eupl", "ofl", "odbl", "gfdl", "bsl", "psf", "unencumbered", "proprietary", "without (?:permission|prior|written|express|warranty)", "substantial portions",
     "endorse or", "as is without", "artistic", "eclipse public", "boost software", "python", "sil open", "open (?:font|database)", "european union public", "affero",

@@ -1,6 +1,7 @@
 """Operators on single texts: decontamination, secrets, licenses, language, quality, language model, against plain versions."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -92,6 +93,45 @@ def test_licenses(spark):
     assert len(licenses.rules()) > 300
 
 
+def strings_of(tree):
+    """Strings of every branch of a parsed pattern: what may be left out is there and not, loops go round up to twice."""
+    made = [""]
+    for op, arg in tree:
+        op = str(op)
+        if op == "LITERAL":
+            parts = [chr(arg)]
+        elif op == "IN":
+            parts = [chr(x[1] if str(x[0]) == "LITERAL" else x[1][0]) for x in arg]
+        elif op == "BRANCH":
+            parts = [s for branch in arg[1] for s in strings_of(branch)]
+        elif op == "SUBPATTERN":
+            parts = strings_of(arg[3])
+        elif op == "MAX_REPEAT":
+            inner = strings_of(arg[2])
+            parts = ["".join(x) for n in sorted({arg[0], min(arg[1], arg[0] + 1), min(arg[1], 2)}) for x in itertools.product(inner, repeat=n)]
+        else:
+            assert op in ("ASSERT", "ASSERT_NOT"), op
+            continue
+        made = [a + b for a in made for b in parts]
+    return made
+
+
+def test_license_keywords_and_gate_cut_no_rule():
+    gate = re.compile(licenses.GATE)
+    for _, label, _, keyword, pattern in licenses.rules():
+        cases = [f" {s} " for s in strings_of(re._parser.parse(pattern))]
+        assert cases
+        for s in cases:
+            assert re.search(pattern, s) and keyword in s and gate.search(s), (label, keyword, pattern, s)
+
+
+def test_licenses_forbidding_copies(spark):
+    cases = ["It may not be reproduced without prior written permission.", "This may not be copied without permission", "may not be used without express written permission", "see creativecommons.org/publicdomain/zero"]
+    rows = [(i, t) for i, t in enumerate(cases)]
+    got = {r.doc_id: r.labels for r in licenses.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: "proprietary", 1: "proprietary", 2: "proprietary", 3: "cc"}
+
+
 def speech(lang, n, rng):
     parts = {"en": ["th", "er", "on", "ing", "the"], "fr": ["eau", "oi", "é", "que", "ent"], "de": ["sch", "ung", "ü", "der", "ein"]}[lang]
     return " ".join("".join(rng.choice(parts, rng.integers(1, 4))) for _ in range(n))
