@@ -6,12 +6,13 @@ item has are all that is kept, so the work is linear in the text. Each time that
 words under the window are hit and the state tells which items have it.
 
 The automaton is broadcast. Items are taken in blocks of at most ``block_words`` words, so that what is sent to a
-task is bounded whatever the benchmark's size; each further block is one more pass over the documents.
+task is bounded whatever the benchmark's size; each further block is one more pass over the documents. All blocks
+see the whole text, and what they find in a row is united before anything is judged or cut.
 """
 
 from __future__ import annotations
 
-import pickle
+import itertools
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BYTES, texts, words
+from .common import WORD_BYTES, materialise, texts, words
 
 WINDOW = 10
 #: Words of benchmark items in one automaton: some 300 bytes each on an executor.
@@ -160,38 +161,76 @@ def _matches(docs: DataFrame, block: list[tuple[int, str]], window: int) -> Data
     return docs.mapInArrow(scan, _FOUND)
 
 
+def united(runs: Iterable[list[int]]) -> list[int]:
+    """Runs (start, end, start, end ...) of several blocks as one such list; runs that meet or overlap are one."""
+    made: list[int] = []
+    for start, end in sorted(p for r in runs for p in zip(r[::2], r[1::2], strict=True)):
+        if made and start <= made[-1]:
+            made[-1] = max(made[-1], end)
+        else:
+            made += start, end
+    return made
+
+
+def _united(found: DataFrame) -> DataFrame:
+    """What several blocks found as one row for each ``doc_id``, which must tell rows apart."""
+    found = found.groupBy("doc_id").agg(
+        F.first("n_words").alias("n_words"), F.collect_list("runs").alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        F.max("longest").alias("longest"), F.first("text_hash").alias("text_hash"),
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.set_column(2, "runs", pa.array([united(x) for x in batch.column(2).to_pylist()], pa.list_(pa.int64())))
+
+    return found.mapInArrow(run, _FOUND)
+
+
+def _in_blocks(numbered: DataFrame, blocks: Iterable[list[tuple[int, str]]], window: int) -> DataFrame:
+    """matches() of rows (_row, text), all blocks united, with _row as doc_id."""
+    docs = numbered.select(F.col("_row").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    found = None
+    for block in blocks:
+        one = _matches(docs, block, window)
+        found = one if found is None else found.unionByName(one)
+    return _united(found)
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs in a table, with a number _row that tells all rows apart, also those that are alike."""
+    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def _few(benchmark: DataFrame, block_words: int) -> tuple[list[list[tuple[int, str]]], bool]:
+    """The first two blocks of items at most, and whether they are more than one."""
+    first = list(itertools.islice(item_blocks(benchmark, block_words), 2))
+    return first[:1], len(first) > 1
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """For each row of docs (doc_id, text): doc_id, n_words, runs, items, longest, text_hash.
 
     ``runs`` holds the hit words as start, end, start, end ... (ends exclusive), ``items`` the sorted item_ids with
     a window in the text, ``longest`` the longest run of words that any item has. A null or empty text has no words.
-    Repeated rows give a row each. More than one block of items takes a pass for each, joined per document; rows are
-    then told apart by doc_id and text, and those alike in both are one.
+    Repeated rows give a row each. More than one block of items takes a pass for each, over a table of the rows in
+    which each has a number.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.withColumn("text_hash", F.xxhash64("text"))
-    found = None
-    for block in item_blocks(benchmark, block_words):
-        one = _matches(docs, block, window)
-        found = one if found is None else found.unionByName(one)
-    if found is None:
-        return _matches(docs, [], window)
-    return found
+    first, more = _few(benchmark, block_words)
+    if not more:
+        return _matches(docs.withColumn("text_hash", F.xxhash64("text")), first[0] if first else [], window)
+    numbered = _numbered(docs)
+    found = _in_blocks(numbered, item_blocks(benchmark, block_words), window).withColumnRenamed("doc_id", "_row")
+    return numbered.select("_row", "doc_id").join(found, "_row").select(*_FOUND.names)
 
 
 def report(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, coverage, longest: one row for each document.
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, coverage, longest: one row for each row of docs.
 
     items_sha256 is the SHA-256 of the matched item_ids, sorted as strings and joined by commas.
     """
-    blocks = sum(1 for _ in item_blocks(benchmark, block_words))
     found = matches(docs, benchmark, window, block_words)
-    if blocks > 1:  # one row for each block: runs are merged, items united
-        found = found.groupBy("doc_id", "n_words", "text_hash").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.max("longest").alias("longest"))
-        hit = F.size(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size("runs") / 2).cast("int") - 1)), lambda i: F.sequence(F.get("runs", (2 * i).cast("int")), F.get("runs", (2 * i + 1).cast("int")) - 1)))))
-        hit = F.when(F.size("runs") == 0, 0).otherwise(hit)
-    else:
-        hit = F.aggregate("runs", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("sign")), lambda a, x: F.struct((a["sum"] + a["sign"] * x).alias("sum"), (-a["sign"]).alias("sign")))["sum"]
+    hit = F.aggregate("runs", F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("sign")), lambda a, x: F.struct((a["sum"] + a["sign"] * x).alias("sum"), (-a["sign"]).alias("sign")))["sum"]
     found = found.withColumn("n_hit", hit.cast("long"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
@@ -222,31 +261,39 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cove
 
     Words under a matched window are cut out of the text; a document of which more than ``max_coverage`` is hit goes
     altogether. Clean documents, null and empty texts pass unchanged. ``n_chars``, if there, is counted anew for
-    texts that were cut. Several blocks of items are taken one after the other, each cutting what it finds.
+    texts that were cut. Several blocks of items take a pass each over the whole texts; what they find is united
+    before coverage is tested and passages are cut.
     """
     names, schema = docs.columns, docs.schema
-    for block in item_blocks(benchmark, block_words):
-        sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(block))
-
-        def cut(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            automaton = Automaton(((i, words(t.encode())) for i, t in pickle.loads(sent.value)), window)
-            at = names.index("text")
-            for batch in batches:
-                keep, made, changed = [], [], []
-                for text in texts(batch.column(at)):
-                    ws = words(text or b"")
-                    runs, _, _ = automaton.scan(ws)
-                    hit = sum(runs[1::2]) - sum(runs[::2])
-                    keep.append(not hit or hit <= max_coverage * len(ws))
-                    changed.append(bool(hit))
-                    made.append(_cut(text, runs) if hit else text)
-                columns = list(batch.columns)
-                columns[at] = pa.array(made, pa.binary()).cast(batch.schema.field(at).type)
-                if "n_chars" in names:
-                    k = names.index("n_chars")
-                    new = pa.array([len(t.decode()) if c else None for t, c in zip(made, changed, strict=True)], pa.int64())
-                    columns[k] = pa.compute.coalesce(new.cast(batch.schema.field(k).type), columns[k])
-                yield pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep, pa.bool_()))
-
-        docs = docs.mapInArrow(cut, schema)
-    return docs
+    first, more = _few(benchmark, block_words)
+    if not first:
+        return docs
+    sent = docs.sparkSession.sparkContext.broadcast(first[0])
+    at, known = names.index("text"), more
+    if more:
+        numbered = _numbered(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_all"), F.col("text")))
+        found = _in_blocks(numbered, item_blocks(benchmark, block_words), window).where(F.size("runs") > 0).select(F.col("doc_id").alias("_row"), F.col("runs").alias("_runs"))
+        # all columns of docs, then the runs
+        docs = numbered.join(found, "_row", "left").select("_all.*", "_runs")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = None if known else Automaton(((i, words(t.encode())) for i, t in sent.value), window)
+        for batch in batches:
+            columns = list(batch.columns[: len(names)])
+            given = batch.column(len(names)).to_pylist() if known else [None] * batch.num_rows
+            keep, made, changed = [], [], []
+            for text, runs in zip(texts(batch.column(at)), given, strict=True):
+                ws = words(text or b"") if runs or not known else []
+                runs = runs or [] if known else automaton.scan(ws)[0]
+                hit = sum(runs[1::2]) - sum(runs[::2])
+                keep.append(not hit or hit <= max_coverage * len(ws))
+                changed.append(bool(hit))
+                made.append(_cut(text, runs) if hit else text)
+            columns[at] = pa.array(made, pa.binary()).cast(batch.schema.field(at).type)
+            if "n_chars" in names:
+                k = names.index("n_chars")
+                new = pa.array([len(t.decode()) if c else None for t, c in zip(made, changed, strict=True)], pa.int64())
+                columns[k] = pa.compute.coalesce(new.cast(batch.schema.field(k).type), columns[k])
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(cut, schema)

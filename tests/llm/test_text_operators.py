@@ -56,6 +56,20 @@ def test_decontamination_against_all_windows(spark):
     assert decontaminate.remove(docs(spark), bench.limit(0)).count() == len(ODD) and decontaminate.report(docs(spark).limit(0), bench).count() == 0
 
 
+def test_decontamination_by_several_blocks_is_that_by_one(spark):
+    w = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    # two items that overlap in a document, and two that each hit 45 % of one
+    bench = spark.createDataFrame([(1, w(0, 14)), (2, w(8, 22)), (3, w(100, 118)), (4, w(200, 218))], "item_id bigint, text string")
+    texts = [f"x {w(0, 22)} " + "y " * 40, f"{w(100, 118)} {w(200, 218)} a b c d", "clean text", "", None]
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)] * 2  # repeated rows have a row each
+    df = spark.createDataFrame(rows, DOCS)
+    order = lambda rs: sorted(map(tuple, rs), key=str)
+    one, several = (order(decontaminate.report(df, bench, block_words=b).collect()) for b in (10**6, 15))
+    assert several == one and len(one) == len(rows)
+    one, several = (order(decontaminate.remove(df, bench, block_words=b).collect()) for b in (10**6, 15))
+    assert several == one and len(one) == len(rows) - 2
+
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 
 
