@@ -1,10 +1,12 @@
-"""Mixing sources to target weights by Pfair scheduling, in DataFrame operations only.
+"""Mixing sources to target weights by Pfair scheduling, in DataFrame operations.
 
 Each source is cut into blocks of ``block_rows`` documents. With integer shares e of a period L, block j (from 0) of
 a source is released at slot floor(j * L / e) and due by slot ceil((j + 1) * L / e). Earliest deadline first among
 the released blocks meets all deadlines, so at every slot each source is less than one block away from its share of
 what was sent. Shares are integers, so the schedule repeats after L slots: it is worked out once, for one period,
-and every block finds its slot by arithmetic and a join with those L rows.
+and every block finds its slot by arithmetic and a join with those L rows. Where there are more sources than slots in
+the period, a longer one gives each its share, and a heap in one task, which holds a few numbers for each source,
+works out the same schedule.
 
 The order inside a source is that of a seeded hash. Ranks come from counts by (source, chunk), so a source with most
 of the rows is never sorted in one task.
@@ -12,15 +14,20 @@ of the rows is never sorted in one task.
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: The most sources that one schedule takes; its cost is their number times the period.
-MAX_SOURCES = 4096
+#: The most sources whose slots are broadcast to the rows.
+BROADCAST_SOURCES = 4096
+#: Slots for each source, at least, in the period that takes the place of one that is too short.
+SLOTS = 8
 
 
 def _keyed(source: Column) -> Column:
@@ -41,7 +48,7 @@ def shares(weights: DataFrame, period: int) -> DataFrame:
     w = F.col("weight").cast("double")
     sums = weights.where(w.isNotNull() & ~F.isnan(w) & (w > 0) & (w < float("inf")))
     sums = sums.groupBy(_keyed(F.col("source")).alias("source_key")).agg(F.sum(w).alias("weight"))
-    # one row for each source, whose number MAX_SOURCES bounds
+    # one row for each source
     every = Window.partitionBy(F.lit(1))
     exact = (period - F.count(F.lit(1)).over(every)) * F.col("weight") / F.sum("weight").over(every)
     sums = sums.select("source_key", F.floor(exact).alias("whole"), (exact - F.floor(exact)).alias("rest"))
@@ -77,6 +84,38 @@ def schedule(shared: DataFrame, period: int) -> DataFrame:
     return one.select(F.col("x.slot").alias("slot"), own["source_key"].alias("source_key"), own["share"].alias("share"), F.col("x.turn").alias("turn"))
 
 
+def schedule_many(shared: DataFrame, period: int) -> DataFrame:
+    """The same as schedule(), for any number of sources, in time period * log(sources)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every = sorted(x for b in batches for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        waiting = [(0, i) for i in range(len(every))]  # by release
+        ready: list[tuple[int, int]] = []  # by deadline
+        sent, out = [0] * len(every), []
+
+        def made() -> pa.RecordBatch:
+            slot, of, turn = zip(*out, strict=True)
+            columns = [pa.array(slot, pa.int32()), pa.array([every[i][0] for i in of], pa.string()), pa.array([every[i][1] for i in of], pa.int32()), pa.array(turn, pa.int32())]
+            return pa.RecordBatch.from_arrays(columns, ["slot", "source_key", "share", "turn"])
+
+        for slot in range(period if every else 0):
+            while waiting and waiting[0][0] <= slot:
+                i = heapq.heappop(waiting)[1]
+                heapq.heappush(ready, (-(-(sent[i] + 1) * period // every[i][1]), i))
+            i = heapq.heappop(ready)[1]
+            out.append((slot, i, sent[i]))
+            sent[i] += 1
+            if sent[i] < every[i][1]:
+                heapq.heappush(waiting, (sent[i] * period // every[i][1], i))
+            if len(out) == 50_000:
+                yield made()
+                out.clear()
+        if out:
+            yield made()
+
+    return shared.select("source_key", "share").repartition(1).mapInArrow(run, "slot int, source_key string, share int, turn int")
+
+
 def ranked(docs: DataFrame, key: str, order: Column, chunk_rows: int, rows: int) -> DataFrame:
     """docs with ``_rank`` (from 0) inside each value of key, by a hash order, without gathering a key in one task."""
     chunks = max(1, math.ceil(rows / chunk_rows))
@@ -97,22 +136,24 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, period: int = 1000, b
     source is used up its slots stay empty and the others go on at their own pace. Documents of a source without a
     positive weight have null in all four. Repeated rows get a place each. Columns of docs of those names are
     replaced. ``weights`` has source, weight; by default tempered_weights(docs). A null source counts as a source.
-    More than MAX_SOURCES sources raise ValueError: put them in groups first.
+    More sources than slots in the period lengthen it to a multiple that has SLOTS for each; release, deadline and
+    order are then in slots of that period.
     """
     weights = tempered_weights(docs) if weights is None else weights
     names = [c for c in docs.columns if c not in ("mix_block", "mix_release", "mix_deadline", "mix_order")]
     counted = docs.select(F.count(F.lit(1)).alias("rows")).first().rows
-    if (n := weights.select(_keyed(F.col("source"))).distinct().count()) > min(MAX_SOURCES, period):
-        raise ValueError(f"{n} sources; at most {min(MAX_SOURCES, period)} can be scheduled in a period of {period}")
-    plan = schedule(shares(weights, period), period).select(F.col("source_key").alias("_of"), F.col("share").alias("_share"), F.col("turn").alias("_turn"), F.col("slot").alias("_slot"))
+    n, plan_by = weights.select(_keyed(F.col("source"))).distinct().count(), schedule
+    if n > period:
+        period, plan_by = period * math.ceil(SLOTS * n / period), schedule_many
+    plan = plan_by(shares(weights, period), period).select(F.col("source_key").alias("_of"), F.col("share").alias("_share"), F.col("turn").alias("_turn"), F.col("slot").alias("_slot"))
     rows = docs.select(*names, _keyed(F.col("source")).alias("_source"))
     rows = ranked(rows, "_source", F.xxhash64(F.lit(seed), "doc_id"), chunk_rows, counted)
     rows = rows.withColumn("_block", F.floor(F.col("_rank") / block_rows))
-    per = plan.groupBy("_of").agg(F.first("_share").alias("_share"), F.map_from_entries(F.collect_list(F.struct("_turn", "_slot"))).alias("_slots"))
-    # at most MAX_SOURCES rows that hold ``period`` slots in all
-    rows = rows.join(F.broadcast(per), F.col("_source") == F.col("_of"), "left")
+    per = plan.groupBy("_of").agg(F.first("_share").alias("_share"), F.transform(F.array_sort(F.collect_list(F.struct("_turn", "_slot"))), lambda x: x["_slot"]).alias("_slots"))
+    # a row for each source; they hold ``period`` slots in all
+    rows = rows.join(F.broadcast(per) if n <= BROADCAST_SOURCES else per, F.col("_source") == F.col("_of"), "left")
     cycle, turn = F.floor(F.col("_block") / F.col("_share")), (F.col("_block") % F.col("_share")).cast("int")
-    slot = cycle * period + F.element_at("_slots", turn)
+    slot = cycle * period + F.get("_slots", turn)
     return rows.select(
         *names, F.when(F.col("_share").isNotNull(), F.col("_block")).alias("mix_block"),
         F.floor(F.col("_block") * period / F.col("_share")).alias("mix_release"),

@@ -31,6 +31,20 @@ def test_mixing_keeps_every_prefix_near_its_weights(spark):
     assert mixing.mix(docs(spark)).where("mix_order is null").count() == 0
 
 
+@pytest.mark.parametrize("sources", [1500, 5000])
+def test_mixing_takes_any_number_of_sources(spark, sources):
+    rows = [(i, f"s{i % sources}" if i % sources else None) for i in range(2 * sources)] + [(i, "s1") for i in range(2 * sources, 2 * sources + 500)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=4).collect()
+    assert sorted(r.doc_id for r in got) == [r[0] for r in rows] and len({r.mix_order for r in got}) == len(rows)
+    assert all(r.mix_release <= r.mix_order // 4 < r.mix_deadline for r in got)
+
+
+def test_both_schedules_are_alike(spark):
+    shared = spark.createDataFrame([("sb", 40), ("sa", 25), ("n", 25), ("sé", 9), ("s", 1)], "source_key string, share int")
+    plans = [sorted(map(tuple, f(shared, 100).collect())) for f in (mixing.schedule, mixing.schedule_many)]
+    assert plans[0] == plans[1] and len(plans[0]) == 100
+
+
 def brute_groups(rows, width, percent):
     sets = []
     for _, text in rows:
