@@ -2,7 +2,7 @@
 
 Vectors are projected to a few dimensions, shifted and ordered along a Hilbert curve, for several projections and
 shifts. Spark range-partitions each ordering and cuts it in blocks of BLOCK vectors; a query is compared with the
-vectors of its own block and of the blocks next to it. What all orderings find is merged and ranked by the exact
+vectors of its own block and of the blocks around it, of which larger tables take more. What all orderings find is merged and ranked by the exact
 inner product of the original vectors.
 
 Inner products become angles by one more coordinate that gives all candidates the largest norm. Of equal vectors only
@@ -27,6 +27,9 @@ CURVES = 12
 DIMENSIONS = 8  # of a projection
 BITS = 4  # of a projected coordinate
 BLOCK = 2048
+#: Blocks along a curve for which one neighbour on each side is looked at; as many times more take as many times more.
+#: Measured with BLOCK on 51,282 to 512,820 near-uniform vectors in 64 dimensions, where that finds over 0.9 of the true 20 nearest.
+_SPAN = 34
 
 
 def hilbert_key(x: np.ndarray, bits: int) -> np.ndarray:
@@ -133,9 +136,9 @@ def _blocked(rows: DataFrame, block: int, parts: int) -> DataFrame:
     return made.join(runs, ["_curve", "_part"]).select("_id", "_query", "_v", "_curve", (F.col("_before") + F.col("_at")).alias("_block"))
 
 
-def _compared(rows: DataFrame, k: int) -> DataFrame:
+def _compared(rows: DataFrame, k: int, width: int) -> DataFrame:
     """_query_id, _found (array of _s, _id): the k nearest in each block that a query meets."""
-    near = rows.where("_query").withColumn("_block", F.explode(F.sequence(F.col("_block") - 1, F.col("_block") + 1)))
+    near = rows.where("_query").withColumn("_block", F.explode(F.sequence(F.col("_block") - width, F.col("_block") + width)))
     rows = rows.where("not _query").unionByName(near).select("_id", "_query", "_v", "_curve", "_block")
     rows = rows.repartition("_curve", "_block").sortWithinPartitions("_curve", "_block", "_query", "_id")
     item = pa.list_(pa.struct([("_s", pa.float64()), ("_id", pa.int64())]))
@@ -175,6 +178,11 @@ def _compared(rows: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "_query_id long, _found array<struct<_s:double,_id:bigint>>")
 
 
+def neighbours(n: int, block: int = BLOCK) -> int:
+    """How many blocks on each side of its own a query is compared with, in a table of n vectors."""
+    return max(1, -(-n // (_SPAN * block)))
+
+
 def search(vectors: DataFrame, queries: Column, k: int = 20, curves: int = CURVES, block: int = BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of vectors (vec_id, embedding) for which ``queries`` is true, the k nearest found.
 
@@ -199,8 +207,9 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, curves: int = CURVE
     both = cands.select("_id", F.lit(False).alias("_query"), "_v").unionByName(one.select(F.col("_class").alias("_id"), F.lit(True).alias("_query"), "_v"))
     keyed = materialise(_keyed(both, float(np.sqrt(norms.m)), curves))
     parts = int(min(2000, max(1, norms.n * curves // 40_000)))
-    compared = _compared(_blocked(keyed, block, parts), k + 1)
-    # at most 3 blocks of each curve, k + 1 rows of each
+    width = neighbours(norms.n, block)
+    compared = _compared(_blocked(keyed, block, parts), k + 1, width)
+    # 2 * width + 1 blocks of each curve, k + 1 rows of each
     merged = compared.groupBy("_query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_found")))), 1, k + 1).alias("_found"))
     met = asked.join(merged, F.col("_class") == F.col("_query_id"))
     others = F.slice(F.filter("_found", lambda x: x["_id"] != F.col("query_id")), 1, k)
