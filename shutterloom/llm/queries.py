@@ -25,7 +25,7 @@ def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffixdedup.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return suffixdedup.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -107,12 +107,14 @@ def brute_removal(texts, length):
             if seen[t[i : i + length]] > 1:
                 mask[i : i + length] = b"\1" * length
         kept = bytes(c for c, m in zip(t, mask, strict=True) if not m)
-        made.append((len(t), sum(mask), (b"\0" + bytes(mask)).count(b"\0\1"), hashlib.sha256(kept).hexdigest()))
+        made.append((len(t), sum(mask), (b"\0" + bytes(mask)).count(b"\0\1"), hashlib.sha256(kept).hexdigest(), kept))
     return made
 
 
-@pytest.mark.parametrize("crowd", [20_000, 2])
-def test_suffix_dedup(spark, crowd):
+@pytest.mark.parametrize(("crowd", "small"), [(20_000, 256), (20_000, 2), (2, 256)])
+def test_suffix_dedup(spark, monkeypatch, crowd, small):
+    monkeypatch.setattr(suffixdedup, "_SMALL", small)
+    monkeypatch.setattr(suffixdedup, "_HOT", 0)
     rng = random.Random(6)
     word = lambda n: " ".join("".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 9))) for _ in range(n))
     passages = [word(90) for _ in range(4)] + ["ab" * 400, "\0" * 450]
@@ -122,9 +124,14 @@ def test_suffix_dedup(spark, crowd):
     texts += [texts[0], texts[3], texts[3], "z" * 1200, "z" * 401, passages[0][:399], passages[1][:400]]
     rows = [(7000 + i, t, "en", "s", 1) for i, t in enumerate(texts)]
     every = [*ODD, *rows]
-    want = sorted((r[0] or -1, *x) for r, x in zip(every, brute_removal([(r[1] or "").encode() for r in every], 400), strict=True))
-    got = suffixdedup.remove(docs(spark, rows, True), crowd=crowd).collect()
-    assert sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == want
+    whole = [(r[1] or "").encode() for r in every]
+    long, short = brute_removal(whole, 400), brute_removal(whole, 250)
+    want = sorted((r[0] or -1, *x[:4], y[1]) for r, x, y in zip(every, long, short, strict=True))
+    got = suffixdedup.report(docs(spark, rows, True), crowd=crowd).collect()
+    assert sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256, r.n_repeated) for r in got) == want
+    if crowd > 2 and small > 2:
+        left = suffixdedup.remove(docs(spark, rows, True), crowd=crowd).collect()
+        assert sorted((r.doc_id or -1, bytes(r.kept)) for r in left) == sorted((r[0] or -1, x[4]) for r, x in zip(every, long, strict=True))
 
 
 def test_suffix_dedup_across_a_cut(spark):
@@ -134,14 +141,14 @@ def test_suffix_dedup_across_a_cut(spark):
     passage = letters(size)
     # windows of the passage start on both sides of the cut; what stands around it differs
     texts = ["0" + letters(piece - 12) + "1" + passage + "2" + letters(2000), "3" + passage + "4"]
-    got = {r.doc_id: r for r in suffixdedup.remove(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {r.doc_id: r for r in suffixdedup.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     for i, text in enumerate(texts):
         kept = text.replace(passage, "")
         assert (got[i].n_removed, got[i].n_spans, got[i].kept_sha256) == (size, 1, hashlib.sha256(kept.encode()).hexdigest())
 
 
 def test_suffix_dedup_of_nothing(spark):
-    assert suffixdedup.remove(docs(spark).limit(0)).count() == 0 and suffixdedup.remove(docs(spark).where("length(text) < 100")).count() == 6
+    assert suffixdedup.report(docs(spark).limit(0)).count() == 0 and suffixdedup.report(docs(spark).where("length(text) < 100")).count() == 6
 
 
 def test_suffix_array():
