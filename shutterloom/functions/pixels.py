@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Fixed values.
+FOCUS_SHARE, EYE_SHARE, EYE_SIZE, EYE_LEAST = 0.2, 0.55, (40, 24), 10
 BLOWN, CRUSHED, TILE, TILES, PEAKING = 250, 5, 128, 16, 60
 BLOWN_RGBA, CRUSHED_RGBA, PEAK_RGBA = (255, 64, 64, 255), (64, 128, 255, 255), (64, 255, 64, 255)
 
@@ -86,14 +89,12 @@ _DCT = np.cos(np.pi * (2 * _I[None, :] + 1) * _I[:, None] / 64).astype(np.float3
 def phash(y: np.ndarray) -> str:
     """64 bits in hex: the low 8 x 8 DCT coefficients of a 32 x 32 reduction against the middle of the 63 AC ones.
 
-    The middle is the mean of the 32nd and 33rd smallest; bit 0 is the DC term. A degenerate image gives zeros.
+    The middle is the mean of the 32nd and 33rd smallest; bit 0 is the DC term. An image without pixels gives zeros.
     """
     if not y.size:
         return "0" * 16
     block = (_DCT @ _box(y) @ _DCT.T)[:8, :8].ravel()
     ac = np.sort(block[1:])
-    if not np.isfinite(block).all() or np.abs(ac).max() < 0.5:
-        return "0" * 16
     bits = block > (ac[31] + ac[32]) / 2
     return f"{sum(1 << int(i) for i in np.flatnonzero(bits)):016x}"
 
@@ -157,26 +158,103 @@ def decoded_heads(cls: np.ndarray, obj: np.ndarray, box: np.ndarray, points: np.
     return np.column_stack((cx - w / 2, cy - h / 2, w, h, score[i], marks.reshape(-1, 10)))
 
 
-FEATURES = "path string, decode_ok boolean, width int, height int, global_variance double, tenengrad_raw double, noise_floor double, global_texture double, exposure_score double, blown_pct double, crushed_pct double, phash string"
+def focus_crop(orientation: int, x_pct: float | None, y_pct: float | None, width: int, height: int) -> tuple[tuple[slice, slice], bool]:
+    """Rows and columns of the square around the focus point, which is given as displayed, and whether there is one.
+
+    Without a point the square is in the middle. Pixels are as on the sensor, so a turned picture's point turns back.
+    """
+    short = min(width, height)
+    side = min(short, max(1, int(np.float32(FOCUS_SHARE) * np.float32(short))))
+    valid = x_pct is not None and y_pct is not None
+    if valid:
+        x, y = (min(1.0, max(0.0, v / 100)) for v in (x_pct, y_pct))
+        x, y = {3: (1 - x, 1 - y), 6: (y, 1 - x), 8: (1 - y, x)}.get(orientation, (x, y))
+    else:
+        x = y = 0.5
+    corner = lambda at, size: min(size - side, int(max(0.0, math.floor(at * size - side / 2 + 0.5))))
+    left, top = corner(x, width), corner(y, height)
+    return (slice(top, top + side), slice(left, left + side)), valid
+
+
+def eye_box(x: float, y: float, between: float, width: int, height: int) -> tuple[int, int, int, int] | None:
+    """x, y, w, h of an eye's crop, sized by the distance between the eyes and inside the image; None where it is too small."""
+    if not all(map(math.isfinite, (x, y, between))) or between <= 0:
+        return None
+    w = int(between * EYE_SHARE)
+    h = w * EYE_SIZE[1] // EYE_SIZE[0]
+    if w < EYE_LEAST or not h or w > width or h > height:
+        return None
+    return min(width - w, max(0, int(x) - w // 2)), min(height - h, max(0, int(y) - h // 2)), w, h
+
+
+def cropped(rgb: np.ndarray, box: tuple[int, int, int, int]) -> np.ndarray:
+    x, y, w, h = box
+    return rgb[y : y + h, x : x + w]
+
+
+def planes(rgb: np.ndarray) -> np.ndarray:
+    """3 x h x w in red, green, blue, from 0 to 1."""
+    return (rgb.astype(np.float32) / np.float32(255)).transpose(2, 0, 1)
+
+
+def padded_planes(rgb: np.ndarray, step: int = 32) -> np.ndarray:
+    """3 x h x w in blue, green, red, as they are, with zeros to the right and below up to multiples of ``step``."""
+    h, w = rgb.shape[:2]
+    out = np.zeros((3, -(-h // step) * step, -(-w // step) * step), dtype=np.float32)
+    out[:, :h, :w] = rgb[..., ::-1].transpose(2, 0, 1)
+    return out
+
+
+def normalised(value: float, noise: float) -> float:
+    return float(min(1.0, max(0.0, math.log1p(value / max(noise, 1e-3)) / 12.0)))
+
+
+def motion_blur(shutter_seconds: float | None, focal_mm: float | None, sharpness: float) -> float:
+    """How far the exposure is over what can be held by hand, less for a sharp frame."""
+    if not shutter_seconds or not focal_mm or shutter_seconds <= 0 or focal_mm <= 0:
+        return 0.0
+    return min(1.0, shutter_seconds * focal_mm) * (1 - min(1.0, max(0.0, sharpness)))
+
+
+FEATURES = (
+    "path string, decode_ok boolean, width int, height int, af double, af_valid boolean, af_texture double, global_sharpness double, global_texture double, noise_floor double, "
+    "tenengrad double, exposure_score double, motion_blur_likelihood double, blown_pct double, crushed_pct double, phash string"
+)
+#: What the scores take from the metadata, null where images do not have it.
+_OF_METADATA = {"orientation": "int", "af_x_pct": "double", "af_y_pct": "double", "shutter_seconds": "double", "focal_mm": "double"}
+
+
+def scores(rgb: np.ndarray, orientation: int | None, af_x_pct: float | None, af_y_pct: float | None, shutter_seconds: float | None, focal_mm: float | None) -> tuple:
+    """The values of FEATURES after height, of one image."""
+    y = luma(rgb)
+    noise = noise_floor(y)
+    where, valid = focus_crop(orientation or 1, af_x_pct, af_y_pct, y.shape[1], y.shape[0])
+    focus, (blown, crushed) = y[where], clipped(rgb)
+    sharp = normalised(laplacian_variance(y), noise)
+    return (
+        normalised(laplacian_variance(focus), noise), valid, texture_spread(focus), sharp, texture_spread(y), noise, normalised(tenengrad(focus), max(noise, 1.0)),
+        exposure_score(y), motion_blur(shutter_seconds, focal_mm, sharp), blown, crushed, phash(y),
+    )
 
 
 def features(images: DataFrame) -> DataFrame:
-    """FEATURES of each (path, width, height, rgb packed h x w x 3); pixels stay in the task that has them.
+    """FEATURES of each (path, width, height, rgb packed h x w x 3, and what _OF_METADATA names); pixels stay in the task that has them.
 
     A buffer of the wrong length or size has decode_ok false and nulls: a bad file is data, not an error.
     """
+    names = [c.split()[0] for c in FEATURES.split(", ")]
+    kinds = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "double": pa.float64()}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for path, w, h, raw in zip(batch["path"], batch["width"], batch["height"], batch["rgb"], strict=True):
-                if raw is None or pd.isna(w) or pd.isna(h) or w <= 0 or h <= 0 or len(raw) != w * h * 3:
-                    rows.append((path, False, *[None] * 10))
+            for path, w, h, raw, *known in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if raw is None or w is None or h is None or w <= 0 or h <= 0 or len(raw) != w * h * 3:
+                    rows.append((path, False, *[None] * (len(names) - 2)))
                     continue
-                rgb = np.frombuffer(raw, dtype=np.uint8).reshape(int(h), int(w), 3)
-                y = luma(rgb)
-                blown, crushed = clipped(rgb)
-                rows.append((path, True, w, h, laplacian_variance(y), tenengrad(y), noise_floor(y), texture_spread(y), exposure_score(y), blown, crushed, phash(y)))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in FEATURES.split(", ")], dtype=object)
+                rows.append((path, True, w, h, *scores(np.frombuffer(raw, dtype=np.uint8).reshape(h, w, 3), *known)))
+            columns = list(zip(*rows, strict=True)) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, kinds[f.split()[1]]) for c, f in zip(columns, FEATURES.split(", "), strict=True)], names)
 
-    return images.select("path", "width", "height", "rgb").mapInPandas(run, FEATURES)
+    more = [F.col(c).cast(t).alias(c) if c in images.columns else F.lit(None).cast(t).alias(c) for c, t in _OF_METADATA.items()]
+    return images.select("path", F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "rgb", *more).mapInArrow(run, FEATURES)

@@ -28,7 +28,7 @@ class Marks:
 _INT = r"^\s*([+-]?[0-9]{1,9})\s*$"
 #: The namespace of the pick flag, and what says that a sidecar has user content.
 _DM = "http://ns.adobe.com/xmp/1.0/DynamicMedia/"
-USER_MARKS = ("crs:", "lr:hierarchicalSubject", "dc:subject", "dc:title", "dc:description", "photoshop:", "Iptc4xmpCore:", "xmp:Label", "xmpMM:History")
+USER_MARKS = ("xmp:Label", "dc:", "lr:", "crs:", "photoshop:", "tiff:", "exif:", "aux:", "xmpMM:")
 
 
 def _integer(text: Column) -> Column:

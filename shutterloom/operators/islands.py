@@ -1,7 +1,8 @@
 """Runs of adjacent frames: bursts, similar sets and display segments.
 
-Frames have a total order (ord). A run may not bridge a frame of another folder or one without input, so two frames
-are adjacent only if their ord differs by one: windows can then go by folder, and rows without input be left out.
+Frames have a total order (ord, dense). A run may not bridge a frame of another folder or one without input, so it is
+an unbroken stretch of ord. Frames are cut in ranges of ord, whatever their folders, and each range takes over the last
+frame, and the beginning of the open run, of the ranges before it: no task holds a folder, however large.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.expr import dot, hamming
-from .ordering import numbered
+from .ordering import numbered, settled
 
-#: ord values in a bucket when runs are numbered.
-_SPAN = 1_000_000
+#: ord values in a range.
+SPAN = 50_000
 
 
 @dataclass(frozen=True)
@@ -58,45 +59,45 @@ def alike(p: Column, c: Column, rule: SimilarRule) -> Column:
     return F.coalesce(near & (same | close), F.lit(False))
 
 
-def runs(frames: DataFrame, linked, prefix: str, columns: tuple[str, ...], least: int = 2) -> DataFrame:
+def runs(frames: DataFrame, free: Column, linked, prefix: str, columns: tuple[str, ...], least: int = 2, span: int = SPAN) -> DataFrame:
     """frames with {prefix}_group (dense, from 0), _pos (from 1) and _len, null outside of runs of ``least`` or more.
 
-    ``linked`` takes the structs of the frame before and of the frame, over ``columns``.
+    ``linked`` takes the structs of the frame before and of the frame, over ``columns``; frames that are not ``free``
+    are walls. ``frames`` is read twice, so it should be a table; where the runs begin is written to one.
     """
-    order = Window.partitionBy("src_folder").orderBy("ord")
-    here = F.struct(*columns)
-    before, before_ord = F.lag(here).over(order), F.lag("ord").over(order)
-    marked = frames.withColumn("_here", here).withColumn("_before", before).withColumn("_gap", F.col("ord") - before_ord)
-    link = (F.col("_gap") == 1) & linked(F.col("_before"), F.col("_here"))
-    marked = marked.withColumn("_start", F.when(F.coalesce(link, F.lit(False)), 0).otherwise(1))
-    marked = marked.withColumn("_run", F.sum("_start").over(order)).drop("_here", "_before", "_gap", "_start")
-    whole = Window.partitionBy("src_folder", "_run")
-    marked = marked.withColumn("_len", F.count(F.lit(1)).over(whole)).withColumn("_pos", F.row_number().over(whole.orderBy("ord"))).withColumn("_first", F.min("ord").over(whole))
-    starts = marked.where((F.col("_pos") == 1) & (F.col("_len") >= least)).select(F.col("_first").alias("_f"))
-    starts = numbered(starts, F.floor(F.col("_f") / _SPAN), F.col("_f"), name="_g")
-    marked = marked.join(starts, F.col("_first") == F.col("_f"), "left")
-    own = lambda c: F.when(F.col("_g").isNotNull(), F.col(c)).cast("int")
-    return marked.withColumns({f"{prefix}_group": F.col("_g"), f"{prefix}_pos": own("_pos"), f"{prefix}_len": own("_len")}).drop("_run", "_len", "_pos", "_first", "_f", "_g")
-
-
-def bursts(frames: DataFrame, rule: BurstRule = BurstRule()) -> DataFrame:
+    frames = frames.withColumn("_range", F.floor(F.col("ord") / span))
+    here = F.struct("src_folder", F.coalesce(free, F.lit(False)).alias("_free"), *columns)
+    last = frames.where(F.col("ord") % span == span - 1).select((F.col("_range") + 1).alias("_next"), here.alias("_last"))
+    order = Window.partitionBy("_range").orderBy("ord")
+    marked = frames.withColumn("_here", here).withColumn("_before", F.lag("_here").over(order)).join(last, F.col("_range") == F.col("_next"), "left")
+    before, own = F.coalesce("_before", "_last"), F.col("_here")
+    link = before["_free"] & own["_free"] & (before["src_folder"] == own["src_folder"]) & linked(before, own)
+    marked = marked.withColumn("_start", F.when(~F.coalesce(link, F.lit(False)), F.col("ord")))
+    # the beginning of the run, null where it is in an earlier range
+    marked = marked.withColumn("_first", F.last("_start", ignorenulls=True).over(order)).drop("_here", "_before", "_next", "_last", "_start")
+    marked = settled(marked)
+    opened = marked.groupBy("_range").agg(F.max("_first").alias("_f"))
+    so_far = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)  # a row for each range
+    opened = opened.select((F.col("_range") + 1).alias("_next"), F.max("_f").over(so_far).alias("_open"))
+    marked = marked.join(opened, F.col("_range") == F.col("_next"), "left").withColumn("_first", F.coalesce("_first", "_open")).drop("_next", "_open", "_range")
+    found = marked.groupBy(F.col("_first").alias("_f")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    found = numbered(found, F.floor(F.col("_f") / span), F.col("_f"), name="_g")
+    marked = marked.join(found, F.col("_first") == F.col("_f"), "left")
+    pos = F.when(F.col("_g").isNotNull(), F.col("ord") - F.col("_first") + 1)
+    return marked.withColumns({f"{prefix}_group": F.col("_g"), f"{prefix}_pos": pos.cast("int"), f"{prefix}_len": F.col("_n").cast("int")}).drop("_first", "_f", "_n", "_g")
+
+
+def bursts(frames: DataFrame, rule: BurstRule = BurstRule(), span: int = SPAN) -> DataFrame:
     """frames with burst_group, burst_pos, burst_len. Frames without input (has_input false) are walls."""
     keys = ("drive_mode", "focal_mm", "captured_ms", "sub_sec_ms", "mtime_ms")
-    return _with_walls(frames, F.col("has_input"), lambda f: runs(f, lambda p, c: continues_burst(p, c, rule), "burst", keys), "burst")
+    return runs(frames, F.col("has_input"), lambda p, c: continues_burst(p, c, rule), "burst", keys, span=span)
 
 
-def similar_sets(frames: DataFrame, rule: SimilarRule = SimilarRule()) -> DataFrame:
+def similar_sets(frames: DataFrame, rule: SimilarRule = SimilarRule(), span: int = SPAN) -> DataFrame:
     """frames with sim_group, sim_pos, sim_len; members of bursts are walls too."""
     keys = ("captured_ms", "mtime_ms", "phash", "embedding")
     free = F.col("has_input") & F.col("burst_group").isNull()
-    return _with_walls(frames, free, lambda f: runs(f, lambda p, c: alike(p, c, rule), "sim", keys), "sim")
-
-
-def _with_walls(frames: DataFrame, free: Column, grouped, prefix: str) -> DataFrame:
-    """Rows that are not free stay, without a group; the gap that they leave in ord keeps runs apart."""
-    free = F.coalesce(free, F.lit(False))
-    none = {f"{prefix}_{c}": F.lit(None).cast("int") for c in ("group", "pos", "len")}
-    return grouped(frames.where(free)).unionByName(frames.where(~free).withColumns(none))
+    return runs(frames, free, lambda p, c: alike(p, c, rule), "sim", keys, span=span)
 
 
 def segments(visible: DataFrame, order: str = "ord", bucket: int = 100_000) -> DataFrame:
@@ -107,11 +108,11 @@ def segments(visible: DataFrame, order: str = "ord", bucket: int = 100_000) -> D
     """
     kind = F.when(F.col("burst_group").isNotNull(), "burst").when(F.col("sim_group").isNotNull(), "similar")
     rows = numbered(visible, F.floor(F.col(order) / bucket), F.col(order), name="_i").select("_i", kind.alias("kind"), F.coalesce("burst_group", "sim_group").alias("grp"), F.coalesce("burst_len", "sim_len").alias("len"))
-    rows = rows.where("kind is not null")
+    rows = settled(rows.where("kind is not null"))
     by_group = Window.partitionBy("kind", "grp").orderBy("_i")
     rows = rows.withColumn("_new", F.when(F.col("_i") - F.lag("_i").over(by_group) == 1, 0).otherwise(1)).withColumn("_nth", F.sum("_new").over(by_group))
     made = rows.groupBy("kind", "grp", "_nth").agg(F.min("_i").alias("seg_start"), F.max("_i").alias("_end"), F.count(F.lit(1)).alias("n"), F.max("len").alias("len"))
-    made = numbered(made, F.floor(F.col("seg_start") / bucket), F.col("seg_start"), name="seg_id")
+    made = settled(numbered(made, F.floor(F.col("seg_start") / bucket), F.col("seg_start"), name="seg_id"))
     touching = made.select((F.col("_end") + 1).alias("_next"))
     made = made.join(touching, F.col("seg_start") == F.col("_next"), "left")
     gap = F.when(F.col("_next").isNotNull(), 6).otherwise(10)

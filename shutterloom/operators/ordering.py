@@ -2,16 +2,35 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df as a table in the folder that spark.checkpoint.dir names: what is read several times is worked out once, and
+    a lost executor costs nothing. Only a local session, as in tests, may leave that setting out."""
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def numbered(df: DataFrame, bucket: Column, *order: Column, name: str = "ord") -> DataFrame:
     """df with a dense number from 0 in the order of (bucket, *order).
 
     Rows are numbered inside each bucket, after the counts of the buckets before it: only one row for each bucket
-    meets in one task. Choose buckets that grow with the data's span, such as days. A null bucket comes last.
+    meets in one task. Choose buckets that grow with the data's span, such as hours. A null bucket comes last. df is
+    read twice, the first time only for its bucket.
     """
     df = df.withColumn("_bucket", bucket)
     counts = df.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -19,10 +38,10 @@ def numbered(df: DataFrame, bucket: Column, *order: Column, name: str = "ord") -
     counts = counts.select(F.col("_bucket").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
     df = df.withColumn("_in", within).join(counts, F.col("_bucket").eqNullSafe(F.col("_of")))
-    return df.withColumn(name, (F.col("_before") + F.col("_in") - 1).cast("int")).drop("_bucket", "_of", "_before", "_in")
+    return df.withColumn(name, F.col("_before") + F.col("_in") - 1).drop("_bucket", "_of", "_before", "_in")
 
 
-def capture_order(df: DataFrame, mtime_ms: str = "mtime_ms", path: str = "path", bucket_ms: int = 86_400_000) -> DataFrame:
+def capture_order(df: DataFrame, mtime_ms: str = "mtime_ms", path: str = "path", bucket_ms: int = 3_600_000) -> DataFrame:
     """df with ord: by modification time, unknown ones last, then by path."""
     return numbered(df, F.floor(F.col(mtime_ms) / bucket_ms), F.col(mtime_ms).asc_nulls_last(), F.col(path))
 
@@ -32,5 +51,5 @@ def staged(images: DataFrame, found: DataFrame) -> DataFrame:
     fresh = found.select("path").distinct().join(images, "path", "left_anti")
     fresh = numbered(fresh, F.substring_index("path", "/", 3), F.col("path"), name="id")
     last = images.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("_last"))
-    fresh = fresh.join(F.broadcast(last)).select((F.col("id") + F.col("_last") + 1).cast("int").alias("id"), "path")
+    fresh = fresh.join(F.broadcast(last)).select((F.col("id") + F.col("_last") + 1).alias("id"), "path")
     return images.select("id", "path").unionByName(fresh)

@@ -9,8 +9,12 @@ from pyspark.sql.window import Window
 
 #: Fixed values.
 RATINGS = ("keep", "reject", "favorite")
-FILTERS = ("all", "unrated", "keeps", "rejects", "favorites", "suggested_keep", "suggested_reject", "suggested_favorite")
+FILTERS = ("all", "unrated", "keeps", "rejects", "favorites", "suggested", "suggested_keep", "suggested_reject", "suggested_favorite")
 UNDO_DEPTH = 100
+#: The filters behind each tab, the first its own; the width in pixels that takes up the middle size and that which lets it go.
+CYCLES = {"all": ("all",), "unrated": ("unrated",), "keeps": ("keeps", "favorites"), "suggested": ("suggested", "suggested_reject", "suggested_keep", "suggested_favorite")}
+ENGAGE, RELEASE = 1750, 1650
+ATTEMPTS = 4
 
 
 def current(events: DataFrame) -> DataFrame:
@@ -65,6 +69,13 @@ def _put(state: dict, img: int, rating: str | None) -> None:
         state[img] = rating
 
 
+def next_pair(frames: DataFrame, champion: int, challenger: int) -> DataFrame:
+    """One row, ord: the next challenger after that frame's place, from the front again where none follows: unrated and not the champion. Null if none is left."""
+    at = frames.where(F.col("id") == challenger).agg(F.max("ord").alias("_at"))
+    free = frames.where(F.col("rating").isNull() & ~F.col("id").isin(champion, challenger)).select("ord")
+    return free.join(F.broadcast(at)).agg(F.coalesce(F.min(F.when(F.col("ord") > F.col("_at"), F.col("ord"))), F.min("ord")).alias("ord"))
+
+
 def duel(verb: str, champion: Column, challenger: Column) -> Column:
     """array<struct<img_id, after>>: what a duel changes. The loser is rejected; keeping both keeps both."""
     change = lambda img, after: F.struct(img.alias("img_id"), F.lit(after).alias("after"))
@@ -79,11 +90,51 @@ def passes(mode: str, rating: Column, verdict: Column) -> Column:
     """Whether a frame is visible under a filter. Suggestions count only on unrated frames."""
     free = rating.isNull()
     kept = rating.isin("keep", "favorite")
+    if mode == "suggested":
+        return free & verdict.isNotNull()
     if mode.startswith("suggested_"):
         return F.coalesce(free & (verdict == mode.removeprefix("suggested_")), F.lit(False))
     return F.coalesce({"all": F.lit(True), "unrated": free, "keeps": kept, "rejects": rating == "reject", "favorites": rating == "favorite"}[mode], F.lit(False))
 
 
+def next_filter(current: Column, tab: str) -> Column:
+    """The filter after a press of a tab: its first one, or from one of its own the one after."""
+    cycle = CYCLES[tab]
+    after = F.lit(cycle[0])
+    for here, there in zip(cycle, (*cycle[1:], cycle[0]), strict=True):
+        after = F.when(current == here, F.lit(there)).otherwise(after)
+    return after
+
+
+def has_stars(stars: Column) -> Column:
+    """Whether a frame carries stars of another program."""
+    return F.coalesce(stars >= 1, F.lit(False))
+
+
+def empty_state(enabled: Column, on_open: Column, analysing: Column, scored: Column) -> Column:
+    """Why there are no suggestions to show."""
+    return F.when(~enabled, "disabled").when(analysing, "analyzing").when(scored > 0, "analyzedNoSuggestions").when(on_open, "notAnalyzedAutoStart").otherwise("notAnalyzedManual")
+
+
+def engaged(widths: DataFrame, key: str = "key", seq: str = "seq", width: str = "width") -> DataFrame:
+    """widths with engaged: taken up over ENGAGE, let go under RELEASE, held in between and where the width is unknown; at first not.
+
+    The last width that decides, of those up to a row, is looked up in a window over each key's rows.
+    """
+    decides = F.when(F.col(width) > ENGAGE, True).when(F.col(width) < RELEASE, False)
+    so_far = Window.partitionBy(key).orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+    return widths.withColumn("engaged", F.coalesce(F.last(decides, ignorenulls=True).over(so_far), F.lit(False)))
+
+
+def tier_errors(failures: DataFrame) -> DataFrame:
+    """path, attempts, last_error, next_retry_ms, terminal from failed reads (path, at_ms, error): a wait that doubles, and none after four."""
+    from ..functions.expr import backoff_ms
+
+    found = failures.groupBy("path").agg(F.count(F.lit(1)).alias("attempts"), F.max_by("error", F.struct("at_ms", "error")).alias("last_error"), F.max("at_ms").alias("_at"))
+    terminal = F.col("attempts") >= ATTEMPTS
+    return found.select("path", "attempts", "last_error", F.when(~terminal, F.col("_at") + backoff_ms(F.col("attempts"))).alias("next_retry_ms"), terminal.alias("terminal"))
+
+
 def unrated(images: DataFrame, ratings: DataFrame) -> DataFrame:
     return images.join(ratings, images["id"] == ratings["img_id"], "left_anti")
 

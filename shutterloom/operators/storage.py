@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,6 +64,64 @@ def transfer_plan(wanted: DataFrame, existing: DataFrame, target: str) -> DataFr
     return plan.select("source", "dest", action.alias("action"))
 
 
+def _sidecar(path: str) -> str:
+    folder, _, name = path.rpartition("/")
+    return (folder + "/" if folder else "") + name.rsplit(".", 1)[0] + ".xmp"
+
+
+def transferred(plan: DataFrame, move: bool) -> DataFrame:
+    """Carries a plan of transfer_plan() out: source, action, error. Sidecars follow their photographs, as far as they can.
+
+    Each photograph is one task's, in any store that Arrow opens. What exists is never overwritten, and a source that
+    has gone is skipped, so a task that runs again, or a plan carried out twice, does no harm. A failure is a row, and
+    the others go on; so is a sidecar that cannot follow no failure of its photograph.
+    """
+
+    def open_(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+        return pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path.removeprefix("file:"))
+
+    def there(path: str) -> bool:
+        system, inner = open_(path)
+        return system.get_file_info(inner).type == pyarrow.fs.FileType.File
+
+    def carry(source: str, dest: str) -> None:
+        (a, x), (b, y) = open_(source), open_(dest)
+        b.create_dir(y.rpartition("/")[0], recursive=True)
+        if move and a.equals(b):
+            a.move(x, y)
+            return
+        # under another name first, so that a half copy is never taken for a whole one
+        pyarrow.fs.copy_files(x, f"{y}.part", source_filesystem=a, destination_filesystem=b)
+        b.move(f"{y}.part", y)
+        if move:
+            a.delete_file(x)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            actions, errors = [], []
+            for source, dest, action in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                error = None
+                try:
+                    if action == "do" and there(dest):
+                        action = "skip_exists"
+                    elif action == "do" and not there(source):
+                        action = "skip_missing"
+                    elif action == "do":
+                        carry(source, dest)
+                        try:
+                            if there(_sidecar(source)) and not there(_sidecar(dest)):
+                                carry(_sidecar(source), _sidecar(dest))
+                        except (OSError, pa.ArrowException):
+                            pass
+                except (OSError, pa.ArrowException) as e:
+                    error = f"{source}: {e}"
+                actions.append(action)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(actions, pa.string()), pa.array(errors, pa.string())], ["source", "action", "error"])
+
+    return plan.select("source", "dest", "action").mapInArrow(run, "source string, action string, error string")
+
+
 def transfer_result(outcomes: DataFrame) -> DataFrame:
     """One row from (action, error): done, skipped, failed and the first errors by source."""
     shown = outcomes.where("error is not null").select("source", "error").orderBy("source").limit(ERRORS_SHOWN).agg(F.transform(F.array_sort(F.collect_list(F.struct("source", "error"))), lambda x: x["error"]).alias("errors"))

@@ -14,6 +14,7 @@ LEVELS = {"low": 0.5, "medium": 0.65, "high": 0.8}
 SOFT, TEXTURE, BLUR_GLOBAL, BLUR_TENENGRAD, BLUR_SCALE = 0.12, 0.12, 0.13, 0.2, 0.4
 OFF_POINT, DISAGREE, DISAGREE_FACTOR, INVALID_FACTOR = 0.5, 0.35, 0.6, 0.5
 BURST_SCALE, SIMILAR_FLOOR, SIMILAR_SCALE, EYES = 0.25, 0.05, 0.35, 0.2
+WEIGHTS = (1.0, 0.1, 0.05, 0.05)
 BLOWN, CRUSHED, CLIP_BONUS = 0.25, 0.35, 0.05
 KEEP_AF, KEEP_EXPOSURE = 0.55, 0.6
 FAVOURITE_AESTHETIC, FAVOURITE_SHARE, FAVOURITE_LEAST, FAVOURITE_MOST = 0.55, 0.05, 3, 15
@@ -24,6 +25,11 @@ def keep_eligible(level: float) -> Column:
     return F.col("decode_ok") & (af >= KEEP_AF) & (exposure >= KEEP_EXPOSURE) & (F.least(af, exposure) >= level)
 
 
+def _with(value: Column, use) -> Column:
+    """use(value), where value is worked out once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _rank(prefix: str) -> Column:
     return F.concat(F.col(f"{prefix}_pos").cast("string"), F.lit(" of "), F.col(f"{prefix}_len").cast("string"))
 
@@ -48,27 +54,27 @@ def with_verdict(frames: DataFrame, level: str | float = "medium") -> DataFrame:
             "blur_conf": F.when(blurred, clamp01((BLUR_SCALE - c("tenengrad")) / BLUR_SCALE)).otherwise(zero),
             "burst_conf": F.when(loser("burst"), clamp01(c("burst_margin") / BURST_SCALE)).otherwise(zero),
             "similar_conf": F.when(loser("sim") & (c("sim_margin") > SIMILAR_FLOOR), clamp01((c("sim_margin") - SIMILAR_FLOOR) / SIMILAR_SCALE)).otherwise(zero),
-            "eyes_conf": F.coalesce(F.when((eyes >= 0) & (eyes < EYES), (EYES - eyes) / EYES), zero),
+            "eyes_conf": _with(eyes, lambda x: F.coalesce(F.when(x >= 0, F.greatest(zero, (EYES - x) / EYES)), zero)),
         }
     )
     parts = F.sort_array(F.array(F.greatest(c("soft_conf"), c("blur_conf")), F.greatest("burst_conf", zero), F.greatest("similar_conf", zero), c("eyes_conf")), asc=False)
-    at = lambda i: F.get(parts, F.lit(i))
-    summed = at(0) + 0.1 * at(1) + 0.05 * at(2) + 0.05 * at(3)
+    # the strongest, and a little of each other one; named once, as the optimizer would write it out again at every use
+    summed = F.aggregate(F.zip_with(parts, F.array(*map(F.lit, WEIGHTS)), lambda x, w: x * w), zero, lambda a, x: a + x)
     blown, crushed = c("blown_pct") >= BLOWN, c("crushed_pct") >= CRUSHED
     frames = frames.withColumn("_sum", summed)
     bonus = F.when(blown, CLIP_BONUS).otherwise(0.0) + F.when(crushed, CLIP_BONUS).otherwise(0.0)
-    frames = frames.withColumn("_conf", F.when(c("_sum") > 0, clamp01(c("_sum") + bonus)).otherwise(zero))
+    frames = frames.withColumn("_conf", _with(c("_sum"), lambda x: F.when(x > 0, clamp01(x + bonus)).otherwise(zero)))
     why = F.array_compact(
         F.array(
             F.when(c("soft_conf") > 0, F.when(c("motion_blur_likelihood") > OFF_POINT, F.lit("motion blur")).otherwise(F.lit("soft focus"))),
             F.when(c("blur_conf") > 0, F.lit("heavy blur")),
             F.when(c("burst_conf") > 0, F.concat(F.lit("not best of burst ("), _rank("burst"), F.lit(")"))),
-            F.when(c("similar_conf") > 0, F.concat(F.lit("not best of similar ("), _rank("sim"), F.lit(")"))),
+            F.when(c("similar_conf") > 0, F.concat(F.lit("not best of similar set ("), _rank("sim"), F.lit(")"))),
             F.when(c("eyes_conf") > 0, F.lit("closed eyes")), F.when(blown, F.lit("blown highlights")), F.when(crushed, F.lit("crushed shadows")),
         )
     )
-    best = lambda p, word: F.when(c(f"{p}_group").isNotNull(), F.concat(F.lit(f"best of {word} ("), _rank(p), F.lit(")")))
-    praise = F.array_compact(F.array(best("sim", "similar"), best("burst", "burst"), F.lit("sharp, well exposed")))
+    best = lambda p, word: F.when(c(f"{p}_group").isNotNull(), F.lit(f"best of {word}"))
+    praise = F.array_compact(F.array(best("sim", "similar set"), best("burst", "burst"), F.lit("sharp, well exposed")))
     keep = keep_eligible(least) & ~loser("burst") & ~loser("sim")
     none = F.array().cast("array<string>")
     bad = c("decode_ok") & (c("_conf") > 0)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import expr, formats
-from ..operators import islands, ratings, storage, verdict, winner
+from ..operators import inputs, islands, ratings, storage, verdict, winner
 from ..operators.ordering import numbered
+from ..sources import settings
 from .frames import BURST, FRAMES_SQL, frames, grouped, judged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,26 +100,57 @@ def burst_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winner.winners(grouped(spark, sf_dir).withColumn("eligible", verdict.keep_eligible(0.5)), "burst_group")
 
 
-@_query()
-def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = judged(spark, sf_dir)
-    return rows.select("id", "verdict", F.round("confidence", 6).alias("confidence"), F.array_join("reasons", "; ").alias("reasons"), "burst_is_winner", F.round("burst_margin", 6).alias("burst_margin"))
-
-
-_VERDICT = """
-v1 AS (SELECT *, greatest(0.0, least(1.0, CASE WHEN af < 0.12 THEN (0.12 - af) / 0.12 * (CASE WHEN af_valid THEN 1.0 ELSE 0.5 END) * (CASE WHEN abs(tenengrad - af) > 0.35 THEN 0.6 ELSE 1.0 END) ELSE 0.0 END)) AS soft,
-  CASE WHEN eyes_open >= 0 AND eyes_open < 0.2 THEN (0.2 - eyes_open) / 0.2 ELSE 0.0 END AS eyes FROM f),
-v2 AS (SELECT *, greatest(soft, eyes) + 0.1 * least(soft, eyes) AS c0 FROM v1),
+def _verdict_sql(source: str, groups: bool) -> str:
+    """CTE v3: the cascade over ``source``, which has the groups' columns if there are any; its level is low."""
+    loser = lambda p, scale, floor: f"CASE WHEN {p}_group IS NOT NULL AND NOT {p}_is_winner AND {p}_margin > {floor} THEN least(1.0, greatest(0.0, ({p}_margin - {floor}) / {scale})) ELSE 0.0 END" if groups else "0.0"
+    lost = "(burst_group IS NOT NULL AND NOT burst_is_winner) OR (sim_group IS NOT NULL AND NOT sim_is_winner)" if groups else "false"
+    return f"""
+v1 AS (SELECT *, CASE WHEN af < 0.12 AND af_texture >= 0.12 THEN least(1.0, greatest(0.0, (0.12 - af) / 0.12 * (CASE WHEN af_valid THEN 1.0 ELSE 0.5 END) * (CASE WHEN abs(tenengrad - af) > 0.35 THEN 0.6 ELSE 1.0 END))) ELSE 0.0 END AS soft0,
+  {loser("burst", 0.25, 0.0)} AS burst_c, {loser("sim", 0.35, 0.05)} AS sim_c,
+  CASE WHEN eyes_open >= 0 AND eyes_open < 0.2 THEN least(1.0, (0.2 - eyes_open) / 0.2) ELSE 0.0 END AS eyes FROM {source}),
+v2 AS (SELECT *, CASE WHEN soft0 = 0 AND global_texture >= 0.12 AND global_sharpness < 0.13 AND tenengrad < 0.2 THEN least(1.0, greatest(0.0, (2 * 0.2 - tenengrad) / (2 * 0.2))) ELSE 0.0 END AS blur FROM v1),
+v2b AS (SELECT *, list_reverse_sort([greatest(soft0, blur), burst_c, eyes, sim_c]::DOUBLE[]) AS c FROM v2),
+v2c AS (SELECT *, c[1] + 0.1 * c[2] + 0.05 * c[3] + 0.05 * c[4] AS c0 FROM v2b),
 v3 AS (SELECT *, CASE WHEN c0 > 0 THEN least(1.0, c0 + CASE WHEN blown_pct >= 0.25 THEN 0.05 ELSE 0 END + CASE WHEN crushed_pct >= 0.35 THEN 0.05 ELSE 0 END) ELSE 0 END AS c1,
-  af >= 0.55 AND exposure_score >= 0.6 AND least(af, exposure_score) >= 0.5 AS keep FROM v2)
+  af >= 0.55 AND exposure_score >= 0.6 AND least(af, exposure_score) >= 0.5 AND NOT ({lost}) AS keep FROM v2c)
 """
 
 
-@_query(f"""WITH {FRAMES_SQL}, {_VERDICT}
-SELECT id, CASE WHEN c1 > 0 THEN CASE WHEN c1 >= 0.5 THEN 'reject' END WHEN keep THEN 'keep' END AS verdict,
+_VERDICT = _verdict_sql("f", False)
+_GROUP_REASONS = "CASE WHEN burst_c > 0 THEN 'not best of burst (' || burst_pos || ' of ' || burst_len || ')' END, CASE WHEN sim_c > 0 THEN 'not best of similar set (' || sim_pos || ' of ' || sim_len || ')' END, "
+
+
+def _emitted(groups: bool) -> str:
+    best = "CASE WHEN sim_is_winner THEN 'best of similar set' END, CASE WHEN burst_is_winner THEN 'best of burst' END, " if groups else ""
+    return f"""id, CASE WHEN c1 > 0 THEN CASE WHEN c1 >= 0.5 THEN 'reject' END WHEN keep THEN 'keep' END AS verdict,
   round(CASE WHEN c1 > 0 THEN c1 WHEN keep THEN least(af, exposure_score) ELSE 0.0 END, 6) AS confidence,
-  CASE WHEN c1 > 0 THEN concat_ws('; ', CASE WHEN soft > 0 THEN CASE WHEN motion_blur_likelihood > 0.5 THEN 'motion blur' ELSE 'soft focus' END END, CASE WHEN eyes > 0 THEN 'closed eyes' END,
-    CASE WHEN blown_pct >= 0.25 THEN 'blown highlights' END, CASE WHEN crushed_pct >= 0.35 THEN 'crushed shadows' END) WHEN keep THEN 'sharp, well exposed' ELSE '' END AS reasons FROM v3""")
+  CASE WHEN c1 > 0 THEN concat_ws('; ', CASE WHEN soft0 > 0 THEN CASE WHEN motion_blur_likelihood > 0.5 THEN 'motion blur' ELSE 'soft focus' END END, CASE WHEN blur > 0 THEN 'heavy blur' END, {_GROUP_REASONS if groups else ""}
+    CASE WHEN eyes > 0 THEN 'closed eyes' END, CASE WHEN blown_pct >= 0.25 THEN 'blown highlights' END, CASE WHEN crushed_pct >= 0.35 THEN 'crushed shadows' END)
+    WHEN keep THEN concat_ws('; ', {best}'sharp, well exposed') ELSE '' END AS reasons"""
+
+
+def _fold_sql(source: str, prefix: str) -> str:
+    """CTE {prefix}_j: ``source`` with is_winner and margin of its groups, by a fold in order."""
+    return f"""
+{prefix}_k1 AS (SELECT *, af >= 0.55 AND exposure_score >= 0.6 AND least(af, exposure_score) >= 0.5 AS eligible FROM {source}),
+{prefix}_k2 AS (SELECT {prefix}_group AS kg, bool_and(scored) AS every, list({{'id': id, 'eyes': eyes_open, 'face': face_sharpness, 'af': af, 'gs': global_sharpness, 'clip': clip_sum}} ORDER BY ord) FILTER (WHERE eligible) AS m
+  FROM {prefix}_k1 WHERE {prefix}_group IS NOT NULL GROUP BY 1),
+{prefix}_k3 AS (SELECT kg, CASE WHEN every AND len(m) > 0 THEN list_reduce(m, lambda w, x:
+  CASE WHEN CASE
+    WHEN w.eyes IS NOT NULL AND x.eyes IS NOT NULL AND (x.eyes >= 0.5) <> (w.eyes >= 0.5) THEN x.eyes >= 0.5
+    WHEN w.face IS NOT NULL AND x.face IS NOT NULL AND x.face <> w.face THEN x.face > w.face
+    WHEN x.af <> w.af THEN x.af > w.af WHEN x.gs <> w.gs THEN x.gs > w.gs ELSE x.clip < w.clip END THEN x ELSE w END) END AS best FROM {prefix}_k2),
+{prefix}_j AS (SELECT t.*, coalesce(best.id = t.id, false) AS {prefix}_is_winner, CASE WHEN coalesce(best.id = t.id, false) THEN 0.0 ELSE coalesce(best.af - t.af, 0.0) END AS {prefix}_margin
+  FROM {source} t LEFT JOIN {prefix}_k3 ON {prefix}_group = kg)"""
+
+
+@_query(f"WITH {FRAMES_SQL}, {_fold_sql('s', 'burst')}, {_fold_sql('burst_j', 'sim')}, {_verdict_sql('sim_j', True)} SELECT {_emitted(True)}, burst_is_winner, round(burst_margin, 6) AS burst_margin FROM v3")
+def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = judged(spark, sf_dir)
+    return rows.select("id", "verdict", F.round("confidence", 6).alias("confidence"), F.array_join("reasons", "; ").alias("reasons"), "burst_is_winner", F.round("burst_margin", 6).alias("burst_margin"))
+
+
+@_query(f"WITH {FRAMES_SQL}, {_VERDICT} SELECT {_emitted(False)} FROM v3")
 def verdicts_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cascade for frames outside of any group."""
     none = {f"{p}_{c}": F.lit(v).cast(t) for p in ("burst", "sim") for c, v, t in (("group", None, "int"), ("pos", None, "int"), ("len", None, "int"), ("is_winner", False, "boolean"), ("margin", 0.0, "double"))}
@@ -139,7 +171,7 @@ def favourites(spark: SparkSession, sf_dir: str) -> DataFrame:
 k AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY kind, grp ORDER BY i) = 1 THEN 0 ELSE 1 END AS st FROM v WHERE kind IS NOT NULL),
 n AS (SELECT *, sum(st) OVER (PARTITION BY kind, grp ORDER BY i) AS nth FROM k),
 g AS (SELECT kind, grp, nth, min(i) AS seg_start, max(i) AS e, count(*) AS n, max(len) AS len FROM n GROUP BY ALL)
-SELECT CAST(row_number() OVER (ORDER BY seg_start) - 1 AS INTEGER) AS seg_id, kind, grp, CAST(seg_start AS INTEGER) AS seg_start, n, nth = 1 AS labelled, len,
+SELECT row_number() OVER (ORDER BY seg_start) - 1 AS seg_id, kind, grp, seg_start, n, nth = 1 AS labelled, len,
   CASE WHEN lag(e) OVER (ORDER BY seg_start) + 1 = seg_start THEN 6 ELSE 10 END AS gap_before FROM g""")
 def display_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return islands.segments(grouped(spark, sf_dir).where("rating is null"))
@@ -193,7 +225,7 @@ def undo_redo(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
     kind = F.when(e % 5 == 3, "undo").when(e % 7 == 4, "redo").otherwise("rate")
     rating = F.when(e % 4 == 0, "keep").when(e % 4 == 1, "reject").when(e % 4 == 2, "favorite")
-    log = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("session"), e.alias("seq"), kind.alias("kind"), (e % 40).alias("img_id"), rating.alias("rating"))
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), e.alias("seq"), kind.alias("kind"), (e % 40).alias("img_id"), rating.alias("rating"))
     return ratings.replay(log)
 
 
@@ -251,20 +283,151 @@ def move_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.transfer_plan(docs.select(inner), there, "out")
 
 
-@_query("""SELECT p_partkey, CASE WHEN s > 0 THEN CASE WHEN s >= 1 THEN printf('%.1fs', s) ELSE '1/' || CAST(floor(1 / s + 0.5) AS BIGINT) || 's' END END AS shutter, printf('f/%.1f', p_size / 4.0 + 0.26) AS aperture,
-  printf('%.1f MB', p_partkey * 4099 / 1048576.0) AS size, p_size || ' × ' || (p_size * 3) AS dims FROM (SELECT *, p_size / 37.0::DOUBLE AS s FROM part)""")
+@_query("""SELECT p_partkey, CASE WHEN s > 0 THEN CASE WHEN s >= 1 THEN printf('%.1fs', s) ELSE '1/' || CAST(floor(1 / s + 0.5) AS BIGINT) || 's' END END AS shutter,
+  'ƒ/' || regexp_replace(CAST(f AS VARCHAR), '[.]0$', '') AS aperture, CAST(p_size * 100 AS VARCHAR) AS iso, CAST(floor(f * 10 + 0.5) AS BIGINT) || ' mm' AS focal,
+  CASE p_size % 3 WHEN 0 THEN 'AWB' WHEN 1 THEN 'WB manual' END AS wb, CASE WHEN abs(ev) < 0.05 THEN '±0 EV' ELSE printf('%+.1f EV', ev) END AS bias, CASE WHEN abs(ev) < 0.05 THEN '±0' ELSE printf('%+.1f', ev) END AS bias_short,
+  CASE WHEN p_partkey > 0 THEN printf('%.1f MB', p_partkey * 4099 / 1048576.0) END AS size, p_size || ' × ' || (p_size * 3) AS dims,
+  concat_ws(', ', p_size || ' × ' || (p_size * 3), CASE WHEN p_partkey > 0 THEN printf('%.1f MB', p_partkey * 4099 / 1048576.0) END) AS image_size
+FROM (SELECT *, p_size / 37.0::DOUBLE AS s, p_size / 4.0::DOUBLE AS f, (p_size - 25) / 7.0::DOUBLE AS ev FROM part)""")
 def formatted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size = F.col("p_size")
+    size, mb = F.col("p_size"), F.col("p_partkey") * 4099
+    f, ev = size / 4.0, (size - 25) / 7.0
     return table(spark, sf_dir, "part").select(
-        "p_partkey", formats.shutter(size / 37.0).alias("shutter"), formats.aperture(size / 4.0 + 0.26).alias("aperture"), formats.file_size(F.col("p_partkey") * 4099).alias("size"), formats.dimensions(size, size * 3).alias("dims")
+        "p_partkey", formats.shutter(size / 37.0).alias("shutter"), formats.aperture(f).alias("aperture"), formats.iso(size * 100).alias("iso"), formats.focal(f * 10).alias("focal"),
+        formats.white_balance(size % 3).alias("wb"), formats.exposure_bias(ev).alias("bias"), formats.exposure_bias_short(ev).alias("bias_short"),
+        formats.file_size(mb).alias("size"), formats.dimensions(size, size * 3).alias("dims"), formats.image_size(size, size * 3, mb).alias("image_size"),
+    )
+
+
+@_query("""WITH t AS (SELECT event_id, epoch_us(ts) // 1000 AS then_ms, floor((1722470400000 - epoch_us(ts) // 1000) / 1000 + 0.5) AS s FROM events),
+u AS (SELECT *, CAST(floor(s / 60) AS BIGINT) AS m, CAST(floor(s / 3600) AS BIGINT) AS h, CAST(floor(s / 86400) AS BIGINT) AS d, CAST(floor(s / 604800) AS BIGINT) AS w FROM t)
+SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN m < 60 THEN CASE m WHEN 1 THEN '1 minute ago' ELSE m || ' minutes ago' END WHEN h < 24 THEN CASE h WHEN 1 THEN '1 hour ago' ELSE h || ' hours ago' END
+  WHEN d < 2 THEN 'yesterday' WHEN d < 7 THEN d || ' days ago' WHEN w = 1 THEN 'last week' WHEN w < 5 THEN w || ' weeks ago' ELSE strftime(make_timestamp(then_ms * 1000), '%b %-d, %Y') END AS ago,
+  strftime(make_timestamp(then_ms * 1000), '%H:%M:%S') AS at_time FROM u""")
+def relative_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Against a fixed now."""
+    ts = F.col("ts")
+    return table(spark, sf_dir, "events").select("event_id", formats.relative_time(expr.epoch_ms(ts), F.lit(1_722_470_400_000)).alias("ago"), formats.time_of_day(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")).alias("at_time"))
+
+
+@_query("""SELECT page_id, coalesce(nullif(regexp_extract(url, '([^/]*)$', 1), ''), url) AS base, regexp_replace(regexp_replace(left(regexp_replace(url, '[<>:"/\\|?*]', '', 'g'), 32), '^ +', ''), '[. ]+$', '') AS folder,
+  CASE WHEN length(url) <= 20 THEN url ELSE left(url, 10) || '…' || right(url, 9) END AS short, regexp_replace(url, '[.][^.]+$', '') AS stem,
+  CASE WHEN length(url) <= 20 THEN url ELSE '…' || CASE WHEN regexp_matches(right(url, 19), '/.') THEN regexp_extract(right(url, 19), '/.+$') ELSE right(url, 19) END END AS tail FROM pages""")
+def path_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    return table(spark, sf_dir, "pages").select(
+        "page_id", formats.basename(url).alias("base"), formats.sanitised_folder(url).alias("folder"), formats.middle_truncated(url, 20).alias("short"), formats.strip_ext(url).alias("stem"), formats.tail_path(url, 20).alias("tail")
     )
 
 
-@_query("""SELECT page_id, regexp_extract(url, '([^/]*)/*$', 1) AS base, regexp_replace(left(regexp_replace(url, '[<>:"/\\\\|?*]', '', 'g'), 32), '[.\\s]+$', '') AS folder,
-  CASE WHEN length(url) <= 20 THEN url ELSE left(url, 10) || '…' || right(url, 9) END AS short FROM pages""")
-def path_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    url = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", formats.basename(url).alias("base"), formats.sanitised_folder(url).alias("folder"), formats.middle_truncated(url, 20).alias("short"))
+@_query("""WITH n AS (SELECT o_custkey AS k, list('f' || o_orderkey ORDER BY o_orderkey) AS v FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1),
+p AS (SELECT k, v, i, array_to_string(v[1:i], ' + ') AS acc, len(v) - i AS rest FROM (SELECT k, v, unnest(range(1, len(v) + 1)) AS i FROM n)),
+q AS (SELECT *, i = 1 OR length(acc) + CASE WHEN rest > 0 THEN length(' +' || rest || ' more') ELSE 0 END <= 24 AS fits FROM p),
+z AS (SELECT k, i, acc, rest FROM q WHERE i < coalesce((SELECT min(x.i) FROM q x WHERE x.k = q.k AND NOT x.fits), 1000000))
+SELECT k AS custkey, arg_max(acc || CASE WHEN rest > 0 THEN ' +' || rest || ' more' ELSE '' END, i) AS folders FROM z GROUP BY 1""")
+def folder_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").groupBy(F.col("o_custkey").alias("custkey")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("v"))
+    return rows.select("custkey", formats.folder_set(F.transform("v", lambda x: F.concat(F.lit("in/f"), x.cast("string"))), 24).alias("folders"))
+
+
+_INPUTS = """
+i AS (SELECT event_id AS id, 'p' || event_id AS path, event_type AS src_folder FROM events),
+sc AS (SELECT event_id AS id, event_id % 5 <> 0 AS decode_ok, least(value / 100, 1.0) AS af, CAST(event_id % 4 AS INTEGER) AS drive_mode, epoch_us(ts) // 1000 AS captured_ms, epoch_us(ts) // 1000 + 5 AS mtime_ms,
+  event_id % 7 / 10.0::DOUBLE - 0.1 AS eyes FROM events WHERE event_id % 3 <> 0),
+me AS (SELECT 'p' || event_id AS path, CAST(event_id % 3 AS INTEGER) AS drive_mode, (epoch_us(ts) // 1000000) * 1000 + event_id % 1000 AS captured_ms, 'h' || (event_id % 50) AS phash FROM events WHERE event_id % 2 = 0)
+"""
+
+
+def _scored_and_described(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Images, their scores where there are some, and their metadata where there is some."""
+    e, events = F.col("event_id"), table(spark, sf_dir, "events")
+    path, ms = F.concat(F.lit("p"), e.cast("string")).alias("path"), expr.epoch_ms(F.col("ts"))
+    none = F.lit(None).cast("double")
+    eyes = F.struct(F.array(*[F.lit(0.1)] * 4).alias("bbox"), (e % 7 / 10.0 - 0.1).alias("eyes_open"), F.lit(0.5).alias("face_sharpness"))
+    scores = events.where(e % 3 != 0).select(
+        e.alias("id"), (e % 5 != 0).alias("decode_ok"), F.least(F.col("value") / 100, F.lit(1.0)).alias("af"), F.lit(0.5).alias("global_sharpness"), F.lit(0.1).alias("blown_pct"), F.lit(0.1).alias("crushed_pct"), F.array(eyes).alias("faces"),
+        (e % 4).cast("int").alias("drive_mode"), F.lit(85.0).alias("focal_mm"), ms.alias("captured_ms"), F.lit(0).alias("sub_sec_ms"), (ms + 5).alias("mtime_ms"), F.lit(None).cast("array<double>").alias("embedding"),
+    )
+    known = events.where(e % 2 == 0).select(
+        path, (e % 3).cast("int").alias("drive_mode"), none.alias("focal_mm"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("captured_at"), (e % 1000).cast("int").alias("sub_sec_ms"), F.concat(F.lit("h"), (e % 50).cast("string")).alias("phash")
+    )
+    return events.select(e.alias("id"), path, F.col("event_type").alias("src_folder")), scores, known
+
+
+@_query(f"""WITH {_INPUTS}
+SELECT i.id, src_folder, coalesce(decode_ok, false) OR me.path IS NOT NULL AS has_input, coalesce(decode_ok, false) AS scored, CASE WHEN decode_ok THEN sc.drive_mode ELSE me.drive_mode END AS drive_mode,
+  CASE WHEN decode_ok THEN sc.captured_ms ELSE me.captured_ms END AS captured_ms, CASE WHEN decode_ok THEN mtime_ms END AS mtime_ms, CASE WHEN decode_ok THEN af END AS af, CASE WHEN decode_ok AND eyes >= 0 THEN round(eyes, 6) END AS eyes_open
+FROM i LEFT JOIN sc ON i.id = sc.id LEFT JOIN me ON i.path = me.path""")
+def burst_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inputs.burst_inputs(*_scored_and_described(spark, sf_dir))
+    return rows.select("id", "src_folder", "has_input", "scored", "drive_mode", "captured_ms", "mtime_ms", "af", F.round("eyes_open", 6).alias("eyes_open"))
+
+
+@_query(f"""WITH {_INPUTS}
+SELECT i.id, coalesce(decode_ok, false) OR me.path IS NOT NULL AS has_input, CASE WHEN decode_ok THEN sc.captured_ms ELSE me.captured_ms END AS captured_ms, CASE WHEN decode_ok THEN mtime_ms END AS mtime_ms, phash
+FROM i LEFT JOIN sc ON i.id = sc.id LEFT JOIN me ON i.path = me.path""")
+def similar_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.similar_inputs(*_scored_and_described(spark, sf_dir)).drop("embedding")
+
+
+@_query(f"WITH {FRAMES_SQL} SELECT id FROM f WHERE rating IS NULL AND id % 3 = 0")
+def selected_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frames(spark, sf_dir)
+    return inputs.selected(rows.where("rating is null"), rows.where("id % 3 = 0")).select("id")
+
+
+@_query(f"WITH {FRAMES_SQL} SELECT id, id <> 60 AS candidate FROM f WHERE id = 60 OR rating IS NULL")
+def compare_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.compare_candidates(frames(spark, sf_dir).select("id", "rating"), 60).select("id", "candidate")
+
+
+@_query(f"WITH {FRAMES_SQL}, c AS (SELECT ord AS a FROM f WHERE id = 61) SELECT coalesce(min(ord) FILTER (WHERE ord > a), min(ord)) AS ord FROM f, c WHERE rating IS NULL AND id NOT IN (60, 61)")
+def next_challenger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ratings.next_pair(frames(spark, sf_dir).select("id", "ord", "rating"), 60, 61)
+
+
+@_query("""WITH w AS (SELECT user_id AS key, event_id AS seq, CASE WHEN event_id % 6 <> 0 THEN value * 40 END AS width FROM events),
+d AS (SELECT *, CASE WHEN width > 1750 THEN true WHEN width < 1650 THEN false END AS x FROM w)
+SELECT key, seq, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS engaged FROM d""")
+def middle_size_engaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("event_id")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), e.alias("seq"), F.when(e % 6 != 0, F.col("value") * 40).alias("width"))
+    return ratings.engaged(rows).select("key", "seq", "engaged")
+
+
+@_query("""WITH x AS (SELECT 'p' || (user_id % 700) || '/' || (event_id % 50) AS path, epoch_us(ts) // 1000 AS at_ms, 'e' || event_id AS error FROM events WHERE event_type = (SELECT min(event_type) FROM events)),
+g AS (SELECT path, count(*) AS attempts, arg_max(error, (at_ms, error)) AS last_error, max(at_ms) AS last_at FROM x GROUP BY 1)
+SELECT path, attempts, last_error, CASE WHEN attempts < 4 THEN last_at + least(30000, CAST(1000 * pow(2, attempts - 1) AS BIGINT)) END AS next_retry_ms, attempts >= 4 AS terminal FROM g""")
+def failed_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    first = events.agg(F.min("event_type").alias("t"))
+    path = F.concat(F.lit("p"), (F.col("user_id") % 700).cast("string"), F.lit("/"), (F.col("event_id") % 50).cast("string"))
+    rows = events.join(F.broadcast(first), F.col("event_type") == F.col("t")).select(path.alias("path"), expr.epoch_ms(F.col("ts")).alias("at_ms"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("error"))
+    return ratings.tier_errors(rows)
+
+
+@_query("""SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN 'disabled' WHEN p_partkey % 3 = 0 THEN 'analyzing' WHEN p_size > 25 THEN 'analyzedNoSuggestions' WHEN p_partkey % 2 = 0 THEN 'notAnalyzedAutoStart' ELSE 'notAnalyzedManual' END AS state,
+  p_size % 7 >= 1 AS stars, CASE p_size % 3 WHEN 0 THEN 'favorites' WHEN 1 THEN 'keeps' ELSE 'keeps' END AS next_keeps FROM part""")
+def small_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size")
+    current = F.when(size % 3 == 0, "keeps").when(size % 3 == 1, "favorites").otherwise("suggested")
+    state = ratings.empty_state(k % 5 != 0, k % 2 == 0, k % 3 == 0, F.greatest(size - 25, F.lit(0)))
+    return table(spark, sf_dir, "part").select("p_partkey", state.alias("state"), ratings.has_stars(size % 7).alias("stars"), ratings.next_filter(current, "keeps").alias("next_keeps"))
+
+
+@_query("""SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'network' ELSE 'local' END AS storage, CASE p_size % 4 WHEN 0 THEN 'keepsFavs' WHEN 1 THEN 'unrated' ELSE 'all' END AS filter, p_size % 2 = 0 AS smart, p_size % 5 = 0 AS exif,
+  CASE WHEN p_size % 6 = 0 THEN 'in/' || p_partkey END AS pinned, CASE WHEN p_size % 3 = 0 THEN 'x' ELSE '_rejected' END AS rejected FROM part""")
+def stored_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of every shape: right values, wrong kinds, older names and broken JSON."""
+    size, key = F.col("p_size"), F.col("p_partkey").cast("string")
+    part = lambda test, yes, no: F.when(test, F.lit(yes)).otherwise(F.lit(no))
+    json = F.concat(
+        F.lit('{"storageMode": '), part(size % 3 == 0, '"network"', "7"), F.lit(', "defaultFilter": '), F.when(size % 4 == 0, F.lit('"favorites"')).when(size % 4 == 1, F.lit('"unrated"')).otherwise(F.lit('"older"')),
+        F.lit(', "smartCulling": '), part(size % 2 == 0, '"yes"', "false"), F.lit(', "defaultExifVisible": '), part(size % 5 == 0, "true", "null"),
+        F.lit(', "exportFolder": {"mode": "pinned", "path": '), F.when(size % 6 == 0, F.concat(F.lit('"in/'), key, F.lit('"'))).otherwise(F.lit("3")), F.lit('}, "rejectedSubfolder": '), part(size % 3 == 0, '" x. "', '"CON"'), F.lit("}"),
+    )
+    rows = table(spark, sf_dir, "part").select("p_partkey", settings.settings(json).alias("s"))
+    return rows.select("p_partkey", F.col("s.storageMode").alias("storage"), F.col("s.defaultFilter").alias("filter"), F.col("s.smartCulling").alias("smart"), F.col("s.defaultExifVisible").alias("exif"), F.col("s.exportFolderPinned").alias("pinned"), F.col("s.rejectedSubfolder").alias("rejected"))
 
 
 @_query("SELECT o_orderkey, bit_count(xor(o_orderkey * 2654435761, o_custkey * 40503 * 65537)) AS d FROM orders")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expr import epoch_ms
 from ..operators import islands, verdict, winner
-from ..operators.ordering import capture_order
+from ..operators.ordering import capture_order, settled
 
 #: An hour between frames of a run: the events are that sparse.
 BURST = islands.BurstRule(gap_ms=3_600_000, coarse_ms=7_200_000)
@@ -27,8 +27,8 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         ms.alias("captured_ms"), F.when(e % 13 != 0, (e % 1000).cast("int")).alias("sub_sec_ms"), (ms + e % 7).alias("mtime_ms"),
         (e % 5).cast("int").alias("drive_mode"), (F.floor(e / 4) % 2 * 25 + 25).cast("double").alias("focal_mm"), (e % 11 != 0).alias("has_input"),
         F.lpad(F.hex(F.floor(e / 3) * _K), 16, "0").alias("phash"), F.lit(None).cast("array<double>").alias("embedding"),
-        F.least(v / 100, F.lit(1.0)).alias("af"), (e % 4 != 0).alias("af_valid"), F.lit(0.6).alias("af_texture"),
-        F.least(v / 150, F.lit(1.0)).alias("global_sharpness"), F.lit(0.05).alias("global_texture"), F.least(v / 90, F.lit(1.0)).alias("tenengrad"),
+        F.least(v / 100, F.lit(1.0)).alias("af"), (e % 4 != 0).alias("af_valid"), (e % 9 / 15.0).alias("af_texture"),
+        F.least(v / 150, F.lit(1.0)).alias("global_sharpness"), (e % 8 / 40.0).alias("global_texture"), F.least(v / 90, F.lit(1.0)).alias("tenengrad"),
         (e % 100 / 150.0).alias("blown_pct"), (e % 37 / 74.0).alias("crushed_pct"), (1 - e % 50 / 100.0).alias("exposure_score"),
         (e % 10 / 10.0).alias("motion_blur_likelihood"), F.lit(True).alias("decode_ok"), (e % 97 / 97.0).alias("aesthetic"),
         F.when(e % 3 == 0, e % 20 / 20.0).alias("eyes_open"), F.when(e % 3 == 0, e % 30 / 30.0).alias("face_sharpness"),
@@ -40,13 +40,11 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # each step below numbers rows, which looks at them twice
-    rows = frames(spark, sf_dir).persist()
-    return islands.similar_sets(islands.bursts(rows, BURST).persist(), SIMILAR)
+    return islands.similar_sets(islands.bursts(settled(frames(spark, sf_dir)), BURST), SIMILAR)
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = grouped(spark, sf_dir).withColumn("eligible", verdict.keep_eligible(0.5))
+    rows = settled(grouped(spark, sf_dir).withColumn("eligible", verdict.keep_eligible(0.5)))
     return verdict.with_verdict(winner.with_winner(winner.with_winner(rows, "burst"), "sim"), "low")
 
 
@@ -56,14 +54,14 @@ f0 AS (
   SELECT event_id AS id, event_type AS src_folder, event_type || '/img' || event_id || '.CR3' AS path, epoch_us(ts) // 1000 AS captured_ms,
     CASE WHEN event_id % 13 <> 0 THEN event_id % 1000 END AS sub_sec_ms, epoch_us(ts) // 1000 + event_id % 7 AS mtime_ms, event_id % 5 AS drive_mode,
     CAST((event_id // 4 % 2) * 25 + 25 AS DOUBLE) AS focal_mm, event_id % 11 <> 0 AS has_input, (event_id // 3) * {_K} AS h,
-    least(value / 100, 1.0) AS af, event_id % 4 <> 0 AS af_valid, least(value / 150, 1.0) AS global_sharpness, least(value / 90, 1.0) AS tenengrad,
+    least(value / 100, 1.0) AS af, event_id % 4 <> 0 AS af_valid, least(value / 150, 1.0) AS global_sharpness, least(value / 90, 1.0) AS tenengrad, event_id % 9 / 15.0::DOUBLE AS af_texture, event_id % 8 / 40.0::DOUBLE AS global_texture,
     event_id % 100 / 150.0::DOUBLE AS blown_pct, event_id % 37 / 74.0::DOUBLE AS crushed_pct, 1 - event_id % 50 / 100.0::DOUBLE AS exposure_score,
     event_id % 10 / 10.0::DOUBLE AS motion_blur_likelihood, event_id % 97 / 97.0::DOUBLE AS aesthetic,
     CASE WHEN event_id % 3 = 0 THEN event_id % 20 / 20.0::DOUBLE END AS eyes_open, CASE WHEN event_id % 3 = 0 THEN event_id % 30 / 30.0::DOUBLE END AS face_sharpness,
     event_id % 17 <> 0 AS scored,
     CASE WHEN event_id % 6 = 0 THEN CASE WHEN event_id % 4 = 0 THEN 'keep' WHEN event_id % 10 = 0 THEN 'favorite' ELSE 'reject' END END AS rating
   FROM events),
-f AS (SELECT *, blown_pct + crushed_pct AS clip_sum, CAST(row_number() OVER (ORDER BY mtime_ms NULLS LAST, path) - 1 AS INTEGER) AS ord FROM f0),
+f AS (SELECT *, blown_pct + crushed_pct AS clip_sum, row_number() OVER (ORDER BY mtime_ms NULLS LAST, path) - 1 AS ord FROM f0),
 b1 AS (SELECT *, lag(f) OVER (ORDER BY ord) AS p FROM f),
 b2 AS (SELECT * EXCLUDE (p), CASE WHEN has_input AND p.has_input AND src_folder = p.src_folder AND drive_mode > 0 AND p.drive_mode > 0 AND abs(focal_mm - p.focal_mm) <= 0.01
     AND CASE WHEN sub_sec_ms IS NOT NULL AND p.sub_sec_ms IS NOT NULL THEN abs(captured_ms - p.captured_ms) < {BURST.gap_ms}
@@ -71,7 +69,7 @@ b2 AS (SELECT * EXCLUDE (p), CASE WHEN has_input AND p.has_input AND src_folder
 b3 AS (SELECT *, sum(st) OVER (ORDER BY ord) AS run FROM b2),
 b4 AS (SELECT *, count(*) OVER (PARTITION BY run) AS n, row_number() OVER (PARTITION BY run ORDER BY ord) AS k FROM b3),
 b5 AS (SELECT run AS r2, row_number() OVER (ORDER BY run) - 1 AS g FROM (SELECT DISTINCT run FROM b4 WHERE n >= 2)),
-b AS (SELECT b4.* EXCLUDE (st, run, n, k), CAST(g AS INTEGER) AS burst_group, CAST(CASE WHEN g IS NOT NULL THEN k END AS INTEGER) AS burst_pos, CAST(CASE WHEN g IS NOT NULL THEN n END AS INTEGER) AS burst_len
+b AS (SELECT b4.* EXCLUDE (st, run, n, k), g AS burst_group, CAST(CASE WHEN g IS NOT NULL THEN k END AS INTEGER) AS burst_pos, CAST(CASE WHEN g IS NOT NULL THEN n END AS INTEGER) AS burst_len
       FROM b4 LEFT JOIN b5 ON run = r2),
 s1 AS (SELECT *, lag(b) OVER (ORDER BY ord) AS p FROM b),
 s2 AS (SELECT * EXCLUDE (p), CASE WHEN has_input AND p.has_input AND burst_group IS NULL AND p.burst_group IS NULL AND src_folder = p.src_folder
@@ -79,6 +77,6 @@ s2 AS (SELECT * EXCLUDE (p), CASE WHEN has_input AND p.has_input AND burst_group
 s3 AS (SELECT *, sum(st) OVER (ORDER BY ord) AS run FROM s2),
 s4 AS (SELECT *, count(*) OVER (PARTITION BY run) AS n, row_number() OVER (PARTITION BY run ORDER BY ord) AS k FROM s3),
 s5 AS (SELECT run AS r2, row_number() OVER (ORDER BY run) - 1 AS g FROM (SELECT DISTINCT run FROM s4 WHERE n >= 2)),
-s AS (SELECT s4.* EXCLUDE (st, run, n, k), CAST(g AS INTEGER) AS sim_group, CAST(CASE WHEN g IS NOT NULL THEN k END AS INTEGER) AS sim_pos, CAST(CASE WHEN g IS NOT NULL THEN n END AS INTEGER) AS sim_len
+s AS (SELECT s4.* EXCLUDE (st, run, n, k), g AS sim_group, CAST(CASE WHEN g IS NOT NULL THEN k END AS INTEGER) AS sim_pos, CAST(CASE WHEN g IS NOT NULL THEN n END AS INTEGER) AS sim_len
       FROM s4 LEFT JOIN s5 ON run = r2)
 """

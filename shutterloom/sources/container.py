@@ -1,12 +1,17 @@
-"""Raw-photo containers: ISO boxes, TIFF directories, embedded JPEGs. Small byte helpers under one Arrow function."""
+"""Raw-photo containers: ISO boxes, TIFF directories, embedded JPEGs. Small byte helpers under Arrow functions.
+
+Photographs are tens of megabytes, of which metadata, thumbnail and preview take the first few: previews() and
+thumbnails() read a bounded head, full_images() the one range that the head names.
+"""
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame
 
 #: The bytes of each TIFF type, the user type of the preview's box.
@@ -30,6 +35,25 @@ def boxes(data: bytes, start: int = 0, end: int | None = None) -> Iterator[tuple
         start = stop
 
 
+def payload_start(data: bytes, kind: bytes) -> int | None:
+    """Where the content of a top-level box begins, also of one that runs beyond the data."""
+    at = 0
+    while at + 8 <= len(data):
+        size, head = int.from_bytes(data[at : at + 4], "big"), 8
+        if size == 1:
+            if at + 16 > len(data):
+                return None
+            size, head = int.from_bytes(data[at + 8 : at + 16], "big"), 16
+        elif size == 0:
+            size = len(data) - at
+        if data[at + 4 : at + 8] == kind:
+            return at + head
+        if size < head:
+            return None
+        at += size
+    return None
+
+
 def child(data: bytes, start: int, end: int, kind: bytes) -> tuple[int, int] | None:
     return next(((a, b) for k, a, b in boxes(data, start, end) if k == kind), None)
 
@@ -51,6 +75,38 @@ def preview(data: bytes) -> bytes | None:
     return None
 
 
+def thumbnail(data: bytes) -> bytes | None:
+    moov = child(data, 0, len(data), b"moov")
+    return jpeg_in(data, *moov, b"THMB") if moov else None
+
+
+def _without_exif(jpeg: bytes) -> bytes:
+    """Without the Exif segments of its head."""
+    i, kept = 2, [jpeg[:2]]
+    while i + 4 <= len(jpeg) and jpeg[i] == 0xFF and jpeg[i + 1] not in (0xDA, 0xD9):
+        if jpeg[i + 1] == 1 or 0xD0 <= jpeg[i + 1] <= 0xD7:
+            size = 2
+        else:
+            size = 2 + int.from_bytes(jpeg[i + 2 : i + 4], "big")
+            if size < 4 or i + size > len(jpeg):
+                break
+        if not (jpeg[i + 1] == 0xE1 and jpeg[i + 4 : i + 10] == b"Exif\0\0"):
+            kept.append(jpeg[i : i + size])
+        i += size
+    return b"".join(kept) + jpeg[i:]
+
+
+def oriented(jpeg: bytes, orientation: int) -> bytes:
+    """The JPEG with that orientation (3, 6 or 8; others change nothing) as its only Exif tag, pixels as they are."""
+    if orientation not in (3, 6, 8) or jpeg[:2] != b"\xff\xd8":
+        return jpeg
+    directory = struct.pack("<HHHIHHI", 1, 0x0112, 3, 1, orientation, 0, 0)
+    body = b"Exif\0\0" + struct.pack("<2sHI", b"II", 42, 8) + directory
+    segment = b"\xff\xe1" + struct.pack(">H", len(body) + 2) + body
+    rest = _without_exif(jpeg)
+    return rest[:2] + segment + rest[2:]
+
+
 def jpeg_end(data: bytes, start: int) -> int | None:
     """Where a JPEG really ends: segments are skipped by length, entropy-coded data by stuffing and restart markers."""
     i = start + 2
@@ -132,13 +188,45 @@ class Tiff:
         pairs = [(self._int(form, at + 8 * i), self._int(form, at + 8 * i + 4)) for i in range(min(n, 64))] if form else []
         return [a / b if b else 0.0 for a, b in pairs if a is not None and b is not None]
 
+    def shorts(self, tag: int) -> list[int]:
+        """All values of a SHORT tag, as far as the block has them; none for another type."""
+        kind, n, at = self.entries.get(tag, (0, 0, 0))
+        n = min(n, max(0, len(self.data) - at) // 2) if kind == 3 else 0
+        return list(struct.unpack_from(f"{self.order}{n}H", self.data, at)) if n else []
+
     def ratio(self, tag: int) -> float | None:
         return next(iter(self.ratios(tag)), None)
 
 
+def drive_mode(maker: Tiff) -> int | None:
+    """The sixth of the camera settings: 0 is single, others are continuous."""
+    settings = maker.shorts(0x0001)
+    return settings[5] if len(settings) > 5 else None
+
+
+def focus_point(maker: Tiff, orientation: int) -> tuple[float, float] | None:
+    """The middle of the active focus areas as displayed, in percent from the top left.
+
+    The record has the number of areas (2), the image's size (6, 7), then four lists of that many: widths, heights,
+    and signed places from the image's middle, upwards positive. (0, 0) is an unused area.
+    """
+    record = maker.shorts(0x0026)
+    n = record[2] if len(record) >= 8 else 0
+    if not n or not record[6] or not record[7] or len(record) < 8 + 4 * n:
+        return None
+    signed = [v - 65536 if v >= 32768 else v for v in record]
+    used = [(x, y) for x, y in zip(signed[8 + 2 * n : 8 + 3 * n], signed[8 + 3 * n : 8 + 4 * n], strict=True) if x or y]
+    if not used:
+        return None
+    x = (record[6] / 2 + sum(p[0] for p in used) / len(used)) / record[6] * 100
+    y = (record[7] / 2 - sum(p[1] for p in used) / len(used)) / record[7] * 100
+    turned = {3: (100 - x, 100 - y), 6: (100 - y, x), 8: (y, 100 - x)}.get(orientation, (x, y))
+    return tuple(min(100.0, max(0.0, v)) for v in turned)
+
+
 METADATA = (
     "path string, decode_ok boolean, orientation int, camera string, captured_at string, sub_sec string, lens string, focal_mm double, aperture double, shutter_seconds double, "
-    "iso int, exposure_bias double, white_balance int, pixel_width int, pixel_height int, gps_lat double, gps_lon double, preview_bytes int, full_offset bigint, full_bytes bigint"
+    "iso int, exposure_bias double, white_balance int, pixel_width int, pixel_height int, gps_lat double, gps_lon double, drive_mode int, af_x_pct double, af_y_pct double, preview_bytes int, full_offset bigint, full_bytes bigint"
 )
 
 
@@ -149,12 +237,16 @@ def metadata(data: bytes) -> dict:
     blocks: dict[bytes, Tiff] = {}
     for kind, a, b in boxes(data, *moov) if moov else ():
         if kind == b"uuid":
-            blocks |= {k: Tiff(data[x:y]) for k, x, y in boxes(data, a + 16, b) if k in (b"CMT1", b"CMT2", b"CMT4")}
+            blocks |= {k: Tiff(data[x:y]) for k, x, y in boxes(data, a + 16, b) if k in (b"CMT1", b"CMT2", b"CMT3", b"CMT4")}
     if one := blocks.get(b"CMT1"):
         found |= {"orientation": one.number(0x0112) or 1, "camera": one.text(0x0110)}
     if two := blocks.get(b"CMT2"):
         found |= {"captured_at": two.text(0x9003), "sub_sec": two.text(0x9291), "lens": two.text(0xA434), "focal_mm": two.ratio(0x920A), "aperture": two.ratio(0x829D), "shutter_seconds": two.ratio(0x829A)}
         found |= {"iso": two.number(0x8827), "exposure_bias": two.ratio(0x9204), "white_balance": two.number(0xA403), "pixel_width": two.number(0xA002), "pixel_height": two.number(0xA003)}
+    if maker := blocks.get(b"CMT3"):
+        found["drive_mode"] = drive_mode(maker)
+        if point := focus_point(maker, found["orientation"]):
+            found["af_x_pct"], found["af_y_pct"] = point
     if gps := blocks.get(b"CMT4"):
         for name, ref, tag in (("gps_lat", 1, 2), ("gps_lon", 3, 4)):
             if len(parts := gps.ratios(tag)) >= 3:
@@ -167,13 +259,126 @@ def metadata(data: bytes) -> dict:
     return found | {"decode_ok": bool(moov)}
 
 
+_KINDS = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+
+
+def _batch(rows: list[dict], schema: str) -> pa.RecordBatch:
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], _KINDS[k]) for n, k in fields], [n for n, _ in fields])
+
+
 def parsed(files: DataFrame) -> DataFrame:
     """METADATA of each file (path, content); what cannot be parsed has decode_ok false."""
-    names = [c.split()[0] for c in METADATA.split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{"path": p} | metadata(bytes(c) if c is not None else b"") for p, c in zip(batch["path"], batch["content"], strict=True)]
-            yield pd.DataFrame(rows, columns=names, dtype=object)
+            yield _batch([{"path": p} | metadata(c or b"") for p, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)], METADATA)
+
+    return files.select("path", "content").mapInArrow(run, METADATA)
+
+
+#: Bytes of a head and of each further read, for previews and for thumbnails, and the most of either.
+HEAD, THUMBNAIL_HEAD, GROW, MOST = 2 << 20, 1 << 20, 2 << 20, 64 << 20
+
+
+class Head:
+    """The first bytes of a file in any store that Arrow opens, read as far as they are asked for."""
+
+    def __init__(self, path: str, first: int):
+        system, inner = pyarrow.fs.FileSystem.from_uri(path) if "://" in path else (pyarrow.fs.LocalFileSystem(), path.removeprefix("file:"))
+        self.file = system.open_input_file(inner)
+        self.size = self.file.size()
+        self.data = self.file.read_at(min(first, self.size), 0)
+
+    def grow(self) -> bool:
+        more = self.file.read_at(min(GROW, self.size - len(self.data)), len(self.data)) if len(self.data) < min(self.size, MOST) else b""
+        self.data += more
+        return bool(more)
+
+    def until(self, enough: Callable[[bytes], bool]) -> bytes:
+        while not enough(self.data) and self.grow():
+            pass
+        return self.data
+
+
+def _has_preview(data: bytes) -> bool:
+    found = {(kind, data[a : a + 16] == PREVIEW_UUID) for kind, a, _ in boxes(data)}
+    return {(b"uuid", True), (b"moov", False)} <= found or payload_start(data, b"mdat") is not None
+
+
+def _has_movie(data: bytes) -> bool:
+    return child(data, 0, len(data), b"moov") is not None
+
+
+def read_full(head: Head) -> bytes | None:
+    """The full image by the range that the head names, if a JPEG begins there and ends inside; else the first one of the payload."""
+    place = full_jpeg(head.data)
+    if place and 0 < place[1] <= MOST and place[0] + place[1] <= head.size:
+        found = head.file.read_at(place[1], place[0])
+        if found[:2] == b"\xff\xd8" and (end := jpeg_end(found, 0)):
+            return found[:end]
+    start = payload_start(head.data, b"mdat")
+    if start is None:
+        return preview(head.data)
+    found = head.file.read_at(min(MOST, head.size - start), start)
+    end = jpeg_end(found, 0) if found[:2] == b"\xff\xd8" else None
+    return found[:end] if end else preview(head.data)
+
+
+def _read(files: DataFrame, first: int, enough: Callable[[bytes], bool], schema: str, made: Callable[[Head, dict], dict]) -> DataFrame:
+    """One row for each path: metadata of a bounded head and what ``made`` adds; error where something is missing."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                try:
+                    head = Head(path, first)
+                    found = metadata(head.until(enough))
+                    row = found | {"file_size": head.size} | made(head, found)
+                except (OSError, ValueError, pa.ArrowException) as e:
+                    row = {"orientation": 1, "decode_ok": False, "error": f"{type(e).__name__}: {e}"}
+                yield _batch([{"path": path} | row], schema)
+
+    return files.select("path").mapInArrow(run, schema)
+
+
+PREVIEWS = f"{METADATA}, file_size bigint, jpeg binary, error string"
+THUMBNAILS = f"{METADATA}, file_size bigint, display_width int, display_height int, jpeg binary, error string"
+FULL = "path string, decode_ok boolean, orientation int, file_size bigint, jpeg binary, error string"
+
+
+def previews(files: DataFrame) -> DataFrame:
+    """PREVIEWS of each path: metadata, the preview with its orientation, from a head of 2 MiB or as much as it takes, 64 MiB at most.
+
+    A file that cannot be read, or has no preview, has decode_ok false and an error.
+    """
+
+    def made(head: Head, found: dict) -> dict:
+        jpeg = preview(head.data)
+        return {"jpeg": oriented(jpeg, found["orientation"])} if jpeg else {"decode_ok": False, "error": "no preview"}
+
+    return _read(files, HEAD, _has_preview, PREVIEWS, made)
+
+
+def thumbnails(files: DataFrame) -> DataFrame:
+    """THUMBNAILS of each path: the same with the thumbnail and the size at which it is shown, from a head of 1 MiB or as much as it takes."""
+
+    def made(head: Head, found: dict) -> dict:
+        jpeg = thumbnail(head.data)
+        if not jpeg:
+            return {"decode_ok": False, "error": "no thumbnail"}
+        size = found.get("pixel_width"), found.get("pixel_height")
+        width, height = size[::-1] if found["orientation"] in (6, 8) else size
+        return {"jpeg": oriented(jpeg, found["orientation"]), "display_width": width, "display_height": height}
+
+    return _read(files, THUMBNAIL_HEAD, _has_movie, THUMBNAILS, made)
+
+
+def full_images(files: DataFrame) -> DataFrame:
+    """FULL of each path: the full image with its orientation, by one read of the range that the head names."""
+
+    def made(head: Head, found: dict) -> dict:
+        jpeg = read_full(head)
+        return {"decode_ok": True, "jpeg": oriented(jpeg, found["orientation"])} if jpeg else {"decode_ok": False, "error": "no full image"}
 
-    return files.select("path", "content").mapInPandas(run, METADATA)
+    return _read(files, HEAD, _has_movie, FULL, made)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 from collections.abc import Callable
 
 import pandas as pd
@@ -15,8 +16,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions import sidecar
 from ..operators.ratings import UNDO_DEPTH, latest
 
-#: Files in a trigger from a network share and from a local disk.
+#: Files in a trigger from a network share and from a local disk; seconds to wait before each further try of a write.
 CHUNK = {"network": 6, "local": 16}
+RETRIES = (0.4, 1.5, 4.0)
 
 
 def arriving(spark: SparkSession, root: str, schema: str, profile: str = "local") -> DataFrame:
@@ -42,6 +44,30 @@ def standing(spark: SparkSession, store: str) -> DataFrame:
     return latest(spark.read.parquet(store), "path", "seq")
 
 
+def rederived(stream: DataFrame, store: str, derive: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> DataStreamWriter:
+    """After each micro-batch of scores (path, src_folder ...), the suggestions of the folders that it touched, anew.
+
+    Runs and winners depend on all frames of a folder, so a folder is derived whole, from the standing scores. The
+    folders of a batch are written together, as one more generation of the target, by its number: a batch that runs
+    again writes the same folder of files again. Read the target with suggestions_now().
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        touched = batch.select("src_folder").distinct()
+        batch.withColumn("seq", F.lit(number)).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        scores = standing(batch.sparkSession, store).join(touched, "src_folder", "left_semi")
+        derive(scores).withColumn("derived", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+def suggestions_now(spark: SparkSession, target: str) -> DataFrame:
+    """The suggestions of each folder's last derivation; what it no longer suggests is gone."""
+    rows = spark.read.parquet(target)
+    newest = rows.groupBy("src_folder").agg(F.max("derived").alias("derived"))
+    return rows.join(newest, ["src_folder", "derived"], "left_semi")
+
+
 _STATE = "undo array<struct<img:bigint,before:string,after:string>>, redo array<struct<img:bigint,before:string,after:string>>, ratings map<bigint,string>"
 
 
@@ -77,22 +103,28 @@ def rating_stream(actions: DataFrame) -> DataFrame:
     return actions.groupBy("session").applyInPandasWithState(step, "session bigint, seq bigint, img_id bigint, rating string", _STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def write_sidecars(changes: DataFrame, marks: sidecar.Marks = sidecar.Marks()) -> DataFrame:
+def write_sidecars(changes: DataFrame, marks: sidecar.Marks = sidecar.Marks(), retries: tuple[float, ...] = RETRIES) -> DataFrame:
     """path, error for each change (path of the sidecar, seq, rating; null clears): the last one of each path is written.
 
     Paths are those of a file system that all executors mount. Each path is one task's, a write replaces the file in
-    one step, unchanged bytes are not written, and doing it again changes nothing.
+    one step, unchanged bytes are not written, and doing it again changes nothing. A write that fails is tried again
+    after each of ``retries``, in seconds; an error is that of the last try.
     """
 
+    def tried(path: str, value: str | None) -> str | None:
+        for wait in (*retries, None):
+            try:
+                _write(path, value, marks)
+                return None
+            except (OSError, KeyError) as e:
+                if wait is None:
+                    return f"{type(e).__name__}: {e}"
+                time.sleep(wait)
+        return None
+
     def run(batches):
         for batch in batches:
-            errors = []
-            for path, value in zip(batch["path"], batch["rating"], strict=True):
-                try:
-                    _write(path, None if pd.isna(value) else value, marks)
-                    errors.append(None)
-                except (OSError, KeyError) as e:
-                    errors.append(f"{type(e).__name__}: {e}")
+            errors = [tried(path, None if pd.isna(value) else value) for path, value in zip(batch["path"], batch["rating"], strict=True)]
             yield pd.DataFrame({"path": batch["path"], "error": errors})
 
     return latest(changes, "path", "seq").select("path", "rating").mapInPandas(run, "path string, error string")
