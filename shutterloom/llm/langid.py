@@ -95,14 +95,20 @@ class Model:
 def fit(labelled: DataFrame, per_language: int = 1500) -> Model:
     """A model from (doc_id, text, lang) rows.
 
-    At most ``per_language`` documents train each language, those with the smallest hashes of doc_id. Rows with a
-    null in doc_id, text or lang train nothing; no rows give a model that answers und.
+    At most ``per_language`` documents train each language, those with the smallest hashes of doc_id (of ties, the
+    smallest ids); rows of one doc_id and language all count. Rows with a null in doc_id, text or lang train nothing;
+    no rows give a model that answers und. Other columns are not read.
     """
-    labelled = labelled.where("doc_id is not null and text is not null and lang is not null")
-    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    # at most per_language rows for each language
-    chosen = labelled.select("doc_id", "lang").withColumn("_n", first).where(F.col("_n") <= per_language).select("doc_id")
-    sample = labelled.join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text").repartition(8)
+    labelled = labelled.where("doc_id is not null and text is not null and lang is not null").select("doc_id", "lang", "text")
+    sizes = F.broadcast(labelled.groupBy(F.col("lang").alias("_lang")).agg(F.count(F.lit(1)).alias("_rows")))  # a row for each language
+    # hashes are even, so the smallest are below a cut that leaves some more than are wanted: only those meet in a task
+    hash_ = F.xxhash64("doc_id")
+    share = F.shiftrightunsigned(hash_, 11) / float(1 << 53)
+    order = F.when(hash_ < 0, share - 0.5).otherwise(share + 0.5)  # the place of a signed hash, from 0 to 1
+    near = labelled.select("doc_id", "lang").join(sizes, F.col("lang") == F.col("_lang")).where(order <= (1.2 * per_language + 200) / F.col("_rows"))
+    first = F.dense_rank().over(Window.partitionBy("lang").orderBy(hash_, "doc_id"))
+    chosen = near.withColumn("_n", first).where(F.col("_n") <= per_language).select("doc_id", "lang").distinct()
+    sample = labelled.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text").repartition(8)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}

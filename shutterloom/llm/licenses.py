@@ -2,7 +2,7 @@
 
 A text is brought to its lower-cased words with single spaces. Rules are ordered by priority; each has a keyword,
 and its pattern is tried only on texts that have that keyword, of which one cheap test for any keyword comes first.
-A detection inside another one of the same or better priority is dropped, and of equal ones the better rule stays.
+A detection inside another one of a better priority is dropped, also where both take the same words.
 """
 
 from __future__ import annotations
@@ -13,103 +13,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import NOT_WORD, ascii_lower
+from .license_rules import RULES
 
 #: The base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 
-#: Label, the license's names in normalised words, versions.
-FAMILIES = (
-    ("apache", ("apache", "apache software"), ("1 0", "1 1", "2 0")),
-    ("mit", ("mit", "expat", "x11"), ()),
-    ("bsd", ("bsd", "berkeley software distribution", "2 clause bsd", "3 clause bsd", "new bsd", "simplified bsd"), ()),
-    ("gpl", ("gpl", "gnu gpl", "gnu general public"), ("1", "2", "3")),
-    ("lgpl", ("lgpl", "gnu lgpl", "gnu lesser general public", "lesser general public"), ("2 1", "2", "3")),
-    ("agpl", ("agpl", "gnu agpl", "gnu affero general public", "affero general public"), ("1", "3")),
-    ("mpl", ("mpl", "mozilla public"), ("1 0", "1 1", "2 0")),
-    ("epl", ("epl", "eclipse public"), ("1 0", "2 0")),
-    ("cddl", ("cddl", "common development and distribution"), ("1 0", "1 1")),
-    ("artistic", ("artistic",), ("1 0", "2 0")),
-    ("isc", ("isc",), ()),
-    ("zlib", ("zlib", "zlib libpng"), ()),
-    ("unlicense", ("unlicense",), ()),
-    ("boost", ("boost software", "bsl"), ("1 0",)),
-    ("python", ("python software foundation", "psf", "python"), ("2", "3")),
-    ("wtfpl", ("wtfpl", "do what the fuck you want to public"), ("2",)),
-    ("eupl", ("eupl", "european union public"), ("1 1", "1 2")),
-    ("ofl", ("ofl", "sil open font", "open font"), ("1 0", "1 1")),
-    ("openssl", ("openssl",), ()),
-    ("postgresql", ("postgresql",), ()),
-    ("cc0", ("cc0", "creative commons zero"), ("1 0",)),
-    ("cc-by", ("cc by", "creative commons attribution"), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-sa", ("cc by sa", "creative commons attribution share alike", "creative commons attribution sharealike"), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc", ("cc by nc", "creative commons attribution noncommercial", "creative commons attribution non commercial"), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nd", ("cc by nd", "creative commons attribution noderivatives", "creative commons attribution no derivatives"), ("1 0", "2 0", "2 5", "3 0", "4 0")),
-    ("cc-by-nc-sa", ("cc by nc sa",), ("2 0", "3 0", "4 0")),
-    ("cc-by-nc-nd", ("cc by nc nd",), ("2 0", "3 0", "4 0")),
-    ("odbl", ("odbl", "open database"), ("1 0",)),
-    ("gfdl", ("gfdl", "gnu free documentation", "gnu fdl"), ("1 1", "1 2", "1 3")),
-)
-
-#: Statements that name no license by a version: label, keyword, pattern over normalised words.
-STATEMENTS = (
-    ("mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("mit", "substantial portions", "shall be included in all copies or substantial portions of the software"),
-    ("bsd", "redistribution", "redistributions? (?:and use )?in source and binary forms"),
-    ("bsd", "endorse or promote", "used to endorse or promote products"),
-    ("isc", "permission to use", "permission to use copy modify and(?: or)? distribute this software for any purpose"),
-    ("zlib", "as is without any express", "provided as is without any express or implied warranty"),
-    ("unlicense", "unencumbered", "free and unencumbered software released into the public domain"),
-    ("public-domain", "public domain", "(?:released|placed|dedicated|is) (?:in|into|to) the public domain"),
-    ("cc0", "cc0", "cc0 (?:1 0 )?(?:universal|public domain dedication)"),
-    ("gpl", "redistribute it and or modify", "redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "redistribute it and or modify", "redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license"),
-    ("agpl", "affero", "under the terms of the gnu affero general public license"),
-    ("apache", "apache org licenses", "apache org licenses(?: license 2 0)?"),
-    ("gpl", "gnu org", "gnu org licenses(?: old licenses)? gpl"),
-    ("lgpl", "gnu org", "gnu org licenses(?: old licenses)? lgpl"),
-    ("mpl", "mozilla org", "mozilla org mpl"),
-    ("cc", "creativecommons org", "creativecommons org (?:licenses|publicdomain)(?: [a-z]+)*"),
-    ("reserved", "all rights reserved", "all rights reserved"),
-    ("copyright", "copyright", "copyright (?:c )?(?:19|20)[0-9]{2}"),
-    ("proprietary", "proprietary", "proprietary and confidential"),
-    ("proprietary", "may not be", "may not be (?:copied|reproduced|distributed|used) without (?:prior |written |express )*permission"),
-    ("no-warranty", "without warranty", "(?:provided|distributed) (?:as is )?without warranty"),
-)
-
-#: Templates of named licenses, best first: priority, confidence, keyword form, pattern form. {n}: name, {v}: version.
-_VERSIONED = (
-    (0, 0.99, "spdx license identifier", "spdx license identifier {n} (?:v )?{v}(?! [0-9])"),
-    (1, 0.95, "under", "(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?{n}(?: licen[cs]e)?(?: version| v)? v?{v}(?! [0-9])"),
-    (2, 0.85, "{n}", "{n}(?: licen[cs]e)?(?: version| v)? v?{v}(?! [0-9])"),
-)
-_PLAIN = (
-    (3, 0.95, "spdx license identifier", "spdx license identifier {n}"),
-    (4, 0.9, "under", "(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of )?(?:the )?{n}(?: licen[cs]e)?"),
-    (6, 0.7, "{n} licen", "{n} licen[cs]e"),
-)
 
 
 def rules() -> list[tuple[int, str, float, str, str]]:
-    """(priority, label, confidence, keyword, pattern), best first: templates over families, then statements, each rule a whole-word pattern."""
+    """(priority, label, confidence, keyword, pattern), best first; keyword and pattern begin and end at words."""
     made = []
-    for label, names, versions in FAMILIES:
-        for n in names:
-            for priority, conf, keyword, pattern in _VERSIONED:
-                made += [(priority, label, conf, keyword.format(n=n), pattern.format(n=n, v=v)) for v in versions]
-            made += [(priority, label, conf, keyword.format(n=n), pattern.format(n=n)) for priority, conf, keyword, pattern in _PLAIN]
-    made += [(5, label, 0.8, keyword, pattern) for label, keyword, pattern in STATEMENTS]
-    # keywords and patterns begin at a word; versions end at one
-    return [(i, label, conf, f" {keyword}", f"(?<= ){pattern}(?= )" if priority else f"(?<= ){pattern}") for i, (priority, label, conf, keyword, pattern) in enumerate(sorted(made))]
+    for line in RULES.strip().splitlines():
+        confidence, label, keyword, pattern = (x.strip() for x in line.split(" | "))
+        made.append((len(made), label, float(confidence), f" {keyword}", f"(?<= )(?:{pattern})(?= )"))
+    return made
 
 
 _SEP = f"{NOT_WORD}+"
 #: How the first words of all rules and base phrases go; a text without any has no detection.
 _FIRST = (
-    "licen[cs]", "spdx", "cc by", "cc0", "creative commons", "creativecommons", "rights reserved", "copyright", "public domain", "permission (?:is hereby|to use)",
-    "redistribut(?:ion|e it)", "(?:licensed|released|distributed|available|published) under", "apache", "mozilla", "gnu", "[la]?gpl", "mpl", "epl", "cddl", "wtfpl",
-    "eupl", "ofl", "odbl", "gfdl", "bsl", "psf", "unencumbered", "proprietary", "without (?:permission|prior|written|express|warranty)", "substantial portions",
-    "endorse or", "as is without", "artistic", "eclipse public", "boost software", "python", "sil open", "open (?:font|database)", "european union public", "affero",
-    "do what the", "common development", "general public",
+    "licen[cs]", "unlicense", "spdx", "cc by", "cc0", "creative commons", "creativecommons", "rights reserved", "copyright", "public domain", "permission (?:is hereby|to use)",
+    "redistribut(?:ion|e)", "(?:released|distributed|available|published) under", "apache", "mozilla org", "gnu", "[la]?gpl", "mpl", "epl", "cddl", "wtfpl", "eupl", "ofl", "odbl",
+    "gfdl", "openrail", "unencumbered", "proprietary", "without (?:permission|prior|written|express|warrant|even the|a written)", "substantial portions", "endorse or", "as is (?:without|basis)",
+    "affero", "do what the", "general public", "action of contract", "advertising materials", "author disclaims", "source versions must", "misrepresented", "openssl", "reserved font",
+    "good not evil", "me a beer", "jpeg group", "clause bsd", "bsd (?:[1-4]|style)", "mit no",
 )
 #: The cheap first test, on lower-cased text before its words are cut.
 GATE = f"(?:^|{NOT_WORD})(?:{'|'.join(_FIRST).replace(' ', _SEP)})"
@@ -159,21 +86,20 @@ def scan(docs: DataFrame) -> DataFrame:
     # each keyword is looked for once, and only the rules of those found are tried
     keywords = F.array(*[F.lit(k) for k in sorted({r[3] for r in rules()})])
     docs = docs.withColumn("_found", F.when(F.col("_gate"), F.filter(keywords, lambda k: F.contains(norm, k))))
-    near = F.filter(every, lambda r: F.array_contains(F.col("_found"), r["keyword"]) & F.rlike(norm, r["pattern"]))
+    near = F.filter(every, lambda r: F.array_contains(F.col("_found"), r["keyword"]))
     kind = "array<struct<priority:int,label:string,confidence:double,start:int,end:int>>"
 
     def places(r: Column) -> Column:
-        """All places of a rule: what lies between its matches, and the matches, add up to positions."""
-        found = F.regexp_extract_all(norm, r["pattern"], F.lit(0))
-        parts = F.arrays_zip(F.split(norm, r["pattern"], -1).alias("before"), found.alias("match"))
+        """All places of a rule: one run of its pattern sets marks, which no normalised text has, and what lies between them adds up."""
+        parts = F.split(F.regexp_replace(norm, r["pattern"], F.lit("\x01$0\x02")), "[\x01\x02]", -1)
 
-        def step(state: Column, x: Column) -> Column:
-            start = state["at"] + F.length(x["before"])
-            end = start + F.coalesce(F.length(x["match"]), F.lit(0))
-            one = F.struct(r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence"), start.alias("start"), end.alias("end"))
-            return F.struct(end.alias("at"), F.when(x["match"].isNotNull(), F.concat(state["all"], F.array(one))).otherwise(state["all"]).alias("all"))
+        def step(state: Column, x: Column, i: Column) -> Column:
+            end = state["at"] + F.length(x)
+            one = F.struct(r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence"), state["at"].alias("start"), end.alias("end"))
+            return F.struct(end.alias("at"), F.when(i % 2 == 1, F.concat(state["all"], F.array(one))).otherwise(state["all"]).alias("all"))
 
-        return F.aggregate(parts, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("all")), step)["all"]
+        numbered = F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
+        return F.aggregate(numbered, F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("all")), lambda s, x: step(s, x["x"], x["i"]))["all"]
 
     # _found is named twice, so that it is not worked out again for every rule
     docs = docs.withColumn("_all", F.when(F.size("_found") > 0, F.flatten(F.transform(near, places))).otherwise(F.array().cast(kind)))

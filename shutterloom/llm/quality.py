@@ -41,8 +41,8 @@ def features() -> dict[str, Column]:
     }
 
 
-def _evidence(bins: DataFrame) -> dict[str, list[float]]:
-    """For each feature, each bin's log-likelihood ratio, with add-one smoothing; what reaches the driver has a fixed size."""
+def _evidence(bins: DataFrame) -> tuple[dict[str, list[float]], float]:
+    """For each feature, each bin's log-likelihood ratio, with add-one smoothing, and the share of good ones (0.5 without labels); what reaches the driver has a fixed size."""
     names = list(features())
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"_{n}").alias("bin")) for n in names]))
     labelled = bins.where("_label is not null").select("_label", pairs.alias("x"))
@@ -51,15 +51,20 @@ def _evidence(bins: DataFrame) -> dict[str, list[float]]:
     for n in names:
         good, bad = ([got.get((n, b), (0.0, 0.0))[i] + 1.0 for b in range(BINS)] for i in (0, 1))
         made[n] = [float(math.log(g / sum(good)) - math.log(b / sum(bad))) for g, b in zip(good, bad, strict=True)]
-    return made
+    good, bad = (sum(x[i] for (n, _), x in got.items() if n == names[0]) for i in (0, 1))
+    return made, good / (good + bad) if good + bad else 0.5
 
 
-def _strength(groups: DataFrame, n: str, s: str, mean: Column) -> Column:
-    """How many documents a prior is worth: rate * (1 - rate) over the variance between groups, less what sampling gives."""
-    rate = F.col(s) / F.col(n)
-    noise = mean * (1 - mean)
-    spread = F.sum(F.col(n) * F.pow(rate - mean, 2)) / F.sum(n) - noise * F.count(F.lit(1)) / F.sum(n)
-    return F.least(F.lit(STRONGEST), F.greatest(F.lit(WEAKEST), F.coalesce(noise / F.greatest(spread, F.lit(1e-9)), F.lit(STRONGEST))))
+def _strength(n: float, noise: float, squares: float, groups: int) -> float:
+    """How many documents a prior is worth: what one document varies by, over the variance between groups less what sampling gives.
+
+    Over all groups, n is the documents, noise the sum of documents * rate * (1 - rate) at the prior's rates, squares
+    that of documents * (own rate - prior's rate) squared.
+    """
+    if not n:
+        return STRONGEST
+    spread = squares / n - noise / n * groups / n
+    return min(STRONGEST, max(WEAKEST, noise / n / max(spread, 1e-9)))
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, threshold: float = 0.5) -> DataFrame:
@@ -67,7 +72,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
 
     ``labels`` has doc_id and quality (0 or 1; other values and nulls teach nothing; several for a document are
     averaged). By default the host is source and the path lang. Nulls in them form a group of their own. A null text
-    counts as empty. Without labels the evidence is 0 and every rate and score 0.5.
+    counts as empty, and very long texts are measured whole. Repeated rows have a row each and count each. Without
+    labels the evidence is 0 and every rate and score 0.5; without rows there are none. Further columns are not read.
     """
     host = F.col("source") if host is None else host
     path = F.col("lang") if path is None else path
@@ -75,26 +81,25 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
     rows = rows.select("doc_id", "_host", "_path", *[c.alias(f"_{n}") for n, c in features().items()])
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").alias("_id")).agg(F.avg(F.col("quality").cast("double")).alias("_label"))
     rows = materialise(rows.join(known, F.col("doc_id") == F.col("_id"), "left").drop("_id"))
-    table = _evidence(rows)
+    table, base = _evidence(rows)
     evidence = sum((F.element_at(F.array(*map(F.lit, table[n])), F.col(f"_{n}") + 1) for n in table), F.lit(0.0))
     rows = rows.select("doc_id", "_host", "_path", "_label", evidence.alias("_evidence"))
 
-    base = rows.agg(F.coalesce(F.avg("_label"), F.lit(0.5)).alias("b")).first().b
     base = min(max(base, 0.01), 0.99)
     chance = 1 / (1 + F.exp(-(F.col("_evidence") + F.lit(float(math.log(base / (1 - base)))))))
-    paths = rows.groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.coalesce("_label", chance)).alias("_s"))
+    paths = materialise(rows.groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("_n"), F.sum(F.coalesce("_label", chance)).alias("_s")))
     hosts = paths.groupBy(F.col("_host").alias("_h")).agg(F.sum("_n").alias("_hn"), F.sum("_s").alias("_hs"))
-    whole = hosts.agg((F.sum("_hs") / F.sum("_hn")).alias("m"))
-    mean = whole.first().m
-    mean = min(max(base if mean is None else mean, 0.01), 0.99)
-    host_k = hosts.agg(_strength(hosts, "_hn", "_hs", F.lit(mean)).alias("k")).first().k or STRONGEST
+    # the sum of squares around a mean from plain sums: documents * rate ** 2 is sum ** 2 / documents
+    over = hosts.agg(F.sum("_hn").alias("n"), F.sum("_hs").alias("s"), F.sum(F.col("_hs") * F.col("_hs") / F.col("_hn")).alias("q"), F.count(F.lit(1)).alias("groups")).first()
+    mean = min(max(over.s / over.n if over.n else base, 0.01), 0.99)
+    host_k = _strength(over.n or 0, (over.n or 0) * mean * (1 - mean), (over.q or 0) - 2 * mean * (over.s or 0) + mean * mean * (over.n or 0), over.groups)
     hosts = hosts.select("_h", ((F.col("_hs") + mean * host_k) / (F.col("_hn") + host_k)).alias("_host_rate"))
     paths = paths.join(hosts, F.col("_host").eqNullSafe(F.col("_h"))).drop("_h")
     # between the paths of a host, around its rate
-    noise = F.sum(F.col("_n") * F.col("_host_rate") * (1 - F.col("_host_rate"))) / F.sum("_n")
-    spread = F.sum(F.col("_n") * F.pow(F.col("_s") / F.col("_n") - F.col("_host_rate"), 2)) / F.sum("_n") - noise * F.count(F.lit(1)) / F.sum("_n")
-    path_k = paths.agg(F.least(F.lit(STRONGEST), F.greatest(F.lit(WEAKEST), noise / F.greatest(spread, F.lit(1e-9)))).alias("k")).first().k or STRONGEST
-    rate = (F.col("_s") + F.col("_host_rate") * path_k) / (F.col("_n") + path_k)
+    r = F.col("_host_rate")
+    over = paths.agg(F.sum("_n").alias("n"), F.sum(F.col("_n") * r * (1 - r)).alias("noise"), F.sum(F.col("_n") * F.pow(F.col("_s") / F.col("_n") - r, 2)).alias("q"), F.count(F.lit(1)).alias("groups")).first()
+    path_k = _strength(over.n or 0, over.noise or 0, over.q or 0, over.groups)
+    rate = (F.col("_s") + r * path_k) / (F.col("_n") + path_k)
     paths = paths.select(F.col("_host").alias("_ph"), F.col("_path").alias("_pp"), "_host_rate", F.least(F.lit(0.999), F.greatest(F.lit(0.001), rate)).alias("_path_rate"))
     made = rows.join(paths, F.col("_host").eqNullSafe(F.col("_ph")) & F.col("_path").eqNullSafe(F.col("_pp")))
     score = 1 / (1 + F.exp(-(F.col("_evidence") + F.log(F.col("_path_rate") / (1 - F.col("_path_rate"))))))
