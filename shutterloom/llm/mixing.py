@@ -132,8 +132,10 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, period: int = 1000, b
     """docs with four more columns, and no row less: mix_block, mix_release, mix_deadline, mix_order (long).
 
     mix_order is the place in the mixed stream; sort by it to write the stream. mix_block is the block's number in
-    its source, mix_release and mix_deadline its slots; the block's own slot is mix_order div block_rows. When a
-    source is used up its slots stay empty and the others go on at their own pace. Documents of a source without a
+    its source, mix_release and mix_deadline its slots; the block's own slot is mix_order div block_rows. Up to the
+    slot where the first source is used up, each has sent its share of the slots so far but for less than a block;
+    from then on its slots stay empty, so the bound ends there, while the others go on at their own pace. Texts may be
+    of any length: none is looked at. Documents of a source without a
     positive weight have null in all four. Repeated rows get a place each. Columns of docs of those names are
     replaced. ``weights`` has source, weight; by default tempered_weights(docs). A null source counts as a source.
     More sources than slots in the period lengthen it to a multiple that has SLOTS for each; release, deadline and
