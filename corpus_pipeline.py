@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from shutterloom.llm import decontaminate, langid, mixing, neardup, secrets
 from shutterloom.llm.common import materialise, table
@@ -29,13 +28,13 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group: that of the smallest doc_id; of rows alike in doc_id and text just one."""
-    names = docs.columns
+    names = [F.col(f"`{c}`") for c in docs.columns]
     classes = neardup.classify(docs, width=5, percent=80)
-    kept = classes.where("kept").select(F.col("row_key").alias("_row"))
-    rows = docs.withColumn("_row", neardup.row_key()).join(kept, "_row", "left_semi")
-    # the join has brought rows of one key together
-    first = F.row_number().over(Window.partitionBy("_row").orderBy("source", "lang"))
-    return rows.withColumn("_first", first).where("_first = 1").select(*names)
+    kept = classes.where("kept").select(F.col("row_key").alias("_row")).distinct()
+    # repeated rows become one before they are shuffled, however many there are; the one is chosen by its other columns
+    whole = F.struct(*names)
+    rows = docs.groupBy(neardup.row_key().alias("_row")).agg(F.min_by(whole, F.xxhash64(*names)).alias("_one"))
+    return rows.join(kept, "_row", "left_semi").select("_one.*")
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
