@@ -2,8 +2,13 @@
 
 Vectors are projected to a few dimensions, shifted and ordered along a Hilbert curve, for several projections and
 shifts. Spark range-partitions each ordering and cuts it in blocks of BLOCK vectors; a query is compared with the
-vectors of its own block and of the blocks around it, of which larger tables take more. What all orderings find is merged and ranked by the exact
-inner product of the original vectors.
+vectors of its own block and of so many blocks around it as the data ask for. What all orderings find is merged and
+ranked by the exact inner product of the original vectors.
+
+How many blocks that takes is measured on the table itself: a bounded sample of the queries is compared with all
+vectors, and the least width is taken at which the orderings would have found AIM of what they should. Vectors that
+lie in clusters need few blocks, however many they are; nearly uniform ones in many dimensions, where no ordering
+tells near from far, need a share of all blocks that does not fall.
 
 Inner products become angles by one more coordinate that gives all candidates the largest norm. Of equal vectors only
 the first k + 1 ids can be among a query's k nearest, so a vector that very many rows share fills no block; queries
@@ -21,15 +26,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import discard, materialise
 
 CURVES = 12
 DIMENSIONS = 8  # of a projection
 BITS = 4  # of a projected coordinate
-BLOCK = 2048
-#: Blocks along a curve for which one neighbour on each side is looked at; as many times more take as many times more.
-#: Measured with BLOCK on 51,282 to 512,820 near-uniform vectors in 64 dimensions, where that finds over 0.9 of the true 20 nearest.
-_SPAN = 34
+BLOCK = 1024
+PILOT = 250  # queries that are compared with all vectors, at most
+AIM = 0.93  # the share of their true neighbours that the blocks must hold
 
 
 def hilbert_key(x: np.ndarray, bits: int) -> np.ndarray:
@@ -112,8 +116,8 @@ def _keyed(rows: DataFrame, largest: float, curves: int) -> DataFrame:
     return made.select("_id", "_query", "_v", F.posexplode("_keys").alias("_curve", "_key"))
 
 
-def _blocked(rows: DataFrame, block: int, parts: int) -> DataFrame:
-    """rows with _block: the ordering of each curve, range-partitioned and cut; blocks are numbered along the curve."""
+def _blocked(rows: DataFrame, block: int, parts: int) -> tuple[DataFrame, DataFrame]:
+    """rows with _block: the ordering of each curve, range-partitioned and cut; blocks are numbered along the curve. Then the table that it reads."""
     kind = f"_id long, _query boolean, _v {rows.schema['_v'].dataType.simpleString()}, _curve int, _part int, _at int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +137,7 @@ def _blocked(rows: DataFrame, block: int, parts: int) -> DataFrame:
     before = Window.partitionBy("_curve").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select("_curve", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     # one row for each curve and partition
-    return made.join(runs, ["_curve", "_part"]).select("_id", "_query", "_v", "_curve", (F.col("_before") + F.col("_at")).alias("_block"))
+    return made.join(runs, ["_curve", "_part"]).select("_id", "_query", "_v", "_curve", (F.col("_before") + F.col("_at")).alias("_block")), made
 
 
 def _compared(rows: DataFrame, k: int, width: int) -> DataFrame:
@@ -178,18 +182,57 @@ def _compared(rows: DataFrame, k: int, width: int) -> DataFrame:
     return rows.mapInArrow(run, "_query_id long, _found array<struct<_s:double,_id:bigint>>")
 
 
-def neighbours(n: int, block: int = BLOCK) -> int:
-    """How many blocks on each side of its own a query is compared with, in a table of n vectors."""
-    return max(1, -(-n // (_SPAN * block)))
-
+def _nearest(cands: DataFrame, asked: DataFrame, k: int) -> dict[int, list[int]]:
+    """For each of the few rows of ``asked`` (_class, _v) the ids of the k nearest of cands (_class, _id, _v) of another class, by comparing all."""
+    few = asked.toArrow()
+    ids, v = few.column(0).to_numpy(), _stack(few.column(1).combine_chunks())
+    sent = cands.sparkSession.sparkContext.broadcast((ids, v))
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, curves: int = CURVES, block: int = BLOCK) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, v = sent.value
+        best, found = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), dtype=np.int64)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4096):
+                batch = whole.slice(at, 4096)
+                scores = v @ _stack(batch.column(2)).T
+                scores[ids[:, None] == batch.column(0).to_numpy()[None, :]] = -np.inf
+                both = np.concatenate((best, scores), axis=1)
+                of = np.concatenate((found, np.broadcast_to(batch.column(1).to_numpy(), scores.shape)), axis=1)
+                top = np.argpartition(-both, k - 1, axis=1)[:, :k]
+                best, found = np.take_along_axis(both, top, 1), np.take_along_axis(of, top, 1)
+        real = np.isfinite(best)
+        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best.shape)[real]), pa.array(found[real]), pa.array(best[real])], ["_q", "_id", "_s"])
+
+    rows = cands.select("_class", "_id", "_v").mapInArrow(run, "_q long, _id long, _s double")
+    # k rows of each query from each task
+    rows = rows.groupBy("_q").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("_s")).alias("s"), "_id"))), 1, k).alias("all"))
+    return {r._q: [x._id for x in r["all"]] for r in rows.collect()}
+
+
+def _width(blocked: DataFrame, nearest: dict[int, list[int]], aim: float) -> int:
+    """The least number of blocks on each side that holds the share ``aim`` of the true neighbours."""
+    queries, others = sorted(nearest), sorted({i for x in nearest.values() for i in x})
+    spark = blocked.sparkSession
+    wanted = spark.createDataFrame([(i, True) for i in queries] + [(i, False) for i in others], "_i long, _is boolean")  # PILOT * (k + 1) at most
+    rows = blocked.join(F.broadcast(wanted), (F.col("_id") == F.col("_i")) & (F.col("_query") == F.col("_is"))).select("_query", "_id", "_curve", "_block").collect()
+    at: tuple[dict, dict] = ({}, {})
+    for r in rows:
+        at[r._query].setdefault(r._id, {}).setdefault(r._curve, []).append(r._block)
+    apart = []
+    for q, found in nearest.items():
+        for i in found:
+            apart.append(min((abs(a - b) for c, blocks in at[1].get(q, {}).items() for a in blocks for b in at[0].get(i, {}).get(c, ())), default=0))
+    return int(np.sort(apart)[max(0, int(np.ceil(aim * len(apart))) - 1)]) if apart else 0
+
+
+def search(vectors: DataFrame, queries: Column, k: int = 20, curves: int = CURVES, block: int = BLOCK, pilot: int = PILOT, aim: float = AIM) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of vectors (vec_id, embedding) for which ``queries`` is true, the k nearest found.
 
     Nearest is the largest inner product, in double precision; ties go to the smaller vec_id; a query's own row is no
     candidate. Vectors that are null, zero, or hold a null or non-finite component take no part, nor do those of
     another length than most have (of equally common lengths, the larger), nor rows with a null vec_id. Rows of one
-    vec_id and vector are one; those of one vec_id and several vectors are candidates each.
+    vec_id and vector are one; those of one vec_id and several vectors are candidates each. Of vectors only vec_id,
+    embedding and what ``queries`` names are read. No vectors, or no queries, give no rows.
     """
     v = F.col("embedding")
     rows = vectors.select(F.col("vec_id").cast("long").alias("_id"), v.alias("_v"), F.coalesce(queries, F.lit(False)).alias("_q")).where(F.col("vec_id").isNotNull() & _valid(v))
@@ -205,10 +248,16 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, curves: int = CURVE
     asked = rows.where("_q").select(F.col("_id").alias("query_id"), "_class").distinct()
     one = rows.where("_q").groupBy("_class").agg(F.first("_v").alias("_v"))
     both = cands.select("_id", F.lit(False).alias("_query"), "_v").unionByName(one.select(F.col("_class").alias("_id"), F.lit(True).alias("_query"), "_v"))
+    both, cands = materialise(both), materialise(cands)
     keyed = materialise(_keyed(both, float(np.sqrt(norms.m)), curves))
+    discard(both)
     parts = int(min(2000, max(1, norms.n * curves // 40_000)))
-    width = neighbours(norms.n, block)
-    compared = _compared(_blocked(keyed, block, parts), k + 1, width)
+    blocked, _ = _blocked(keyed, block, parts)
+    discard(keyed)
+    some = one.select("_class", "_v").orderBy(F.xxhash64("_class"), "_class").limit(pilot)
+    width = _width(blocked, _nearest(cands, some, k), aim)
+    discard(cands)
+    compared = _compared(blocked, k + 1, width)
     # 2 * width + 1 blocks of each curve, k + 1 rows of each
     merged = compared.groupBy("_query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_found")))), 1, k + 1).alias("_found"))
     met = asked.join(merged, F.col("_class") == F.col("_query_id"))

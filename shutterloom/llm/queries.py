@@ -82,5 +82,41 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS g FROM d),
+c AS (SELECT min(doc_id) AS rep, list_sort(g) AS g, len(any_value(g)) AS n FROM s WHERE len(g) > 0 GROUP BY list_sort(g)),
+x AS (SELECT rep, n, unnest(g) AS v FROM c),
+k AS (SELECT v FROM x GROUP BY v HAVING count(*) > 1),
+p AS (SELECT a.rep AS i, b.rep AS j, count(*) AS inter, any_value(a.n) AS na, any_value(b.n) AS nb FROM (SELECT * FROM x SEMI JOIN k USING (v)) a JOIN x b ON a.v = b.v AND a.rep < b.rep GROUP BY 1, 2),
+e AS (SELECT i, j FROM p WHERE 100 * inter >= 85 * (na + nb - inter)),
+t AS (SELECT i AS a, j AS b FROM e UNION ALL SELECT j, i FROM e),
+r(a, b) AS (SELECT rep, rep FROM c UNION SELECT r.a, t.b FROM r JOIN t ON r.b = t.a),
+m AS (SELECT a AS rep, min(b) AS comp FROM r GROUP BY 1)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(m.comp, s.doc_id) AS component_id, coalesce(m.comp, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c ON list_sort(s.g) = c.g LEFT JOIN m ON m.rep = c.rep
+"""
+
+
+def _repeats(name: str, size: int) -> str:
+    """CTE ``name``: the begin and end of each run of bytes under a string of that size that starts elsewhere too, by row."""
+    return f"""
+{name}w AS (SELECT r, i, md5(substr(h, 2 * i + 1, {2 * size})) AS g FROM (SELECT r, h, unnest(range(0, length(h) // 2 - {size - 1})) AS i FROM b WHERE length(h) >= {2 * size})),
+{name}t AS (SELECT g FROM {name}w GROUP BY g HAVING count(*) > 1),
+{name}s AS (SELECT r, i, CASE WHEN i - lag(i) OVER (PARTITION BY r ORDER BY i) <= {size} THEN 0 ELSE 1 END AS st FROM {name}w SEMI JOIN {name}t USING (g)),
+{name}u AS (SELECT r, run, min(i) AS a, max(i) + {size} AS z FROM (SELECT *, sum(st) OVER (PARTITION BY r ORDER BY i) AS run FROM {name}s) GROUP BY 1, 2),
+{name} AS (SELECT r, list(a ORDER BY a) AS a, list(z ORDER BY a) AS z FROM {name}u GROUP BY 1)"""
+
+
+OP7_SQL = f"""
+WITH b AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents), {_repeats("v", suffixdedup.LENGTH)}, {_repeats("q", suffixdedup.PASSAGE)}
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(list_sum(v.z) - list_sum(v.a), 0)::BIGINT AS n_removed, coalesce(len(v.a), 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN v.a IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(v.a) + 1), lambda k:
+    substr(h, 2 * CASE WHEN k = 0 THEN 0 ELSE v.z[k] END + 1, 2 * (CASE WHEN k = len(v.a) THEN length(h) // 2 ELSE v.a[k + 1] END - CASE WHEN k = 0 THEN 0 ELSE v.z[k] END))), '') END)) AS kept_sha256,
+  coalesce(list_sum(q.z) - list_sum(q.a), 0)::BIGINT AS n_repeated
+FROM b LEFT JOIN v ON b.r = v.r LEFT JOIN q ON b.r = q.r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op6_neardup": OP6_SQL, "op7_suffixdedup": OP7_SQL}

@@ -103,7 +103,10 @@ def scan(docs: DataFrame, samples: DataFrame, threshold: float = 0.5) -> DataFra
     """docs with ``found``: array<struct<start, rank, end, kind, value>>, sorted by start, then kind.
 
     The shapes' matches all stay. A candidate that overlaps none of them is added, as kind markov, if its mean ratio
-    is over the threshold. A null text counts as empty; both find nothing. A column named found is replaced.
+    is over the threshold, in nats for each pair of characters: at 0.5 a candidate of 20 characters is some 13,000
+    times likelier as a random string, so that a rare one among very many identifiers still counts. Equal ratios give
+    equal results; kinds that begin at one place are in the order of KINDS. A null text counts as empty; both find
+    nothing. A repeated row has the same result each time. A column named found is replaced, others stay.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     table = F.split(F.lit(",".join(map(str, ratios(samples)))), ",").cast("array<double>")
