@@ -150,5 +150,6 @@ def folder_set(paths: Column, most: int = 52) -> Column:
 
 
 def suggestion_title(verdict: Column, confidence: Column, reasons: Column) -> Column:
+    word = F.when(verdict.isin("reject", "favorite"), verdict).otherwise(F.lit("keep"))
     percent = F.concat(F.floor(confidence * 100 + 0.5).cast("string"), F.lit("%"))
-    return F.concat_ws(" · ", verdict, percent, F.nullif(F.array_join(reasons, ", "), F.lit("")))
+    return F.concat_ws(" · ", F.concat(F.lit("suggested "), word), percent, F.nullif(F.array_join(reasons, ", "), F.lit("")))

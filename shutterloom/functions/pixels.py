@@ -99,6 +99,11 @@ def phash(y: np.ndarray) -> str:
     return f"{sum(1 << int(i) for i in np.flatnonzero(bits)):016x}"
 
 
+def is_blank(rgba: np.ndarray) -> bool:
+    """Whether a sample has nothing to show: no pixel is opaque to any degree."""
+    return not rgba[..., 3].any()
+
+
 def clip_mask(rgb: np.ndarray) -> np.ndarray:
     """RGBA stripes over blown and crushed pixels, slanting either way."""
     h, w, _ = rgb.shape

@@ -100,6 +100,19 @@ def similar_sets(frames: DataFrame, rule: SimilarRule = SimilarRule(), span: int
     return runs(frames, free, lambda p, c: alike(p, c, rule), "sim", keys, span=span)
 
 
+def adjacent_signals(frames: DataFrame) -> DataFrame:
+    """ord, dt_ms, bits, cosine for each frame but the first, against the one before: -1, -1 and NaN where either does not know.
+
+    A frame meets the one before by a join on ord, so that no task holds more than its share.
+    """
+    before = frames.select((F.col("ord") + 1).alias("ord"), F.struct("captured_ms", "phash", "embedding").alias("p"))
+    both = frames.join(before, "ord")
+    return both.select(
+        "ord", F.coalesce(F.abs(F.col("captured_ms") - F.col("p.captured_ms")), F.lit(-1)).alias("dt_ms"), F.coalesce(hamming(F.col("phash"), F.col("p.phash")), F.lit(-1)).cast("int").alias("bits"),
+        F.coalesce(dot(F.col("embedding"), F.col("p.embedding")), F.lit(float("nan"))).alias("cosine"),
+    )
+
+
 def segments(visible: DataFrame, order: str = "ord", bucket: int = 100_000) -> DataFrame:
     """Contiguous stretches of one group in a filtered subset: seg_id, kind, grp, n, labelled, len, gap_before.
 

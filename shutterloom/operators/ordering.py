@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import unicodedata
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
@@ -46,10 +49,18 @@ def capture_order(df: DataFrame, mtime_ms: str = "mtime_ms", path: str = "path",
     return numbered(df, F.floor(F.col(mtime_ms) / bucket_ms), F.col(mtime_ms).asc_nulls_last(), F.col(path))
 
 
+@F.pandas_udf(T.StringType())
+def _composed(paths: pd.Series) -> pd.Series:
+    return paths.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+
 def staged(images: DataFrame, found: DataFrame) -> DataFrame:
-    """images with those paths of ``found`` that are new, ids going on from the largest one, in path order."""
-    fresh = found.select("path").distinct().join(images, "path", "left_anti")
-    fresh = numbered(fresh, F.substring_index("path", "/", 3), F.col("path"), name="id")
-    last = images.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("_last"))
+    """images with those paths of ``found`` that are new, ids going on from the largest one, in path order.
+
+    Paths are compared in their composed form, as some file systems give accents apart.
+    """
+    fresh = found.select(_composed("path").alias("path")).distinct().join(images, "path", "left_anti")
+    fresh = numbered(settled(fresh), F.substring_index("path", "/", 3), F.col("path"), name="id")
+    last = images.agg(F.coalesce(F.max("id"), F.lit(-1)).alias("_last"))  # one row
     fresh = fresh.join(F.broadcast(last)).select((F.col("id") + F.col("_last") + 1).alias("id"), "path")
     return images.select("id", "path").unionByName(fresh)

@@ -69,11 +69,18 @@ def _put(state: dict, img: int, rating: str | None) -> None:
         state[img] = rating
 
 
-def next_pair(frames: DataFrame, champion: int, challenger: int) -> DataFrame:
-    """One row, ord: the next challenger after that frame's place, from the front again where none follows: unrated and not the champion. Null if none is left."""
+def unrated_from(frames: DataFrame, at: int, direction: int, skip: int | None = None) -> DataFrame:
+    """One row, ord: the next (direction 1) or previous (-1) unrated frame from the place ``at``, other than the frame ``skip``; null if there is none."""
+    free = frames.where(F.col("rating").isNull() & ~F.coalesce(F.col("id") == F.lit(skip), F.lit(False)))
+    return free.where(F.col("ord") > at).agg(F.min("ord").alias("ord")) if direction > 0 else free.where(F.col("ord") < at).agg(F.max("ord").alias("ord"))
+
+
+def next_challenger(frames: DataFrame, challenger: int, champion: int | None) -> DataFrame:
+    """One row, ord: after a duel, the nearest unrated frame to the challenger's place, ahead first, then behind; null if none is left."""
     at = frames.where(F.col("id") == challenger).agg(F.max("ord").alias("_at"))
-    free = frames.where(F.col("rating").isNull() & ~F.col("id").isin(champion, challenger)).select("ord")
-    return free.join(F.broadcast(at)).agg(F.coalesce(F.min(F.when(F.col("ord") > F.col("_at"), F.col("ord"))), F.min("ord")).alias("ord"))
+    free = frames.where(F.col("rating").isNull() & (F.col("id") != challenger) & ~F.coalesce(F.col("id") == F.lit(champion), F.lit(False))).select("ord")
+    ahead, behind = F.min(F.when(F.col("ord") > F.col("_at"), F.col("ord"))), F.max(F.when(F.col("ord") < F.col("_at"), F.col("ord")))
+    return free.join(F.broadcast(at)).agg(F.coalesce(ahead, behind).alias("ord"))
 
 
 def duel(verb: str, champion: Column, challenger: Column) -> Column:

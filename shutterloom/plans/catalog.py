@@ -381,9 +381,28 @@ def compare_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.compare_candidates(frames(spark, sf_dir).select("id", "rating"), 60).select("id", "candidate")
 
 
-@_query(f"WITH {FRAMES_SQL}, c AS (SELECT ord AS a FROM f WHERE id = 61) SELECT coalesce(min(ord) FILTER (WHERE ord > a), min(ord)) AS ord FROM f, c WHERE rating IS NULL AND id NOT IN (60, 61)")
+@_query(f"WITH {FRAMES_SQL}, c AS (SELECT ord AS a FROM f WHERE id = 61) SELECT coalesce(min(ord) FILTER (WHERE ord > a), max(ord) FILTER (WHERE ord < a)) AS ord FROM f, c WHERE rating IS NULL AND id NOT IN (60, 61)")
 def next_challenger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ratings.next_pair(frames(spark, sf_dir).select("id", "ord", "rating"), 60, 61)
+    return ratings.next_challenger(frames(spark, sf_dir).select("id", "ord", "rating"), 61, 60)
+
+
+@_query(f"WITH {FRAMES_SQL} SELECT (SELECT min(ord) FROM f WHERE rating IS NULL AND ord > 500 AND id <> 70) AS ahead, (SELECT max(ord) FROM f WHERE rating IS NULL AND ord < 500 AND id <> 70) AS behind")
+def unrated_around(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = frames(spark, sf_dir).select("id", "ord", "rating")
+    ahead, behind = (ratings.unrated_from(rows, 500, d, 70) for d in (1, -1))
+    return ahead.withColumnRenamed("ord", "ahead").join(F.broadcast(behind.withColumnRenamed("ord", "behind")))  # one row each
+
+
+@_query(f"""WITH {FRAMES_SQL}, x AS (SELECT ord, CASE WHEN id % 9 <> 0 THEN captured_ms END AS t, CASE WHEN id % 5 <> 0 THEN h END AS h, CASE WHEN id % 4 <> 0 THEN [af, tenengrad] END AS e FROM f),
+y AS (SELECT *, lag(t) OVER w AS pt, lag(h) OVER w AS ph, lag(e) OVER w AS pe FROM x WINDOW w AS (ORDER BY ord))
+SELECT ord, coalesce(abs(t - pt), -1) AS dt_ms, CAST(coalesce(bit_count(xor(h, ph)), -1) AS INTEGER) AS bits, round(e[1] * pe[1] + e[2] * pe[2], 6) AS cosine FROM y WHERE ord > 0""")
+def adjacent_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = F.col("id")
+    rows = frames(spark, sf_dir).select(
+        "ord", F.when(e % 9 != 0, F.col("captured_ms")).alias("captured_ms"), F.when(e % 5 != 0, F.col("phash")).alias("phash"), F.when(e % 4 != 0, F.array("af", "tenengrad")).alias("embedding")
+    )
+    made = islands.adjacent_signals(rows)
+    return made.select("ord", "dt_ms", "bits", F.when(~F.isnan("cosine"), F.round("cosine", 6)).alias("cosine"))
 
 
 @_query("""WITH w AS (SELECT user_id AS key, event_id AS seq, CASE WHEN event_id % 6 <> 0 THEN value * 40 END AS width FROM events),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,6 +45,13 @@ def ignored_count(spark: SparkSession, root: str, ignore: str | None = None) ->
     return listed(spark, root).agg(F.count_if(other).alias("ignored"))
 
 
+def folder_state(root: str) -> str:
+    """ok, not_found or not_a_directory, in any store that Arrow opens; other errors, which may pass, are raised."""
+    system, inner = pyarrow.fs.FileSystem.from_uri(root) if "://" in root else (pyarrow.fs.LocalFileSystem(), root.removeprefix("file:"))
+    kind = system.get_file_info(inner.rstrip("/")).type
+    return {pyarrow.fs.FileType.NotFound: "not_found", pyarrow.fs.FileType.Directory: "ok"}.get(kind, "not_a_directory")
+
+
 def is_permanent(message: Column) -> Column:
     return message.rlike(_PERMANENT)
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.storage import evicted
+
 KEYS = ("path", "mtime_ms", "bytes")
 VERSION = 1
 
@@ -31,6 +33,14 @@ def put(rows: DataFrame, path: str, max_bytes: int | None = None) -> None:
     (rows if max_bytes is None else rows.where(F.coalesce(F.length("payload"), F.lit(0)) <= max_bytes)).write.mode("append").parquet(path)
 
 
+def put_within(rows: DataFrame, store: DataFrame, cap: int, max_bytes: int | None = None) -> DataFrame:
+    """The store (KEYS, used, bytes ...) after rows are put: those over the cap of one are refused, and where all are over
+    ``cap`` together the least recently used go, to 90 %. Write it as the store's next version; nothing is replaced in place."""
+    every = store.unionByName(rows if max_bytes is None else rows.where(F.coalesce(F.length("payload"), F.lit(0)) <= max_bytes))
+    gone = evicted(every.select("path", "used", "bytes"), cap).select("path", "used")
+    return every.join(gone, ["path", "used"], "left_anti")
+
+
 def compacted(store: DataFrame, files: DataFrame, version: int = VERSION) -> DataFrame:
     """The newest row of each current key."""
     newest = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("used")))

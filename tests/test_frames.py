@@ -123,7 +123,7 @@ def test_expressions(spark):
         (formats.shutter(F.lit(0.004)), "1/250s"), (formats.shutter(F.lit(1.5)), "1.5s"), (formats.shutter(F.lit(0.0)), None), (formats.exposure_bias(F.lit(-0.33)), "-0.3 EV"),
         (formats.sanitised_folder(F.lit(' <a:b>. ')), "ab"), (formats.rejected_folder(F.lit("CON.txt")), "_rejected"), (formats.basename(F.lit("C:\\x\\y.CR3")), "y.CR3"),
         (formats.strip_ext(F.lit("a.b/c.CR3")), "a.b/c"), (formats.join_path(F.lit("C:\\x\\"), F.lit("y")), "C:\\x\\y"), (formats.folder_set(F.array(F.lit("x/aaa"), F.lit("bbb"), F.lit("ccc")), 15), "aaa +2 more"), (formats.folder_set(F.array(F.lit("x/aaa"), F.lit("bbb"))), "aaa + bbb"), (formats.folder_set(F.array(F.lit("abcdefghij"), F.lit("bbb")), 12), "ab…j +1 more"),
-        (formats.relative_time(F.lit(0), F.lit(90_000)), "1 minute ago"), (formats.relative_time(F.lit(0), F.lit(59_500)), "1 minute ago"), (formats.aperture(F.lit(2.8)), "ƒ/2.8"), (formats.aperture(F.lit(4.0)), "ƒ/4"), (formats.tail_path(F.lit("a/bcd/"), 4), "…cd/"), (formats.basename(F.lit("a/")), "a/"), (formats.suggestion_title(F.lit("keep"), F.lit(0.705), F.array(F.lit("x"))), "keep · 71% · x"),
+        (formats.relative_time(F.lit(0), F.lit(90_000)), "1 minute ago"), (formats.relative_time(F.lit(0), F.lit(59_500)), "1 minute ago"), (formats.aperture(F.lit(2.8)), "ƒ/2.8"), (formats.aperture(F.lit(4.0)), "ƒ/4"), (formats.tail_path(F.lit("a/bcd/"), 4), "…cd/"), (formats.basename(F.lit("a/")), "a/"), (formats.suggestion_title(F.lit("keep"), F.lit(0.705), F.array(F.lit("x"))), "suggested keep · 71% · x"),
     ]
     got = spark.range(1).select(*[c.alias(f"c{i}") for i, (c, _) in enumerate(cases)]).first()
     assert list(got) == [want for _, want in cases]

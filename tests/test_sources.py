@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shutterloom.functions import pixels, sidecar
 from shutterloom.operators import inputs, islands, storage
-from shutterloom.operators.ordering import settled
+from shutterloom.operators.ordering import settled, staged
 from shutterloom.sources import container, files, settings, store
 from shutterloom.streaming import scoring
 
@@ -232,6 +232,18 @@ def test_store(spark, tmp_path):
     assert [r.path for r in store.hits(found, kept).collect()] == ["a"]
     assert sorted(r.path for r in store.misses(found, kept).collect()) == ["b", "c"]
     assert store.refreshed(found, kept, lambda f: f).count() == 3
+    full = "path string, used bigint, bytes bigint, payload string"
+    after = store.put_within(spark.createDataFrame([("new", 9, 50, "p"), ("large", 9, 50, "p" * 99)], full), spark.createDataFrame([("old", 1, 30, "p"), ("mid", 2, 30, "p")], full), 100, 10)
+    assert sorted(r.path for r in after.collect()) == ["mid", "new"]
+    (tmp_path / "f").write_text("x")
+    assert [files.folder_state(str(tmp_path / n)) for n in ("", "f", "gone")] == ["ok", "not_a_directory", "not_found"]
+    assert pixels.is_blank(np.zeros((2, 2, 4), dtype=np.uint8)) and not pixels.is_blank(np.full((2, 2, 4), 1, dtype=np.uint8))
+
+
+def test_staging_compares_composed_paths(spark):
+    images = spark.createDataFrame([(0, "a/b/\u00e9.cr3"), (4, "a/b/x.cr3")], "id bigint, path string")
+    got = staged(images, spark.createDataFrame([("a/b/e\u0301.cr3",), ("a/b/z.cr3",), ("a/b/y.cr3",), ("a/b/y.cr3",), (None,)], "path string").where("path is not null"))
+    assert sorted((r.id, r.path) for r in got.collect())[2:] == [(5, "a/b/y.cr3"), (6, "a/b/z.cr3")] and got.count() == 4
 
 
 def test_streams(spark, tmp_path):
