@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterloom.llm import decontaminate, langid, mixing, neardup, secrets
-from shutterloom.llm.common import materialise, table
+from shutterloom.llm.common import discard, materialise, table
 
 #: An ambiguous text of so many characters goes: it is in no one language.
 AMBIGUOUS_CHARS = 200
@@ -67,7 +67,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = materialise(docs)
+            if i:  # a stage's rows are in a table, so the one before is read no more
+                discard(before)
     return docs

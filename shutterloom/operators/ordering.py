@@ -44,9 +44,30 @@ def numbered(df: DataFrame, bucket: Column, *order: Column, name: str = "ord") -
     return df.withColumn(name, F.col("_before") + F.col("_in") - 1).drop("_bucket", "_of", "_before", "_in")
 
 
-def capture_order(df: DataFrame, mtime_ms: str = "mtime_ms", path: str = "path", bucket_ms: int = 3_600_000) -> DataFrame:
+#: Bits of monotonically_increasing_id() that number rows inside a partition.
+_INNER = 33
+
+
+def ordered(df: DataFrame, *order: Column, name: str = "ord") -> DataFrame:
+    """df with a dense number from 0 in the order given, whatever its values are spread like.
+
+    Rows are range-partitioned and sorted, and written as they lie; each partition's numbers go on from the counts of
+    those before it. Only rows that tie in all of ``order`` must fit in a task. There is a count for each partition,
+    so counts are broadcast.
+    """
+    place = F.monotonically_increasing_id()
+    table = settled(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place))
+    part = F.shiftright("_place", _INNER)
+    counts = table.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    counts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    rows = table.withColumn("_of", part).join(F.broadcast(counts), F.col("_of") == F.col("_part"))
+    return rows.withColumn(name, F.col("_before") + F.col("_place").bitwiseAND((1 << _INNER) - 1)).drop("_place", "_of", "_part", "_before")
+
+
+def capture_order(df: DataFrame, mtime_ms: str = "mtime_ms", path: str = "path") -> DataFrame:
     """df with ord: by modification time, unknown ones last, then by path."""
-    return numbered(df, F.floor(F.col(mtime_ms) / bucket_ms), F.col(mtime_ms).asc_nulls_last(), F.col(path))
+    return ordered(df, F.col(mtime_ms).asc_nulls_last(), F.col(path))
 
 
 @F.pandas_udf(T.StringType())

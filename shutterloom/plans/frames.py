@@ -40,7 +40,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return islands.similar_sets(islands.bursts(settled(frames(spark, sf_dir)), BURST), SIMILAR)
+    return islands.similar_sets(islands.bursts(frames(spark, sf_dir), BURST), SIMILAR)
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:

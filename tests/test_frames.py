@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from shutterloom.functions import expr, formats
 from shutterloom.operators import islands, ratings, verdict, winner
-from shutterloom.operators.ordering import numbered
+from shutterloom.operators.ordering import capture_order, numbered
 
 FRAME = "id int, ord int, src_folder string, drive_mode int, focal_mm double, captured_ms bigint, sub_sec_ms int, mtime_ms bigint, phash string, embedding array<double>, has_input boolean"
 
@@ -113,6 +113,15 @@ def test_numbering_has_nulls_last(spark):
     assert {r.x: r.ord for r in df.collect()} == {1: 0, 5: 1, 12: 2, None: 3}
 
 
+def test_ordering_has_nulls_last_and_ties_together(spark):
+    rows = [(i * 37 % 101, f"p{i}") for i in range(300)] + [(None, "z"), (None, "a"), (5, "same"), (5, "same")]
+    df = capture_order(spark.createDataFrame(rows, "mtime_ms int, path string").repartition(7))
+    got = [(r.ord, r.mtime_ms, r.path) for r in df.orderBy("ord").collect()]
+    want = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    assert [x[0] for x in got] == list(range(304)) and [x[1:] for x in got] == want
+    assert capture_order(spark.createDataFrame([], "mtime_ms int, path string")).count() == 0
+
+
 def test_expressions(spark):
     cases = [
         (expr.hamming(F.lit("ffffffffffffffff"), F.lit("8000000000000000")), 63), (expr.dot(F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0))), 3.0),
