@@ -258,8 +258,10 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, curves: int = CURVE
     width = _width(blocked, _nearest(cands, some, k), aim)
     discard(cands)
     compared = _compared(blocked, k + 1, width)
-    # 2 * width + 1 blocks of each curve, k + 1 rows of each
-    merged = compared.groupBy("_query_id").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_found")))), 1, k + 1).alias("_found"))
+    # 2 * width + 1 blocks of each curve, k + 1 rows of each. A pair is met once on a curve at most, so k + 1 of them are
+    # among the first (k + 1) * curves
+    first = F.slice(F.array_sort(F.flatten(F.collect_list("_found"))), 1, (k + 1) * curves)
+    merged = compared.groupBy("_query_id").agg(F.slice(F.array_distinct(first), 1, k + 1).alias("_found"))
     met = asked.join(merged, F.col("_class") == F.col("_query_id"))
     others = F.slice(F.filter("_found", lambda x: x["_id"] != F.col("query_id")), 1, k)
     met = met.select("query_id", F.posexplode(others).alias("_r", "_x"))
