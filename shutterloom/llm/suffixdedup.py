@@ -320,8 +320,17 @@ def _in_groups(contexts: DataFrame, length: int, passage: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solved(rows: list[tuple]) -> pa.RecordBatch:
-            found = repeated([(r[0], r[4], r[5], len(r[3]) > 1) for r in rows], (length, passage)).tolist() if rows else [[], []]
-            made = [(row[1], row[2], p - a, p + b, short) for short, of in zip((False, True), found, strict=True) for row, (a, b) in zip(rows, of, strict=True) if b >= 0 for p in row[3]]
+            # contexts that are alike in several texts are judged once, as standing twice
+            alike: dict[tuple[int, int, bytes], int] = {}
+            times: list[int] = []
+            of = []
+            for row in rows:
+                of.append(alike.setdefault((row[0], row[4], row[5]), len(times)))
+                if of[-1] == len(times):
+                    times.append(0)
+                times[of[-1]] += len(row[3])
+            found = repeated([(*c, n > 1) for c, n in zip(alike, times, strict=True)], (length, passage)).tolist() if rows else [[], []]
+            made = [(row[1], row[2], p - a, p + b, short) for short, x in zip((False, True), found, strict=True) for row, (a, b) in zip(rows, map(x.__getitem__, of), strict=True) if b >= 0 for p in row[3]]
             columns = list(zip(*made, strict=True)) if made else [()] * 5
             kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.bool_())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["_class", "_key", "_from", "_to", "_short"])
