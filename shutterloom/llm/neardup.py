@@ -28,6 +28,7 @@ LOW = 12  # smallest hashes that a class has in inverted lists
 SKETCH = 768  # smallest hashes in a sketch
 MISS = 1e-8  # chance that two sets just at the threshold share no list
 BLOCK = 4096  # classes of one list in one task, at most twice
+HUB = 200  # pairs of one class that are confirmed together
 _POWERS = np.concatenate(([np.uint64(1)], np.full(4095, 0x9E3779B97F4A7C15, dtype=np.uint64))).cumprod(dtype=np.uint64)
 _SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
 _LOWER = np.array([b + 32 if 0x41 <= b <= 0x5A else b for b in range(256)], dtype=np.uint8)
@@ -244,7 +245,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, width: int
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["_a", "_b"]).filter(pa.array(ok, pa.bool_()))
 
-    made = materialise(pairs.join(two, "_b").join(one, "_a").select("_a", "_b", "_s", "_t").mapInArrow(run, "_a long, _b long"))
+    # a class with very many pairs is dealt out, and its text sent once to each of its tasks
+    hubs = pairs.groupBy("_a").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("_of")).where("_of > 1")
+    of = F.coalesce("_of", F.lit(1))
+    dealt = pairs.join(hubs, "_a", "left").select("_a", "_b", F.pmod(F.xxhash64("_b"), of).cast("int").alias("_salt"))
+    one = one.join(hubs, "_a", "left").select("_a", "_s", F.explode(F.sequence(F.lit(0), of - 1)).alias("_salt"))
+    made = materialise(dealt.join(two, "_b").join(one, ["_a", "_salt"]).select("_a", "_b", "_s", "_t").mapInArrow(run, "_a long, _b long"))
     discard(held)
     return made
 

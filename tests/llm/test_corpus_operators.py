@@ -63,6 +63,7 @@ def brute_groups(rows, width, percent):
 @pytest.mark.parametrize(("width", "percent", "block"), [(3, 85, 4096), (5, 80, 7)])
 def test_near_duplicates(spark, monkeypatch, width, percent, block):
     monkeypatch.setattr(neardup, "BLOCK", block)  # a small one: lists meet block by block
+    monkeypatch.setattr(neardup, "HUB", max(2, block // 20))
     rng = random.Random(4)
     rows = []
     for g in range(8):
