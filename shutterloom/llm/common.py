@@ -65,17 +65,20 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: While a table is written: shuffle files of a query go when it ends, as its rows are in the table then, and Python
-#: gets texts in batches of a few megabytes.
-_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "2000"}
+#: While a table is written, shuffle files of a query go when it ends, as its rows are in the table then.
+_CLEANUP, _BATCH = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes the rows to the shared folder and reads them again: lineage ends, and a lost executor costs nothing."""
+def materialise(df: DataFrame, batch_rows: int = 2000) -> DataFrame:
+    """Writes the rows to the shared folder and reads them again: lineage ends, and a lost executor costs nothing.
+
+    Python gets ``batch_rows`` rows at once, a few megabytes where they hold texts; short rows may come in larger batches.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    before = {k: spark.conf.get(k, None) for k in _WRITING}
-    for k, v in _WRITING.items():
+    writing = {_CLEANUP: "true", _BATCH: str(batch_rows)}
+    before = {k: spark.conf.get(k, None) for k in writing}
+    for k, v in writing.items():
         spark.conf.set(k, v)
     try:
         df.write.parquet(path)
