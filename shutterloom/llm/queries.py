@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, langid, licenses, lm, mixing, neardup, quality, secrets, suffixdedup
+from . import ann, decontaminate, fim, langid, licenses, lm, mixing, neardup, quality, resampling, secrets, sharding, suffixdedup
 from .common import table
 
 
@@ -56,8 +56,25 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", langid.held_out(10, 0))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fim.transform(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id", F.col("fim_n").alias("n"), F.col("fim_form").alias("form"), F.col("fim_prefix_chars").alias("prefix_chars"), F.col("fim_middle_chars").alias("middle_chars"),
+        F.sha2("fim_output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("fim_form"), F.col("fim_output")), 256).alias("restored_sha256"),
+    )
+
+
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    return made.select("doc_id", *[F.col(f"dsir_{c}").alias(c if c != "features" else "n_features") for c in ("features", "weight", "score", "rank")])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_mix": op2_mix, "op3_ann": op3_ann, "op7_suffixdedup": op7_suffixdedup, "op4_secrets": op4_secrets, "op5_quality": op5_quality, "op6_neardup": op6_neardup, "op9_langid": op9_langid, "op8_licenses": op8_licenses, "op10_lm": op10_lm}
+    return {"op1_decontaminate": op1_decontaminate, "op2_mix": op2_mix, "op3_ann": op3_ann, "op7_suffixdedup": op7_suffixdedup, "op4_secrets": op4_secrets, "op5_quality": op5_quality, "op6_neardup": op6_neardup, "op9_langid": op9_langid, "op8_licenses": op8_licenses, "op10_lm": op10_lm, "op11_fim": op11_fim, "op12_shards": op12_shards, "op13_resample": op13_resample}
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -118,5 +135,67 @@ FROM b LEFT JOIN v ON b.r = v.r LEFT JOIN q ON b.r = q.r
 """
 
 
+def _drawn(key: str, digits: int, at: int = 0) -> str:
+    """Digits of a SHA-256 as an unsigned integer."""
+    return f"('0x' || substr(sha256('{key}:' || coalesce(CAST(doc_id AS VARCHAR), '')), {8 * at + 1}, {digits}))::BIGINT"
+
+
+OP11_SQL = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, {", ".join(f"{_drawn('1', 8, i)} AS h{i + 1}" for i in range(4))} FROM documents),
+r AS (SELECT *, len(w) AS n, least(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS a, greatest(h1 % (len(w) + 1), h2 % (len(w) + 1)) AS z FROM t),
+p AS (SELECT doc_id, x, n, array_to_string(w[1:a], '') AS pre, array_to_string(w[a + 1:z], '') AS mid, array_to_string(w[z + 1:n], '') AS suf,
+  CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM r)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(x) AS restored_sha256
+FROM p
+"""
+
+
+#: CRC-32 of bytes written in hexadecimal, as a list of their pairs: the table of 256 remainders made by its rule, then a step a byte.
+_CRC_TABLE = "crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i] || list_transform(range(8), lambda k: 0::BIGINT), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) AS rests)"
+
+
+def _crc(text: str) -> str:
+    pairs = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda p: ('0x' || p)::BIGINT)"
+    return f"xor(list_reduce([4294967295::BIGINT] || {pairs}, lambda a, b: xor(a // 256, rests[xor(a, b) % 256 + 1])), 4294967295)"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, sha256(coalesce(text, '')) AS h, {_crc("coalesce(text, '')")} AS c FROM documents, crc),
+g AS (SELECT h, sum(sum(size)) OVER (ORDER BY h)::BIGINT AS e, sum(size)::BIGINT AS b FROM d GROUP BY h),
+-- a walk over the groups for a capacity: the end of the shard that begins at a place; then a smaller or a larger capacity
+s(lo, hi, pos, k, fits) AS (
+  SELECT 1::BIGINT, max(e), 0::BIGINT, 0, false FROM g
+  UNION ALL
+  SELECT CASE WHEN pos < total AND k = 16 THEN (lo + hi) // 2 + 1 ELSE lo END, CASE WHEN pos = total THEN (lo + hi) // 2 ELSE hi END,
+    CASE WHEN pos = total OR k = 16 THEN 0 ELSE greatest((SELECT coalesce(max(e), 0) FROM g WHERE e <= pos + (lo + hi) // 2), (SELECT min(e) FROM g WHERE e > pos)) END,
+    CASE WHEN pos = total OR k = 16 THEN 0 ELSE k + 1 END, false
+  FROM s, (SELECT max(e) AS total FROM g) WHERE lo < hi),
+cap AS (SELECT max(lo) AS c FROM s WHERE lo = hi),
+w(y) AS (SELECT 0::BIGINT UNION ALL SELECT greatest((SELECT coalesce(max(e), 0) FROM g WHERE e <= y + c), (SELECT min(e) FROM g WHERE e > y)) FROM w, cap WHERE y < (SELECT max(e) FROM g)),
+p AS (SELECT h, (SELECT count(*) FROM w WHERE y > 0 AND y < e) AS shard FROM g)
+SELECT doc_id, size::BIGINT AS size, c::BIGINT AS text_crc32, 'bytes' AS law, shard::INTEGER AS shard, row_number() OVER (PARTITION BY shard ORDER BY h, doc_id NULLS FIRST) - 1 AS slot, NULL::INTEGER AS grown_shard
+FROM d JOIN p USING (h)
+"""
+
+
+OP13_SQL = f"""
+WITH {_CRC_TABLE},
+b AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+f AS (SELECT r, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS x FROM b),
+q AS (SELECT unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS x FROM (SELECT {_WORDS} AS w FROM benchmark)),
+k AS (SELECT x, {_crc("x")} % 10000 AS k FROM (SELECT x FROM f UNION SELECT x FROM q), crc),
+s AS (SELECT k, count(*) AS s FROM f JOIN k USING (x) GROUP BY 1),
+t AS (SELECT k, count(*) AS t FROM q JOIN k USING (x) GROUP BY 1),
+g AS (SELECT i AS k, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM f) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM q) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM (SELECT unnest(range(10000)) AS i) LEFT JOIN s ON s.k = i LEFT JOIN t ON t.k = i),
+v AS (SELECT r, count(*) AS n, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM f JOIN k USING (x) JOIN g USING (k) GROUP BY 1),
+z AS (SELECT r, doc_id, len(w) >= 20 AS able, coalesce(n, 0) AS n, coalesce(weight, 0) AS weight, coalesce(weight, 0) + floor(-1000 * ln(-ln(({_drawn('7', 8)} + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM b LEFT JOIN v USING (r)),
+o AS (SELECT r, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM z WHERE able)
+SELECT doc_id, n::BIGINT AS n_features, weight, score, CASE WHEN rank <= 25 * (SELECT count(*) FROM o) // 100 THEN rank END AS rank FROM z LEFT JOIN o USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": OP1_SQL, "op6_neardup": OP6_SQL, "op7_suffixdedup": OP7_SQL}
+    return {"op1_decontaminate": OP1_SQL, "op6_neardup": OP6_SQL, "op7_suffixdedup": OP7_SQL, "op11_fim": OP11_SQL, "op12_shards": OP12_SQL, "op13_resample": OP13_SQL}
