@@ -1,8 +1,7 @@
-"""Ratings as an append-only event log: current state, undo and redo, filters, counts and navigation."""
+"""Ratings as an append-only event log: current state, filters, counts and navigation."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,7 +9,6 @@ from pyspark.sql.window import Window
 #: Fixed values.
 RATINGS = ("keep", "reject", "favorite")
 FILTERS = ("all", "unrated", "keeps", "rejects", "favorites", "suggested", "suggested_keep", "suggested_reject", "suggested_favorite")
-UNDO_DEPTH = 100
 #: The filters behind each tab, the first its own; the width in pixels that takes up the middle size and that which lets it go.
 CYCLES = {"all": ("all",), "unrated": ("unrated",), "keeps": ("keeps", "favorites"), "suggested": ("suggested", "suggested_reject", "suggested_keep", "suggested_favorite")}
 ENGAGE, RELEASE = 1750, 1650
@@ -30,45 +28,6 @@ def latest(scores: DataFrame, key: str = "id", seq: str = "seq", generation: int
     return rows.withColumn("_n", newest).where("_n = 1").drop("_n")
 
 
-def replay(actions: DataFrame) -> DataFrame:
-    """session, img_id, rating after all actions of each session, in seq order.
-
-    ``actions`` has session, seq, kind (rate, undo, redo), img_id, rating (null clears). Undo takes back the last
-    action not taken back, UNDO_DEPTH at most; redo brings it again; a new rating forgets what could be redone. A
-    session is one person's clicks, so its actions fit in one task.
-    """
-
-    def session(rows: pd.DataFrame) -> pd.DataFrame:
-        state: dict[int, str] = {}
-        undo: list[tuple] = []
-        redo: list[tuple] = []
-        for row in rows.sort_values("seq").itertuples():
-            if row.kind == "rate":
-                after = None if pd.isna(row.rating) else row.rating
-                before = state.get(row.img_id)
-                if before == after:
-                    continue
-                undo = [*undo, (row.img_id, before, after)][-UNDO_DEPTH:]
-                redo = []
-                _put(state, row.img_id, after)
-            elif row.kind == "undo" and undo:
-                redo.append(undo.pop())
-                _put(state, redo[-1][0], redo[-1][1])
-            elif row.kind == "redo" and redo:
-                undo.append(redo.pop())
-                _put(state, undo[-1][0], undo[-1][2])
-        return pd.DataFrame({"session": [rows["session"].iloc[0]] * len(state), "img_id": list(state), "rating": list(state.values())})
-
-    return actions.groupBy("session").applyInPandas(session, "session bigint, img_id bigint, rating string")
-
-
-def _put(state: dict, img: int, rating: str | None) -> None:
-    if rating is None:
-        state.pop(img, None)
-    else:
-        state[img] = rating
-
-
 def unrated_from(frames: DataFrame, at: int, direction: int, skip: int | None = None) -> DataFrame:
     """One row, ord: the next (direction 1) or previous (-1) unrated frame from the place ``at``, other than the frame ``skip``; null if there is none."""
     free = frames.where(F.col("rating").isNull() & ~F.coalesce(F.col("id") == F.lit(skip), F.lit(False)))
@@ -83,16 +42,6 @@ def next_challenger(frames: DataFrame, challenger: int, champion: int | None) ->
     return free.join(F.broadcast(at)).agg(F.coalesce(ahead, behind).alias("ord"))
 
 
-def duel(verb: str, champion: Column, challenger: Column) -> Column:
-    """array<struct<img_id, after>>: what a duel changes. The loser is rejected; keeping both keeps both."""
-    change = lambda img, after: F.struct(img.alias("img_id"), F.lit(after).alias("after"))
-    return {
-        "win": F.array(change(champion, "reject"), change(challenger, "keep")),
-        "lose": F.array(change(challenger, "reject")),
-        "keep_both": F.array(change(champion, "keep"), change(challenger, "keep")),
-    }[verb]
-
-
 def passes(mode: str, rating: Column, verdict: Column) -> Column:
     """Whether a frame is visible under a filter. Suggestions count only on unrated frames."""
     free = rating.isNull()

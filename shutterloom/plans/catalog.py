@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,29 +10,10 @@ from ..functions import expr, formats
 from ..operators import inputs, islands, ratings, storage, verdict, winner
 from ..operators.ordering import numbered
 from ..sources import settings
+from . import journal  # noqa: F401  registers its queries
 from .frames import BURST, FRAMES_SQL, frames, grouped, judged, table
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def _query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+from .registry import oracle_sql, queries  # noqa: F401
+from .registry import query as _query
 
 
 @_query(f"WITH {FRAMES_SQL} SELECT id, path, ord FROM f")
@@ -220,15 +199,6 @@ def rating_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratings.current(log)
 
 
-@_query()
-def undo_redo(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = F.col("event_id")
-    kind = F.when(e % 5 == 3, "undo").when(e % 7 == 4, "redo").otherwise("rate")
-    rating = F.when(e % 4 == 0, "keep").when(e % 4 == 1, "reject").when(e % 4 == 2, "favorite")
-    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("session"), e.alias("seq"), kind.alias("kind"), (e % 40).alias("img_id"), rating.alias("rating"))
-    return ratings.replay(log)
-
-
 @_query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND n_chars >= 500")
 def work_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("n_chars >= 500").select(F.col("doc_id").alias("id"))

@@ -102,12 +102,6 @@ def test_favourites_are_capped_with_ties_by_id(spark):
     assert [r.id for r in got.where("verdict = 'favorite'").orderBy("id").collect()] == [1, 3, 5, 7, 9]
 
 
-def test_undo_and_redo(spark):
-    log = [(1, 1, "rate", 7, "keep"), (1, 2, "rate", 8, "reject"), (1, 3, "undo", None, None), (1, 4, "redo", None, None), (1, 5, "undo", None, None), (1, 6, "rate", 9, "keep"), (1, 7, "redo", None, None), (1, 8, "rate", 7, None)]
-    got = ratings.replay(spark.createDataFrame(log, "session bigint, seq bigint, kind string, img_id bigint, rating string"))
-    assert sorted((r.img_id, r.rating) for r in got.collect()) == [(9, "keep")]
-
-
 def test_numbering_has_nulls_last(spark):
     df = numbered(spark.createDataFrame([(5,), (None,), (1,), (12,)], "x int"), F.floor(F.col("x") / 10), F.col("x").asc_nulls_last())
     assert {r.x: r.ord for r in df.collect()} == {1: 0, 5: 1, 12: 2, None: 3}
