@@ -7,6 +7,7 @@ frame, and the beginning of the open run, of the ranges before it: no task holds
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -59,45 +60,78 @@ def alike(p: Column, c: Column, rule: SimilarRule) -> Column:
     return F.coalesce(near & (same | close), F.lit(False))
 
 
-def runs(frames: DataFrame, free: Column, linked, prefix: str, columns: tuple[str, ...], least: int = 2, span: int = SPAN) -> DataFrame:
-    """frames with {prefix}_group (dense, from 0), _pos (from 1) and _len, null outside of runs of ``least`` or more.
+@dataclass(frozen=True)
+class Run:
+    """A kind of run: its frames are ``free``, ``linked`` takes the structs of the frame before and of the frame, and ``least`` frames make one."""
+
+    prefix: str
+    free: Column
+    linked: Callable[[Column, Column], Column]
+    least: int = 2
+
 
-    ``linked`` takes the structs of the frame before and of the frame, over ``columns``; frames that are not ``free``
-    are walls. ``frames`` is read twice, so it should be a table; where the runs begin is written to one.
+def all_runs(frames: DataFrame, kinds: list[Run], columns: tuple[str, ...], span: int = SPAN, dense: bool = True) -> DataFrame:
+    """frames with {prefix}_group (dense, from 0), _pos (from 1) and _len for each kind, null outside of its runs.
+
+    ``linked`` sees the ``columns``; frames that are not free are walls, and so are gaps in ord. Without ``dense`` a group
+    is named by the ord of its first frame. ``frames`` is read twice, so it should be a table; where the runs begin is
+    written to one, for all kinds in one pass.
     """
     frames = frames.withColumn("_range", F.floor(F.col("ord") / span))
-    here = F.struct("src_folder", F.coalesce(free, F.lit(False)).alias("_free"), *columns)
+    free = [F.coalesce(k.free, F.lit(False)).alias(f"_free{i}") for i, k in enumerate(kinds)]
+    here = F.struct("ord", "src_folder", *free, *columns)
     last = frames.where(F.col("ord") % span == span - 1).select((F.col("_range") + 1).alias("_next"), here.alias("_last"))
     order = Window.partitionBy("_range").orderBy("ord")
     marked = frames.withColumn("_here", here).withColumn("_before", F.lag("_here").over(order)).join(last, F.col("_range") == F.col("_next"), "left")
     before, own = F.coalesce("_before", "_last"), F.col("_here")
-    link = before["_free"] & own["_free"] & (before["src_folder"] == own["src_folder"]) & linked(before, own)
-    marked = marked.withColumn("_start", F.when(~F.coalesce(link, F.lit(False)), F.col("ord")))
+    beside = (own["ord"] - before["ord"] == 1) & (before["src_folder"] == own["src_folder"])
+    link = [beside & before[f"_free{i}"] & own[f"_free{i}"] & k.linked(before, own) for i, k in enumerate(kinds)]
+    marked = marked.withColumns({f"_start{i}": F.when(~F.coalesce(x, F.lit(False)), F.col("ord")) for i, x in enumerate(link)})
     # the beginning of the run, null where it is in an earlier range
-    marked = marked.withColumn("_first", F.last("_start", ignorenulls=True).over(order)).drop("_here", "_before", "_next", "_last", "_start")
-    marked = settled(marked)
-    opened = marked.groupBy("_range").agg(F.max("_first").alias("_f"))
+    marked = marked.withColumns({f"_first{i}": F.last(f"_start{i}", ignorenulls=True).over(order) for i in range(len(kinds))})
+    marked = settled(marked.drop("_here", "_before", "_next", "_last", *[f"_start{i}" for i in range(len(kinds))]))
+    opened = marked.groupBy("_range").agg(*[F.max(f"_first{i}").alias(f"_f{i}") for i in range(len(kinds))])
     so_far = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0)  # a row for each range
-    opened = opened.select((F.col("_range") + 1).alias("_next"), F.max("_f").over(so_far).alias("_open"))
-    marked = marked.join(opened, F.col("_range") == F.col("_next"), "left").withColumn("_first", F.coalesce("_first", "_open")).drop("_next", "_open", "_range")
-    found = marked.groupBy(F.col("_first").alias("_f")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
-    found = numbered(found, F.floor(F.col("_f") / span), F.col("_f"), name="_g")
-    marked = marked.join(found, F.col("_first") == F.col("_f"), "left")
-    pos = F.when(F.col("_g").isNotNull(), F.col("ord") - F.col("_first") + 1)
-    return marked.withColumns({f"{prefix}_group": F.col("_g"), f"{prefix}_pos": pos.cast("int"), f"{prefix}_len": F.col("_n").cast("int")}).drop("_first", "_f", "_n", "_g")
+    opened = opened.select((F.col("_range") + 1).alias("_next"), *[F.max(f"_f{i}").over(so_far).alias(f"_open{i}") for i in range(len(kinds))])
+    marked = marked.join(opened, F.col("_range") == F.col("_next"), "left")
+    marked = marked.withColumns({f"_first{i}": F.coalesce(f"_first{i}", f"_open{i}") for i in range(len(kinds))}).drop("_next", "_range", *[f"_open{i}" for i in range(len(kinds))])
+    for i, k in enumerate(kinds):
+        found = marked.groupBy(F.col(f"_first{i}").alias("_f")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k.least)
+        found = numbered(found, F.floor(F.col("_f") / span), F.col("_f"), name="_g") if dense else found.withColumn("_g", F.col("_f"))
+        marked = marked.join(found, F.col(f"_first{i}") == F.col("_f"), "left")
+        pos = F.when(F.col("_g").isNotNull(), F.col("ord") - F.col(f"_first{i}") + 1)
+        marked = marked.withColumns({f"{k.prefix}_group": F.col("_g"), f"{k.prefix}_pos": pos.cast("int"), f"{k.prefix}_len": F.col("_n").cast("int")}).drop(f"_first{i}", "_f", "_n", "_g")
+    return marked
+
+
+def runs(frames: DataFrame, free: Column, linked: Callable[[Column, Column], Column], prefix: str, columns: tuple[str, ...], least: int = 2, span: int = SPAN) -> DataFrame:
+    """all_runs() of one kind."""
+    return all_runs(frames, [Run(prefix, free, linked, least)], columns, span)
+
+
+#: What links of each kind look at.
+BURST_KEYS = ("drive_mode", "focal_mm", "captured_ms", "sub_sec_ms", "mtime_ms")
+SIMILAR_KEYS = ("captured_ms", "mtime_ms", "phash", "embedding")
+
+
+def burst_run(rule: BurstRule) -> Run:
+    """Frames without input (has_input false) are walls."""
+    return Run("burst", F.col("has_input"), lambda p, c: continues_burst(p, c, rule))
+
+
+def similar_run(rule: SimilarRule) -> Run:
+    """Members of bursts are walls too."""
+    return Run("sim", F.col("has_input") & F.col("burst_group").isNull(), lambda p, c: alike(p, c, rule))
 
 
 def bursts(frames: DataFrame, rule: BurstRule = BurstRule(), span: int = SPAN) -> DataFrame:
-    """frames with burst_group, burst_pos, burst_len. Frames without input (has_input false) are walls."""
-    keys = ("drive_mode", "focal_mm", "captured_ms", "sub_sec_ms", "mtime_ms")
-    return runs(frames, F.col("has_input"), lambda p, c: continues_burst(p, c, rule), "burst", keys, span=span)
+    """frames with burst_group, burst_pos, burst_len."""
+    return all_runs(frames, [burst_run(rule)], BURST_KEYS, span)
 
 
 def similar_sets(frames: DataFrame, rule: SimilarRule = SimilarRule(), span: int = SPAN) -> DataFrame:
-    """frames with sim_group, sim_pos, sim_len; members of bursts are walls too."""
-    keys = ("captured_ms", "mtime_ms", "phash", "embedding")
-    free = F.col("has_input") & F.col("burst_group").isNull()
-    return runs(frames, free, lambda p, c: alike(p, c, rule), "sim", keys, span=span)
+    """frames with sim_group, sim_pos, sim_len."""
+    return all_runs(frames, [similar_run(rule)], SIMILAR_KEYS, span)
 
 
 def adjacent_signals(frames: DataFrame) -> DataFrame:

@@ -11,10 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import sidecar
-from ..operators.ratings import UNDO_DEPTH, latest
+from ..operators.ratings import latest
 
 #: Files in a trigger from a network share and from a local disk; seconds to wait before each further try of a write.
 CHUNK = {"network": 6, "local": 16}
@@ -44,92 +43,41 @@ def standing(spark: SparkSession, store: str) -> DataFrame:
     return latest(spark.read.parquet(store), "path", "seq")
 
 
-def rederived(stream: DataFrame, store: str, derive: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> DataStreamWriter:
-    """After each micro-batch of scores (path, src_folder ...), the suggestions of the folders that it touched, anew.
-
-    Runs and winners depend on all frames of a folder, so a folder is derived whole, from the standing scores. The
-    folders of a batch are written together, as one more generation of the target, by its number: a batch that runs
-    again writes the same folder of files again. Read the target with suggestions_now().
-    """
-
-    def write(batch: DataFrame, number: int) -> None:
-        touched = batch.select("src_folder").distinct()
-        batch.withColumn("seq", F.lit(number)).write.mode("overwrite").parquet(f"{store}/batch={number}")
-        scores = standing(batch.sparkSession, store).join(touched, "src_folder", "left_semi")
-        derive(scores).withColumn("derived", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-
-
-def suggestions_now(spark: SparkSession, target: str) -> DataFrame:
-    """The suggestions of each folder's last derivation; what it no longer suggests is gone."""
-    rows = spark.read.parquet(target)
-    newest = rows.groupBy("src_folder").agg(F.max("derived").alias("derived"))
-    return rows.join(newest, ["src_folder", "derived"], "left_semi")
-
-
-_STATE = "undo array<struct<img:bigint,before:string,after:string>>, redo array<struct<img:bigint,before:string,after:string>>, ratings map<bigint,string>"
-
-
-def rating_stream(actions: DataFrame) -> DataFrame:
-    """session, seq, img_id, rating: the change that each action of a stream makes, undo and redo included.
-
-    ``actions`` has session, seq, kind, img_id, rating. A session's stacks are its state, so they outlive a batch.
-    """
-
-    def step(key: tuple, frames, state: GroupState):
-        undo, redo, ratings = (list(x) if not isinstance(x, dict) else dict(x) for x in state.get) if state.exists else ([], [], {})
-        undo, redo = [tuple(x) for x in undo], [tuple(x) for x in redo]
-        made = []
-        for row in pd.concat(list(frames)).sort_values("seq").itertuples():
-            img = after = None
-            if row.kind == "rate":
-                img, after = row.img_id, None if pd.isna(row.rating) else row.rating
-                if ratings.get(img) == after:
-                    continue
-                undo, redo = [*undo, (img, ratings.get(img), after)][-UNDO_DEPTH:], []
-            elif row.kind == "undo" and undo:
-                redo.append(undo.pop())
-                img, after = redo[-1][0], redo[-1][1]
-            elif row.kind == "redo" and redo:
-                undo.append(redo.pop())
-                img, after = undo[-1][0], undo[-1][2]
-            if img is not None:
-                ratings = {k: v for k, v in ratings.items() if k != img} | ({img: after} if after is not None else {})
-                made.append((key[0], row.seq, img, after))
-        state.update((undo, redo, ratings))
-        yield pd.DataFrame(made, columns=["session", "seq", "img_id", "rating"])
-
-    return actions.groupBy("session").applyInPandasWithState(step, "session bigint, seq bigint, img_id bigint, rating string", _STATE, "append", GroupStateTimeout.NoTimeout)
-
-
 def write_sidecars(changes: DataFrame, marks: sidecar.Marks = sidecar.Marks(), retries: tuple[float, ...] = RETRIES) -> DataFrame:
     """path, error for each change (path of the sidecar, seq, rating; null clears): the last one of each path is written.
 
     Paths are those of a file system that all executors mount. Each path is one task's, a write replaces the file in
-    one step, unchanged bytes are not written, and doing it again changes nothing. A write that fails is tried again
-    after each of ``retries``, in seconds; an error is that of the last try.
+    one step, unchanged bytes are not written, and doing it again changes nothing. Writes that fail are tried again
+    after each of ``retries``, in seconds, those of one Arrow batch together; an error is that of the last try. As a
+    stream, where no task may wait, take sessions.write_queue() with writer().
     """
 
     def tried(path: str, value: str | None) -> str | None:
-        for wait in (*retries, None):
-            try:
-                _write(path, value, marks)
-                return None
-            except (OSError, KeyError) as e:
-                if wait is None:
-                    return f"{type(e).__name__}: {e}"
-                time.sleep(wait)
-        return None
+        try:
+            _write(path, value, marks)
+            return None
+        except (OSError, KeyError) as e:
+            return f"{type(e).__name__}: {e}"
 
     def run(batches):
         for batch in batches:
-            errors = [tried(path, None if pd.isna(value) else value) for path, value in zip(batch["path"], batch["rating"], strict=True)]
-            yield pd.DataFrame({"path": batch["path"], "error": errors})
+            values = {p: None if pd.isna(v) else v for p, v in zip(batch["path"], batch["rating"], strict=True)}
+            errors = {p: tried(p, v) for p, v in values.items()}
+            for wait in retries:
+                # all that failed wait together
+                if failed := [p for p, e in errors.items() if e]:
+                    time.sleep(wait)
+                    errors |= {p: tried(p, values[p]) for p in failed}
+            yield pd.DataFrame({"path": list(errors), "error": list(errors.values())})
 
     return latest(changes, "path", "seq").select("path", "rating").mapInPandas(run, "path string, error string")
 
 
+def writer(marks: sidecar.Marks = sidecar.Marks()) -> Callable[[str, str | None], None]:
+    """What writes one rating to its sidecar, or clears it, for sessions.write_queue()."""
+    return lambda path, rating: _write(path, rating, marks)
+
+
 def _write(path: str, value: str | None, marks: sidecar.Marks) -> None:
     old = None
     if os.path.exists(path):

@@ -132,18 +132,6 @@ def test_stored_recents(spark):
     assert {r[0] for r in found} == {1, 2, 5} and [r[1] for r in found if r[0] == 5] == [[str(i)] for i in range(5)]
 
 
-def test_folders_are_derived_again_by_batch(spark, tmp_path):
-    source, kept, out = (str(tmp_path / n) for n in ("in", "store", "out"))
-    kind = "path string, src_folder string, sharp double"
-    derive = lambda s: s.join(s.groupBy("src_folder").agg(F.max_by("path", "sharp").alias("best")), "src_folder").select("src_folder", "path", (F.col("path") == F.col("best")).alias("winner"))
-    for n, rows in enumerate(([("a1", "a", 0.5), ("b1", "b", 0.5)], [("a2", "a", 0.9)], [("a1", "a", 1.0)])):
-        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(source)
-        stream = scoring.arriving(spark, source, kind)
-        scoring.rederived(stream, kept, derive, out, str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
-        got = {r.path: r.winner for r in scoring.suggestions_now(spark, out).collect()}
-        assert got == ({"a1": True, "b1": True}, {"a1": False, "a2": True, "b1": True}, {"a1": True, "a2": False, "b1": True})[n]
-
-
 def test_runs_across_ranges(spark):
     kind = "id int, ord bigint, src_folder string, drive_mode int, focal_mm double, captured_ms bigint, sub_sec_ms int, mtime_ms bigint, has_input boolean"
     rows = [(i, i, "a", 8, 85.0, 100 * i + 5000 * (i // 23), 0, 0, i != 40) for i in range(60)]
@@ -252,12 +240,6 @@ def test_streams(spark, tmp_path):
     stream = scoring.arriving(spark, source, "path string, gen int, v double")
     scoring.scored(stream, lambda df: df.withColumn("score", F.col("v") * 2), out, str(tmp_path / "cp"), 1).trigger(availableNow=True).start().awaitTermination()
     assert [(r.path, r.score) for r in scoring.standing(spark, out).collect()] == [("a", 2.0)]
-    log = str(tmp_path / "log")
-    kind = "session bigint, seq bigint, kind string, img_id bigint, rating string"
-    spark.createDataFrame([(1, 1, "rate", 7, "keep"), (1, 2, "rate", 7, "reject"), (1, 3, "undo", None, None)], kind).coalesce(1).write.parquet(log)
-    made = scoring.rating_stream(scoring.arriving(spark, log, kind))
-    made.writeStream.format("memory").queryName("made").outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    assert [(r.seq, r.img_id, r.rating) for r in spark.table("made").orderBy("seq").collect()] == [(1, 7, "keep"), (2, 7, "reject"), (3, 7, "keep")]
 
 
 def test_sidecar_sink(spark, tmp_path):
