@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.columns import column, packed, unpacked  # noqa: F401
+
 #: ASCII letters in lower case, and every byte that no word has as a space: words are runs of 0-9, a-z and bytes from 0x80.
 WORD_BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20
@@ -25,21 +27,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def column(name: str) -> Column:
-    """The column of that very name, dots and backticks included."""
-    return F.col("`" + name.replace("`", "``") + "`")
-
-
-def packed(docs: DataFrame, names: list[str], alias: str = "_docs") -> Column:
-    """The columns as one struct under names of our own, so that theirs clash with nothing and Arrow takes them."""
-    return F.struct(*[column(c).alias(f"c{i}") for i, c in enumerate(names)] or [F.lit(0).alias("none")]).alias(alias)
-
-
-def unpacked(names: list[str], alias: str = "_docs") -> list[Column]:
-    """The columns that packed() made one, under their names."""
-    return [F.col(f"{alias}.c{i}").alias(c) for i, c in enumerate(names)]
-
-
 def words(text: bytes) -> list[bytes]:
     """Words of letters, digits and non-ASCII characters, A-Z lower-cased."""
     return text.translate(WORD_BYTES).split()

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD_BYTES, materialise, texts, words
+from .common import WORD_BYTES, materialise, packed, texts, unpacked, words
 
 WINDOW = 10
 #: Words of benchmark items in one automaton: some 300 bytes each on an executor.
@@ -260,40 +260,42 @@ def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_cove
     """docs without the benchmark's passages, all columns kept.
 
     Words under a matched window are cut out of the text; a document of which more than ``max_coverage`` is hit goes
-    altogether. Clean documents, null and empty texts pass unchanged. ``n_chars``, if there, is counted anew for
+    altogether. Clean documents, null and empty texts pass unchanged; repeated rows
+    are treated alike, other columns may have any name. ``n_chars``, if there, is counted anew for
     texts that were cut. Several blocks of items take a pass each over the whole texts; what they find is united
     before coverage is tested and passages are cut.
     """
-    names, schema = docs.columns, docs.schema
+    names = docs.columns
     first, more = _few(benchmark, block_words)
     if not first:
         return docs
+    rows = docs.select(packed(docs, names, "_all"))
     sent = docs.sparkSession.sparkContext.broadcast(first[0])
     at, known = names.index("text"), more
     if more:
-        numbered = _numbered(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_all"), F.col("text")))
+        numbered = _numbered(docs.select(packed(docs, names, "_all"), "text"))
         found = _in_blocks(numbered, item_blocks(benchmark, block_words), window).where(F.size("runs") > 0).select(F.col("doc_id").alias("_row"), F.col("runs").alias("_runs"))
-        # all columns of docs, then the runs
-        docs = numbered.join(found, "_row", "left").select("_all.*", "_runs")
+        rows = numbered.join(found, "_row", "left").select("_all", "_runs")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = None if known else Automaton(((i, words(t.encode())) for i, t in sent.value), window)
         for batch in batches:
-            columns = list(batch.columns[: len(names)])
-            given = batch.column(len(names)).to_pylist() if known else [None] * batch.num_rows
+            kinds = list(batch.schema.field(0).type)
+            columns = [batch.column(0).field(i) for i in range(len(names))]
+            given = batch.column(1).to_pylist() if known else [None] * batch.num_rows
             keep, made, changed = [], [], []
-            for text, runs in zip(texts(batch.column(at)), given, strict=True):
+            for text, runs in zip(texts(columns[at]), given, strict=True):
                 ws = words(text or b"") if runs or not known else []
                 runs = runs or [] if known else automaton.scan(ws)[0]
                 hit = sum(runs[1::2]) - sum(runs[::2])
                 keep.append(not hit or hit <= max_coverage * len(ws))
                 changed.append(bool(hit))
                 made.append(_cut(text, runs) if hit else text)
-            columns[at] = pa.array(made, pa.binary()).cast(batch.schema.field(at).type)
+            columns[at] = pa.array(made, pa.binary()).cast(kinds[at].type)
             if "n_chars" in names:
                 k = names.index("n_chars")
                 new = pa.array([len(t.decode()) if c else None for t, c in zip(made, changed, strict=True)], pa.int64())
-                columns[k] = pa.compute.coalesce(new.cast(batch.schema.field(k).type), columns[k])
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
+                columns[k] = pa.compute.coalesce(new.cast(kinds[k].type), columns[k])
+            yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(columns, fields=kinds)], ["_all"]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(cut, schema)
+    return rows.mapInArrow(cut, T.StructType([rows.schema["_all"]])).select(*unpacked(names, "_all"))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import texts
+from .common import packed, texts, unpacked
 
 #: Trigram buckets.
 BUCKETS = 8192
@@ -150,19 +150,19 @@ def held_out(modulus: int, remainder: int):
 def predict(docs: DataFrame, fitted: Model, ambiguous_lead: float = 0.1) -> DataFrame:
     """docs, all columns and rows kept, with lang_pred, lang_score and lang_ambiguous (replacing columns of those names).
 
-    Only the text is looked at. A null text or one without a letter is und with score 0, and not ambiguous.
+    Only the text is looked at; other columns may have any name. A null text or one without a letter is und with score 0, and not ambiguous.
     """
     names = [c for c in docs.columns if c not in ("lang_pred", "lang_score", "lang_ambiguous")]
-    docs = docs.select(*names)
+    docs = docs.select(packed(docs, names))
     more = [T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType()), T.StructField("lang_ambiguous", T.BooleanType())]
     sent, at = docs.sparkSession.sparkContext.broadcast(fitted), names.index("text")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use = sent.value
         for batch in batches:
-            found = [use.predict(t) for t in texts(batch.column(at))]
+            found = [use.predict(t) for t in texts(batch.column(0).field(at))]
             lang, score, lead = zip(*found, strict=True) if found else ((), (), ())
             close = [x != UNKNOWN and y < ambiguous_lead for x, y in zip(lang, lead, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(close, pa.bool_())], [*names, "lang_pred", "lang_score", "lang_ambiguous"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(close, pa.bool_())], ["_docs", "lang_pred", "lang_score", "lang_ambiguous"])
 
-    return docs.mapInArrow(label, T.StructType([*docs.schema.fields, *more]))
+    return docs.mapInArrow(label, T.StructType([*docs.schema.fields, *more])).select(*unpacked(names), "lang_pred", "lang_score", "lang_ambiguous")

@@ -12,7 +12,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_WORD, ascii_lower
+from .common import NOT_WORD, ascii_lower, packed, unpacked
 from .license_rules import RULES
 
 #: The base phrases and their labels.
@@ -73,8 +73,11 @@ def scan(docs: DataFrame) -> DataFrame:
     """docs with n_words, base (array<struct<label, word>>) and detections (array<struct<priority, label, confidence, start, end>>).
 
     start and end are offsets in the normalised text. A null or empty text has no words and no detections.
-    Columns of these names are replaced.
+    Columns of these names are replaced, others stay, of whatever name; repeated rows are alike, an empty table gives an
+    empty one.
     """
+    names = [c for c in docs.columns if c not in ("n_words", "base", "detections")]
+    docs = docs.select(packed(docs, names), "text")
     named = [dict(zip(("priority", "label", "confidence", "keyword", "pattern"), r, strict=True)) for r in rules()]
     every = F.from_json(F.lit(json.dumps(named)), "array<struct<priority:int,label:string,confidence:double,keyword:string,pattern:string>>")
     norm = F.col("_norm")
@@ -104,7 +107,7 @@ def scan(docs: DataFrame) -> DataFrame:
     # _found is named twice, so that it is not worked out again for every rule
     docs = docs.withColumn("_all", F.when(F.size("_found") > 0, F.flatten(F.transform(near, places))).otherwise(F.array().cast(kind)))
     inside = lambda x, y: (y["start"] <= x["start"]) & (x["end"] <= y["end"]) & (y["priority"] < x["priority"])
-    return docs.withColumn("detections", F.filter("_all", lambda x: ~F.exists("_all", lambda y: inside(x, y)))).drop("_low", "_norm", "_gate", "_found", "_all")
+    return docs.withColumn("detections", F.filter("_all", lambda x: ~F.exists("_all", lambda y: inside(x, y)))).select(*unpacked(names), "n_words", "base", "detections")
 
 
 def report(docs: DataFrame) -> DataFrame:

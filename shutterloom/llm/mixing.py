@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .common import packed, unpacked
+
 #: The most sources whose slots are broadcast to the rows.
 BROADCAST_SOURCES = 4096
 #: Slots for each source, at least, in the period that takes the place of one that is too short.
@@ -137,7 +139,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, period: int = 1000, b
     from then on its slots stay empty, so the bound ends there, while the others go on at their own pace. Texts may be
     of any length: none is looked at. Documents of a source without a
     positive weight have null in all four. Repeated rows get a place each. Columns of docs of those names are
-    replaced. ``weights`` has source, weight; by default tempered_weights(docs). A null source counts as a source.
+    replaced, others may have any name. ``weights`` has source, weight; by default tempered_weights(docs). A null source counts as a source.
     More sources than slots in the period lengthen it to a multiple that has SLOTS for each; release, deadline and
     order are then in slots of that period.
     """
@@ -148,7 +150,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, period: int = 1000, b
     if n > period:
         period, plan_by = period * math.ceil(SLOTS * n / period), schedule_many
     plan = plan_by(shares(weights, period), period).select(F.col("source_key").alias("_of"), F.col("share").alias("_share"), F.col("turn").alias("_turn"), F.col("slot").alias("_slot"))
-    rows = docs.select(*names, _keyed(F.col("source")).alias("_source"))
+    rows = docs.select(packed(docs, names), "doc_id", _keyed(F.col("source")).alias("_source"))
     rows = ranked(rows, "_source", F.xxhash64(F.lit(seed), "doc_id"), chunk_rows, counted)
     rows = rows.withColumn("_block", F.floor(F.col("_rank") / block_rows))
     per = plan.groupBy("_of").agg(F.first("_share").alias("_share"), F.transform(F.array_sort(F.collect_list(F.struct("_turn", "_slot"))), lambda x: x["_slot"]).alias("_slots"))
@@ -157,7 +159,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, period: int = 1000, b
     cycle, turn = F.floor(F.col("_block") / F.col("_share")), (F.col("_block") % F.col("_share")).cast("int")
     slot = cycle * period + F.get("_slots", turn)
     return rows.select(
-        *names, F.when(F.col("_share").isNotNull(), F.col("_block")).alias("mix_block"),
+        *unpacked(names), F.when(F.col("_share").isNotNull(), F.col("_block")).alias("mix_block"),
         F.floor(F.col("_block") * period / F.col("_share")).alias("mix_release"),
         F.ceil((F.col("_block") + 1) * period / F.col("_share")).alias("mix_deadline"),
         (slot * block_rows + F.col("_rank") % block_rows).alias("mix_order"),

@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 #: The shapes' patterns, and the least length of what counts (of group 2 for assign).
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # 20 characters or more of AKIA[A-Z0-9]+: a shorter run holds no longer one
@@ -106,8 +108,15 @@ def scan(docs: DataFrame, samples: DataFrame, threshold: float = 0.5) -> DataFra
     is over the threshold, in nats for each pair of characters: at 0.5 a candidate of 20 characters is some 13,000
     times likelier as a random string, so that a rare one among very many identifiers still counts. Equal ratios give
     equal results; kinds that begin at one place are in the order of KINDS. A null text counts as empty; both find
-    nothing. A repeated row has the same result each time. A column named found is replaced, others stay.
+    nothing. A repeated row has the same result each time, an empty table an empty one. A column named found is
+    replaced, others stay, of whatever name.
     """
+    names = [c for c in docs.columns if c != "found"]
+    return _scanned(docs.select(packed(docs, names), "text"), samples, threshold).select(*unpacked(names), "found")
+
+
+def _scanned(docs: DataFrame, samples: DataFrame, threshold: float) -> DataFrame:
+    """docs (_docs, text) with found."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     table = F.split(F.lit(",".join(map(str, ratios(samples)))), ",").cast("array<double>")
     docs = docs.withColumn("_base", F.concat(_places(text, ASSIGN, "assign", 2, ASSIGN_LEAST), _places(text, ACCESS, "access"), _places(text, HEX, "hex")))
@@ -127,7 +136,11 @@ def joined(found: Column) -> Column:
 
 
 def report(docs: DataFrame, samples: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov: one row for each document."""
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_markov: one row for each row of docs.
+
+    Null and empty texts have no spans; repeated rows have a row each; an empty table gives an empty one. Of docs only doc_id
+    and text are read.
+    """
     docs = docs.select("doc_id", "text")
     found = scan(docs, default_samples(docs) if samples is None else samples, threshold)
     of = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long")
@@ -141,10 +154,12 @@ def report(docs: DataFrame, samples: DataFrame | None = None, threshold: float =
 def redact(docs: DataFrame, samples: DataFrame | None = None, threshold: float = 0.5, mask: str = "[SECRET]") -> DataFrame:
     """docs, all columns and rows kept, with every found span replaced by the mask.
 
-    Overlapping spans count as one. n_chars, if there, is counted anew for the texts that change.
+    Overlapping spans count as one. n_chars, if there, is counted anew for the texts that change. Null and empty texts stay
+    as they are; repeated rows change alike; an empty table gives an empty one. Other columns may have any name.
     """
     names = docs.columns
-    found = scan(docs, default_samples(docs) if samples is None else samples, threshold)
+    found = _scanned(docs.select(packed(docs, names), "text"), default_samples(docs) if samples is None else samples, threshold)
+    kept = dict(zip(names, unpacked(names), strict=True))
     text = F.col("text")
     piece = lambda a, b: F.substring(text, a + 1, b - a)
 
@@ -159,5 +174,5 @@ def redact(docs: DataFrame, samples: DataFrame | None = None, threshold: float =
     found = found.withColumn("_done", F.when(F.size("found") > 0, state))
     clean = F.when(F.size("found") > 0, F.concat(F.col("_done.out"), F.substring(text, F.col("_done.at") + 1, F.length(text)))).otherwise(text)
     found = found.withColumn("_clean", clean)
-    chars = F.when(F.size("found") > 0, F.length("_clean").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in names else None
-    return found.select(*[F.col("_clean").alias("text") if c == "text" else chars.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in names])
+    chars = F.when(F.size("found") > 0, F.length("_clean").cast("long")).otherwise(kept["n_chars"]) if "n_chars" in names else None
+    return found.select(*[F.col("_clean").alias("text") if c == "text" else chars.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else kept[c] for c in names])

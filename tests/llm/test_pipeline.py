@@ -1,8 +1,11 @@
 """The pipeline's stages on odd rows, and as a whole."""
 
 import corpus_pipeline
+import pytest
 from pyspark.sql import functions as F
 
+from shutterloom.llm import langid, licenses, secrets
+
 from .test_text_operators import ODD, docs
 
 
@@ -31,3 +34,32 @@ def test_empty_documents(spark, tmp_path):
     docs(spark).limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "x")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+#: Names that steps of the stages have had, or that need quoting.
+CLASH = ("a.b", "_base", "_more", "found", "_clean", "_source", "_hash", "_rank", "_block", "_row", "lang_pred", "lang_ambiguous", "_docs", "_all", "_runs", "_one", "_text", "_share", "back`tick")
+
+
+@pytest.mark.parametrize("stage", range(len(corpus_pipeline.STAGES)))
+def test_stages_hand_on_columns_of_any_name(spark, tmp_path, stage):
+    item = " ".join(f"w{i}" for i in range(12))
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(100 + i, f"the quick brown fox number {i} runs over the hills and {i * 7} sheep while it rains on the old town", "en", "s", 80) for i in range(6)]
+    rows += [(200, f"before all of these other words here come some more of them {item} after", "en", "s", 9), (201, "my words here token = 0123456789abcdef0123456789", "en", "t", 9)]
+    table = docs(spark, rows).withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id"), F.lit(-1)).cast("string")) for c in CLASH})
+    name, run = corpus_pipeline.STAGES[stage]
+    made = run(spark, table, str(tmp_path))
+    assert made.columns[: len(table.columns)] == table.columns
+    got = made.collect()
+    assert {r.doc_id for r in got} >= {*range(100, 106), 200, 201}
+    assert all(r[c] == f"{c}:{-1 if r.doc_id is None else r.doc_id}" for r in got for c in CLASH)
+    texts = {r.doc_id: r.text for r in got}
+    assert (item in texts[200]) == (name != "decontamination") and ("[SECRET]" in texts[201]) == (name == "secret_scan")
+
+
+def test_scans_hand_on_columns_of_any_name(spark):
+    table = docs(spark).withColumns({c: F.lit(c) for c in CLASH if c != "found"})
+    samples = secrets.default_samples(docs(spark))
+    for got in (licenses.scan(table), secrets.scan(table, samples), langid.predict(table.drop("lang_pred", "lang_ambiguous"), langid.fit(docs(spark)))):
+        rows = got.collect()
+        assert len(rows) == table.count() and all(r[c] == c for r in rows for c in CLASH if c not in ("found", "lang_pred", "lang_ambiguous"))
