@@ -3,7 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each stage's rows to the shared folder
 and reads them as the next one's docs. Every stage works on all rows that its predecessor kept. All but the last
 return the columns of documents, and each copes with null or empty texts, null columns, repeated rows, empty tables
-and further columns, as its operator's docstring says.
+and further columns of any name, whose values it hands on, as its operator's docstring says; mixing alone replaces
+columns that are named mix_block, mix_release, mix_deadline or mix_order.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shutterloom.llm import decontaminate, langid, mixing, neardup, secrets
-from shutterloom.llm.common import discard, materialise, table
+from shutterloom.llm.common import discard, materialise, packed, table, unpacked
 
 #: An ambiguous text of so many characters goes: it is in no one language.
 AMBIGUOUS_CHARS = 200
@@ -20,21 +21,20 @@ AMBIGUOUS_CHARS = 200
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that are null or without a letter, and longer ones that the language classifier finds ambiguous."""
-    names = docs.columns
-    found = langid.predict(docs, langid.fit(docs))
+    # the caller's columns in one, so that none of theirs is taken for a prediction
+    found = langid.predict(docs.select(packed(docs), "text"), langid.fit(docs))
     odd = F.col("lang_ambiguous") & (F.length("text") >= AMBIGUOUS_CHARS)
-    return found.where((F.col("lang_pred") != langid.UNKNOWN) & ~odd).select(*names)
+    return found.where((F.col("lang_pred") != langid.UNKNOWN) & ~odd).select(*unpacked(docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group: that of the smallest doc_id; of rows alike in doc_id and text just one."""
-    names = [F.col(f"`{c}`") for c in docs.columns]
     classes = neardup.classify(docs, width=5, percent=80)
     kept = classes.where("kept").select(F.col("row_key").alias("_row")).distinct()
     # repeated rows become one before they are shuffled, however many there are; the one is chosen by its other columns
-    whole = F.struct(*names)
-    rows = docs.groupBy(neardup.row_key().alias("_row")).agg(F.min_by(whole, F.xxhash64(*names)).alias("_one"))
-    return rows.join(kept, "_row", "left_semi").select("_one.*")
+    whole = packed(docs)
+    rows = docs.groupBy(neardup.row_key().alias("_row")).agg(F.min_by(whole, F.xxhash64(whole)).alias("_one"))
+    return rows.join(kept, "_row", "left_semi").select(*unpacked(docs.columns, "_one"))
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
