@@ -8,22 +8,22 @@ from pyspark.sql.window import Window
 
 from ..functions import expr, formats
 from ..operators import inputs, islands, ratings, storage, verdict, winner
-from ..operators.ordering import numbered
+from ..operators.ordering import numbered, settled
 from ..sources import settings
-from . import journal  # noqa: F401  registers its queries
-from .frames import BURST, FRAMES_SQL, frames, grouped, judged, table
+from . import journal, sidecars  # noqa: F401  they register their queries
+from .frames import BURST, BURST_INPUTS, FRAMES_SQL, SET_INPUTS, SIMILAR, WINNER_INPUTS, frames, grouped, judged, scored, table
 from .registry import oracle_sql, queries  # noqa: F401
 from .registry import query as _query
 
 
 @_query(f"WITH {FRAMES_SQL} SELECT id, path, ord FROM f")
 def capture_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames(spark, sf_dir).select("id", "path", "ord")
+    return frames(spark, sf_dir, "id").select("id", "path", "ord")
 
 
 @_query(f"WITH {FRAMES_SQL} SELECT id, burst_group, burst_pos, burst_len FROM b WHERE burst_group IS NOT NULL")
 def bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = islands.bursts(frames(spark, sf_dir), BURST)
+    rows = islands.bursts(frames(spark, sf_dir, *BURST_INPUTS), BURST)
     return rows.where("burst_group is not null").select("id", "burst_group", "burst_pos", "burst_len")
 
 
@@ -58,7 +58,7 @@ w2 AS (SELECT grp, id, af, row_number() OVER (PARTITION BY grp ORDER BY af DESC,
 @_query(f"WITH {FRAMES_SQL}, {_WIN} SELECT g.grp, w2.id AS winner_id, w2.af AS winner_af FROM (SELECT DISTINCT grp FROM w0) g LEFT JOIN w2 ON w2.grp = g.grp AND r = 1")
 def winners_without_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With no faces the ladder is a total order, which SQL can sort by."""
-    rows = frames(spark, sf_dir).withColumns({"grp": F.floor(F.col("ord") / 8), "eligible": verdict.keep_eligible(0.5), "eyes_open": F.lit(None).cast("double"), "face_sharpness": F.lit(None).cast("double")})
+    rows = frames(spark, sf_dir, "id", *WINNER_INPUTS).withColumns({"grp": F.floor(F.col("ord") / 8), "eligible": verdict.keep_eligible(0.5), "eyes_open": F.lit(None).cast("double"), "face_sharpness": F.lit(None).cast("double")})
     return winner.winners(rows, "grp")
 
 
@@ -76,11 +76,12 @@ k3 AS (SELECT burst_group, CASE WHEN every AND len(m) > 0 THEN list_reduce(m, la
 @_query(f"WITH {FRAMES_SQL}, {_FOLD} SELECT burst_group, best.id AS winner_id, best.af AS winner_af FROM k3")
 def burst_winners(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole ladder, folded in order."""
-    return winner.winners(grouped(spark, sf_dir).withColumn("eligible", verdict.keep_eligible(0.5)), "burst_group")
+    rows = islands.bursts(frames(spark, sf_dir, *BURST_INPUTS, *WINNER_INPUTS), BURST)
+    return winner.winners(rows.withColumn("eligible", verdict.keep_eligible(0.5)), "burst_group")
 
 
-def _verdict_sql(source: str, groups: bool) -> str:
-    """CTE v3: the cascade over ``source``, which has the groups' columns if there are any; its level is low."""
+def _verdict_sql(source: str, groups: bool, level: float = 0.5, decoded: str = "true") -> str:
+    """CTE v3: the cascade over ``source``, which has the groups' columns if there are any, for a level."""
     loser = lambda p, scale, floor: f"CASE WHEN {p}_group IS NOT NULL AND NOT {p}_is_winner AND {p}_margin > {floor} THEN least(1.0, greatest(0.0, ({p}_margin - {floor}) / {scale})) ELSE 0.0 END" if groups else "0.0"
     lost = "(burst_group IS NOT NULL AND NOT burst_is_winner) OR (sim_group IS NOT NULL AND NOT sim_is_winner)" if groups else "false"
     return f"""
@@ -91,7 +92,7 @@ v2 AS (SELECT *, CASE WHEN soft0 = 0 AND global_texture >= 0.12 AND global_sharp
 v2b AS (SELECT *, list_reverse_sort([greatest(soft0, blur), burst_c, eyes, sim_c]::DOUBLE[]) AS c FROM v2),
 v2c AS (SELECT *, c[1] + 0.1 * c[2] + 0.05 * c[3] + 0.05 * c[4] AS c0 FROM v2b),
 v3 AS (SELECT *, CASE WHEN c0 > 0 THEN least(1.0, c0 + CASE WHEN blown_pct >= 0.25 THEN 0.05 ELSE 0 END + CASE WHEN crushed_pct >= 0.35 THEN 0.05 ELSE 0 END) ELSE 0 END AS c1,
-  af >= 0.55 AND exposure_score >= 0.6 AND least(af, exposure_score) >= 0.5 AND NOT ({lost}) AS keep FROM v2c)
+  {decoded} AND af >= 0.55 AND exposure_score >= 0.6 AND least(af, exposure_score) >= {level} AND NOT ({lost}) AS keep, {decoded} AS decoded FROM v2c)
 """
 
 
@@ -99,19 +100,19 @@ _VERDICT = _verdict_sql("f", False)
 _GROUP_REASONS = "CASE WHEN burst_c > 0 THEN 'not best of burst (' || burst_pos || ' of ' || burst_len || ')' END, CASE WHEN sim_c > 0 THEN 'not best of similar set (' || sim_pos || ' of ' || sim_len || ')' END, "
 
 
-def _emitted(groups: bool) -> str:
+def _emitted(groups: bool, level: float = 0.5) -> str:
     best = "CASE WHEN sim_is_winner THEN 'best of similar set' END, CASE WHEN burst_is_winner THEN 'best of burst' END, " if groups else ""
-    return f"""id, CASE WHEN c1 > 0 THEN CASE WHEN c1 >= 0.5 THEN 'reject' END WHEN keep THEN 'keep' END AS verdict,
-  round(CASE WHEN c1 > 0 THEN c1 WHEN keep THEN least(af, exposure_score) ELSE 0.0 END, 6) AS confidence,
-  CASE WHEN c1 > 0 THEN concat_ws('; ', CASE WHEN soft0 > 0 THEN CASE WHEN motion_blur_likelihood > 0.5 THEN 'motion blur' ELSE 'soft focus' END END, CASE WHEN blur > 0 THEN 'heavy blur' END, {_GROUP_REASONS if groups else ""}
+    return f"""id, CASE WHEN decoded AND c1 > 0 THEN CASE WHEN c1 >= {level} THEN 'reject' END WHEN keep THEN 'keep' END AS verdict,
+  round(CASE WHEN decoded AND c1 > 0 THEN c1 WHEN keep THEN least(af, exposure_score) ELSE 0.0 END, 6) AS confidence,
+  CASE WHEN decoded AND c1 > 0 THEN concat_ws('; ', CASE WHEN soft0 > 0 THEN CASE WHEN motion_blur_likelihood > 0.5 THEN 'motion blur' ELSE 'soft focus' END END, CASE WHEN blur > 0 THEN 'heavy blur' END, {_GROUP_REASONS if groups else ""}
     CASE WHEN eyes > 0 THEN 'closed eyes' END, CASE WHEN blown_pct >= 0.25 THEN 'blown highlights' END, CASE WHEN crushed_pct >= 0.35 THEN 'crushed shadows' END)
     WHEN keep THEN concat_ws('; ', {best}'sharp, well exposed') ELSE '' END AS reasons"""
 
 
-def _fold_sql(source: str, prefix: str) -> str:
+def _fold_sql(source: str, prefix: str, level: float = 0.5, decoded: str = "true") -> str:
     """CTE {prefix}_j: ``source`` with is_winner and margin of its groups, by a fold in order."""
     return f"""
-{prefix}_k1 AS (SELECT *, af >= 0.55 AND exposure_score >= 0.6 AND least(af, exposure_score) >= 0.5 AS eligible FROM {source}),
+{prefix}_k1 AS (SELECT *, {decoded} AND af >= 0.55 AND exposure_score >= 0.6 AND least(af, exposure_score) >= {level} AS eligible FROM {source}),
 {prefix}_k2 AS (SELECT {prefix}_group AS kg, bool_and(scored) AS every, list({{'id': id, 'eyes': eyes_open, 'face': face_sharpness, 'af': af, 'gs': global_sharpness, 'clip': clip_sum}} ORDER BY ord) FILTER (WHERE eligible) AS m
   FROM {prefix}_k1 WHERE {prefix}_group IS NOT NULL GROUP BY 1),
 {prefix}_k3 AS (SELECT kg, CASE WHEN every AND len(m) > 0 THEN list_reduce(m, lambda w, x:
@@ -129,11 +130,55 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", "verdict", F.round("confidence", 6).alias("confidence"), F.array_join("reasons", "; ").alias("reasons"), "burst_is_winner", F.round("burst_margin", 6).alias("burst_margin"))
 
 
+@_query(f"WITH {FRAMES_SQL}, {_fold_sql('s', 'burst', 0.65)}, {_fold_sql('burst_j', 'sim', 0.65)}, {_verdict_sql('sim_j', True, 0.65)} SELECT {_emitted(True, 0.65)} FROM v3")
+def verdicts_medium(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At the level that counts unless another is chosen."""
+    return _shown(judged(spark, sf_dir, "medium"))
+
+
+_FACES = "array<struct<bbox:array<double>,eyes_open:double,face_sharpness:double>>"
+#: Every nineteenth frame did not decode.
+_ODD = "(id % 19 <> 0)"
+
+
+@_query(f"""WITH {FRAMES_SQL}, {_fold_sql('s', 'burst', 0.8, _ODD)}, {_fold_sql('burst_j', 'sim', 0.8, _ODD)}, fo AS (SELECT * REPLACE (CASE WHEN id % 6 = 0 THEN 0.05::DOUBLE ELSE eyes_open END AS eyes_open) FROM sim_j),
+{_verdict_sql('fo', True, 0.8, _ODD)} SELECT {_emitted(True, 0.8)} FROM v3""")
+def verdicts_high_of_odd_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At the highest level, with frames that did not decode and with several faces in a frame, of which the largest counts."""
+    e = F.col("id")
+    face = lambda side, eyes: F.struct(F.array(F.lit(0.1), F.lit(0.1), F.lit(side), F.lit(side)).alias("bbox"), F.lit(eyes).alias("eyes_open"), F.lit(0.5).alias("face_sharpness"))
+    more = F.array(face(0.0, 0.01), face(0.4, 0.05), face(0.4, 0.9))
+    return _shown(judged(spark, sf_dir, "high", {"decode_ok": e % 19 != 0, "faces": F.when(e % 6 == 0, F.concat(F.coalesce("faces", F.array().cast(_FACES)), more)).otherwise(F.col("faces"))}))
+
+
+def _shown(rows: DataFrame) -> DataFrame:
+    return rows.select("id", "verdict", F.round("confidence", 6).alias("confidence"), F.array_join("reasons", "; ").alias("reasons"))
+
+
+_NEAR_SQL = f"""
+m AS (SELECT b.*, CASE WHEN id % 5 <> 0 THEN CAST(embedding AS DOUBLE[]) END AS emb FROM b LEFT JOIN embeddings ON vec_id = id % (SELECT count(*) FROM embeddings)),
+m1 AS (SELECT *, lag(m) OVER (ORDER BY ord) AS p FROM m),
+m2 AS (SELECT id, ord, CASE WHEN has_input AND p.has_input AND burst_group IS NULL AND p.burst_group IS NULL AND src_folder = p.src_folder AND abs(captured_ms - p.captured_ms) <= {SIMILAR.window_ms}
+  AND (bit_count(xor(h, p.h)) <= 4 OR coalesce(list_dot_product(emb, p.emb) >= 0.2, false)) THEN 0 ELSE 1 END AS st FROM m1),
+m3 AS (SELECT *, sum(st) OVER (ORDER BY ord) AS run FROM m2)"""
+
+
+@_query(f"WITH {FRAMES_SQL}, {_NEAR_SQL} SELECT id, CAST(row_number() OVER (PARTITION BY run ORDER BY ord) AS INTEGER) AS sim_pos, CAST(n AS INTEGER) AS sim_len FROM (SELECT *, count(*) OVER (PARTITION BY run) AS n FROM m3) WHERE n >= 2")
+def similar_by_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets that hash or embedding links, where the embeddings come from their table; some frames have none."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    n = vectors.agg(F.count(F.lit(1)).alias("n"))  # one row
+    rows = islands.bursts(frames(spark, sf_dir, *BURST_INPUTS, "phash"), BURST).join(F.broadcast(n))
+    rows = rows.join(vectors, F.col("id") % F.col("n") == F.col("vec_id"), "left").withColumn("embedding", F.when(F.col("id") % 5 != 0, F.col("embedding"))).drop("vec_id", "n")
+    made = islands.similar_sets(settled(rows), islands.SimilarRule(SIMILAR.window_ms, 4, 0.2))
+    return made.where("sim_group is not null").select("id", "sim_pos", "sim_len")
+
+
 @_query(f"WITH {FRAMES_SQL}, {_VERDICT} SELECT {_emitted(False)} FROM v3")
 def verdicts_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cascade for frames outside of any group."""
     none = {f"{p}_{c}": F.lit(v).cast(t) for p in ("burst", "sim") for c, v, t in (("group", None, "int"), ("pos", None, "int"), ("len", None, "int"), ("is_winner", False, "boolean"), ("margin", 0.0, "double"))}
-    rows = verdict.with_verdict(frames(spark, sf_dir).withColumns(none), "low")
+    rows = verdict.with_verdict(scored(spark, sf_dir).withColumns(none), "low")
     return rows.select("id", "verdict", F.round("confidence", 6).alias("confidence"), F.array_join("reasons", "; ").alias("reasons"))
 
 
@@ -141,7 +186,7 @@ def verdicts_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT id FROM fav WHERE r <= (SELECT least(15, greatest(3, ceil(count(*) * 0.05))) FROM f)""")
 def favourites(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = {f"{p}_{c}": F.lit(v).cast(t) for p in ("burst", "sim") for c, v, t in (("group", None, "int"), ("pos", None, "int"), ("len", None, "int"), ("is_winner", False, "boolean"), ("margin", 0.0, "double"))}
-    rows = verdict.with_favourites(verdict.with_verdict(frames(spark, sf_dir).withColumns(none), "low"))
+    rows = verdict.with_favourites(verdict.with_verdict(scored(spark, sf_dir).withColumns(none), "low"))
     return rows.where("verdict = 'favorite'").select("id")
 
 
@@ -153,38 +198,38 @@ g AS (SELECT kind, grp, nth, min(i) AS seg_start, max(i) AS e, count(*) AS n, ma
 SELECT row_number() OVER (ORDER BY seg_start) - 1 AS seg_id, kind, grp, seg_start, n, nth = 1 AS labelled, len,
   CASE WHEN lag(e) OVER (ORDER BY seg_start) + 1 = seg_start THEN 6 ELSE 10 END AS gap_before FROM g""")
 def display_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return islands.segments(grouped(spark, sf_dir).where("rating is null"))
+    return islands.segments(grouped(spark, sf_dir, "rating").where("rating is null"))
 
 
 @_query(f"""WITH {FRAMES_SQL} SELECT id, ord, min(CASE WHEN rating IS NULL THEN ord END) OVER (ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_unrated,
   max(CASE WHEN rating IS NULL THEN ord END) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_unrated FROM f""")
 def unrated_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ratings.neighbours(frames(spark, sf_dir).select("id", "ord", "rating"), bucket=1000).select("id", "ord", "next_unrated", "previous_unrated")
+    return ratings.neighbours(frames(spark, sf_dir, "id", "rating"), bucket=1000).select("id", "ord", "next_unrated", "previous_unrated")
 
 
 @_query(f"WITH {FRAMES_SQL} SELECT ord FROM f WHERE rating = 'keep' ORDER BY abs(ord - 500), ord LIMIT 1")
 def snapped_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frames(spark, sf_dir)
+    rows = frames(spark, sf_dir, "rating")
     return ratings.snapped(rows.where(ratings.passes("keeps", F.col("rating"), F.lit(None)) & (F.col("rating") == "keep")), 500)
 
 
 @_query(f"WITH {FRAMES_SQL}, e AS (SELECT ord FROM f WHERE id IN (30, 60)) SELECT id, ord FROM f WHERE rating IS NOT NULL AND ord BETWEEN (SELECT min(ord) FROM e) AND (SELECT max(ord) FROM e)")
 def range_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ratings.between(frames(spark, sf_dir).where("rating is not null"), 30, 60).select("id", "ord")
+    return ratings.between(frames(spark, sf_dir, "id", "rating").where("rating is not null"), 30, 60).select("id", "ord")
 
 
 @_query(f"""WITH {FRAMES_SQL}, {_VERDICT}, x AS (SELECT rating, CASE WHEN c1 > 0 THEN CASE WHEN c1 >= 0.5 THEN 'reject' END WHEN keep THEN 'keep' END AS verdict FROM v3)
 SELECT count(*) AS total, count(rating) AS rated, count(*) - count(rating) AS unrated, count(*) FILTER (WHERE rating IN ('keep', 'favorite')) AS keeps, count(*) FILTER (WHERE rating = 'favorite') AS favorites,
   count(*) FILTER (WHERE rating = 'reject') AS rejects, count(*) FILTER (WHERE rating IS NULL AND verdict IS NOT NULL) AS suggested FROM x""")
 def session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frames(spark, sf_dir)
+    rows = scored(spark, sf_dir)
     given = rows.where("rating is not null").select(F.col("id").alias("img_id"), "rating")
     return ratings.counts(rows, given, verdicts_alone(spark, sf_dir).where("verdict is not null"))
 
 
 @_query(f"WITH {FRAMES_SQL} SELECT 'keeps' AS mode, id FROM f WHERE rating IN ('keep', 'favorite') UNION ALL SELECT 'unrated', id FROM f WHERE rating IS NULL UNION ALL SELECT 'rejects', id FROM f WHERE rating = 'reject' UNION ALL SELECT 'favorites', id FROM f WHERE rating = 'favorite'")
 def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frames(spark, sf_dir)
+    rows = scored(spark, sf_dir)
     modes = ("keeps", "unrated", "rejects", "favorites")
     shown = F.array_compact(F.array(*[F.when(ratings.passes(m, F.col("rating"), F.lit(None)), F.lit(m)) for m in modes]))
     return rows.select("id", F.explode(shown).alias("mode"))
@@ -234,12 +279,12 @@ def recent_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {FRAMES_SQL} SELECT src_folder, min(ord) AS first_ord, count(*) AS n, count(rating) AS rated FROM f GROUP BY 1")
 def folder_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return storage.folders(frames(spark, sf_dir))
+    return storage.folders(frames(spark, sf_dir, "src_folder", "rating"))
 
 
 @_query(f"WITH {FRAMES_SQL} SELECT coalesce(min(ord) FILTER (WHERE rating IS NULL), 0) AS ord FROM f")
 def resume_at(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return storage.resume_position(frames(spark, sf_dir))
+    return storage.resume_position(frames(spark, sf_dir, "rating"))
 
 
 @_query("""WITH w AS (SELECT 'in/' || source || '/' || (doc_id % 400) || '.cr3' AS source, 'out/' || (doc_id % 400) || '.cr3' AS dest FROM documents),
@@ -342,23 +387,23 @@ def similar_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {FRAMES_SQL} SELECT id FROM f WHERE rating IS NULL AND id % 3 = 0")
 def selected_visible(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frames(spark, sf_dir)
+    rows = scored(spark, sf_dir)
     return inputs.selected(rows.where("rating is null"), rows.where("id % 3 = 0")).select("id")
 
 
 @_query(f"WITH {FRAMES_SQL} SELECT id, id <> 60 AS candidate FROM f WHERE id = 60 OR rating IS NULL")
 def compare_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.compare_candidates(frames(spark, sf_dir).select("id", "rating"), 60).select("id", "candidate")
+    return inputs.compare_candidates(scored(spark, sf_dir).select("id", "rating"), 60).select("id", "candidate")
 
 
 @_query(f"WITH {FRAMES_SQL}, c AS (SELECT ord AS a FROM f WHERE id = 61) SELECT coalesce(min(ord) FILTER (WHERE ord > a), max(ord) FILTER (WHERE ord < a)) AS ord FROM f, c WHERE rating IS NULL AND id NOT IN (60, 61)")
 def next_challenger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ratings.next_challenger(frames(spark, sf_dir).select("id", "ord", "rating"), 61, 60)
+    return ratings.next_challenger(frames(spark, sf_dir, "id", "rating"), 61, 60)
 
 
 @_query(f"WITH {FRAMES_SQL} SELECT (SELECT min(ord) FROM f WHERE rating IS NULL AND ord > 500 AND id <> 70) AS ahead, (SELECT max(ord) FROM f WHERE rating IS NULL AND ord < 500 AND id <> 70) AS behind")
 def unrated_around(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = frames(spark, sf_dir).select("id", "ord", "rating")
+    rows = frames(spark, sf_dir, "id", "rating")
     ahead, behind = (ratings.unrated_from(rows, 500, d, 70) for d in (1, -1))
     return ahead.withColumnRenamed("ord", "ahead").join(F.broadcast(behind.withColumnRenamed("ord", "behind")))  # one row each
 
@@ -368,7 +413,7 @@ y AS (SELECT *, lag(t) OVER w AS pt, lag(h) OVER w AS ph, lag(e) OVER w AS pe FR
 SELECT ord, coalesce(abs(t - pt), -1) AS dt_ms, CAST(coalesce(bit_count(xor(h, ph)), -1) AS INTEGER) AS bits, round(e[1] * pe[1] + e[2] * pe[2], 6) AS cosine FROM y WHERE ord > 0""")
 def adjacent_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("id")
-    rows = frames(spark, sf_dir).select(
+    rows = frames(spark, sf_dir, "id", "captured_ms", "phash", "af", "tenengrad").select(
         "ord", F.when(e % 9 != 0, F.col("captured_ms")).alias("captured_ms"), F.when(e % 5 != 0, F.col("phash")).alias("phash"), F.when(e % 4 != 0, F.array("af", "tenengrad")).alias("embedding")
     )
     made = islands.adjacent_signals(rows)

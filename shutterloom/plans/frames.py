@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.expr import epoch_ms
@@ -19,7 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames without their order."""
     e, v = F.col("event_id"), F.col("value")
     ms = epoch_ms(F.col("ts"))
     rows = table(spark, sf_dir, "events").select(
@@ -35,17 +36,32 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((e % 100 / 150.0) + (e % 37 / 74.0)).alias("clip_sum"), (e % 17 != 0).alias("scored"),
         F.when(e % 6 == 0, F.when(e % 4 == 0, "keep").when(e % 10 == 0, "favorite").otherwise("reject")).alias("rating"),
     )
-    rows = rows.withColumn("faces", F.when(F.col("eyes_open").isNotNull(), F.array(F.struct(F.array(*[F.lit(0.1)] * 4).alias("bbox"), "eyes_open", "face_sharpness"))))
-    return capture_order(rows)
+    return rows.withColumn("faces", F.when(F.col("eyes_open").isNotNull(), F.array(F.struct(F.array(*[F.lit(0.1)] * 4).alias("bbox"), "eyes_open", "face_sharpness"))))
 
 
-def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return islands.similar_sets(islands.bursts(frames(spark, sf_dir), BURST), SIMILAR)
+#: What bursts, sets and winners look at.
+BURST_INPUTS = ("id", "src_folder", "has_input", *islands.BURST_KEYS)
+SET_INPUTS = tuple(dict.fromkeys((*BURST_INPUTS, *islands.SIMILAR_KEYS)))
+WINNER_INPUTS = ("scored", "decode_ok", "exposure_score", "af", "global_sharpness", "clip_sum", "eyes_open", "face_sharpness")
 
 
-def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = settled(grouped(spark, sf_dir).withColumn("eligible", verdict.keep_eligible(0.5)))
-    return verdict.with_verdict(winner.with_winner(winner.with_winner(rows, "burst"), "sim"), "low")
+def frames(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """The frames in capture order. The order is a table, so only the columns asked for, if any, are written to it."""
+    rows = scored(spark, sf_dir)
+    return capture_order(rows.select(*dict.fromkeys((*names, "mtime_ms", "path"))) if names else rows)
+
+
+def grouped(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """The frames with bursts and sets, and the columns asked for."""
+    return islands.similar_sets(settled(islands.bursts(frames(spark, sf_dir, *SET_INPUTS, *names), BURST)), SIMILAR)
+
+
+def judged(spark: SparkSession, sf_dir: str, level: str = "low", change: dict[str, Column] | None = None) -> DataFrame:
+    """Their verdicts by a level. Groups are found over what they look at; the scores join in after that."""
+    rows = scored(spark, sf_dir).drop(*SET_INPUTS[1:], "path").withColumns(change or {})
+    groups = grouped(spark, sf_dir).select(F.col("id").alias("_id"), "ord", "burst_group", "burst_pos", "burst_len", "sim_group", "sim_pos", "sim_len")
+    rows = settled(rows.join(groups, F.col("id") == F.col("_id")).drop("_id").withColumn("eligible", verdict.keep_eligible(verdict.LEVELS[level])))
+    return verdict.with_verdict(winner.with_winner(winner.with_winner(rows, "burst"), "sim"), level)
 
 
 #: The same in SQL; CTEs f (frames), b (with bursts), s (with similar sets too).

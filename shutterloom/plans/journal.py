@@ -114,6 +114,6 @@ n1 AS (SELECT id, ord, at_ AS lo FROM f ASOF LEFT JOIN v ON ord >= at_), n2 AS (
 SELECT id, CASE WHEN hi IS NULL OR (lo IS NOT NULL AND ord - lo <= hi - ord) THEN lo ELSE hi END AS snapped FROM n2""")
 def snapped_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The visible frame that each frame snaps to, for all frames at once; of two as near the earlier."""
-    rows = frames(spark, sf_dir).select("id", "ord", "rating")
+    rows = frames(spark, sf_dir, "id", "rating")
     made = asof.asof(rows.select("id", "ord"), rows.where("rating = 'favorite' and id % 7 = 0").select("ord"), "ord")
     return made.select("id", F.col("match.ord").alias("snapped"))
