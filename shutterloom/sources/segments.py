@@ -21,14 +21,11 @@ _DIGITS = 12
 
 
 @dataclass(frozen=True)
-class Segments:
-    """Rows with a whole-number key below ``root``, in any store that Spark writes to. One writer at a time."""
+class Manifested:
+    """What says which files below ``root``, in any store that Spark writes to, count. One writer at a time."""
 
     spark: SparkSession
     root: str
-    key: str = "ord"
-    span: int = SPAN
-    merge: int = MERGE
 
     def _fs(self, path: str):
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -44,12 +41,22 @@ class Segments:
         return json.loads("".join(r.value for r in self.spark.read.text(f"{self.root}/manifests/{names[-1]}", wholetext=True).collect()))
 
     def _publish(self, manifest: dict) -> None:
-        name = f"{manifest['number']:0{_DIGITS}d}.json"
+        name = f"{manifest['number']:0{_DIGITS}d}-{manifest.get('revision', 0)}.json"
         fs, part = self._fs(f"{self.root}/manifests/.{name}.part")
         out = fs.create(part, True)
         out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        fs.rename(part, self._fs(f"{self.root}/manifests/{name}")[1])
+        if not fs.rename(part, self._fs(f"{self.root}/manifests/{name}")[1]):
+            raise OSError(f"{self.root}: another writer published {name}")
+
+
+@dataclass(frozen=True)
+class Segments(Manifested):
+    """Rows with a whole-number key."""
+
+    key: str = "ord"
+    span: int = SPAN
+    merge: int = MERGE
 
     def buckets_of(self, keys: DataFrame) -> list[int]:
         """The buckets that keys (key) lie in: a number for each at most."""
