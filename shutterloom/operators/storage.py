@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import summaries
 
 #: Fixed values.
 LOW_WATER, RECENTS, RECENT_DAYS, ERRORS_SHOWN = 0.9, 5, 14, 20
@@ -74,7 +75,8 @@ def transferred(plan: DataFrame, move: bool) -> DataFrame:
 
     Each photograph is one task's, in any store that Arrow opens. What exists is never overwritten, and a source that
     has gone is skipped, so a task that runs again, or a plan carried out twice, does no harm. A failure is a row, and
-    the others go on; so is a sidecar that cannot follow no failure of its photograph.
+    the others go on; so is a sidecar that cannot follow no failure of its photograph. A run that stops half way leaves
+    those done that were; sources.fileops.carry_out() commits a whole plan or nothing, and keeps times.
     """
 
     def open_(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -131,19 +133,9 @@ def transfer_result(outcomes: DataFrame) -> DataFrame:
 
 def lower_percentiles(rows: DataFrame, key: list[str], value: Column, bins: int, top: float) -> DataFrame:
     """p5, p95 and their spread for each key, from a histogram: the first bin whose cumulative count reaches the target."""
-    hist = rows.select(*key, F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(value * bins / top))).cast("int").alias("bin")).groupBy(*key, "bin").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*key)
-    hist = hist.withColumn("cum", F.sum("n").over(w.orderBy("bin"))).withColumn("total", F.sum("n").over(w))
-    low, high = F.ceil(F.col("total") / 20), F.col("total") - F.floor(F.col("total") / 20)
-    found = hist.groupBy(*key).agg(F.min(F.when(F.col("cum") >= low, F.col("bin"))).alias("p5"), F.min(F.when(F.col("cum") >= high, F.col("bin"))).alias("p95"))
-    return found.withColumn("spread", (F.col("p95") - F.col("p5")) / (bins - 1.0))
+    return summaries.spread(summaries.histogram(rows, key, value, bins, top), key, bins)
 
 
 def lowest_median(rows: DataFrame, key: str, value: str, most: int = 16) -> DataFrame:
     """The lower median of the ``most`` smallest values of each key."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(value))
-    low = rows.select(key, value).withColumn("_r", rank).where(F.col("_r") <= most)
-    found = low.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("_v"))
-    return found.select(key, F.get("_v", F.floor((F.size("_v") - 1) / 2).cast("int")).alias("noise_floor"))
-
-
+    return summaries.noise_floor(summaries.lowest(rows, key, value, most), key)

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import expr, formats
-from ..operators import inputs, islands, ratings, storage, verdict, winner
+from ..operators import inputs, islands, ratings, storage, summaries, verdict, winner
 from ..operators.ordering import numbered, settled
 from ..sources import settings
 from . import journal, sidecars  # noqa: F401  they register their queries
 from .frames import BURST, BURST_INPUTS, FRAMES_SQL, SET_INPUTS, SIMILAR, WINNER_INPUTS, frames, grouped, judged, scored, table
-from .registry import oracle_sql, queries  # noqa: F401
+from .registry import _SQL, oracle_sql, queries  # noqa: F401
 from .registry import query as _query
 
 
@@ -493,6 +495,31 @@ def noise_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return storage.lowest_median(table(spark, sf_dir, "lineitem"), "l_suppkey", "l_extendedprice")
 
 
+_PARTS = 10
+
+
+def _in_parts(spark: SparkSession, sf_dir: str, part, summary) -> DataFrame:
+    """The summaries of ten parts of lineitem, one below the other."""
+    rows = table(spark, sf_dir, "lineitem")
+    made = [summary(rows.where(part % _PARTS == i)) for i in range(_PARTS)]
+    return reduce(DataFrame.unionByName, made)
+
+
+@_query(_SQL["histogram_spread"])
+def histogram_spread_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from merged summaries."""
+    key = ["l_returnflag", "l_linestatus"]
+    parts = _in_parts(spark, sf_dir, F.col("l_orderkey"), lambda rows: summaries.histogram(rows, key, F.col("l_extendedprice"), 256, 120_000))
+    return summaries.spread(summaries.merged_histograms(parts, key), key, 256)
+
+
+@_query(_SQL["noise_floors"])
+def noise_floors_of_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from merged summaries."""
+    parts = _in_parts(spark, sf_dir, F.col("l_partkey"), lambda rows: summaries.lowest(rows, "l_suppkey", "l_extendedprice"))
+    return summaries.noise_floor(summaries.merged_lowest(parts, "l_suppkey"), "l_suppkey")
+
+
 @_query("""WITH r AS (SELECT user_id AS path, event_id AS seq, event_type AS camera, CASE WHEN event_id % 5 = 0 THEN CAST(event_id % 6 AS INTEGER) END AS lrc_rating, CASE WHEN event_id % 3 = 0 THEN 'h' || event_id END AS phash FROM events)
 SELECT path, arg_max(camera, seq) AS camera, arg_max(lrc_rating, seq) FILTER (WHERE lrc_rating IS NOT NULL) AS lrc_rating, arg_max(phash, seq) FILTER (WHERE phash IS NOT NULL) AS phash FROM r GROUP BY 1""")
 def merged_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
