@@ -7,12 +7,25 @@ import unicodedata
 import uuid
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 
+#: The tables that settled() wrote, for sweep().
+_WRITTEN: list[str] = []
+
+
+def sweep(spark: SparkSession) -> int:
+    """Deletes the tables that settled() wrote so far; says how many. Only for when no result that reads them is needed any more."""
+    gone = 0
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        gone += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return gone
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df as a table in the folder that spark.checkpoint.dir names: what is read several times is worked out once, and
     a lost executor costs nothing. Only a local session, as in tests, may leave that setting out."""
@@ -25,6 +38,7 @@ def settled(df: DataFrame) -> DataFrame:
         folder = spark.sparkContext.getCheckpointDir()
     path = f"{folder.rstrip('/')}/settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

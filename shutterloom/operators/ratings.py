@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .asof import SPAN, carried
+
 #: Fixed values.
 RATINGS = ("keep", "reject", "favorite")
 FILTERS = ("all", "unrated", "keeps", "rejects", "favorites", "suggested", "suggested_keep", "suggested_reject", "suggested_favorite")
@@ -111,23 +113,10 @@ def counts(images: DataFrame, ratings: DataFrame, suggestions: DataFrame) -> Dat
     )
 
 
-def neighbours(frames: DataFrame, bucket: int = 100_000) -> DataFrame:
-    """frames (ord, rating) with next_unrated, previous_unrated: the nearest unrated ord after and before, null at the ends.
-
-    Windows go by buckets of ord; the nearest unrated frame of the buckets after and before fills in at their ends.
-    """
+def neighbours(frames: DataFrame, span: int = SPAN) -> DataFrame:
+    """frames (ord, rating), a table, with next_unrated, previous_unrated: the nearest unrated ord after and before, null at the ends."""
     free = F.when(F.col("rating").isNull(), F.col("ord"))
-    frames = frames.withColumn("_b", F.floor(F.col("ord") / bucket))
-    ends = frames.groupBy("_b").agg(F.min(free).alias("_lo"), F.max(free).alias("_hi"))
-    over = Window.orderBy("_b")  # one row for each bucket
-    ends = ends.select(
-        F.col("_b").alias("_of"), F.min("_lo").over(over.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
-        F.max("_hi").over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-    )
-    w = Window.partitionBy("_b").orderBy("ord")
-    frames = frames.join(ends, F.col("_b") == F.col("_of"))
-    ahead, back = F.min(free).over(w.rowsBetween(1, Window.unboundedFollowing)), F.max(free).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return frames.withColumn("next_unrated", F.coalesce(ahead, "_after")).withColumn("previous_unrated", F.coalesce(back, "_before")).drop("_b", "_of", "_after", "_before")
+    return carried(frames, free, True, True, span=span).withColumnsRenamed({"_ahead": "next_unrated", "_back": "previous_unrated"})
 
 
 def snapped(visible: DataFrame, index: int) -> DataFrame:

@@ -35,7 +35,8 @@ def recents(entries: DataFrame, now: Column) -> DataFrame:
     """The session catalog: newest entry of each set of folders, none older than 14 days or of unreadable date, 5 at most."""
     entries = entries.withColumn("_at", F.try_to_timestamp("last_opened")).where(F.col("_at") >= now - F.expr(f"INTERVAL {RECENT_DAYS} DAYS"))
     entries = entries.withColumn("_key", F.array_join(F.array_sort("paths"), "\0"))
-    newest = F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("_at")))
+    # entries of one time go by their other columns, so that a rerun picks the same
+    newest = F.row_number().over(Window.partitionBy("_key").orderBy(F.desc("_at"), F.desc(F.to_json(F.struct(*[c for c in entries.columns if not c.startswith("_")])))))
     return entries.withColumn("_n", newest).where("_n = 1").orderBy(F.desc("_at"), "_key").limit(RECENTS).drop("_at", "_key", "_n")
 
 

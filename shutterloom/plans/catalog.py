@@ -206,7 +206,7 @@ def display_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"""WITH {FRAMES_SQL} SELECT id, ord, min(CASE WHEN rating IS NULL THEN ord END) OVER (ORDER BY ord ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_unrated,
   max(CASE WHEN rating IS NULL THEN ord END) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_unrated FROM f""")
 def unrated_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ratings.neighbours(frames(spark, sf_dir, "id", "rating"), bucket=1000).select("id", "ord", "next_unrated", "previous_unrated")
+    return ratings.neighbours(frames(spark, sf_dir, "id", "rating")).select("id", "ord", "next_unrated", "previous_unrated")
 
 
 @_query(f"WITH {FRAMES_SQL} SELECT ord FROM f WHERE rating = 'keep' ORDER BY abs(ord - 500), ord LIMIT 1")
@@ -237,21 +237,22 @@ def filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.explode(shown).alias("mode"))
 
 
-@_query("""WITH a AS (SELECT event_id AS seq, user_id AS img_id, CASE event_id % 4 WHEN 0 THEN 'keep' WHEN 1 THEN 'reject' WHEN 2 THEN 'favorite' END AS after FROM events)
-SELECT img_id, arg_max_null(after, seq) AS rating FROM a GROUP BY 1 HAVING rating IS NOT NULL""")
+@_query("""WITH a AS (SELECT event_id AS seq, user_id AS img_id, CASE event_id // 3 % 4 WHEN 0 THEN 'keep' WHEN 1 THEN 'reject' WHEN 2 THEN 'favorite' END AS before, CASE event_id % 4 WHEN 0 THEN 'keep' WHEN 1 THEN 'reject' WHEN 2 THEN 'favorite' END AS after FROM events)
+SELECT img_id, arg_max_null(after, seq) AS rating FROM a WHERE before IS DISTINCT FROM after GROUP BY 1 HAVING rating IS NOT NULL""")
 def rating_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = F.col("event_id")
-    after = F.when(e % 4 == 0, "keep").when(e % 4 == 1, "reject").when(e % 4 == 2, "favorite")
-    log = table(spark, sf_dir, "events").select(e.alias("seq"), F.col("user_id").alias("img_id"), F.lit("?").alias("before"), after.alias("after"))
+    mark = lambda n: F.when(n % 4 == 0, "keep").when(n % 4 == 1, "reject").when(n % 4 == 2, "favorite")
+    log = table(spark, sf_dir, "events").select(e.alias("seq"), F.col("user_id").alias("img_id"), mark(F.floor(e / 3)).alias("before"), mark(e).alias("after"))
     return ratings.current(log)
 
 
-@_query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND n_chars >= 500")
+@_query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) AND doc_id NOT IN (SELECT vec_id * 2 FROM embeddings) AND doc_id NOT IN (SELECT page_id * 3 FROM pages)")
 def work_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("n_chars >= 500").select(F.col("doc_id").alias("id"))
-    none = docs.limit(0)
+    """What is neither rated nor scored nor tried."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
     rated = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("img_id"))
-    return ratings.work_list(docs, rated, none, none).select(F.col("id").alias("doc_id"))
+    made, tried = (table(spark, sf_dir, name).select((F.col(key) * n).alias("id")) for name, key, n in (("embeddings", "vec_id", 2), ("pages", "page_id", 3)))
+    return ratings.work_list(docs, rated, made, tried).select(F.col("id").alias("doc_id"))
 
 
 @_query("""SELECT CASE WHEN quality IS NULL THEN 'unlabeled' WHEN n_chars < 1000 AND quality = 0 THEN 'hit' WHEN n_chars < 1000 THEN 'false_reject' WHEN quality = 0 THEN 'miss' ELSE 'quiet' END AS outcome, count(*) AS n
@@ -337,13 +338,13 @@ def path_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_query("""WITH n AS (SELECT o_custkey AS k, list('f' || o_orderkey ORDER BY o_orderkey) AS v FROM orders WHERE o_orderkey % 7 = 0 GROUP BY 1),
+@_query("""WITH n AS (SELECT o_custkey AS k, list('f' || o_orderkey ORDER BY o_orderkey) AS v FROM orders GROUP BY 1),
 p AS (SELECT k, v, i, array_to_string(v[1:i], ' + ') AS acc, len(v) - i AS rest FROM (SELECT k, v, unnest(range(1, len(v) + 1)) AS i FROM n)),
 q AS (SELECT *, i = 1 OR length(acc) + CASE WHEN rest > 0 THEN length(' +' || rest || ' more') ELSE 0 END <= 24 AS fits FROM p),
 z AS (SELECT k, i, acc, rest FROM q WHERE i < coalesce((SELECT min(x.i) FROM q x WHERE x.k = q.k AND NOT x.fits), 1000000))
 SELECT k AS custkey, arg_max(acc || CASE WHEN rest > 0 THEN ' +' || rest || ' more' ELSE '' END, i) AS folders FROM z GROUP BY 1""")
 def folder_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 7 = 0").groupBy(F.col("o_custkey").alias("custkey")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("v"))
+    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("custkey")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("v"))
     return rows.select("custkey", formats.folder_set(F.transform("v", lambda x: F.concat(F.lit("in/f"), x.cast("string"))), 24).alias("folders"))
 
 
@@ -431,14 +432,12 @@ def middle_size_engaged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratings.engaged(rows).select("key", "seq", "engaged")
 
 
-@_query("""WITH x AS (SELECT 'p' || (user_id % 700) || '/' || (event_id % 50) AS path, epoch_us(ts) // 1000 AS at_ms, 'e' || event_id AS error FROM events WHERE event_type = (SELECT min(event_type) FROM events)),
+@_query("""WITH x AS (SELECT 'p' || (user_id % 700) || '/' || (event_id % 50) AS path, epoch_us(ts) // 1000 AS at_ms, 'e' || event_id AS error FROM events),
 g AS (SELECT path, count(*) AS attempts, arg_max(error, (at_ms, error)) AS last_error, max(at_ms) AS last_at FROM x GROUP BY 1)
 SELECT path, attempts, last_error, CASE WHEN attempts < 4 THEN last_at + least(30000, CAST(1000 * pow(2, attempts - 1) AS BIGINT)) END AS next_retry_ms, attempts >= 4 AS terminal FROM g""")
 def failed_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    first = events.agg(F.min("event_type").alias("t"))
     path = F.concat(F.lit("p"), (F.col("user_id") % 700).cast("string"), F.lit("/"), (F.col("event_id") % 50).cast("string"))
-    rows = events.join(F.broadcast(first), F.col("event_type") == F.col("t")).select(path.alias("path"), expr.epoch_ms(F.col("ts")).alias("at_ms"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("error"))
+    rows = table(spark, sf_dir, "events").select(path.alias("path"), expr.epoch_ms(F.col("ts")).alias("at_ms"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("error"))
     return ratings.tier_errors(rows)
 
 
@@ -528,10 +527,10 @@ def merged_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratings.merged_meta(rows).select("path", "camera", "lrc_rating", "phash")
 
 
-@_query("""SELECT event_id, least(1.0, value / 300) * (1 - least(1.0, value / 150)) AS blur, least(greatest(ln(1 + value / 0.5) / 12, 0), 1) AS sharp,
-  CASE WHEN event_id % 4 <> 0 THEN least(30000, CAST(1000 * pow(2, event_id % 4 - 1) AS INTEGER)) END AS wait_ms FROM events WHERE value > 0""")
+@_query("""SELECT event_id, CASE WHEN value > 0 THEN least(1.0, value / 300) * (1 - least(1.0, value / 150)) ELSE 0.0 END AS blur, least(greatest(ln(1 + value / 0.5) / 12, 0), 1) AS sharp,
+  CASE WHEN event_id % 4 <> 0 THEN least(30000, CAST(1000 * pow(2, event_id % 4 - 1) AS INTEGER)) END AS wait_ms FROM events""")
 def frame_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, v = F.col("event_id"), F.col("value")
-    rows = table(spark, sf_dir, "events").where("value > 0")
+    rows = table(spark, sf_dir, "events")
     wait = expr.backoff_ms(F.when(e % 4 == 0, 4).otherwise(e % 4))
     return rows.select("event_id", expr.motion_blur(v / 300, F.lit(1.0), F.least(F.lit(1.0), v / 150)).alias("blur"), expr.normalised_sharpness(v, F.lit(0.5)).alias("sharp"), wait.alias("wait_ms"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -48,7 +49,7 @@ def put_within(rows: DataFrame, store: DataFrame, cap: int, max_bytes: int | Non
 
 def compacted(store: DataFrame, files: DataFrame, version: int = VERSION) -> DataFrame:
     """The newest row of each current key."""
-    newest = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("used")))
+    newest = F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("used"), F.desc(F.xxhash64(*store.columns))))
     return hits(files, store, version).withColumn("_n", newest).where("_n = 1").drop("_n")
 
 
@@ -160,6 +161,12 @@ class BucketStore(Manifested):
         self._write(self.standing().withColumn("_gone", F.lit(False)), merged)
         self._publish(self.manifest() | {"buckets": {"segments": [merged]}, "revision": 1})
 
+    def acquired(self, files: DataFrame, featurise: Callable[[DataFrame], DataFrame], number: int, version: int = VERSION) -> DataFrame:
+        """The rows of files (KEYS): what is stored as it is, and what ``featurise`` makes of the rest, which is put as write ``number``."""
+        fresh = featurise(self.misses(files, version)).withColumn("version", F.lit(version))
+        self.put(fresh, number)
+        return self.hits(files, version)
+
     def remove(self, paths: DataFrame, number: int) -> None:
         """Tombstones for paths (path), as write ``number``."""
         schema = T.StructType.fromJson(self.manifest()["schema"])

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..functions import sidecar
-from ..operators.ratings import latest
+from ..operators.ratings import latest, unrated
 
 #: Files in a trigger from a network share and from a local disk; seconds to wait before each further try of a write.
 CHUNK = {"network": 6, "local": 16}
 RETRIES = (0.4, 1.5, 4.0)
+#: How often a chunk is tried, and how long changes are gathered before a catch-up pass.
+TRIES, DEBOUNCE = 2, "800 milliseconds"
 
 
 def arriving(spark: SparkSession, root: str, schema: str, profile: str = "local") -> DataFrame:
@@ -25,19 +27,45 @@ def arriving(spark: SparkSession, root: str, schema: str, profile: str = "local"
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", CHUNK[profile]).parquet(root)
 
 
-def scored(stream: DataFrame, featurise: Callable[[DataFrame], DataFrame], store: str, checkpoint: str, generation: int) -> DataStreamWriter:
+def scored(stream: DataFrame, featurise: Callable[[DataFrame], DataFrame], store: str, checkpoint: str, generation: int, attempted: str | None = None) -> DataStreamWriter:
     """Writes the features of each micro-batch of this generation to the store; late rows of another one are dropped.
 
-    A batch that runs again writes its own folder again, so nothing is there twice.
+    A chunk that fails is tried once more and then skipped, so that the ones after it go on. ``attempted`` is a folder
+    for the paths of all chunks, with the error of those skipped: catch-up passes leave them out. A batch that runs again
+    writes its own folders again, so nothing is there twice.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = featurise(batch.where(F.col("gen") == generation).drop("gen"))
-        rows.withColumn("seq", F.lit(number)).write.mode("overwrite").parquet(f"{store}/batch={number}")
+        chunk = batch.where(F.col("gen") == generation).drop("gen")
+        error = None
+        for _ in range(TRIES):
+            try:
+                featurise(chunk).withColumn("seq", F.lit(number)).write.mode("overwrite").parquet(f"{store}/batch={number}")
+                error = None
+                break
+            except Exception as e:
+                error = str(e).splitlines()[0][:500]
+        if attempted:
+            chunk.select("path", F.lit(error).cast("string").alias("error")).write.mode("overwrite").parquet(f"{attempted}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
 
+def to_catch_up(images: DataFrame, ratings: DataFrame, scores: DataFrame, attempted: DataFrame) -> DataFrame:
+    """The images (id, path) of a catch-up pass: not rated (img_id), not scored and not tried (path)."""
+    return unrated(images, ratings).join(scores.select("path"), "path", "left_anti").join(attempted.select("path"), "path", "left_anti")
+
+
+def catching_up(changes: DataFrame, catch_up: Callable[[], None], checkpoint: str, debounce: str = DEBOUNCE) -> DataStreamWriter:
+    """Runs a catch-up pass after changes arrive, such as ratings taken back: one for all that come within the time of ``debounce``."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            catch_up()
+
+    return changes.writeStream.foreachBatch(run).trigger(processingTime=debounce).option("checkpointLocation", checkpoint)
+
+
 def standing(spark: SparkSession, store: str) -> DataFrame:
     """The scores so far: the last of each path."""
     return latest(spark.read.parquet(store), "path", "seq")

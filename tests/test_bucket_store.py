@@ -64,3 +64,16 @@ def test_puts_add_their_own_rows_and_reads_do_not_shuffle_the_store(spark, tmp_p
     store.put(rows(("c", 3, 30, 11, 1)), 4)  # back again, and five segments become one
     assert store.manifest()["buckets"]["segments"] == ["4-merged"]
     assert {(r.path, r.mtime_ms) for r in BucketStore(spark, str(tmp_path / "s"), 4).hits(files).collect()} == {("b", 2), ("c", 3)}
+
+
+def test_what_is_missing_is_made_once_and_kept(spark, tmp_path):
+    store, made = BucketStore(spark, str(tmp_path / "s"), buckets=2), spark.sparkContext.accumulator(0)
+    files = spark.createDataFrame([("a", 1, 10), ("b", 2, 20)], FILES)
+
+    def featurise(missing):
+        made.add(missing.count())
+        return missing.withColumn("payload", F.concat(F.lit("of "), "path"))
+
+    for number, (rows, count) in enumerate([(files, 2), (files, 2), (files.union(spark.createDataFrame([("b", 3, 20)], FILES)).where("path <> 'b' or mtime_ms = 3"), 3)]):
+        got = store.acquired(rows, featurise, number)
+        assert {(r.path, r.payload) for r in got.collect()} == {("a", "of a"), ("b", "of b")} and made.value == count

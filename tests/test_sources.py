@@ -242,6 +242,33 @@ def test_streams(spark, tmp_path):
     assert [(r.path, r.score) for r in scoring.standing(spark, out).collect()] == [("a", 2.0)]
 
 
+def test_a_chunk_that_fails_is_skipped_and_the_pass_catches_up(spark, tmp_path):
+    source, out, tried = (str(tmp_path / n) for n in ("in", "out", "tried"))
+    kind, calls = "id long, path string, gen int", []
+    for n in range(3):
+        spark.createDataFrame([(n, f"p{n}", 1)], kind).coalesce(1).write.mode("append").parquet(source)
+
+    def featurise(rows):
+        calls.append(paths := [r.path for r in rows.collect()])
+        if paths == ["p1"] or len(calls) == 1:  # p1 never works, the first chunk not at once
+            raise ValueError("no such codec")
+        return rows
+
+    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(source)
+    scoring.scored(stream, featurise, out, str(tmp_path / "cp"), 1, tried).trigger(availableNow=True).start().awaitTermination()
+    assert {r.path for r in scoring.standing(spark, out).collect()} == {"p0", "p2"} and len(calls) == 3 + 2
+    attempted = spark.read.parquet(tried)
+    assert {(r.path, r.error is None) for r in attempted.collect()} == {("p0", True), ("p1", False), ("p2", True)}
+    images = spark.createDataFrame([(i, f"p{i}") for i in range(6)], "id long, path string")
+    left = scoring.to_catch_up(images, spark.createDataFrame([(4, "keep")], "img_id long, rating string"), scoring.standing(spark, out), attempted)
+    assert sorted(r.path for r in left.collect()) == ["p3", "p5"]
+    passes = []
+    query = scoring.catching_up(spark.readStream.schema(kind).parquet(source), lambda: passes.append(left.count()), str(tmp_path / "cp2"), "300 milliseconds").start()
+    query.processAllAvailable()
+    query.stop()
+    assert passes == [2]  # one for all three changes
+
+
 def test_sidecar_sink(spark, tmp_path):
     path = str(tmp_path / "1.xmp")
     changes = spark.createDataFrame([(path, 1, "reject"), (path, 2, "favorite"), (str(tmp_path / "no" / "2.xmp"), 1, "keep")], "path string, seq bigint, rating string")
