@@ -45,30 +45,38 @@ def _nothing(depth: int) -> Column:
     return _struct(a=F.lit(0), pre=ends.cast(_NO_PAIRS), rated=F.lit(False), top=F.array().cast(_NO_TRIPLES))
 
 
-def _then(f: Column, kind: Column, depth: int) -> Column:
-    """The summary f with one more action of a kind: rate, undo or redo."""
+def _then(f: Column, kind: Column, n: Column, depth: int) -> Column:
+    """The summary f with n more actions of a kind: rate, undo or redo."""
     plain = ~f["rated"]
     u, d = kind == "undo", kind == "redo"
 
     def ends(x: Column, s: Column) -> Column:
-        step = lambda v: _int(F.when(u, F.greatest(F.lit(0), v - 1)).when(d, F.least(s, v + 1)).otherwise(v))
+        step = lambda v: _int(F.when(u, F.greatest(F.lit(0), v - n)).when(d, F.least(s, v + n)).otherwise(v))
         return _struct(lo=step(x["lo"]), hi=step(x["hi"]))
 
     def tops(x: Column) -> Column:
-        more = F.least(F.lit(depth), x["u"] + 1)
-        return (
-            F.when(u, _struct(u=_int(F.greatest(F.lit(0), x["u"] - 1)), s=x["s"], h=_int(x["h"] - F.when(x["u"] > 0, 1).otherwise(0))))
-            .when(d, _struct(u=_int(F.least(x["s"], x["u"] + 1)), s=x["s"], h=_int(x["h"] + F.when(x["u"] < x["s"], 1).otherwise(0))))
-            .otherwise(_struct(u=_int(more), s=_int(more), h=_int(x["h"] + 1)))
-        )
-
-    first = F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda v: let(_int(F.least(F.lit(depth), v + 1)), lambda n: _struct(u=n, s=n, h=F.lit(1))))
+        moved = _int(F.when(u, F.greatest(F.lit(0), x["u"] - n)).when(d, F.least(x["s"], x["u"] + n)).otherwise(F.least(F.lit(depth), x["u"] + n)))
+        rate = kind == "rate"
+        return let(moved, lambda v: _struct(u=v, s=F.when(rate, v).otherwise(x["s"]), h=_int(x["h"] + F.when(rate, n).otherwise(v - x["u"]))))
+
+    first = F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda v: let(_int(F.least(F.lit(depth), v + n)), lambda m: _struct(u=m, s=m, h=n)))
     return _struct(
-        a=_int(f["a"] + F.when(plain & u, -1).when(plain & d, 1).otherwise(0)), pre=F.when(plain, F.transform(f["pre"], ends)).otherwise(f["pre"]),
+        a=_int(f["a"] + F.when(plain & u, -n).when(plain & d, n).otherwise(0)), pre=F.when(plain & (kind != "rate"), F.transform(f["pre"], ends)).otherwise(f["pre"]),
         rated=f["rated"] | (kind == "rate"), top=F.when(f["rated"], F.transform(f["top"], tops)).when(kind == "rate", first).otherwise(f["top"]),
     )
 
 
+def _alike(events: Column) -> Column:
+    """Neighbouring actions of one kind as one: (kind, n)."""
+
+    def step(runs: Column, e: Column) -> Column:
+        last = F.try_element_at(runs, F.lit(-1))
+        longer = F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(_struct(kind=last["kind"], n=last["n"] + 1)))
+        return F.when((F.size(runs) > 0) & (last["kind"] == e["kind"]), longer).otherwise(F.concat(runs, F.array(_struct(kind=e["kind"], n=F.lit(1)))))
+
+    return F.aggregate(events, F.array().cast("array<struct<kind:string,n:int>>"), step)
+
+
 def _moved(f: Column, u: Column, s: Column) -> Column:
     """Where u is after the actions of f before its first recorded one."""
     return let(F.get(f["pre"], s), lambda x: _int(F.greatest(x["lo"], F.least(x["hi"], u + f["a"]))))
@@ -154,17 +162,19 @@ def effects(actions: DataFrame, depth: int = UNDO_DEPTH, block: int = BLOCK) ->
     rows = recorded(actions.where(F.col("kind").isin("rate", "undo", "redo"))).select("session", "seq", "kind", "changes")
     rows = ordered(rows, F.col("session"), F.col("seq"), F.monotonically_increasing_id())
     events = F.array_sort(F.collect_list(F.struct("ord", "session", "kind")))
-    blocks = rows.groupBy(F.floor(F.col("ord") / block).alias("_b")).agg(events.alias("_e"))
+    # a small log is little to send and much to work out, so that its blocks are dealt out to as many tasks as there may be
+    tasks = int(actions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = rows.select(F.floor(F.col("ord") / block).alias("_b"), "ord", "session", "kind").repartition(tasks, "_b").groupBy("_b").agg(events.alias("_e"))
     lead = F.col("_e")[0]["session"]
     own = F.filter("_e", lambda e: e["session"].eqNullSafe(lead))
     last = F.element_at("_e", -1)["session"]
     tail = F.filter("_e", lambda e: e["session"].eqNullSafe(last))
     whole = last.eqNullSafe(lead)
-    fold = lambda es: F.aggregate(es, _nothing(depth), lambda f, e: _then(f, e["kind"], depth))
-    ended = F.aggregate(tail, _start(last), lambda x, e: _stepped(x, e["kind"], depth))
+    fold = lambda es: F.aggregate(_alike(es), _nothing(depth), lambda f, e: _then(f, e["kind"], e["n"], depth))
+    ended = F.aggregate(_alike(tail), _start(last), lambda x, e: _stepped(x, e["kind"], e["n"], depth))
     summed = blocks.select("_b", _struct(lead=lead, f=fold(own), whole=whole, last=F.when(whole, _start(last)).otherwise(ended)).alias("sum"))
     begun = _begun(settled(summed), kind)
-    walked = blocks.join(begun.withColumnRenamed("_b", "_of"), F.col("_b") == F.col("_of"))
+    walked = blocks.join(begun.withColumnRenamed("_b", "_of").repartition(tasks, "_of"), F.col("_b") == F.col("_of"))
     made = "array<struct<ord:bigint,session:{0},kind:string,slot:bigint>>".format(kind)
 
     def step(acc: Column, e: Column) -> Column:
@@ -176,7 +186,7 @@ def effects(actions: DataFrame, depth: int = UNDO_DEPTH, block: int = BLOCK) ->
             one = F.array(_struct(ord=e["ord"].cast("long"), session=e["session"], kind=e["kind"], slot=slot)).cast(made)
             return _struct(x=y, out=F.when(x["h"] != y["h"], F.concat(acc["out"], one)).otherwise(acc["out"]))
 
-        return let(into, lambda x: let(_stepped(x, e["kind"], depth), lambda y: move(x, y)))
+        return let(into, lambda x: let(_stepped(x, e["kind"], F.lit(1), depth), lambda y: move(x, y)))
 
     start = _struct(x=F.col("begin"), out=F.array().cast(made))
     steps = walked.select(F.explode(F.aggregate("_e", start, step)["out"]).alias("_s")).select(F.col("_s.session").alias("session"), F.col("_s.slot").alias("slot"), F.col("_s.ord").alias("at"), F.col("_s.kind").alias("kind"))
@@ -189,14 +199,11 @@ def effects(actions: DataFrame, depth: int = UNDO_DEPTH, block: int = BLOCK) ->
     return found.select("session", "seq", "pos", F.col("c.img_id").alias("img_id"), F.when(F.col("_kind") == "undo", F.col("c.before")).otherwise(F.col("c.after")).alias("rating"))
 
 
-def _stepped(x: Column, kind: Column, depth: int) -> Column:
-    """The state after one action."""
-    more = _int(F.least(F.lit(depth), x["u"] + 1))
-    return (
-        F.when(kind == "undo", _struct(session=x["session"], u=_int(F.greatest(F.lit(0), x["u"] - 1)), s=x["s"], h=x["h"] - F.when(x["u"] > 0, 1).otherwise(0)))
-        .when(kind == "redo", _struct(session=x["session"], u=_int(F.least(x["s"], x["u"] + 1)), s=x["s"], h=x["h"] + F.when(x["u"] < x["s"], 1).otherwise(0)))
-        .otherwise(_struct(session=x["session"], u=more, s=more, h=x["h"] + 1))
-    )
+def _stepped(x: Column, kind: Column, n: Column, depth: int) -> Column:
+    """The state after n actions of a kind."""
+    rate = kind == "rate"
+    moved = _int(F.when(kind == "undo", F.greatest(F.lit(0), x["u"] - n)).when(kind == "redo", F.least(x["s"], x["u"] + n)).otherwise(F.least(F.lit(depth), x["u"] + n)))
+    return let(moved, lambda v: _struct(session=x["session"], u=v, s=F.when(rate, v).otherwise(x["s"]), h=x["h"] + F.when(rate, n).otherwise(v - x["u"])))
 
 
 def ratings_after(made: DataFrame) -> DataFrame:
