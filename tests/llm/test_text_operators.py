@@ -294,6 +294,43 @@ def test_quality_rates_against_plain_ones(spark):
     assert abs(host_rate[sparse] - mean) < abs(own - mean)  # shrunk towards the global prior
 
 
+def area(scores, truth):
+    """The share of pairs of a good and a bad document that the scores order rightly."""
+    good, bad = ([s for s, t in zip(scores, truth, strict=True) if t == x] for x in (1, 0))
+    return sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+
+
+def test_quality_of_held_out_documents_on_sparse_hosts(spark):
+    """Words decide, hosts help, and shrunk rates of hosts with few documents beat their own rates."""
+    rng = np.random.default_rng(4)
+    rows, truth = [], {}
+    for i in range(3000):
+        host = int(rng.integers(400))
+        good = rng.random() < (0.85 if host % 2 else 0.15)
+        words = [("w%d" if rng.random() < (0.6 if good else 0.4) else "v%d") % rng.integers(300) for _ in range(12)]
+        rows.append((i, " ".join(words), "p", f"h{host}", 0))
+        truth[i] = int(good)
+    labels = spark.createDataFrame(list(truth.items()), "doc_id bigint, quality int")
+    got = quality.classify(spark.createDataFrame(rows, DOCS), labels, teaches=F.col("doc_id") % 3 != 0).collect()
+    held = [r for r in got if r.doc_id % 3 == 0]
+    seen = Counter()
+    for i, _, _, host, _ in rows:
+        if i % 3:
+            seen[host] += 1
+            seen[host, 1] += truth[i]
+    own = [min(0.999, max(0.001, seen[r.host, 1] / seen[r.host] if seen[r.host] else 0.5)) for r in held]
+    t = [truth[r.doc_id] for r in held]
+    loss = lambda p: -sum(math.log(x if y else 1 - x) for x, y in zip(p, t, strict=True)) / len(t)
+    raw = [1 / (1 + math.exp(-(r.evidence + math.log(o / (1 - o))))) for r, o in zip(held, own, strict=True)]
+    assert loss([r.score for r in held]) < loss(raw) - 0.02  # shrunk rates, against each host's own
+    assert area([r.score for r in held], t) > area([r.evidence for r in held], t) + 0.05 > 0.65  # hosts help, words do too
+    assert area([r.evidence for r in held], t) > 0.65
+    # what is held out teaches nothing
+    other = spark.createDataFrame([(i, 1 - q if i % 3 == 0 else q) for i, q in truth.items()], "doc_id bigint, quality int")
+    again = quality.classify(spark.createDataFrame(rows, DOCS), other, teaches=F.col("doc_id") % 3 != 0).collect()
+    assert {r.doc_id: round(r.score, 9) for r in again} == {r.doc_id: round(r.score, 9) for r in got}
+
+
 @pytest.mark.parametrize(("head", "paired", "contexts"), [(300_000, 32_768, 255), (40, 5, 9), (3, 3, 9)])
 def test_language_model(spark, head, paired, contexts):
     rng = np.random.default_rng(3)
