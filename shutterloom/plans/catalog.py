@@ -13,7 +13,7 @@ from ..operators import inputs, islands, ratings, storage, summaries, verdict, w
 from ..operators.ordering import numbered, settled
 from ..sources import settings
 from . import journal, sidecars  # noqa: F401  they register their queries
-from .frames import BURST, BURST_INPUTS, FRAMES_SQL, SET_INPUTS, SIMILAR, WINNER_INPUTS, frames, grouped, judged, scored, table
+from .frames import BURST, BURST_INPUTS, FRAMES_SQL, SIMILAR, WINNER_INPUTS, frames, grouped, judged, scored, table
 from .registry import _SQL, oracle_sql, queries  # noqa: F401
 from .registry import query as _query
 
