@@ -31,18 +31,64 @@ def test_mixing_keeps_every_prefix_near_its_weights(spark):
     assert mixing.mix(docs(spark)).where("mix_order is null").count() == 0
 
 
-@pytest.mark.parametrize("sources", [1500, 5000])
+@pytest.mark.parametrize("sources", [999, 1001, 8500])
 def test_mixing_takes_any_number_of_sources(spark, sources):
     rows = [(i, f"s{i % sources}" if i % sources else None) for i in range(2 * sources)] + [(i, "s1") for i in range(2 * sources, 2 * sources + 500)]
-    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=4).collect()
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), block_rows=4)
+    assert "Python" not in got._jdf.queryExecution().toString() and "InArrow" not in got._jdf.queryExecution().toString()
+    got = got.collect()
     assert sorted(r.doc_id for r in got) == [r[0] for r in rows] and len({r.mix_order for r in got}) == len(rows)
     assert all(r.mix_release <= r.mix_order // 4 < r.mix_deadline for r in got)
 
 
-def test_both_schedules_are_alike(spark):
-    shared = spark.createDataFrame([("sb", 40), ("sa", 25), ("n", 25), ("sé", 9), ("s", 1)], "source_key string, share int")
-    plans = [sorted(map(tuple, f(shared, 100).collect())) for f in (mixing.schedule, mixing.schedule_many)]
-    assert plans[0] == plans[1] and len(plans[0]) == 100
+def earliest_deadline_first(shares, period):
+    """Slot by slot, all sources looked at each time."""
+    sent, out = dict.fromkeys(shares, 0), []
+    for slot in range(period):
+        ready = [(-(-(sent[s] + 1) * period // e), s.encode()) for s, e in shares.items() if sent[s] < e and sent[s] * period // e <= slot]
+        s = min(ready)[1].decode()
+        out.append((slot, s, shares[s], sent[s]))
+        sent[s] += 1
+    return out
+
+
+@pytest.mark.parametrize(("inner", "chunk", "period", "sources"), [(10, 1 << 16, 100, 5), (10, 1 << 16, 1, 1), (2, 4, 97, 40), (3, 8, 1000, 124), (10, 64, 1500, 187), (2, 8, 64, 64)])
+def test_schedule_is_earliest_deadline_first(spark, monkeypatch, inner, chunk, period, sources):
+    monkeypatch.setattr(mixing, "INNER", inner)
+    monkeypatch.setattr(mixing, "CHUNK", chunk)
+    rng = random.Random(period)
+    names = ["n", "sé", *[f"s{i}" for i in range(sources)]][:sources]
+    shares = dict.fromkeys(names, 1)
+    for _ in range(period - sources):  # a third goes to one source, the rest as it falls
+        shares[names[0] if rng.random() < 0.34 else rng.choice(names[: max(1, sources // 2)])] += 1
+    shared = spark.createDataFrame(list(shares.items()), "source_key string, share int")
+    got = sorted(map(tuple, mixing.schedule(shared, period).collect()))
+    assert got == earliest_deadline_first(shares, period)
+
+
+def test_mixing_equals_a_plain_schedule(spark):
+    rows = [(i, f"s{min(i % 7, 3)}" if i % 5 else None) for i in range(700)]
+    frame = spark.createDataFrame(rows, "doc_id long, source string")
+    hashed = [(h % 2**64 // 2 % 18, h, d, s) for d, s, h in frame.select("doc_id", "source", F.xxhash64(F.lit(7), "doc_id")).collect()]  # 18 chunks
+    shares = {r.source_key: r.share for r in mixing.shares(mixing.tempered_weights(frame), 50).collect()}
+    assert sum(shares.values()) == 50
+    queues = {}
+    for *_, d, s in sorted(hashed):
+        queues.setdefault("n" if s is None else "s" + s, []).append(d)
+    want, turns = {}, earliest_deadline_first(shares, 50)
+    for cycle in range(100):
+        for slot, s, e, turn in turns:
+            block = cycle * e + turn
+            for i, d in enumerate(queues[s][block * 3 : block * 3 + 3]):
+                want[d] = (block, block * 50 // e, -(-(block + 1) * 50 // e), (cycle * 50 + slot) * 3 + i)
+    got = mixing.mix(frame, period=50, block_rows=3, chunk_rows=40).collect()
+    assert {r.doc_id: (r.mix_block, r.mix_release, r.mix_deadline, r.mix_order) for r in got} == want and len(got) == 700
+
+
+def test_too_short_a_period_is_refused(spark):
+    weights = spark.createDataFrame([("a", 1.0), ("b", 1.0)], "source string, weight double")
+    with pytest.raises(ValueError, match="2 sources"):
+        mixing.shares(weights, 1)
 
 
 def brute_groups(rows, width, percent):
