@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 
 def _fixed(x: Column, digits: int) -> Column:
-    return F.format_string(f"%.{digits}f", x)
+    """Rounded as the double is, ties to even; format_string rounds its shortest decimals, ties up."""
+    return F.call_function("format_number", x, F.lit("0." + "0" * digits))
 
 
 def shutter(seconds: Column) -> Column:
