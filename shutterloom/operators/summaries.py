@@ -31,11 +31,16 @@ def spread(hist: DataFrame, key: list[str], bins: int) -> DataFrame:
     return found.withColumn("spread", (F.col("p95") - F.col("p5")) / (bins - 1.0))
 
 
-def lowest(rows: DataFrame, key: str, value: str, most: int = 16) -> DataFrame:
-    """key, lows: the ``most`` smallest values of each key, sorted; nulls are none. Only so many of a key leave a task."""
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(value))
-    low = rows.where(F.col(value).isNotNull()).select(key, value).withColumn("_r", rank).where(F.col("_r") <= most)
-    return low.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias("lows"))
+def lowest(rows: DataFrame, key: str | list[str], value: str, most: int = 16) -> DataFrame:
+    """key, lows: the ``most`` smallest values of each key, sorted; nulls are none. Only so many of a key leave a task.
+
+    Parts of a table are summarised at once with the part as one more key, not one by one: a union of as many shuffles
+    is read by as few tasks as one of them.
+    """
+    keys = [key] if isinstance(key, str) else key
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
+    low = rows.where(F.col(value).isNotNull()).select(*keys, value).withColumn("_r", rank).where(F.col("_r") <= most)
+    return low.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("lows"))
 
 
 def merged_lowest(parts: DataFrame, key: str, most: int = 16) -> DataFrame:

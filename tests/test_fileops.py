@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shutterloom.operators import storage, summaries
+from shutterloom.plans import catalog
 from shutterloom.sources import fileops
 
 
@@ -92,3 +93,16 @@ def test_summaries_of_parts_are_those_of_the_whole(spark, tmp_path):
     lows = summaries.merged_lowest(summaries.kept(spark, str(tmp_path / "l")), "k")
     assert sorted(map(tuple, summaries.noise_floor(lows, "k").collect())) == sorted(map(tuple, storage.lowest_median(rows, "k", "v").collect()))
     assert summaries.lowest(rows.limit(0), "k", "v").count() == 0
+
+
+@pytest.mark.parametrize("name", ["noise_floors_of_parts", "histogram_spread_of_parts"])
+def test_parts_are_summarised_in_one_pass_and_no_union_of_shuffles(spark, name):
+    made = catalog.queries()[name](spark, "/root/testdata/sf0.001")
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Union" not in plan
+
+
+def test_the_lowest_by_part_merge_to_those_of_the_whole(spark):
+    rows = spark.createDataFrame([(i % 3, i % 7, float(i * 37 % 1001)) for i in range(3000)] + [(None, 1, 0.5), (0, 9, None)], "p int, k int, v double")
+    merged = summaries.merged_lowest(summaries.lowest(rows, ["p", "k"], "v"), "k")
+    assert sorted(map(tuple, merged.collect())) == sorted(map(tuple, summaries.lowest(rows, "k", "v").collect()))
