@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .columns import column, packed, unpacked
-from .ordering import ordered
+from .ordering import ordered, settled
 
 #: Places of the merged order in a range.
 SPAN = 50_000
@@ -21,16 +21,19 @@ SPAN = 50_000
 def carried(rows: DataFrame, value: Column, back: bool, ahead: bool, order: str = "ord", span: int = SPAN) -> DataFrame:
     """rows, which have a dense order, with _back and _ahead: the last and next ``value`` that is not null, before and after the row itself.
 
-    ``rows`` is read twice. The windows go by ranges of the order; there is a row for each range besides. The next
-    value is the last one of the order turned round, as windows to the end of a partition take quadratic time.
+    ``rows`` is read twice. The windows go by ranges of the order; there is a row for each range besides, which is
+    broadcast. As many partitions as there are ranges are made, so that a task sorts a few of them however large the
+    table is. The next value is the last one of the order turned round, as windows to the end of a partition take
+    quadratic time.
     """
     rows = rows.withColumns({"_range": F.floor(F.col(order) / span), "_value": value})
     held = F.when(F.col("_value").isNotNull(), F.col(order))
-    ends = rows.groupBy(F.col("_range").alias("_of")).agg(F.max_by("_value", held).alias("_last"), F.min_by("_value", held).alias("_first"))
+    ends = settled(rows.groupBy(F.col("_range").alias("_of")).agg(F.max_by("_value", held).alias("_last"), F.min_by("_value", held).alias("_first")))
+    parts = max(1, ends.count())
     turned = F.desc("_of")  # a row for each range
     before, past = (Window.orderBy(x).rowsBetween(Window.unboundedPreceding, -1) for x in (F.asc("_of"), turned))
     ends = ends.select("_of", F.last("_last", ignorenulls=True).over(before).alias("_from_before"), F.last("_first", ignorenulls=True).over(past).alias("_from_after"))
-    rows = rows.join(ends, F.col("_range") == F.col("_of"))
+    rows = rows.repartition(parts, "_range").join(F.broadcast(ends), F.col("_range") == F.col("_of"))
     for wanted, name, direction, outside in ((back, "_back", F.asc(order), "_from_before"), (ahead, "_ahead", F.desc(order), "_from_after")):
         if wanted:
             inner = Window.partitionBy("_range").orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)

@@ -87,6 +87,14 @@ def test_asof_against_all_pairs(spark, direction, exact, span, tolerance):
     assert {(r.id, r.ord, r.match and r.match.name) for r in made.collect()} == {(i, i, nearest((k, t), right, direction, exact, tolerance)) for i, k, t in left}
 
 
+def test_a_task_carries_values_along_few_ranges_however_many_there_are(spark):
+    rows = spark.range(4000).select(F.col("id").alias("ord"), F.when(F.col("id") % 7 == 0, F.col("id")).alias("x"))
+    made = asof.carried(rows, F.col("x"), True, True, span=100).withColumn("_task", F.spark_partition_id())
+    got = made.collect()
+    assert [(r._back, r._ahead) for r in sorted(got, key=lambda r: r.ord)] == [(None if i == 0 else (i - 1) // 7 * 7, None if i >= 3997 else i // 7 * 7 + 7) for i in range(4000)]
+    assert made.rdd.getNumPartitions() == 40 and len({r._task for r in got}) > 15  # 4 is the number of shuffle partitions
+
+
 def test_asof_of_empty_tables_and_wrong_directions(spark):
     a = spark.createDataFrame([(1, 5)], "id long, t long")
     assert [tuple(r) for r in asof.asof(a, a.limit(0), "t").collect()] == [(1, 5, None)]
