@@ -150,3 +150,21 @@ def test_expressions(spark):
     ]
     got = spark.range(1).select(*[c.alias(f"c{i}") for i, (c, _) in enumerate(cases)]).first()
     assert list(got) == [want for _, want in cases]
+
+
+def test_frames_without_a_group_do_not_meet_in_one_task(spark):
+    rows = spark.range(4000).select(
+        F.col("id").cast("int").alias("ord"), F.col("id").cast("string").alias("id"), F.when(F.col("id") < 4, F.floor(F.col("id") / 2)).alias("sim_group"), F.lit(True).alias("scored"), F.lit(True).alias("eligible"),
+        F.lit(None).cast("double").alias("eyes_open"), F.lit(None).cast("double").alias("face_sharpness"), (F.col("id") / 4000).alias("af"), F.lit(0.5).alias("global_sharpness"), F.lit(0.1).alias("clip_sum"),
+    )
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        got = winner.with_winner(rows, "sim").withColumn("_task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert {r.id for r in got if r.sim_is_winner} == {"1", "3"} and len(got) == 4000
+    tasks = [r._task for r in got]
+    assert max(tasks.count(t) for t in set(tasks)) < 1500  # of 4 tasks
