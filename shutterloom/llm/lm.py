@@ -1,22 +1,23 @@
 """Language-model scoring with a hierarchical Pitman-Yor process.
 
-A word is drawn from the restaurant of the word before it, if that is one of the CONTEXTS most frequent training words
-or the start of a text; all of these restaurants share one parent, the restaurant of words without a context, from
-which words after rarer ones are drawn at once. The base measure of that one spells a word byte by byte: restaurants
-for three preceding letter classes, which share parents for two, which share parents for one, then a root over bytes,
-then the uniform measure. Each table of a restaurant is a customer of its parent.
+A word is drawn from the restaurant of the word before it, or of the start of a text; each word has one. All of these
+restaurants share one parent, the restaurant of words without a context. The base measure of that one spells a word
+byte by byte: restaurants for three preceding letter classes, which share parents for two, which share parents for one,
+then a root over bytes, then the uniform measure. Each table of a restaurant is a customer of its parent. Contexts may
+be limited to the most frequent words; after others a word is then drawn from the parent at once.
 
 Seating starts as in a Chinese restaurant and is then sampled by Gibbs: a customer of each dish leaves, and takes its
 table with it if it sat alone there, and sits down again by the posterior, MOVES times a sweep. A restaurant's state is
 the count of customers and tables of each dish; how likely a customer sits alone follows from these by generalised
-Stirling numbers. All restaurants of words keep their counts of a word in that word's row, at most CONTEXTS + 2 of
-them, so sweeps run in the Spark tasks that hold the vocabulary and only the restaurants' totals, of the sweep before,
-are shared. What each restaurant predicts is averaged over the sweeps.
-
-The vocabulary and its counts grow with the corpus and stay distributed. The spelling model has at most
-32 ** 3 * 257 cells, whatever the corpus, so it is broadcast. Scoring a text adds up its words: the at most HEAD most
-frequent ones come from a broadcast table, and with their contexts at most PAIRED of them, which also takes the hot
-keys away; all others come from a join.
+Stirling numbers. A pair of words is a row. Pairs that come once in all texts have one customer at one table whatever
+is drawn, so they are only counted: what a word's count has beyond its other pairs are such. Sweeps draw the tables of
+all pairs, given the totals and predictions of the sweep before, and then those of their parent. What each restaurant
+predicts is averaged over the sweeps.
+
+Words and pairs grow with the corpus and stay distributed. The spelling model has at most 32 ** 3 * 257 cells, whatever
+the corpus, so it is broadcast. What belongs to the at most HEAD most frequent words, and for scoring to the at most
+PAIRED most frequent pairs of them, is broadcast too, which takes the hot keys away; all others come from joins. Words
+are known by 64-bit keys, pairs by the keys of both words.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,12 +38,16 @@ from .common import discard, materialise, texts, tokens
 
 #: The end of a text as a token: no word holds a space.
 END = b" "
-CONTEXTS = 255  # words with a restaurant of what follows them, beside the start
+CONTEXTS = None  # words with a restaurant of what follows them, beside the start: all
 HEAD = 300_000  # the most frequent words that are broadcast, at most
-PAIRED = 16_384  # those of them that are broadcast with their contexts, at most
+PAIRED = 1_000_000  # the most frequent pairs of them that are broadcast for scoring, at most
+PARTS = 4  # of the texts, scored one after another, so that few of their rows lie on disk at once
 SWEEPS = 3
 MOVES = 4  # of each dish, in a sweep
 _FLUSH = 200_000
+_TOKENS = 4_000_000  # of texts that a task counts at once, at most, and of the last one
+#: Rows of scoring: a word after a context in another or a training text, a word without a context, and a text.
+_OTHER, _TRAIN, _FREE, _TEXT = range(4)
 _STOP = 256  # the end of a word's spelling, beside the 256 bytes
 _DISHES = 257
 #: Letter classes of bytes: a-z 0-25, digits 26, other ASCII 27, first bytes of longer characters 28-29, later ones 30, start 31.
@@ -219,164 +225,238 @@ def cells_key(context: np.ndarray, dish: np.ndarray, level: int, sweep: int, see
     return _mix((context * _DISHES + dish).astype(np.uint64) * np.uint64(64) + np.uint64(seed * 16 + sweep * 4 + level))
 
 
+def hashed(words: list[bytes]) -> np.ndarray:
+    """A 64-bit key of each word (SipHash), the same in every process."""
+    return pd.util.hash_array(np.array([*words, None], dtype=object)[:-1], categorize=False).view(np.int64) if words else np.zeros(0, dtype=np.int64)
+
+
 def vocabulary(docs: DataFrame) -> DataFrame:
-    """_token, _c: each word of the texts and its count in those with _train; the end counts once a text. Texts are never null."""
+    """_token, _key, _c, _all: each word of the texts, its count in those with _train and in all; the end counts once a text. Texts are never null."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[bytes] = Counter()
-        others: set[bytes] = set()
+        others: Counter[bytes] = Counter()
 
         def made() -> pa.RecordBatch:
-            new = others - seen.keys()
-            made = pa.RecordBatch.from_arrays([pa.array([*seen, *new], pa.binary()), pa.array([*seen.values(), *[0] * len(new)], pa.int64())], ["_token", "_c"])
+            every = list(seen.keys() | others.keys())
+            train = np.array([seen[w] for w in every], dtype=np.int64)
+            counts = train, train + np.array([others[w] for w in every], dtype=np.int64)
+            made = pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), pa.array(hashed(every)), *map(pa.array, counts)], ["_token", "_key", "_c", "_all"])
             seen.clear(), others.clear()
             return made
 
         for batch in batches:
             for train, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                if train:
-                    seen.update(tokens(text))
-                    seen[END] += 1
-                else:
-                    others.update(tokens(text))
-                    others.add(END)
+                to = seen if train else others
+                to.update(tokens(text))
+                to[END] += 1
                 if len(seen) + len(others) > _FLUSH:
                     yield made()
         yield made()
 
-    return docs.select("_train", "_text").mapInArrow(count, "_token binary, _c long").groupBy("_token").agg(F.sum("_c").alias("_c"))
+    made = docs.select("_train", "_text").mapInArrow(count, "_token binary, _key long, _c long, _all long")
+    return made.groupBy("_token", "_key").agg(F.sum("_c").alias("_c"), F.sum("_all").alias("_all"))
 
 
-def follows(docs: DataFrame, contexts: list[bytes]) -> DataFrame:
-    """_token, _ctxs (sorted), _cs: how often each word of the texts with _train comes after each of the contexts, by number."""
-    sent = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(contexts)})
+class _Numbers(dict):
+    """Numbers words as they come."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, seen = sent.value, Counter()
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
 
-        def made() -> pa.RecordBatch:
-            ctx, token = zip(*seen, strict=True) if seen else ((), ())
-            batch = pa.RecordBatch.from_arrays([pa.array(token, pa.binary()), pa.array(ctx, pa.int16()), pa.array(list(seen.values()), pa.int64())], ["_token", "_ctx", "_c"])
-            seen.clear()
-            return batch
 
-        for batch in batches:
-            for text in texts(batch.column(0)):
-                ws = [*tokens(text), END]
-                seen.update((c, w) for c, w in zip(map(number.get, [END, *ws]), ws, strict=False) if c is not None)
-                if len(seen) > _FLUSH:
-                    yield made()
-        yield made()
+def follows(docs: DataFrame, contexts: np.ndarray | None = None) -> DataFrame:
+    """_ctx, _word, _c, _all: how often a word (its key) comes after another or after the start, in texts with _train and in all.
 
-    rows = docs.where("_train").select("_text").mapInArrow(count, "_token binary, _ctx short, _c long").repartition("_token")
-    # a word meets each context once: at most len(contexts) of them
-    pairs = rows.groupBy("_token", "_ctx").agg(F.sum("_c").alias("_c")).groupBy("_token").agg(F.array_sort(F.collect_list(F.struct("_ctx", "_c"))).alias("_all"))
-    return pairs.select("_token", F.transform("_all", lambda x: x["_ctx"]).alias("_ctxs"), F.transform("_all", lambda x: x["_c"]).alias("_cs"))
+    ``contexts`` are the keys of the words after which it counts, if not after all.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, codes, held = _Numbers(), [], 0
+
+        def made() -> Iterator[pa.RecordBatch]:
+            key = hashed(list(numbers))
+            some, n = np.unique(np.concatenate(codes) if codes else np.zeros(0, dtype=np.int64), return_counts=True)
+            ctx, word, train = key[some >> 32] if len(key) else some, key[some >> 1 & 0x7FFFFFFF] if len(key) else some, some & 1
+            keep = slice(None) if contexts is None else np.isin(ctx, contexts)
+            numbers.clear(), codes.clear()
+            columns = [x[keep] for x in (ctx, word, n * train, n)]
+            for at in range(0, len(columns[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in columns], ["_ctx", "_word", "_c", "_all"])
+
+        for batch in batches:
+            train = batch.column(0).to_pylist()
+            for flag, text in zip(train, texts(batch.column(1)), strict=True):
+                ws = tokens(text)
+                ids = np.fromiter(map(numbers.__getitem__, (END, *ws, END)), np.int64, len(ws) + 2)
+                codes.append(ids[:-1] << 32 | ids[1:] << 1 | flag)
+                held += len(ws) + 1
+                if held > _TOKENS or len(numbers) > _FLUSH:
+                    yield from made()
+                    held = 0
+        yield from made()
+
+    # rows are counted together in their tasks, so they are dealt out at once
+    rows = docs.select("_train", "_text").mapInArrow(count, "_ctx long, _word long, _c long, _all long").repartition("_ctx", "_word")
+    return rows.groupBy("_ctx", "_word").agg(F.sum("_c").alias("_c"), F.sum("_all").alias("_all"))
 
 
 def _discount(ones: int | None, twos: int | None) -> float:
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones or twos else 0.5
 
 
+def _looked_up(rows: DataFrame, words: DataFrame, head: DataFrame, by: dict[str, list]) -> DataFrame:
+    """Columns of words for each of by's keys: from the broadcast head where all of them are in it, else by joins.
+
+    rows tell in _core which those are. What is not in the head is rare, so no key of a join has many rows.
+    """
+    core, rest = rows.where("_core"), rows.where("NOT _core")
+    for key, columns in by.items():
+        core = core.join(F.broadcast(head.select(F.col("_key").alias(key), *columns)), key)
+        seldom = rest.join(F.broadcast(head.select(F.col("_key").alias(key))), key, "left_anti").join(words.select(F.col("_key").alias(key), *columns), key)
+        rest = rest.join(F.broadcast(head.select(F.col("_key").alias(key), *columns)), key).unionByName(seldom)
+    return core.unionByName(rest)
+
+
 @dataclass
 class Model:
-    words: DataFrame  # _token, _c, _lp (log10 without a context), _ctxs, _owns (what a context's restaurant adds)
+    table: DataFrame  # _key, _token, _c, _all, _lp (log10 without a context), _whole and _back: customers and strength of its own restaurant, and the weight of the one without a context there
+    several: DataFrame  # _ctx, _word, _c, _all, _over (customers beyond the tables' discounts): pairs that come more than once in all texts
+    discount: float  # of the contexts' restaurants
     n: int  # training tokens
     v: int  # distinct ones
-    contexts: list[bytes]
-    back: np.ndarray  # by context, the weight of the restaurant without one
-
-
-_ROWS = "_token binary, _c long, _direct long, _key long, _n long, _t double, _g double, _sum double, _ctxs array<short>, _cs array<long>, _ts array<int>, _all_ts array<long>"
-
-
-def _flat(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False)
-
-
-def fit(docs: DataFrame, sweeps: int = SWEEPS, strength: float = 10.0, contexts: int = CONTEXTS) -> Model:
+    least: int  # words with so many occurrences, at most ``head`` of them, are the head
+    keys: np.ndarray | None  # of the contexts, if not all words are
+    contexts: list[bytes] | None
+    docs: DataFrame
+
+    @property
+    def pairs(self) -> DataFrame:
+        """_ctx, _word, _own: what a context's restaurant adds for each word that came after it in training."""
+        every = follows(self.docs, self.keys).where("_c > 0").select("_ctx", "_word").join(self.several.select("_ctx", "_word", "_over"), ["_ctx", "_word"], "left")
+        whole = self.table.select(F.col("_key").alias("_ctx"), "_whole")
+        return every.join(whole, "_ctx").select("_ctx", "_word", (F.coalesce("_over", F.lit(1 - self.discount)) / F.col("_whole")).alias("_own"))
+
+    @property
+    def words(self) -> DataFrame:
+        """_token, _c, _lp, _ctxs (numbers in contexts) and _owns of them, where contexts are limited."""
+        number = self.docs.sparkSession.createDataFrame([(int(k), i) for i, k in enumerate(self.keys)], "_ctx long, _number int")
+        of = self.pairs.join(F.broadcast(number), "_ctx").groupBy(F.col("_word").alias("_key")).agg(F.sort_array(F.collect_list(F.struct("_number", "_own"))).alias("_all"))
+        made = self.table.select("_key", "_token", "_c", "_lp").join(of, "_key", "left")
+        return made.select("_token", "_c", "_lp", F.coalesce("_all._number", F.array().cast("array<int>")).alias("_ctxs"), F.coalesce("_all._own", F.array().cast("array<double>")).alias("_owns"))
+
+    @property
+    def back(self) -> np.ndarray:
+        """By number of the context, where contexts are limited."""
+        found = {r._key: r._back for r in self.table.where(F.col("_key").isin(self.keys.tolist())).select("_key", "_back").collect()}
+        return np.array([found.get(k, 1.0) for k in self.keys.tolist()])
+
+
+def _arrow(columns: list, names: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], [c.split()[0] for c in names.split(", ")])
+
+
+def fit(docs: DataFrame, sweeps: int = SWEEPS, strength: float = 10.0, contexts: int | None = CONTEXTS, head: int = HEAD) -> Model:
     """A model from rows of _text, _train; its vocabulary also has, with count 0, the words of the other texts."""
-    vocab = materialise(vocabulary(docs))
-    first = vocab.where((F.col("_c") > 0) & (F.col("_token") != END)).orderBy(F.desc("_c"), "_token").limit(contexts)
-    names = [END, *[bytes(r._token) for r in first.select("_token").collect()]]  # at most ``contexts``
-    none = lambda kind: F.array().cast(f"array<{kind}>")
-    words = vocab.join(follows(docs, names), "_token", "left").withColumns({"_ctxs": F.coalesce("_ctxs", none("short")), "_cs": F.coalesce("_cs", none("long"))})
-    after = F.aggregate("_cs", F.lit(0).cast("long"), lambda a, x: a + x)
+    words = materialise(vocabulary(docs), 20_000)
+    names, keys = None, None
+    if contexts is not None:
+        first = words.where((F.col("_c") > 0) & (F.col("_token") != END)).orderBy(F.desc("_c"), "_token").limit(contexts)
+        names = [END, *[bytes(r._token) for r in first.select("_token").collect()]]  # at most ``contexts``
+        keys = hashed(names)
+    least = _least(words, head)
+    frequent = lambda df: df.where(F.col("_all") >= least)
     zero = F.lit(0.0)
-    words = words.select(
-        "_token", "_c", (F.col("_c") - after).alias("_direct"), F.xxhash64("_token").alias("_key"), (F.col("_c") - after + F.size("_cs")).alias("_n"), F.least("_c", F.lit(1)).cast("double").alias("_t"),
-        zero.alias("_g"), F.lit(float("-inf")).alias("_sum"), "_ctxs", "_cs", F.transform("_cs", lambda x: F.lit(1)).alias("_ts"), F.transform("_cs", lambda x: F.lit(0).cast("long")).alias("_all_ts"),
+
+    # pairs that come once in all texts have one customer at one table, or none: they are only counted
+    rows = follows(docs, keys).where("_all > 1")
+    for key in ("_ctx", "_word"):
+        rows = rows.join(F.broadcast(frequent(words).select(F.col("_key").alias(key), F.lit(True).alias(f"_in{key}"))), key, "left")
+    pairs = materialise(rows.select("_ctx", "_word", "_c", "_all", (F.col("_in_ctx").isNotNull() & F.col("_in_word").isNotNull()).alias("_core"), F.least("_c", F.lit(1)).cast("int").alias("_t"), F.lit(0).cast("long").alias("_ts")), 50_000)
+
+    def sums(pairs: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+        """Sums by word and by context."""
+        return tuple(pairs.groupBy(F.col(k).alias("_key")).agg(*[F.sum(c).alias(f"{c}{k}") for c in columns]) for k in ("_word", "_ctx"))
+
+    by_word, by_ctx = sums(pairs, "_c", "_t")
+    of = lambda c: F.coalesce(c, F.lit(0))
+    old, words = words, words.join(by_word, "_key", "left").join(by_ctx, "_key", "left").select(
+        "_key", "_token", "_c", "_all", (F.col("_c") - of("_c_word")).alias("_direct"), (F.col("_c") - of("_c_ctx")).alias("_alone"), (F.col("_c") - of("_c_word") + of("_t_word")).alias("_n"),
+        F.least("_c", F.lit(1)).cast("double").alias("_t"), (F.col("_c") - of("_c_ctx") + of("_t_ctx")).alias("_seats"), F.lit(0).cast("long").alias("_seated"), zero.alias("_g"), F.lit(float("-inf")).alias("_sum"),
     )
-    words = materialise(words)
-    discard(vocab)
-    of = lambda c, k: F.sum(F.size(F.filter(c, lambda x: x == k)))
-    sums = words.agg(
-        F.sum("_c").alias("c"), F.count_if(F.col("_c") > 0).alias("v"), F.count_if(F.col("_n") == 1).alias("n1"), F.count_if(F.col("_n") == 2).alias("n2"), of("_cs", 1).alias("p1"), of("_cs", 2).alias("p2")
-    ).first()
-    n, v = sums.c or 0, sums.v or 0
-    discount, pair_discount = _discount(sums.n1, sums.n2), _discount(sums.p1, sums.p2)
-
-    def totals(words: DataFrame) -> tuple[float, float, np.ndarray, np.ndarray]:
-        """Customers and tables without a context, and by context."""
+    words = materialise(words, 20_000)
+    discard(old)
+    has = F.lit(True) if keys is None else F.col("_key").isin(keys.tolist())
+    sizes = words.agg(F.sum("_c").alias("c"), F.count_if(F.col("_c") > 0).alias("v"), F.count_if(F.col("_n") == 1).alias("n1"), F.count_if(F.col("_n") == 2).alias("n2"), F.sum(F.when(has, F.col("_alone"))).alias("p1")).first()
+    twice = pairs.agg(F.count_if(F.col("_c") == 1).alias("p1"), F.count_if(F.col("_c") == 2).alias("p2")).first()
+    n, v = sizes.c or 0, sizes.v or 0
+    discount, pair_discount = _discount(sizes.n1, sizes.n2), _discount((sizes.p1 or 0) + twice.p1, twice.p2)
+
+    def totals(words: DataFrame) -> tuple[float, float]:
+        """Customers and tables without a context."""
         one = words.agg(F.sum("_n").alias("n"), F.sum("_t").alias("t")).first()
-        each = np.zeros((2, len(names)))
-        x = words.select(F.explode(F.arrays_zip("_ctxs", "_cs", "_ts")).alias("x"))
-        for r in x.groupBy("x._ctxs").agg(F.sum("x._cs").alias("c"), F.sum("x._ts").alias("t")).collect():  # a row for each context
-            each[:, r._ctxs] = r.c, r.t
-        return float(one.n or 0), float(one.t or 0.0), each[0], each[1]
-
-    customers, tables, pair_customers, pair_tables = totals(words)
-    seated = np.zeros(len(names))
+        return float(one.n or 0), float(one.t or 0.0)
+
+    customers, tables = totals(words)
+    state = "_key long, _token binary, _c long, _all long, _direct long, _alone long, _n long, _t double, _seats long, _seated long, _g double, _sum double"
+    pair_state = "_ctx long, _word long, _c long, _all long, _core boolean, _t int, _ts long"
     for sweep in range(sweeps):
         cells = words.where("_t > 0").select("_token", "_t").mapInArrow(_spelling_counts, "_cell long, _n double").groupBy("_cell").agg(F.sum("_n").alias("_n")).toArrow()  # at most 32 ** 3 * 257 rows
         found = np.array(cells.column(0)), np.array(cells.column(1))
         order = np.argsort(found[0])
         spelling = docs.sparkSession.sparkContext.broadcast(fit_spelling(found[0][order], found[1][order], seed=sweep))
         mass, whole = strength + discount * tables, strength + customers
-        masses = strength + pair_discount * pair_tables
-
-        def draw(batches: Iterator[pa.RecordBatch], spelling=spelling, mass=mass, whole=whole, masses=masses, sweep=sweep) -> Iterator[pa.RecordBatch]:
-            for every in batches:
-                for at in range(0, every.num_rows, 20_000):
-                    batch = every.slice(at, 20_000)
-                    symbols, context, of = spelled(list(texts(batch.column(0))))
-                    g = np.bincount(of, spelling.value.log_p(symbols, context), batch.num_rows)
-                    direct, key, n, t = (np.array(batch.column(i)) for i in (2, 3, 4, 5))
-                    key = key.view(np.uint64)
-                    ctxs, cs, ts, all_ts = (_flat(batch.column(i)) for i in (8, 9, 10, 11))
-                    sizes = pa.compute.list_value_length(batch.column(8)).to_numpy(zero_copy_only=False)
-                    word = np.repeat(np.arange(batch.num_rows), sizes)
-                    # the restaurants of contexts, given what their parent predicts
-                    p = (np.maximum(n - discount * t, 0) + mass * np.exp(g)) / whole
-                    own_key = _mix(key[word] + np.uint64(1000 * (sweep + 1)) + ctxs.astype(np.uint64))
-                    own_mass = masses[ctxs] * p[word]
-                    ts = reseat(cs, ts, own_mass, pair_discount, own_key) if sweep else seat(cs, own_mass, pair_discount, own_key)
-                    ts = ts.astype(np.int32)
-                    # the parent, whose customers are their tables
-                    n = direct + np.bincount(word, ts, batch.num_rows).astype(np.int64)
-                    own_key = _mix(key + np.uint64(1000 * (sweep + 1) + 999))
-                    t = reseat(n, np.minimum(t, n), mass * np.exp(g), discount, own_key) if sweep else seat(n, mass * np.exp(g), discount, own_key)
-                    cut = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
-                    lists = [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (ctxs, cs, ts, all_ts + ts)]
-                    yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n), pa.array(t), pa.array(g), batch.column(7), *lists], [c.split()[0] for c in _ROWS.split(", ")])
-
-        drawn = materialise(words.mapInArrow(draw, _ROWS), 20_000)
-        discard(words)
-        customers, tables, pair_customers, pair_tables = totals(drawn)
-        seated += pair_tables
+
+        def spell(batches: Iterator[pa.RecordBatch], spelling=spelling) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                symbols, context, of = spelled(list(texts(batch.column(1))))
+                g = np.bincount(of, spelling.value.log_p(symbols, context), batch.num_rows)
+                yield _arrow([*batch.columns[:10], g, batch.column(11)], state)
+
+        # the restaurants of contexts, given what their parent predicts
+        words, old = materialise(words.mapInArrow(spell, state), 20_000), words
+        discard(old)
+        p = (F.greatest(F.col("_n") - discount * F.col("_t"), zero) + mass * F.exp("_g")) / whole
+        by = {"_ctx": [(strength + pair_discount * F.col("_seats")).alias("_mass")], "_word": [p.alias("_p")]}
+
+        def draw(batches: Iterator[pa.RecordBatch], sweep=sweep) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ctx, word, c, t, ts, m, p = (np.array(batch.column(i)) for i in (0, 1, 2, 5, 6, 7, 8))
+                key = _mix(_mix(word.view(np.uint64) + np.uint64(1000 * (sweep + 1))) + ctx.view(np.uint64))
+                t = (reseat(c, t.astype(np.float64), m * p, pair_discount, key) if sweep else seat(c, m * p, pair_discount, key)).astype(np.int32)
+                yield _arrow([*batch.columns[:5], t, ts + t], pair_state)
+
+        rows = _looked_up(pairs, words, frequent(words), by).select(*[c.split()[0] for c in pair_state.split(", ")], "_mass", "_p")
+        pairs, old = materialise(rows.mapInArrow(draw, pair_state), 50_000), pairs
+        discard(old)
+
+        # their parent, whose customers are their tables
+        def seats(batches: Iterator[pa.RecordBatch], sweep=sweep, mass=mass) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                key, n, t, g = (np.array(batch.column(i)) for i in (0, 6, 7, 10))
+                key = _mix(key.view(np.uint64) + np.uint64(1000 * (sweep + 1) + 999))
+                t = reseat(n, np.minimum(t, n), mass * np.exp(g), discount, key) if sweep else seat(n, mass * np.exp(g), discount, key)
+                yield _arrow([*batch.columns[:7], t, *batch.columns[8:]], state)
+
+        by_word, by_ctx = sums(pairs, "_t")
+        made = words.join(by_word, "_key", "left").join(by_ctx, "_key", "left")
+        taken = F.col("_alone") + of("_t_ctx")
+        made = made.select("_key", "_token", "_c", "_all", "_direct", "_alone", (F.col("_direct") + of("_t_word")).alias("_n"), "_t", taken.alias("_seats"), (F.col("_seated") + taken).alias("_seated"), "_g", "_sum")
+        drawn, old = materialise(made.mapInArrow(seats, state), 20_000), words
+        discard(old)
+        customers, tables = totals(drawn)
         # _g and _sum are logarithms: the spelling of a long word has a probability below any double
         own, mass = F.greatest(F.col("_n") - discount * F.col("_t"), zero), strength + discount * tables
         p = F.when(own > 0, F.log(own + mass * F.exp("_g"))).otherwise(F.lit(math.log(mass)) + F.col("_g")) - math.log(strength + customers)
         more, less = F.greatest("_sum", p), F.least("_sum", p)
         words = drawn.withColumn("_sum", more + F.log1p(F.exp(less - more)))
-    owns = F.transform(F.arrays_zip("_ctxs", "_cs", "_all_ts"), lambda x: (x["_cs"] - x["_all_ts"] * (pair_discount / max(1, sweeps))) / (strength + F.get(_array(pair_customers), x["_ctxs"].cast("int"))))
-    words = words.select("_token", "_c", ((F.col("_sum") - math.log(max(1, sweeps))) / math.log(10)).alias("_lp"), "_ctxs", owns.alias("_owns"))
-    return Model(words, n, v, names, (strength + pair_discount * seated / max(1, sweeps)) / (strength + pair_customers))
-
-
-def _array(values: np.ndarray):
-    """A short array as a constant."""
-    return F.split(F.lit(",".join(map(repr, values.tolist()))), ",").cast("array<double>")
+    each = max(1, sweeps)
+    back = (strength + F.col("_seated") * (pair_discount / each)) / (strength + F.col("_c"))
+    table = materialise(words.select("_key", "_token", "_c", "_all", ((F.col("_sum") - math.log(each)) / math.log(10)).alias("_lp"), (strength + F.col("_c")).alias("_whole"), back.alias("_back")), 20_000)
+    discard(words)
+    several = pairs.select("_ctx", "_word", "_c", "_all", "_core", (F.col("_c") - F.col("_ts") * (pair_discount / each)).alias("_over"))
+    return Model(table, several, pair_discount, n, v, least, keys, names, docs)
 
 
 def _spelling_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -392,9 +472,9 @@ def _spelling_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield pa.RecordBatch.from_arrays([pa.array(sums[0]), pa.array(sums[1])], ["_cell", "_n"])
 
 
-def _least(words: DataFrame, most: int) -> int:
-    """A count that at most ``most`` words have or exceed."""
-    bins = words.where("_c > 0").groupBy(F.floor(F.log2("_c") * 16).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("_c").alias("least")).collect()  # by count's logarithm: some hundreds
+def _least(rows: DataFrame, most: int) -> int:
+    """A number of occurrences that at most ``most`` rows have or exceed."""
+    bins = rows.groupBy(F.floor(F.log2("_all") * 16).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("_all").alias("least")).collect()  # by the number's logarithm: some hundreds
     least, total = 1 << 62, 0
     for b in sorted(bins, reverse=True):
         if (total := total + b.n) > most:
@@ -405,115 +485,139 @@ def _least(words: DataFrame, most: int) -> int:
 
 @dataclass
 class _Head:
-    """The most frequent words, numbered, and what their contexts add, by number * 512 + context."""
+    """The most frequent words, numbered, and what contexts add for the most frequent pairs, by number of the context * 2 ** 32 + number."""
 
     number: dict[bytes, int]
+    keys: np.ndarray
     base: np.ndarray
+    known: np.ndarray  # whether training texts have it
     log_p: np.ndarray  # log10
-    context: np.ndarray  # by word number, -1 for none; the last is for words without a number
-    paired: int  # words below this number have all their contexts here
+    back: np.ndarray
     codes: np.ndarray
     owns: np.ndarray
-    back: np.ndarray
 
-    def score(self, ids: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of each word's probability after the context ``before``, and whether the head tells it."""
-        known = (ids >= 0) & ((before < 0) | (ids < self.paired))
-        p = np.where(ids >= 0, self.log_p[ids], 0.0)
-        at = np.flatnonzero(known & (before >= 0))
-        some, to = np.unique((ids[at] * 512 + before[at]).astype(np.int32), return_inverse=True)
-        own = np.zeros(len(some))
-        if len(self.codes):
+    def score(self, ids: np.ndarray, before: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of each word's probability after the one with number ``before``, or where ``free`` without a context, and whether the head tells it."""
+        told = (ids >= 0) & free
+        p = np.where(told, self.log_p[ids], 0.0)
+        at = np.flatnonzero((ids >= 0) & (before >= 0) & ~free)
+        if len(self.codes) and len(at):
+            some, to = np.unique(before[at] << 32 | ids[at], return_inverse=True)
             place = np.minimum(np.searchsorted(self.codes, some), len(self.codes) - 1)
-            own = np.where(self.codes[place] == some, self.owns[place], 0.0)
-        p[at] = np.log10(own[to] + self.back[before[at]] * 10.0 ** p[at])
-        return p, known
+            found = self.codes[place] == some
+            at, place = at[found[to]], place[to][found[to]]
+            told[at] = True
+            own, share = self.owns[place], self.back[before[at]]
+            p[at] = np.where(own > 0, np.log10(own + share * 10.0 ** self.log_p[ids[at]]), np.log10(share) + self.log_p[ids[at]])
+        return p, told
 
 
-def score(docs: DataFrame, train, sweeps: int = SWEEPS, head: int = HEAD, paired: int = PAIRED, contexts: int = CONTEXTS) -> DataFrame:
+def score(docs: DataFrame, train, sweeps: int = SWEEPS, head: int = HEAD, paired: int = PAIRED, contexts: int | None = CONTEXTS) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score, perplexity: one row for each row of docs (doc_id, text).
 
     ``train`` is a boolean Column of docs: who teaches the model; null is no. Tokens are the words between white
     space, A-Z lower-cased, and one end. A null text is empty: its end alone is scored. base_score is that of counts
     with 0.1 added; both scores are sums of log10. Repeated rows are documents like others. A null doc_id stays
     null. Without training texts counts are 0 and the spelling model is uniform. A perplexity beyond a double's range
-    is infinity. Words of equal counts are contexts in the order of their bytes. Of docs only doc_id, text and what
+    is infinity. All words and the start are contexts, or if ``contexts`` is a number that many most frequent ones and
+    the start; words of equal counts in the order of their bytes. Of docs only doc_id, text and what
     ``train`` names are read, so further columns do no harm.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
-    model = fit(rows.select("_text", "_train"), sweeps, contexts=contexts)
+    model = fit(rows.select("_text", "_train"), sweeps, contexts=contexts, head=head)
     base = F.log10((F.col("_c") + 0.1) / F.lit(model.n + 0.1 * (model.v + 1)))
-    words = materialise(model.words.select("_token", "_c", base.alias("_base"), "_lp", "_ctxs", "_owns"))
-    discard(model.words)
-    first = words.where(F.col("_c") >= _least(words, head)).select("_token", "_c", "_base", "_lp").toArrow()  # at most ``head`` rows
-    order = np.argsort(-np.array(first.column(1), dtype=np.int64), kind="stable").tolist()
-    names = first.column(0).to_pylist()
-    number = {names[j]: i for i, j in enumerate(order)}
-    least = _least(words, min(paired, head))
-    codes, owns = [np.zeros(0, dtype=np.int32)], [np.zeros(0)]
-    several = 0
-    for batch in words.where(F.col("_c") >= least).select("_token", "_ctxs", "_owns").toArrow().to_batches():  # at most ``paired`` rows of CONTEXTS + 2 numbers
-        of = np.array([number[w] for w in batch.column(0).to_pylist()], dtype=np.int64)
-        several += len(of)
-        codes.append((np.repeat(of, pa.compute.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False)) * 512 + _flat(batch.column(1))).astype(np.int32))
-        owns.append(_flat(batch.column(2)))
-    code, own = np.concatenate(codes), np.concatenate(owns)
-    by_code = np.argsort(code)
-    context = np.full(len(order) + 1, -1, dtype=np.int64)
-    for i, w in enumerate(model.contexts):
-        if w in number:
-            context[number[w]] = i
-    other = {w: i for i, w in enumerate(model.contexts) if w not in number}
-    column = lambda i: np.array(first.column(i), dtype=np.float64)[order] if order else np.zeros(0)
-    sent = docs.sparkSession.sparkContext.broadcast((_Head(number, np.append(column(2), 0.0), np.append(column(3), 0.0), context, several, code[by_code], own[by_code], model.back), other))
+    words = model.table.withColumn("_base", base)
+    frequent = words.where(F.col("_all") >= model.least)  # at most ``head`` rows
+    first = frequent.select("_token", "_key", "_c", "_base", "_lp", "_back", "_whole").toArrow()
+    number = {w: i for i, w in enumerate(first.column(0).to_pylist())}
+    column = lambda i: np.append(np.array(first.column(i)), 0).astype(np.array(first.column(i)).dtype)
+    key, whole = column(1), column(6)
+    base_, log_p, back, known_ = column(3), column(4), column(5), (column(2) > 0).astype(np.float64)
+    del first
+    by_key = np.argsort(key[:-1])
+    # both words of these pairs are in the head; at most ``paired`` rows
+    found = model.several.where(F.col("_core") & (F.col("_all") >= _least(model.several, paired))).select("_ctx", "_word", "_over").toArrow()
+    place = lambda i: by_key[np.searchsorted(key[:-1], np.array(found.column(i)), sorter=by_key)] if found.num_rows else np.zeros(0, dtype=np.int64)
+    before, after = place(0), place(1)
+    codes, owns = before << 32 | after, np.array(found.column(2), dtype=np.float64) / whole[before]
+    order = np.argsort(codes)
+    keys = model.keys
+    sent = docs.sparkSession.sparkContext.broadcast(_Head(number, key, base_, known_, log_p, back, codes[order], owns[order]))
+    del found, before, after, codes, owns, order
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, other = sent.value
-        for whole in batches:
-            for at in range(0, whole.num_rows, 200):
-                batch = whole.slice(at, 200)
-                every = [[*tokens(t), END] for t in texts(batch.column(2))]
-                sizes = np.array([len(x) for x in every])
-                flat = [w for x in every for w in x]
+        table = sent.value
+        for every in batches:
+            for at in range(0, every.num_rows, 400):
+                batch = every.slice(at, 400)
+                found = [[*tokens(t), END] for t in texts(batch.column(2))]
+                sizes = np.array([len(x) for x in found])
+                flat = [w for x in found for w in x]
                 ids = np.array([table.number.get(w, -1) for w in flat], dtype=np.int64)
-                doc = np.repeat(np.arange(len(every)), sizes)
-                before = table.context[ids]
-                if other:
-                    before = np.array([other.get(w, c) for w, c in zip(flat, before.tolist(), strict=True)], dtype=np.int64)
-                before = np.concatenate(([0], before[:-1]))
-                before[np.cumsum(sizes)[:-1]] = 0  # the start of a text
-                p, known = table.score(ids, before)
-                add = lambda x, doc=doc, known=known, n=len(every): np.bincount(doc, np.where(known, x, 0.0), n)
-                sums = np.column_stack((add(table.base[ids]), add(p), add(1.0), sizes))
-                # the rest by word and context, at least one row for a text: a key of its own that no word has
-                rest = np.flatnonzero(~known)
-                found = Counter(zip(doc[rest].tolist(), [flat[i] for i in rest.tolist()], before[rest].tolist(), strict=True))
-                rows, docs_ = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                for d in set(range(len(every))) - {k[0] for k in found}:
-                    found[d, b" %d" % rows[d], -1] = 0
-                of, toks, ctx = zip(*found, strict=True)
-                first, lead = set(), []
-                for d in of:
-                    lead.append(d not in first)
-                    first.add(d)
-                yield pa.RecordBatch.from_arrays(
+                key = table.keys[ids]
+                seldom = np.flatnonzero(ids < 0)
+                key[seldom] = hashed([flat[i] for i in seldom.tolist()])
+                doc = np.repeat(np.arange(len(found)), sizes)
+                starts = np.cumsum(sizes) - sizes
+                before, ctx = np.roll(ids, 1), np.roll(key, 1)
+                before[starts], ctx[starts] = table.number.get(END, -1), hashed([END])[0]  # the start of a text
+                free = np.zeros(len(flat), dtype=bool) if keys is None else ~np.isin(ctx, keys)
+                p, told = table.score(ids, before, free)
+                known = ids >= 0
+                sums = np.column_stack([np.bincount(doc, x, len(found)) for x in (np.where(known, table.base[ids], 0.0), p, np.where(known, table.known[ids], 0.0), np.ones(len(flat)))])
+                # the rest, and a row of its own for each text
+                rest = np.flatnonzero(~told)
+                row, train = np.array(batch.column(0)), batch.column(3).to_numpy(zero_copy_only=False)
+                kind = np.where(free[rest], _FREE, np.where(train[doc[rest]], _TRAIN, _OTHER)).astype(np.int8)
+                none = len(rest)
+                yield _arrow(
                     [
-                        pa.array([rows[d] for d in of], pa.int64()), pa.array(toks, pa.binary()), pa.array(ctx, pa.int16()), pa.array(list(found.values()), pa.int32()),
-                        pa.array([docs_[d] if x else None for d, x in zip(of, lead, strict=True)], pa.int64()), pa.array([sums[d].tolist() if x else None for d, x in zip(of, lead, strict=True)], pa.list_(pa.float64())),
+                        np.concatenate((row[doc[rest]], row)), np.concatenate((np.where(free[rest], key[rest], ctx[rest]), row)), np.concatenate((key[rest], row)), np.concatenate((kind, np.full(len(row), _TEXT, dtype=np.int8))),
+                        pa.concat_arrays([pa.nulls(none, pa.int64()), batch.column(1)]), pa.array([*[None] * none, *sums.tolist()], pa.list_(pa.float64())),
                     ],
-                    ["_row", "_token", "_ctx", "_m", "_doc", "_sums"],
+                    rest_rows,
                 )
 
-    rows = rows.select(F.xxhash64("_doc", "_text").alias("_row"), "_doc", "_text").mapInArrow(add, "_row long, _token binary, _ctx short, _m int, _doc long, _sums array<double>")
-    rows = rows.join(words, "_token", "left")
-    of = lambda i: F.coalesce(F.get("_sums", F.lit(i)), F.lit(0.0))
-    own = F.coalesce(F.get("_owns", (F.array_position("_ctxs", F.col("_ctx")) - 1).cast("int")), F.lit(0.0))
-    share = F.when(F.col("_ctx") >= 0, F.get(_array(model.back), F.col("_ctx").cast("int"))).otherwise(F.lit(1.0))
+    rest_rows = "_row long, _ctx long, _word long, _kind byte, _doc long, _sums array<double>"
+    # a pair that comes once in all texts has a customer if its text is a training text
+    kind, once = F.col("_kind"), 1 - model.discount
+    over = F.when(kind < _FREE, F.coalesce("_over", F.when(kind == _TRAIN, F.lit(once)).otherwise(F.lit(0.0)))).otherwise(F.lit(0.0))
+    of_ctx = lambda df: df.select(F.col("_key").alias("_ctx"), "_whole", "_back")
+    of_word = lambda df: df.select(F.col("_key").alias("_word"), "_lp", *[F.col(c).alias(f"{c}_word") for c in ("_base", "_c")])
     # without an own part the product stays a sum of logarithms: a long word's probability is below any double
-    lp = F.when((F.col("_ctx") >= 0) & (own > 0), F.log10(own + share * F.pow(F.lit(10.0), F.col("_lp")))).otherwise(F.log10(share) + F.col("_lp"))
-    times = F.count("_sums").alias("_times")
-    seen = F.when(F.col("_c") > 0, F.col("_m")).otherwise(0)
-    whole = rows.groupBy("_row").agg(times, F.max("_doc").alias("doc_id"), F.sum(F.coalesce(F.col("_base") * F.col("_m"), F.lit(0.0)) + of(0)).alias("_b"), F.sum(F.coalesce(lp * F.col("_m"), F.lit(0.0)) + of(1)).alias("_s"), F.sum(seen + of(2)).alias("_k"), F.sum(of(3)).alias("_w"))
+    own = F.col("_over") / F.col("_whole")
+    lp = F.when(kind >= _FREE, F.col("_lp")).when(own > 0, F.log10(own + F.col("_back") * F.pow(F.lit(10.0), F.col("_lp")))).otherwise(F.log10("_back") + F.col("_lp"))
+    # texts are summed up; a row whose words are not both in the head stays by itself
+    apart = (kind != _TEXT) & (F.col("_lp").isNull() | ((kind < _FREE) & F.col("_back").isNull()))
+    alone = [F.when(apart, F.col(c)).alias(c) for c in ("_ctx", "_word", "_kind", "_over")]
+    of = lambda i: F.sum(F.get("_sums", F.lit(i)))
+    rows = rows.select(F.xxhash64("_doc", "_text").alias("_row"), "_doc", "_text", "_train")
+    some = []
+    for part in range(PARTS):
+        found = rows.where(F.pmod("_row", F.lit(PARTS)) == part).mapInArrow(add, rest_rows).join(model.several.select("_ctx", "_word", "_over"), ["_ctx", "_word"], "left").withColumn("_over", over)
+        found = found.join(F.broadcast(of_ctx(frequent)), "_ctx", "left").join(F.broadcast(of_word(frequent)), "_word", "left")
+        found = found.select("_row", *alone, F.when(kind != _TEXT, lp).alias("_p"), "_doc", "_sums").groupBy("_row", "_ctx", "_word", "_kind", "_over")
+        some.append(materialise(found.agg(F.sum("_p").alias("_p"), F.count(F.lit(1)).alias("_m"), F.count("_sums").alias("_times"), F.max("_doc").alias("_doc"), *[of(i).alias(f"_{i}") for i in range(4)])))
+    discard(model.several)
+    some = functools.reduce(DataFrame.unionByName, some)
+    zero = F.lit(0.0)
+    whole = some.where("_word IS NULL").select("_row", "_times", "_doc", F.col("_0").alias("_b"), (F.coalesce("_p", zero) + F.col("_1")).alias("_s"), F.col("_2").alias("_k"), F.col("_3").alias("_w"))
+    seldom = some.where("_word IS NOT NULL").select("_row", "_ctx", "_word", "_kind", "_over", "_m")
+    # contexts, then words: what the head has comes from it, the rest is rare
+    paired = seldom.where(kind < _FREE)
+    told = paired.join(F.broadcast(of_ctx(frequent)), "_ctx")
+    asked = paired.join(F.broadcast(of_ctx(frequent).select("_ctx")), "_ctx", "left_anti").join(of_ctx(words), "_ctx")
+    seldom = told.unionByName(asked)
+    if keys is not None:
+        seldom = seldom.unionByName(some.where((F.col("_word").isNotNull()) & (kind == _FREE)).select("_row", "_ctx", "_word", "_kind", "_over", "_m", zero.alias("_whole"), zero.alias("_back")))
+    common = seldom.join(F.broadcast(of_word(frequent)), "_word").withColumn("_seldom", zero)
+    rare = seldom.join(F.broadcast(of_word(frequent).select("_word")), "_word", "left_anti").join(of_word(words), "_word").withColumn("_seldom", F.lit(1.0))
+    # the text's own row has the base and the count of words in the head
+    times = F.col("_m") * F.col("_seldom")
+    seldom = common.unionByName(rare).select(
+        "_row", F.lit(0).cast("long").alias("_times"), F.lit(None).cast("long").alias("_doc"), (F.col("_base_word") * times).alias("_b"), (lp * F.col("_m")).alias("_s"), (F.when(F.col("_c_word") > 0, times).otherwise(zero)).alias("_k"), zero.alias("_w")
+    )
+    whole = whole.unionByName(seldom).groupBy("_row").agg(F.sum("_times").alias("_times"), F.max("_doc").alias("doc_id"), *[F.sum(c).alias(c) for c in ("_b", "_s", "_k", "_w")])
     each = lambda c: F.col(c) / F.col("_times")
     # rows alike in id and text came together: one for each again
     whole = whole.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))

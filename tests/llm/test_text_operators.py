@@ -396,6 +396,36 @@ def test_context_restaurants_beat_single_words(spark):
     assert found[20][0] > found[20][1]
 
 
+def test_every_word_is_a_context(spark):
+    """More words than 255, each of which tells the next; scores by brute force from the fitted counts, by broadcast and by join."""
+    names = [f"w{i}" for i in range(400)]
+    after = lambda w: (w * 7 + 1) % 400
+    rows = []
+    for i in range(1200):
+        w, out = i % 400, []
+        for _ in range(4):
+            out.append(names[w])
+            w = after(w)
+        rows.append((i, " ".join(out)))
+    rows += [(2000 + w, f"{names[w]} {names[after(w)]}") for w in range(400)] + [(3000 + w, f"{names[w]} {names[after(w + 1)]}") for w in range(400)] + [(4000, "unseen w1 unseen unseen"), (4001, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    train = F.col("doc_id") < 1200
+    scored = [{r.doc_id: round(r.score, 6) for r in lm.score(df, train, sweeps=1, head=h, paired=p).collect()} for h, p in ((300_000, 32_768), (100, 20))]
+    assert scored[0] == scored[1]
+    assert all(scored[0][2000 + w] > scored[0][3000 + w] + 0.5 for w in range(400))
+    model = lm.fit(df.select(F.coalesce("text", F.lit("")).alias("_text"), train.alias("_train")), sweeps=1)
+    table = {r._key: r for r in model.table.collect()}
+    own = {(r._ctx, r._word): r._own for r in model.pairs.collect()}
+    sums = Counter()
+    for (c, _), o in own.items():
+        sums[c] += o
+    assert len(sums) == 401 and all(abs(s + table[c]._back - 1) < 1e-9 for c, s in sums.items())
+    for i, t in rows:
+        ws = lm.hashed([lm.END, *lm.tokens((t or "").encode()), lm.END]).tolist()
+        want = sum(math.log10(own.get((c, w), 0.0) + table[c]._back * 10 ** table[w]._lp) for c, w in zip(ws, ws[1:], strict=False))
+        assert abs(scored[0][i] - want) < 1e-5
+
+
 def test_reseating_samples_the_posterior():
     """The number of tables of a dish against its exact posterior, S(c, t) * mass ** t."""
     d, mass, c, n = 0.5, 3.0, 7, 100_000
