@@ -10,14 +10,16 @@ Seating starts as in a Chinese restaurant and is then sampled by Gibbs: a custom
 table with it if it sat alone there, and sits down again by the posterior, MOVES times a sweep. A restaurant's state is
 the count of customers and tables of each dish; how likely a customer sits alone follows from these by generalised
 Stirling numbers. A pair of words is a row. Pairs that come once in all texts have one customer at one table whatever
-is drawn, so they are only counted: what a word's count has beyond its other pairs are such. Sweeps draw the tables of
-all pairs, given the totals and predictions of the sweep before, and then those of their parent. What each restaurant
-predicts is averaged over the sweeps.
+is drawn, so they are only counted: what a word's count has beyond its other pairs are such. Pairs and words that come
+once in training have one table too, so only the others are drawn; spelling gives what the rare words' predictions need
+of all sweeps in one pass. Sweeps draw the tables of all pairs, given the totals and predictions of the sweep before,
+and then those of their parent. What each restaurant predicts is averaged over the sweeps.
 
 Words and pairs grow with the corpus and stay distributed. The spelling model has at most 32 ** 3 * 257 cells, whatever
-the corpus, so it is broadcast. What belongs to the at most HEAD most frequent words, and for scoring to the at most
-PAIRED most frequent pairs of them, is broadcast too, which takes the hot keys away; all others come from joins. Words
-are known by 64-bit keys, pairs by the keys of both words.
+the corpus, so it is broadcast. The at most HEAD most frequent words have numbers, by which Python tasks look them up in
+broadcast arrays; other words are known by 64-bit keys and looked up by joins. A pair with one word of each kind joins
+with the HOT most frequent by broadcast, which takes the hot keys away. Scoring also has the at most PAIRED most frequent
+pairs of numbered words.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, texts, tokens
@@ -39,7 +42,8 @@ from .common import discard, materialise, texts, tokens
 #: The end of a text as a token: no word holds a space.
 END = b" "
 CONTEXTS = None  # words with a restaurant of what follows them, beside the start: all
-HEAD = 300_000  # the most frequent words that are broadcast, at most
+HEAD = 300_000  # the most frequent words that are broadcast to Python tasks, at most
+HOT = 30_000  # those of them that joins broadcast
 PAIRED = 1_000_000  # the most frequent pairs of them that are broadcast for scoring, at most
 PARTS = 4  # of the texts, scored one after another, so that few of their rows lie on disk at once
 SWEEPS = 3
@@ -150,6 +154,10 @@ class Spelling:
             own = 0.0
         return np.log(own + self.back[context] * self.parent[context % 1024, symbols])
 
+    def log_words(self, words: list[bytes]) -> np.ndarray:
+        symbols, context, of = spelled(words)
+        return np.bincount(of, self.log_p(symbols, context), len(words))
+
 
 def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All symbols of the words, each with its context of three classes, and the number of its word."""
@@ -258,6 +266,44 @@ def vocabulary(docs: DataFrame) -> DataFrame:
     return made.groupBy("_token", "_key").agg(F.sum("_c").alias("_c"), F.sum("_all").alias("_all"))
 
 
+@dataclass
+class _Coded:
+    """The most frequent words, numbered. A word's code is its number, or its key if it has none."""
+
+    number: dict[bytes, int]
+    keys: np.ndarray
+    by_key: np.ndarray  # numbers in the order of keys
+
+    def codes(self, words: list[bytes], keys: np.ndarray) -> np.ndarray:
+        numbers = np.fromiter((self.number.get(w, -1) for w in words), np.int64, len(words))
+        return np.where(numbers < 0, keys, numbers)
+
+    def code(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return keys
+        at = self.by_key[np.minimum(np.searchsorted(self.keys, keys, sorter=self.by_key), len(self.keys) - 1)]
+        return np.where(self.keys[at] == keys, at, keys)
+
+    def key(self, codes: np.ndarray) -> np.ndarray:
+        has = (codes >= 0) & (codes < len(self.keys))
+        return np.where(has, self.keys[np.where(has, codes, 0)], codes) if len(self.keys) else codes
+
+
+def _numbered(words: DataFrame, least: int) -> tuple[Broadcast, int]:
+    """Numbers of the words with at least so many occurrences, from the most frequent on, and how many these are."""
+    first = words.where(F.col("_all") >= least).select("_token", "_key", "_all").toArrow()  # at most ``head`` rows
+    keys = np.array(first.column(1), dtype=np.int64)
+    order = np.lexsort((keys, -np.array(first.column(2), dtype=np.int64)))
+    tokens = first.column(0).take(pa.array(order)).to_pylist()
+    made = _Coded({w: i for i, w in enumerate(tokens)}, keys[order], np.argsort(keys[order]))
+    return words.sparkSession.sparkContext.broadcast(made), len(tokens)
+
+
+def _below(code: str, n: int) -> Column:
+    """Whether a code is one of the first n numbers."""
+    return F.col(code).between(0, n - 1)
+
+
 class _Numbers(dict):
     """Numbers words as they come."""
 
@@ -266,8 +312,8 @@ class _Numbers(dict):
         return n
 
 
-def follows(docs: DataFrame, contexts: np.ndarray | None = None) -> DataFrame:
-    """_ctx, _word, _c, _all: how often a word (its key) comes after another or after the start, in texts with _train and in all.
+def follows(docs: DataFrame, head: Broadcast, contexts: np.ndarray | None = None) -> DataFrame:
+    """_ctx, _word, _c, _all: how often a word (its code) comes after another or after the start, in texts with _train and in all.
 
     ``contexts`` are the keys of the words after which it counts, if not after all.
     """
@@ -276,10 +322,13 @@ def follows(docs: DataFrame, contexts: np.ndarray | None = None) -> DataFrame:
         numbers, codes, held = _Numbers(), [], 0
 
         def made() -> Iterator[pa.RecordBatch]:
-            key = hashed(list(numbers))
+            words = list(numbers)
+            key = hashed(words)
+            code = head.value.codes(words, key)
             some, n = np.unique(np.concatenate(codes) if codes else np.zeros(0, dtype=np.int64), return_counts=True)
-            ctx, word, train = key[some >> 32] if len(key) else some, key[some >> 1 & 0x7FFFFFFF] if len(key) else some, some & 1
-            keep = slice(None) if contexts is None else np.isin(ctx, contexts)
+            before, after, train = some >> 32, some >> 1 & 0x7FFFFFFF, some & 1
+            ctx, word = (code[before], code[after]) if len(code) else (some, some)
+            keep = slice(None) if contexts is None else np.isin(key[before], contexts) if len(key) else slice(None)
             numbers.clear(), codes.clear()
             columns = [x[keep] for x in (ctx, word, n * train, n)]
             for at in range(0, len(columns[0]), 100_000):
@@ -306,37 +355,37 @@ def _discount(ones: int | None, twos: int | None) -> float:
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones or twos else 0.5
 
 
-def _looked_up(rows: DataFrame, words: DataFrame, head: DataFrame, by: dict[str, list]) -> DataFrame:
-    """Columns of words for each of by's keys: from the broadcast head where all of them are in it, else by joins.
-
-    rows tell in _core which those are. What is not in the head is rare, so no key of a join has many rows.
-    """
-    core, rest = rows.where("_core"), rows.where("NOT _core")
-    for key, columns in by.items():
-        core = core.join(F.broadcast(head.select(F.col("_key").alias(key), *columns)), key)
-        seldom = rest.join(F.broadcast(head.select(F.col("_key").alias(key))), key, "left_anti").join(words.select(F.col("_key").alias(key), *columns), key)
-        rest = rest.join(F.broadcast(head.select(F.col("_key").alias(key), *columns)), key).unionByName(seldom)
-    return core.unionByName(rest)
+def _looked_up(rows: DataFrame, words: DataFrame, hot: int, by: dict[str, list]) -> DataFrame:
+    """Columns of words for each of by's codes: of the ``hot`` most frequent from a broadcast, else by joins, whose keys are rare."""
+    for code, columns in by.items():
+        some = words.select(F.col("_code").alias(code), *columns)
+        told = rows.where(_below(code, hot)).join(F.broadcast(some.where(_below(code, hot))), code)
+        rows = told.unionByName(rows.where(~_below(code, hot)).join(some.where(~_below(code, hot)), code))
+    return rows
 
 
 @dataclass
 class Model:
-    table: DataFrame  # _key, _token, _c, _all, _lp (log10 without a context), _whole and _back: customers and strength of its own restaurant, and the weight of the one without a context there
-    several: DataFrame  # _ctx, _word, _c, _all, _over (customers beyond the tables' discounts): pairs that come more than once in all texts
+    table: DataFrame  # _key, _code, _token, _c, _all, _lp (log10 without a context), _whole and _back: customers and strength of its own restaurant, and the weight of the one without a context there
+    several: DataFrame  # _ctx, _word (codes), _all, _over (customers beyond the tables' discounts): pairs that come more than once in all texts
     discount: float  # of the contexts' restaurants
     n: int  # training tokens
     v: int  # distinct ones
     least: int  # words with so many occurrences, at most ``head`` of them, are the head
+    head: Broadcast  # their numbers, of which there are ``numbered``
+    numbered: int
     keys: np.ndarray | None  # of the contexts, if not all words are
     contexts: list[bytes] | None
     docs: DataFrame
 
     @property
     def pairs(self) -> DataFrame:
-        """_ctx, _word, _own: what a context's restaurant adds for each word that came after it in training."""
-        every = follows(self.docs, self.keys).where("_c > 0").select("_ctx", "_word").join(self.several.select("_ctx", "_word", "_over"), ["_ctx", "_word"], "left")
-        whole = self.table.select(F.col("_key").alias("_ctx"), "_whole")
-        return every.join(whole, "_ctx").select("_ctx", "_word", (F.coalesce("_over", F.lit(1 - self.discount)) / F.col("_whole")).alias("_own"))
+        """_ctx, _word (keys), _own: what a context's restaurant adds for each word that came after it in training."""
+        every = follows(self.docs, self.head, self.keys).where("_c > 0").select("_ctx", "_word").join(self.several.select("_ctx", "_word", "_over"), ["_ctx", "_word"], "left")
+        ctx = self.table.select(F.col("_code").alias("_ctx"), F.col("_key").alias("_before"), "_whole")
+        word = self.table.select(F.col("_code").alias("_word"), F.col("_key").alias("_after"))
+        own = F.coalesce("_over", F.lit(1 - self.discount)) / F.col("_whole")
+        return every.join(ctx, "_ctx").join(word, "_word").select(F.col("_before").alias("_ctx"), F.col("_after").alias("_word"), own.alias("_own"))
 
     @property
     def words(self) -> DataFrame:
@@ -366,83 +415,101 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, strength: float = 10.0, contexts:
         names = [END, *[bytes(r._token) for r in first.select("_token").collect()]]  # at most ``contexts``
         keys = hashed(names)
     least = _least(words, head)
-    frequent = lambda df: df.where(F.col("_all") >= least)
+    coded, numbered = _numbered(words, least)
+    hot = min(HOT, numbered)
     zero = F.lit(0.0)
+    of = lambda c: F.coalesce(c, F.lit(0))
 
     # pairs that come once in all texts have one customer at one table, or none: they are only counted
-    rows = follows(docs, keys).where("_all > 1")
-    for key in ("_ctx", "_word"):
-        rows = rows.join(F.broadcast(frequent(words).select(F.col("_key").alias(key), F.lit(True).alias(f"_in{key}"))), key, "left")
-    pairs = materialise(rows.select("_ctx", "_word", "_c", "_all", (F.col("_in_ctx").isNotNull() & F.col("_in_word").isNotNull()).alias("_core"), F.least("_c", F.lit(1)).cast("int").alias("_t"), F.lit(0).cast("long").alias("_ts")), 50_000)
+    found = materialise(follows(docs, coded, keys).where("_all > 1"), 50_000)
+    pair_state = "_ctx long, _word long, _c long, _all long, _t int, _ts long"
+    pairs = found.where("_c > 1").select("_ctx", "_word", "_c", "_all", F.lit(1).alias("_t"), F.lit(0).cast("long").alias("_ts"))
 
     def sums(pairs: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
         """Sums by word and by context."""
-        return tuple(pairs.groupBy(F.col(k).alias("_key")).agg(*[F.sum(c).alias(f"{c}{k}") for c in columns]) for k in ("_word", "_ctx"))
+        return tuple(pairs.groupBy(F.col(k).alias("_code")).agg(*[F.sum(c).alias(f"{c}{k}") for c in columns]) for k in ("_word", "_ctx"))
+
+    # words that come at most once in training have as many tables and pairs, so they stay as they are
+    every, few = words, words.where("_c <= 1").select("_key", "_token", "_c", "_all")
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _arrow([*batch.columns, coded.value.code(np.array(batch.column(0)))], "_key, _token, _c, _all, _code")
 
+    words = every.where("_c > 1").select("_key", "_token", "_c", "_all").mapInArrow(code, "_key long, _token binary, _c long, _all long, _code long")
     by_word, by_ctx = sums(pairs, "_c", "_t")
-    of = lambda c: F.coalesce(c, F.lit(0))
-    old, words = words, words.join(by_word, "_key", "left").join(by_ctx, "_key", "left").select(
-        "_key", "_token", "_c", "_all", (F.col("_c") - of("_c_word")).alias("_direct"), (F.col("_c") - of("_c_ctx")).alias("_alone"), (F.col("_c") - of("_c_word") + of("_t_word")).alias("_n"),
-        F.least("_c", F.lit(1)).cast("double").alias("_t"), (F.col("_c") - of("_c_ctx") + of("_t_ctx")).alias("_seats"), F.lit(0).cast("long").alias("_seated"), zero.alias("_g"), F.lit(float("-inf")).alias("_sum"),
-    )
-    words = materialise(words, 20_000)
-    discard(old)
+    words = materialise(words.join(by_word, "_code", "left").join(by_ctx, "_code", "left").select(
+        "_key", "_code", "_token", "_c", "_all", (F.col("_c") - of("_c_word")).alias("_direct"), (F.col("_c") - of("_c_ctx")).alias("_alone"), (F.col("_c") - of("_c_word") + of("_t_word")).alias("_n"),
+        F.lit(1.0).alias("_t"), (F.col("_c") - of("_c_ctx") + of("_t_ctx")).alias("_seats"), F.lit(0).cast("long").alias("_seated"), zero.alias("_g"), F.lit(float("-inf")).alias("_sum"),
+    ), 20_000)
     has = F.lit(True) if keys is None else F.col("_key").isin(keys.tolist())
-    sizes = words.agg(F.sum("_c").alias("c"), F.count_if(F.col("_c") > 0).alias("v"), F.count_if(F.col("_n") == 1).alias("n1"), F.count_if(F.col("_n") == 2).alias("n2"), F.sum(F.when(has, F.col("_alone"))).alias("p1")).first()
-    twice = pairs.agg(F.count_if(F.col("_c") == 1).alias("p1"), F.count_if(F.col("_c") == 2).alias("p2")).first()
-    n, v = sizes.c or 0, sizes.v or 0
-    discount, pair_discount = _discount(sizes.n1, sizes.n2), _discount((sizes.p1 or 0) + twice.p1, twice.p2)
+    ones = few.where("_c = 1").agg(F.count(F.lit(1)).alias("v"), F.count_if(has).alias("p1")).first()
+    sizes = words.agg(F.sum("_c").alias("c"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("_n") == 1).alias("n1"), F.count_if(F.col("_n") == 2).alias("n2"), F.sum(F.when(has, F.col("_alone"))).alias("p1")).first()
+    n, v = (sizes.c or 0) + ones.v, sizes.v + ones.v
+    discount, pair_discount = _discount(sizes.n1 + ones.v, sizes.n2), _discount((sizes.p1 or 0) + ones.p1, pairs.where("_c = 2").count())
 
     def totals(words: DataFrame) -> tuple[float, float]:
         """Customers and tables without a context."""
         one = words.agg(F.sum("_n").alias("n"), F.sum("_t").alias("t")).first()
-        return float(one.n or 0), float(one.t or 0.0)
+        return float((one.n or 0) + ones.v), float((one.t or 0.0) + ones.v)
+
+    def cells(words: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Customers of the spelling model's cells: at most 32 ** 3 * 257 rows."""
+        made = words.mapInArrow(_spelling_counts, "_cell long, _n double").groupBy("_cell").agg(F.sum("_n").alias("_n")).toArrow()
+        return np.array(made.column(0), dtype=np.int64), np.array(made.column(1), dtype=np.float64)
 
     customers, tables = totals(words)
-    state = "_key long, _token binary, _c long, _all long, _direct long, _alone long, _n long, _t double, _seats long, _seated long, _g double, _sum double"
-    pair_state = "_ctx long, _word long, _c long, _all long, _core boolean, _t int, _ts long"
+    state = "_key long, _code long, _token binary, _c long, _all long, _direct long, _alone long, _n long, _t double, _seats long, _seated long, _g double, _sum double"
+    constant, drawn_by = cells(few.where("_c = 1").select("_token", F.lit(1.0).alias("_t"))), []
     for sweep in range(sweeps):
-        cells = words.where("_t > 0").select("_token", "_t").mapInArrow(_spelling_counts, "_cell long, _n double").groupBy("_cell").agg(F.sum("_n").alias("_n")).toArrow()  # at most 32 ** 3 * 257 rows
-        found = np.array(cells.column(0)), np.array(cells.column(1))
-        order = np.argsort(found[0])
-        spelling = docs.sparkSession.sparkContext.broadcast(fit_spelling(found[0][order], found[1][order], seed=sweep))
+        cell, customers_of = map(np.concatenate, zip(constant, cells(words.select("_token", "_t")), strict=True))
+        cell, to = np.unique(cell, return_inverse=True)
+        spelling = docs.sparkSession.sparkContext.broadcast(fit_spelling(cell, np.bincount(to, customers_of, len(cell)), seed=sweep))
         mass, whole = strength + discount * tables, strength + customers
 
         def spell(batches: Iterator[pa.RecordBatch], spelling=spelling) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                symbols, context, of = spelled(list(texts(batch.column(1))))
-                g = np.bincount(of, spelling.value.log_p(symbols, context), batch.num_rows)
-                yield _arrow([*batch.columns[:10], g, batch.column(11)], state)
+                yield _arrow([*batch.columns[:11], spelling.value.log_words(list(texts(batch.column(2)))), batch.column(12)], state)
 
         # the restaurants of contexts, given what their parent predicts
         words, old = materialise(words.mapInArrow(spell, state), 20_000), words
         discard(old)
         p = (F.greatest(F.col("_n") - discount * F.col("_t"), zero) + mass * F.exp("_g")) / whole
         by = {"_ctx": [(strength + pair_discount * F.col("_seats")).alias("_mass")], "_word": [p.alias("_p")]}
+        first = words.where(F.col("_all") >= least).select("_code", *by["_ctx"], *by["_word"]).toArrow()  # at most ``head`` rows
+        of_head = np.zeros((2, numbered))
+        of_head[:, np.array(first.column(0), dtype=np.int64)] = np.array(first.column(1)), np.array(first.column(2))
+        sent = docs.sparkSession.sparkContext.broadcast(of_head)
+        del first, of_head
 
-        def draw(batches: Iterator[pa.RecordBatch], sweep=sweep) -> Iterator[pa.RecordBatch]:
+        def draw(batches: Iterator[pa.RecordBatch], sweep=sweep, sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ctx, word, c, t, ts, m, p = (np.array(batch.column(i)) for i in (0, 1, 2, 5, 6, 7, 8))
-                key = _mix(_mix(word.view(np.uint64) + np.uint64(1000 * (sweep + 1))) + ctx.view(np.uint64))
+                ctx, word, c, t, ts = (np.array(batch.column(i)) for i in (0, 1, 2, 4, 5))
+                m, p = (sent.value[0][ctx], sent.value[1][word]) if batch.num_columns == 6 else (np.array(batch.column(6)), np.array(batch.column(7)))
+                key = _mix(_mix(coded.value.key(word).view(np.uint64) + np.uint64(1000 * (sweep + 1))) + coded.value.key(ctx).view(np.uint64))
                 t = (reseat(c, t.astype(np.float64), m * p, pair_discount, key) if sweep else seat(c, m * p, pair_discount, key)).astype(np.int32)
-                yield _arrow([*batch.columns[:5], t, ts + t], pair_state)
+                yield _arrow([*batch.columns[:4], t, ts + t], pair_state)
 
-        rows = _looked_up(pairs, words, frequent(words), by).select(*[c.split()[0] for c in pair_state.split(", ")], "_mass", "_p")
-        pairs, old = materialise(rows.mapInArrow(draw, pair_state), 50_000), pairs
-        discard(old)
+        core = _below("_ctx", numbered) & _below("_word", numbered)
+        names_ = [c.split()[0] for c in pair_state.split(", ")]
+        rest = _looked_up(pairs.where(~core), words, hot, by).select(*names_, "_mass", "_p").mapInArrow(draw, pair_state)
+        made = materialise(pairs.where(core).select(*names_).mapInArrow(draw, pair_state).unionByName(rest), 50_000)
+        pairs, old = made, pairs
+        if sweep:
+            discard(old)
 
         # their parent, whose customers are their tables
         def seats(batches: Iterator[pa.RecordBatch], sweep=sweep, mass=mass) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                key, n, t, g = (np.array(batch.column(i)) for i in (0, 6, 7, 10))
+                key, n, t, g = (np.array(batch.column(i)) for i in (0, 7, 8, 11))
                 key = _mix(key.view(np.uint64) + np.uint64(1000 * (sweep + 1) + 999))
                 t = reseat(n, np.minimum(t, n), mass * np.exp(g), discount, key) if sweep else seat(n, mass * np.exp(g), discount, key)
-                yield _arrow([*batch.columns[:7], t, *batch.columns[8:]], state)
+                yield _arrow([*batch.columns[:8], t, *batch.columns[9:]], state)
 
         by_word, by_ctx = sums(pairs, "_t")
-        made = words.join(by_word, "_key", "left").join(by_ctx, "_key", "left")
+        made = words.join(by_word, "_code", "left").join(by_ctx, "_code", "left")
         taken = F.col("_alone") + of("_t_ctx")
-        made = made.select("_key", "_token", "_c", "_all", "_direct", "_alone", (F.col("_direct") + of("_t_word")).alias("_n"), "_t", taken.alias("_seats"), (F.col("_seated") + taken).alias("_seated"), "_g", "_sum")
+        made = made.select("_key", "_code", "_token", "_c", "_all", "_direct", "_alone", (F.col("_direct") + of("_t_word")).alias("_n"), "_t", taken.alias("_seats"), (F.col("_seated") + taken).alias("_seated"), "_g", "_sum")
         drawn, old = materialise(made.mapInArrow(seats, state), 20_000), words
         discard(old)
         customers, tables = totals(drawn)
@@ -451,12 +518,29 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, strength: float = 10.0, contexts:
         p = F.when(own > 0, F.log(own + mass * F.exp("_g"))).otherwise(F.lit(math.log(mass)) + F.col("_g")) - math.log(strength + customers)
         more, less = F.greatest("_sum", p), F.least("_sum", p)
         words = drawn.withColumn("_sum", more + F.log1p(F.exp(less - more)))
+        drawn_by.append((spelling, mass, strength + customers))
     each = max(1, sweeps)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """_sum of words that come at most once, over all sweeps."""
+        for batch in batches:
+            some, c = list(texts(batch.column(1))), np.array(batch.column(2))
+            own, total = np.where(c > 0, 1 - discount, 0.0), np.full(batch.num_rows, -np.inf)
+            for spelling, mass, whole in drawn_by:
+                g = spelling.value.log_words(some)
+                with np.errstate(divide="ignore"):
+                    total = np.logaddexp(total, np.where(own > 0, np.log(own + mass * np.exp(g)), math.log(mass) + g) - math.log(whole))
+            yield _arrow([*batch.columns, coded.value.code(np.array(batch.column(0))), c * sweeps, total], few_state)
+
+    few_state = "_key long, _token binary, _c long, _all long, _code long, _seated long, _sum double"
+    both = words.select(*[c.split()[0] for c in few_state.split(", ")]).unionByName(few.mapInArrow(summed, few_state))
     back = (strength + F.col("_seated") * (pair_discount / each)) / (strength + F.col("_c"))
-    table = materialise(words.select("_key", "_token", "_c", "_all", ((F.col("_sum") - math.log(each)) / math.log(10)).alias("_lp"), (strength + F.col("_c")).alias("_whole"), back.alias("_back")), 20_000)
-    discard(words)
-    several = pairs.select("_ctx", "_word", "_c", "_all", "_core", (F.col("_c") - F.col("_ts") * (pair_discount / each)).alias("_over"))
-    return Model(table, several, pair_discount, n, v, least, keys, names, docs)
+    table = materialise(both.select("_key", "_code", "_token", "_c", "_all", ((F.col("_sum") - math.log(each)) / math.log(10)).alias("_lp"), (strength + F.col("_c")).alias("_whole"), back.alias("_back")), 20_000)
+    discard(words, every)
+    # pairs that come at most once in training have as many tables
+    several = pairs.select("_ctx", "_word", "_all", (F.col("_c") - F.col("_ts") * (pair_discount / each)).alias("_over"))
+    several = several.unionByName(found.where("_c <= 1").select("_ctx", "_word", "_all", (F.col("_c") * (1 - pair_discount)).alias("_over")))
+    return Model(table, several, pair_discount, n, v, least, coded, numbered, keys, names, docs)
 
 
 def _spelling_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -485,30 +569,39 @@ def _least(rows: DataFrame, most: int) -> int:
 
 @dataclass
 class _Head:
-    """The most frequent words, numbered, and what contexts add for the most frequent pairs, by number of the context * 2 ** 32 + number."""
+    """What scoring knows of the most frequent words, by number, and log10 of the probability of the most frequent pairs, by number of the context * 2 ** 32 + number."""
 
-    number: dict[bytes, int]
-    keys: np.ndarray
     base: np.ndarray
     known: np.ndarray  # whether training texts have it
     log_p: np.ndarray  # log10
     back: np.ndarray
+    whole: np.ndarray
     codes: np.ndarray
-    owns: np.ndarray
+    pair_log_p: np.ndarray
+
+    def after(self, before: np.ndarray, ids: np.ndarray, over: np.ndarray) -> np.ndarray:
+        """log10 of the probability of words after others, of whose restaurants ``over`` customers are the words'."""
+        own, share = over / self.whole[before], self.back[before]
+        with np.errstate(divide="ignore"):
+            return np.where(own > 0, np.log10(own + share * 10.0 ** self.log_p[ids]), np.log10(share) + self.log_p[ids])
+
+    def score(self, ids: np.ndarray, before: np.ndarray, free: np.ndarray, once: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 of each word's probability after the one with number ``before``, or where ``free`` without a context, and whether the head tells it.
 
-    def score(self, ids: np.ndarray, before: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log10 of each word's probability after the one with number ``before``, or where ``free`` without a context, and whether the head tells it."""
+        Where the head has both words but not the pair, it is that of a pair with ``once`` customers; null for other words.
+        """
         told = (ids >= 0) & free
-        p = np.where(told, self.log_p[ids], 0.0)
+        p = np.where(told, self.log_p[ids], np.nan)
         at = np.flatnonzero((ids >= 0) & (before >= 0) & ~free)
+        p[at] = self.after(before[at], ids[at], once[at])
         if len(self.codes) and len(at):
-            some, to = np.unique(before[at] << 32 | ids[at], return_inverse=True)
-            place = np.minimum(np.searchsorted(self.codes, some), len(self.codes) - 1)
-            found = self.codes[place] == some
-            at, place = at[found[to]], place[to][found[to]]
-            told[at] = True
-            own, share = self.owns[place], self.back[before[at]]
-            p[at] = np.where(own > 0, np.log10(own + share * 10.0 ** self.log_p[ids[at]]), np.log10(share) + self.log_p[ids[at]])
+            codes = before[at] << 32 | ids[at]
+            order = np.argsort(codes)
+            place = np.empty(len(at), dtype=np.int64)
+            place[order] = np.minimum(np.searchsorted(self.codes, codes[order]), len(self.codes) - 1)
+            found = self.codes[place] == codes
+            told[at[found]] = True
+            p[at[found]] = self.pair_log_p[place[found]]
         return p, told
 
 
@@ -527,95 +620,104 @@ def score(docs: DataFrame, train, sweeps: int = SWEEPS, head: int = HEAD, paired
     model = fit(rows.select("_text", "_train"), sweeps, contexts=contexts, head=head)
     base = F.log10((F.col("_c") + 0.1) / F.lit(model.n + 0.1 * (model.v + 1)))
     words = model.table.withColumn("_base", base)
-    frequent = words.where(F.col("_all") >= model.least)  # at most ``head`` rows
-    first = frequent.select("_token", "_key", "_c", "_base", "_lp", "_back", "_whole").toArrow()
-    number = {w: i for i, w in enumerate(first.column(0).to_pylist())}
-    column = lambda i: np.append(np.array(first.column(i)), 0).astype(np.array(first.column(i)).dtype)
-    key, whole = column(1), column(6)
-    base_, log_p, back, known_ = column(3), column(4), column(5), (column(2) > 0).astype(np.float64)
-    del first
-    by_key = np.argsort(key[:-1])
-    # both words of these pairs are in the head; at most ``paired`` rows
-    found = model.several.where(F.col("_core") & (F.col("_all") >= _least(model.several, paired))).select("_ctx", "_word", "_over").toArrow()
-    place = lambda i: by_key[np.searchsorted(key[:-1], np.array(found.column(i)), sorter=by_key)] if found.num_rows else np.zeros(0, dtype=np.int64)
-    before, after = place(0), place(1)
-    codes, owns = before << 32 | after, np.array(found.column(2), dtype=np.float64) / whole[before]
+    coded, numbered, keys, once = model.head, model.numbered, model.keys, 1 - model.discount
+    hot = min(HOT, numbered)
+    first = words.where(F.col("_all") >= model.least).select("_code", "_c", "_base", "_lp", "_back", "_whole").toArrow()  # at most ``head`` rows
+    order = np.argsort(np.array(first.column(0), dtype=np.int64))
+    column = lambda i: np.append(np.array(first.column(i), dtype=np.float64)[order], 0.0)
+    none = np.zeros(0, dtype=np.int64)
+    table = _Head(column(2), (column(1) > 0).astype(np.float64), column(3), column(4), column(5), none, none.astype(np.float64))
+    del first, order
+    lone = docs.sparkSession.sparkContext.broadcast(table)
+
+    # each pair that comes more than once, with its probability, and what else scoring needs of words without a number
+    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ctx, word, over = (np.array(batch.column(i)) for i in (0, 1, 3))
+            yield _arrow([*batch.columns[:3], lone.value.after(ctx, word, over)], "_ctx, _word, _all, _p")
+
+    # without an own part the product stays a sum of logarithms: a long word's probability is below any double
+    own = F.col("_over") / F.col("_whole")
+    after = F.when(own > 0, F.log10(own + F.col("_back") * F.pow(F.lit(10.0), F.col("_lp")))).otherwise(F.log10("_back") + F.col("_lp"))
+    of_ctx, of_word = ["_whole", "_back"], ["_lp", "_base", F.col("_c").alias("_known")]
+    core, unnumbered = _below("_ctx", numbered) & _below("_word", numbered), ~_below("_word", numbered)
+    told = model.several.where(core).select("_ctx", "_word", "_all", "_over").mapInArrow(tell, "_ctx long, _word long, _all long, _p double")
+    asked = _looked_up(model.several.where(~core), words, hot, {"_ctx": of_ctx, "_word": of_word})
+    told = told.select("*", F.lit(None).cast("double").alias("_b"), F.lit(None).cast("int").alias("_k"))
+    several = materialise(told.unionByName(asked.select("_ctx", "_word", "_all", after.alias("_p"), F.when(unnumbered, F.col("_base")).alias("_b"), F.when(unnumbered, (F.col("_known") > 0).cast("int")).alias("_k"))), 50_000)
+    discard(model.several)
+    several_core = several.where(core)
+    found = several_core.where(F.col("_all") >= _least(several_core, paired)).select("_ctx", "_word", "_p").toArrow()  # at most ``paired`` rows
+    codes = np.array(found.column(0), dtype=np.int64) << 32 | np.array(found.column(1), dtype=np.int64)
     order = np.argsort(codes)
-    keys = model.keys
-    sent = docs.sparkSession.sparkContext.broadcast(_Head(number, key, base_, known_, log_p, back, codes[order], owns[order]))
-    del found, before, after, codes, owns, order
+    table.codes, table.pair_log_p = codes[order], np.array(found.column(2), dtype=np.float64)[order]
+    sent = docs.sparkSession.sparkContext.broadcast(table)
+    del found, codes, order, table
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
+        table, number = sent.value, coded.value.number
         for every in batches:
             for at in range(0, every.num_rows, 400):
                 batch = every.slice(at, 400)
                 found = [[*tokens(t), END] for t in texts(batch.column(2))]
                 sizes = np.array([len(x) for x in found])
                 flat = [w for x in found for w in x]
-                ids = np.array([table.number.get(w, -1) for w in flat], dtype=np.int64)
-                key = table.keys[ids]
+                ids = np.array([number.get(w, -1) for w in flat], dtype=np.int64)
+                code = ids.copy()
                 seldom = np.flatnonzero(ids < 0)
-                key[seldom] = hashed([flat[i] for i in seldom.tolist()])
+                code[seldom] = hashed([flat[i] for i in seldom.tolist()])
                 doc = np.repeat(np.arange(len(found)), sizes)
                 starts = np.cumsum(sizes) - sizes
-                before, ctx = np.roll(ids, 1), np.roll(key, 1)
-                before[starts], ctx[starts] = table.number.get(END, -1), hashed([END])[0]  # the start of a text
-                free = np.zeros(len(flat), dtype=bool) if keys is None else ~np.isin(ctx, keys)
-                p, told = table.score(ids, before, free)
+                before, ctx = np.roll(ids, 1), np.roll(code, 1)
+                before[starts] = number.get(END, -1)
+                ctx[starts] = number.get(END, hashed([END])[0])  # the start of a text
+                free = np.zeros(len(flat), dtype=bool) if keys is None else ~np.isin(coded.value.key(ctx), keys)
+                row, train = np.array(batch.column(0)), batch.column(3).to_numpy(zero_copy_only=False)
+                p, told = table.score(ids, before, free, np.where(train[doc], once, 0.0))
                 known = ids >= 0
-                sums = np.column_stack([np.bincount(doc, x, len(found)) for x in (np.where(known, table.base[ids], 0.0), p, np.where(known, table.known[ids], 0.0), np.ones(len(flat)))])
+                sums = np.column_stack([np.bincount(doc, x, len(found)) for x in (np.where(known, table.base[ids], 0.0), np.where(told, p, 0.0), np.where(known, table.known[ids], 0.0), np.ones(len(flat)))])
                 # the rest, and a row of its own for each text
                 rest = np.flatnonzero(~told)
-                row, train = np.array(batch.column(0)), batch.column(3).to_numpy(zero_copy_only=False)
                 kind = np.where(free[rest], _FREE, np.where(train[doc[rest]], _TRAIN, _OTHER)).astype(np.int8)
                 none = len(rest)
                 yield _arrow(
                     [
-                        np.concatenate((row[doc[rest]], row)), np.concatenate((np.where(free[rest], key[rest], ctx[rest]), row)), np.concatenate((key[rest], row)), np.concatenate((kind, np.full(len(row), _TEXT, dtype=np.int8))),
-                        pa.concat_arrays([pa.nulls(none, pa.int64()), batch.column(1)]), pa.array([*[None] * none, *sums.tolist()], pa.list_(pa.float64())),
+                        np.concatenate((row[doc[rest]], row)), np.concatenate((np.where(free[rest], code[rest], ctx[rest]), row)), np.concatenate((code[rest], row)), np.concatenate((kind, np.full(len(row), _TEXT, dtype=np.int8))),
+                        pa.array(np.concatenate((p[rest], np.full(len(row), np.nan))), from_pandas=True), pa.concat_arrays([pa.nulls(none, pa.int64()), batch.column(1)]), pa.array([*[None] * none, *sums.tolist()], pa.list_(pa.float64())),
                     ],
                     rest_rows,
                 )
 
-    rest_rows = "_row long, _ctx long, _word long, _kind byte, _doc long, _sums array<double>"
+    rest_rows = "_row long, _ctx long, _word long, _kind byte, _once double, _doc long, _sums array<double>"
+    kind = F.col("_kind")
     # a pair that comes once in all texts has a customer if its text is a training text
-    kind, once = F.col("_kind"), 1 - model.discount
-    over = F.when(kind < _FREE, F.coalesce("_over", F.when(kind == _TRAIN, F.lit(once)).otherwise(F.lit(0.0)))).otherwise(F.lit(0.0))
-    of_ctx = lambda df: df.select(F.col("_key").alias("_ctx"), "_whole", "_back")
-    of_word = lambda df: df.select(F.col("_key").alias("_word"), "_lp", *[F.col(c).alias(f"{c}_word") for c in ("_base", "_c")])
-    # without an own part the product stays a sum of logarithms: a long word's probability is below any double
-    own = F.col("_over") / F.col("_whole")
-    lp = F.when(kind >= _FREE, F.col("_lp")).when(own > 0, F.log10(own + F.col("_back") * F.pow(F.lit(10.0), F.col("_lp")))).otherwise(F.log10("_back") + F.col("_lp"))
-    # texts are summed up; a row whose words are not both in the head stays by itself
-    apart = (kind != _TEXT) & (F.col("_lp").isNull() | ((kind < _FREE) & F.col("_back").isNull()))
-    alone = [F.when(apart, F.col(c)).alias(c) for c in ("_ctx", "_word", "_kind", "_over")]
+    p = F.when(kind < _FREE, F.coalesce("_p", "_once"))
+    # texts are summed up; a row whose words are not both in the head, and whose pair comes once, stays by itself
+    apart = (kind != _TEXT) & p.isNull()
+    alone = [F.when(apart, F.col(c)).alias(c) for c in ("_ctx", "_word", "_kind")]
     of = lambda i: F.sum(F.get("_sums", F.lit(i)))
     rows = rows.select(F.xxhash64("_doc", "_text").alias("_row"), "_doc", "_text", "_train")
+    pair = several.select("_ctx", "_word", "_p", "_b", "_k").hint("shuffle_hash")  # one row a pair, so no key of the hashed side has many
     some = []
     for part in range(PARTS):
-        found = rows.where(F.pmod("_row", F.lit(PARTS)) == part).mapInArrow(add, rest_rows).join(model.several.select("_ctx", "_word", "_over"), ["_ctx", "_word"], "left").withColumn("_over", over)
-        found = found.join(F.broadcast(of_ctx(frequent)), "_ctx", "left").join(F.broadcast(of_word(frequent)), "_word", "left")
-        found = found.select("_row", *alone, F.when(kind != _TEXT, lp).alias("_p"), "_doc", "_sums").groupBy("_row", "_ctx", "_word", "_kind", "_over")
-        some.append(materialise(found.agg(F.sum("_p").alias("_p"), F.count(F.lit(1)).alias("_m"), F.count("_sums").alias("_times"), F.max("_doc").alias("_doc"), *[of(i).alias(f"_{i}") for i in range(4)])))
-    discard(model.several)
+        found = rows.where(F.pmod("_row", F.lit(PARTS)) == part).mapInArrow(add, rest_rows).join(pair, ["_ctx", "_word"], "left")
+        found = found.select("_row", *alone, p.alias("_p"), *[F.when(kind < _FREE, F.col(c)).alias(c) for c in ("_b", "_k")], "_doc", "_sums").groupBy("_row", "_ctx", "_word", "_kind")
+        some.append(materialise(found.agg(F.sum("_p").alias("_p"), F.sum("_b").alias("_b"), F.sum("_k").alias("_k"), F.count(F.lit(1)).alias("_m"), F.count("_sums").alias("_times"), F.max("_doc").alias("_doc"), *[of(i).alias(f"_{i}") for i in range(4)])))
+    discard(several)
     some = functools.reduce(DataFrame.unionByName, some)
     zero = F.lit(0.0)
-    whole = some.where("_word IS NULL").select("_row", "_times", "_doc", F.col("_0").alias("_b"), (F.coalesce("_p", zero) + F.col("_1")).alias("_s"), F.col("_2").alias("_k"), F.col("_3").alias("_w"))
-    seldom = some.where("_word IS NOT NULL").select("_row", "_ctx", "_word", "_kind", "_over", "_m")
-    # contexts, then words: what the head has comes from it, the rest is rare
-    paired = seldom.where(kind < _FREE)
-    told = paired.join(F.broadcast(of_ctx(frequent)), "_ctx")
-    asked = paired.join(F.broadcast(of_ctx(frequent).select("_ctx")), "_ctx", "left_anti").join(of_ctx(words), "_ctx")
-    seldom = told.unionByName(asked)
+    whole = some.where("_word IS NULL").select("_row", "_times", "_doc", (F.col("_0") + F.coalesce("_b", zero)).alias("_b"), (F.coalesce("_p", zero) + F.col("_1")).alias("_s"), (F.col("_2") + F.coalesce("_k", F.lit(0))).alias("_k"), F.col("_3").alias("_w"))
+    over = F.when(kind == _TRAIN, F.lit(once)).otherwise(zero).alias("_over")
+    seldom = some.where("_word IS NOT NULL").select("_row", "_ctx", "_word", "_kind", over, "_m")
+    asked = _looked_up(seldom.where(kind < _FREE), words, hot, {"_ctx": of_ctx})
     if keys is not None:
-        seldom = seldom.unionByName(some.where((F.col("_word").isNotNull()) & (kind == _FREE)).select("_row", "_ctx", "_word", "_kind", "_over", "_m", zero.alias("_whole"), zero.alias("_back")))
-    common = seldom.join(F.broadcast(of_word(frequent)), "_word").withColumn("_seldom", zero)
-    rare = seldom.join(F.broadcast(of_word(frequent).select("_word")), "_word", "left_anti").join(of_word(words), "_word").withColumn("_seldom", F.lit(1.0))
+        asked = asked.unionByName(seldom.where(kind == _FREE).withColumns({"_whole": zero, "_back": zero}))
+    asked = _looked_up(asked, words, hot, {"_word": of_word}).withColumn("_seldom", F.when(unnumbered, F.lit(1.0)).otherwise(zero))
+    lp = F.when(kind >= _FREE, F.col("_lp")).otherwise(after)
     # the text's own row has the base and the count of words in the head
     times = F.col("_m") * F.col("_seldom")
-    seldom = common.unionByName(rare).select(
-        "_row", F.lit(0).cast("long").alias("_times"), F.lit(None).cast("long").alias("_doc"), (F.col("_base_word") * times).alias("_b"), (lp * F.col("_m")).alias("_s"), (F.when(F.col("_c_word") > 0, times).otherwise(zero)).alias("_k"), zero.alias("_w")
+    seldom = asked.select(
+        "_row", F.lit(0).cast("long").alias("_times"), F.lit(None).cast("long").alias("_doc"), (F.col("_base") * times).alias("_b"), (lp * F.col("_m")).alias("_s"), (F.when(F.col("_known") > 0, times).otherwise(zero)).alias("_k"), zero.alias("_w")
     )
     whole = whole.unionByName(seldom).groupBy("_row").agg(F.sum("_times").alias("_times"), F.max("_doc").alias("doc_id"), *[F.sum(c).alias(c) for c in ("_b", "_s", "_k", "_w")])
     each = lambda c: F.col(c) / F.col("_times")

@@ -426,6 +426,19 @@ def test_every_word_is_a_context(spark):
         assert abs(scored[0][i] - want) < 1e-5
 
 
+def test_language_model_joins_broadcast_only_the_hottest_words(spark, monkeypatch):
+    """The driver builds what joins broadcast, so that has a bound of its own, far below the words that Python tasks number."""
+    words = [f"w{i}" for i in range(300)]
+    df = spark.createDataFrame([(i, " ".join(words[(i * 7 + k * k) % 300] for k in range(6))) for i in range(400)], "doc_id long, text string")
+    want = {r.doc_id: round(r.score, 6) for r in lm.score(df, F.col("doc_id") < 300, sweeps=1).collect()}
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(lm, "HOT", 20, raising=False)
+    monkeypatch.setattr(F, "broadcast", lambda some: (sent.append(some.count()), broadcast(some))[1])
+    found = lm.score(df, F.col("doc_id") < 300, sweeps=1, head=200, paired=10)
+    assert sent and max(sent) <= 20
+    assert {r.doc_id: round(r.score, 6) for r in found.collect()} == want
+
+
 def test_reseating_samples_the_posterior():
     """The number of tables of a dish against its exact posterior, S(c, t) * mass ** t."""
     d, mass, c, n = 0.5, 3.0, 7, 100_000
