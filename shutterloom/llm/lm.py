@@ -17,9 +17,12 @@ and then those of their parent. What each restaurant predicts is averaged over t
 
 Words and pairs grow with the corpus and stay distributed. The spelling model has at most 32 ** 3 * 257 cells, whatever
 the corpus, so it is broadcast. The at most HEAD most frequent words have numbers, by which Python tasks look them up in
-broadcast arrays; other words are known by 64-bit keys and looked up by joins. A pair with one word of each kind joins
-with the HOT most frequent by broadcast, which takes the hot keys away. Scoring also has the at most PAIRED most frequent
-pairs of numbered words.
+broadcast arrays; other words are known by 64-bit keys and looked up by joins. In sweeps a pair with one word of each kind
+joins with the HOT most frequent by broadcast, which takes the hot keys away. Scoring also has the at most PAIRED most
+frequent pairs of numbered words.
+
+Pairs, and what texts ask of words and pairs, are many short rows of numbers. They lie and travel as blocks of buckets by
+their keys: a task makes one row of what it has for a bucket, and the bucket's rows meet in numpy (blocks.py).
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from __future__ import annotations
 import functools
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,6 +40,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import blocks
+from .blocks import mix as _mix
 from .common import discard, materialise, texts, tokens
 
 #: The end of a text as a token: no word holds a space.
@@ -50,8 +55,18 @@ SWEEPS = 3
 MOVES = 4  # of each dish, in a sweep
 _FLUSH = 200_000
 _TOKENS = 4_000_000  # of texts that a task counts at once, at most, and of the last one
-#: Rows of scoring: a word after a context in another or a training text, a word without a context, and a text.
-_OTHER, _TRAIN, _FREE, _TEXT = range(4)
+_BUCKET = 750_000  # tokens to a bucket; beyond 1000 buckets their size grows too, by the root, as each task has a block for each
+_SLICE = 16_384  # numbers of words whose sums meet in one task
+_BLOCKS = 16  # blocks that Python gets at once
+#: Kinds of blocks, and their columns. Of pairs: counted, CORE of two numbered words, whose numbers are one code.
+CORE, REST, STATE, SUMS, TWOS = range(5)
+#: Of scoring: words without a number; what texts ask for: a numbered pair, a word, a context, another pair; what they get; and a text.
+WORDS, NEAR, WORD, CONTEXT, PAIR, OF_PAIR, OF_WORD, TEXT = range(5, 13)
+_COUNTED, _STATE, _PAIRS = {CORE: "qqq", REST: "qqqq"}, "qqqqi", {CORE: "qqd", REST: "qqqd"}
+_ASKED = {WORDS: "qddd", NEAR: "qq", WORD: "qqqb", CONTEXT: "qqqdb", PAIR: "qqqdddb", OF_PAIR: "qd", OF_WORD: "qdd", TEXT: "qqqbdddd"}
+_TRAINS, _FREE = 1, 2  # flags of a word that a text asks for: the text is a training text; the word has no context
+_NEAR_TRAINS = 1 << 62  # the flag in a code
+_ASKS = 1_000_000  # held by a task at once, at most, and those of the last texts
 _STOP = 256  # the end of a word's spelling, beside the 256 bytes
 _DISHES = 257
 #: Letter classes of bytes: a-z 0-25, digits 26, other ASCII 27, first bytes of longer characters 28-29, later ones 30, start 31.
@@ -59,12 +74,6 @@ _CLASS = np.array([b - 0x61 if 0x61 <= b <= 0x7A else 26 if 0x30 <= b <= 0x39 el
 _START = 31
 
 
-def _mix(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
 def _uniform(key: np.ndarray, step: int) -> np.ndarray:
     """A uniform number for each key and step, the same whenever a task is run again."""
     return (_mix(key + np.uint64((step + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
@@ -319,38 +328,97 @@ def follows(docs: DataFrame, head: Broadcast, contexts: np.ndarray | None = None
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, codes, held = _Numbers(), [], 0
-
-        def made() -> Iterator[pa.RecordBatch]:
-            words = list(numbers)
-            key = hashed(words)
-            code = head.value.codes(words, key)
-            some, n = np.unique(np.concatenate(codes) if codes else np.zeros(0, dtype=np.int64), return_counts=True)
-            before, after, train = some >> 32, some >> 1 & 0x7FFFFFFF, some & 1
-            ctx, word = (code[before], code[after]) if len(code) else (some, some)
-            keep = slice(None) if contexts is None else np.isin(key[before], contexts) if len(key) else slice(None)
-            numbers.clear(), codes.clear()
-            columns = [x[keep] for x in (ctx, word, n * train, n)]
+        for columns in _followers(batches, head, contexts):
             for at in range(0, len(columns[0]), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in columns], ["_ctx", "_word", "_c", "_all"])
 
-        for batch in batches:
-            train = batch.column(0).to_pylist()
-            for flag, text in zip(train, texts(batch.column(1)), strict=True):
-                ws = tokens(text)
-                ids = np.fromiter(map(numbers.__getitem__, (END, *ws, END)), np.int64, len(ws) + 2)
-                codes.append(ids[:-1] << 32 | ids[1:] << 1 | flag)
-                held += len(ws) + 1
-                if held > _TOKENS or len(numbers) > _FLUSH:
-                    yield from made()
-                    held = 0
-        yield from made()
-
     # rows are counted together in their tasks, so they are dealt out at once
     rows = docs.select("_train", "_text").mapInArrow(count, "_ctx long, _word long, _c long, _all long").repartition("_ctx", "_word")
     return rows.groupBy("_ctx", "_word").agg(F.sum("_c").alias("_c"), F.sum("_all").alias("_all"))
 
 
+def _followers(batches: Iterator[pa.RecordBatch], head: Broadcast, contexts: np.ndarray | None) -> Iterator[list[np.ndarray]]:
+    """Columns of follows(), counted over some millions of tokens at once."""
+    numbers, codes, held = _Numbers(), [], 0
+
+    def made() -> list[np.ndarray]:
+        words = list(numbers)
+        key = hashed(words)
+        code = head.value.codes(words, key)
+        some, n = np.unique(np.concatenate(codes) if codes else np.zeros(0, dtype=np.int64), return_counts=True)
+        before, after, train = some >> 32, some >> 1 & 0x7FFFFFFF, some & 1
+        ctx, word = (code[before], code[after]) if len(code) else (some, some)
+        keep = slice(None) if contexts is None else np.isin(key[before], contexts) if len(key) else slice(None)
+        numbers.clear(), codes.clear()
+        return [x[keep] for x in (ctx, word, n * train, n)]
+
+    for batch in batches:
+        train = batch.column(0).to_pylist()
+        for flag, text in zip(train, texts(batch.column(1)), strict=True):
+            ws = tokens(text)
+            ids = np.fromiter(map(numbers.__getitem__, (END, *ws, END)), np.int64, len(ws) + 2)
+            codes.append(ids[:-1] << 32 | ids[1:] << 1 | flag)
+            held += len(ws) + 1
+            if held > _TOKENS or len(numbers) > _FLUSH:
+                yield made()
+                held = 0
+    yield made()
+
+
+def _pair_key(ctx: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return (_mix(word.view(np.uint64)) + ctx.view(np.uint64)).view(np.int64)
+
+
+def _dealt_pairs(ctx: np.ndarray, word: np.ndarray, more: list[np.ndarray], numbered: int, buckets: int) -> Iterator[tuple[int, int, bytes]]:
+    """Blocks of pairs of codes: CORE ones have one code, REST ones both."""
+    core = (ctx >= 0) & (ctx < numbered) & (word >= 0) & (word < numbered)
+    where, rest = blocks.bucket(_pair_key(ctx, word), buckets), ~core
+    yield from blocks.dealt(CORE, where[core], [ctx[core] << 32 | word[core], *[x[core] for x in more]])
+    yield from blocks.dealt(REST, where[rest], [ctx[rest], word[rest], *[x[rest] for x in more]])
+
+
+def repeated(docs: DataFrame, head: Broadcast, numbered: int, buckets: int, contexts: np.ndarray | None = None) -> DataFrame:
+    """Blocks of the pairs of follows() that come more than once in all texts, with _c and _all."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = _followers(batches, head, contexts)
+        return blocks.batches(row for ctx, word, c, n in some for row in _dealt_pairs(ctx, word, [c.astype(np.int32), n.astype(np.int32)], numbered, buckets))
+
+    def add(where: int, of: dict[int, list[bytes]]) -> Iterator[tuple[int, int, bytes]]:
+        for kind, keys in ((CORE, 1), (REST, 2)):
+            columns = blocks.gathered(of.pop(kind, []), "q" * keys + "ii")
+            columns = blocks.summed([c.astype(np.int64) for c in columns], keys)
+            yield where, kind, blocks.packed([c[columns[-1] > 1] for c in columns])
+
+    return blocks.grouped(docs.select("_train", "_text").mapInArrow(count, blocks.SCHEMA), add)
+
+
+def _rows(made: DataFrame, kind: int, columns: Callable[[bytes], list[np.ndarray]], schema: str) -> DataFrame:
+    """Rows of the columns that a function finds in each block of a kind."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in batch.column(2).to_pylist():
+                yield _arrow(columns(block), schema)
+
+    return made.where(F.col("_kind") == kind).mapInArrow(unpack, schema)
+
+
+def _sums(dense: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """Blocks of a task's sums by number of a word, of numbers that have any."""
+    used = np.flatnonzero(dense.any(0))
+    yield from blocks.dealt(SUMS, used // _SLICE, [used, *dense[:, used]])
+
+
+def _by_code(made: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of _code and the sums over all tasks."""
+
+    def add(table: pa.Table) -> pa.Table:
+        return pa.table(dict(zip(["_code", *names], blocks.summed(blocks.gathered(table.column("_block").to_pylist(), "q" * (len(names) + 1)), 1), strict=True)))
+
+    return made.where(F.col("_kind") == SUMS).groupBy("_bucket").applyInArrow(add, ", ".join(f"{c} long" for c in ["_code", *names]))
+
+
 def _discount(ones: int | None, twos: int | None) -> float:
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones or twos else 0.5
 
@@ -367,7 +435,9 @@ def _looked_up(rows: DataFrame, words: DataFrame, hot: int, by: dict[str, list])
 @dataclass
 class Model:
     table: DataFrame  # _key, _code, _token, _c, _all, _lp (log10 without a context), _whole and _back: customers and strength of its own restaurant, and the weight of the one without a context there
-    several: DataFrame  # _ctx, _word (codes), _all, _over (customers beyond the tables' discounts): pairs that come more than once in all texts
+    blocks: DataFrame  # of pairs that come more than once in all texts: codes, _all, _over (customers beyond the tables' discounts)
+    buckets: int  # of which there are so many
+    strength: float
     discount: float  # of the contexts' restaurants
     n: int  # training tokens
     v: int  # distinct ones
@@ -378,6 +448,13 @@ class Model:
     contexts: list[bytes] | None
     docs: DataFrame
 
+    @property
+    def several(self) -> DataFrame:
+        """_ctx, _word (codes), _all, _over: the pairs of the blocks."""
+        schema = "_ctx long, _word long, _all long, _over double"
+        core = lambda block: [(found := blocks.unpacked(block, _PAIRS[CORE]))[0] >> 32, found[0] & 0xFFFFFFFF, *found[1:]]
+        return _rows(self.blocks, CORE, core, schema).unionByName(_rows(self.blocks, REST, lambda block: blocks.unpacked(block, _PAIRS[REST]), schema))
+
     @property
     def pairs(self) -> DataFrame:
         """_ctx, _word (keys), _own: what a context's restaurant adds for each word that came after it in training."""
@@ -421,13 +498,39 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, strength: float = 10.0, contexts:
     of = lambda c: F.coalesce(c, F.lit(0))
 
     # pairs that come once in all texts have one customer at one table, or none: they are only counted
-    found = materialise(follows(docs, coded, keys).where("_all > 1"), 50_000)
+    buckets = _buckets(words.agg(F.sum("_all")).first()[0] or 0)
+    found = materialise(repeated(docs, coded, numbered, buckets, keys), 500)
     pair_state = "_ctx long, _word long, _c long, _all long, _t int, _ts long"
-    pairs = found.where("_c > 1").select("_ctx", "_word", "_c", "_all", F.lit(1).alias("_t"), F.lit(0).cast("long").alias("_ts"))
 
-    def sums(pairs: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
-        """Sums by word and by context."""
-        return tuple(pairs.groupBy(F.col(k).alias("_code")).agg(*[F.sum(c).alias(f"{c}{k}") for c in columns]) for k in ("_word", "_ctx"))
+    def start(block: bytes) -> list[np.ndarray]:
+        """Pairs of words of which one has no number, with a table each."""
+        ctx, word, c, every = (x for x in blocks.unpacked(block, _COUNTED[REST]))
+        keep = c > 1
+        return [x[keep] for x in (ctx, word, c, every, np.ones(len(c), dtype=np.int32), np.zeros(len(c), dtype=np.int64))]
+
+    pairs, core = materialise(_rows(found, REST, start, pair_state), 50_000), found.where(F.col("_kind") == CORE)
+
+    def sums(core: DataFrame, pairs: DataFrame, *columns: str) -> DataFrame:
+        """Sums by word and by context: _code, and each column's for both."""
+        ways, none = ("_word", "_ctx"), F.lit(0).cast("long")
+        names = [f"{c}{k}" for k in ways for c in columns]
+        rows = [pairs.select(F.col(k).alias("_code"), *[F.col(c).cast("long").alias(f"{c}{x}") if x == k else none.alias(f"{c}{x}") for x in ways for c in columns]) for k in ways]
+        return functools.reduce(DataFrame.unionByName, [_by_code(core, names), *rows]).groupBy("_code").agg(*[F.sum(c).alias(c) for c in names])
+
+    def first_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sums of customers and first tables of numbered pairs, and how many of these come twice."""
+        dense, twos = np.zeros((4, numbered), dtype=np.int64), 0
+        for batch in batches:
+            for block in batch.column(2).to_pylist():
+                code, c, _ = blocks.unpacked(block, _COUNTED[CORE])
+                code, c = code[c > 1], c[c > 1]
+                twos += int(np.count_nonzero(c == 2))
+                for i, numbers in enumerate((code & 0xFFFFFFFF, code >> 32)):
+                    np.add.at(dense[2 * i], numbers, c)
+                    np.add.at(dense[2 * i + 1], numbers, 1)
+        yield from blocks.batches(iter([*_sums(dense), (0, TWOS, blocks.packed([np.array([twos])]))]))
+
+    core_sums = materialise(core.mapInArrow(first_sums, blocks.SCHEMA), _BLOCKS)
 
     # words that come at most once in training have as many tables and pairs, so they stay as they are
     every, few = words, words.where("_c <= 1").select("_key", "_token", "_c", "_all")
@@ -437,8 +540,7 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, strength: float = 10.0, contexts:
             yield _arrow([*batch.columns, coded.value.code(np.array(batch.column(0)))], "_key, _token, _c, _all, _code")
 
     words = every.where("_c > 1").select("_key", "_token", "_c", "_all").mapInArrow(code, "_key long, _token binary, _c long, _all long, _code long")
-    by_word, by_ctx = sums(pairs, "_c", "_t")
-    words = materialise(words.join(by_word, "_code", "left").join(by_ctx, "_code", "left").select(
+    words = materialise(words.join(sums(core_sums, pairs, "_c", "_t"), "_code", "left").select(
         "_key", "_code", "_token", "_c", "_all", (F.col("_c") - of("_c_word")).alias("_direct"), (F.col("_c") - of("_c_ctx")).alias("_alone"), (F.col("_c") - of("_c_word") + of("_t_word")).alias("_n"),
         F.lit(1.0).alias("_t"), (F.col("_c") - of("_c_ctx") + of("_t_ctx")).alias("_seats"), F.lit(0).cast("long").alias("_seated"), zero.alias("_g"), F.lit(float("-inf")).alias("_sum"),
     ), 20_000)
@@ -446,7 +548,9 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, strength: float = 10.0, contexts:
     ones = few.where("_c = 1").agg(F.count(F.lit(1)).alias("v"), F.count_if(has).alias("p1")).first()
     sizes = words.agg(F.sum("_c").alias("c"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("_n") == 1).alias("n1"), F.count_if(F.col("_n") == 2).alias("n2"), F.sum(F.when(has, F.col("_alone"))).alias("p1")).first()
     n, v = (sizes.c or 0) + ones.v, sizes.v + ones.v
-    discount, pair_discount = _discount(sizes.n1 + ones.v, sizes.n2), _discount((sizes.p1 or 0) + ones.p1, pairs.where("_c = 2").count())
+    twos = sum(int(blocks.unpacked(r._block, "q")[0][0]) for r in core_sums.where(F.col("_kind") == TWOS).collect())  # a row a task
+    discard(core_sums)
+    discount, pair_discount = _discount(sizes.n1 + ones.v, sizes.n2), _discount((sizes.p1 or 0) + ones.p1, pairs.where("_c = 2").count() + twos)
 
     def totals(words: DataFrame) -> tuple[float, float]:
         """Customers and tables without a context."""
@@ -482,21 +586,41 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, strength: float = 10.0, contexts:
         sent = docs.sparkSession.sparkContext.broadcast(of_head)
         del first, of_head
 
-        def draw(batches: Iterator[pa.RecordBatch], sweep=sweep, sent=sent) -> Iterator[pa.RecordBatch]:
+        def drawn_tables(ctx, word, c, t, m, p, sweep=sweep) -> np.ndarray:
+            key = _mix(_mix(coded.value.key(word).view(np.uint64) + np.uint64(1000 * (sweep + 1))) + coded.value.key(ctx).view(np.uint64))
+            return (reseat(c, t.astype(np.float64), m * p, pair_discount, key) if sweep else seat(c, m * p, pair_discount, key)).astype(np.int32)
+
+        def draw(batches: Iterator[pa.RecordBatch], tables=drawn_tables) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                ctx, word, c, t, ts = (np.array(batch.column(i)) for i in (0, 1, 2, 4, 5))
-                m, p = (sent.value[0][ctx], sent.value[1][word]) if batch.num_columns == 6 else (np.array(batch.column(6)), np.array(batch.column(7)))
-                key = _mix(_mix(coded.value.key(word).view(np.uint64) + np.uint64(1000 * (sweep + 1))) + coded.value.key(ctx).view(np.uint64))
-                t = (reseat(c, t.astype(np.float64), m * p, pair_discount, key) if sweep else seat(c, m * p, pair_discount, key)).astype(np.int32)
+                ctx, word, c, t, ts, m, p = (np.array(batch.column(i)) for i in (0, 1, 2, 4, 5, 6, 7))
+                t = tables(ctx, word, c, t, m, p)
                 yield _arrow([*batch.columns[:4], t, ts + t], pair_state)
 
-        core = _below("_ctx", numbered) & _below("_word", numbered)
+        def draw_core(batches: Iterator[pa.RecordBatch], sweep=sweep, sent=sent, tables=drawn_tables) -> Iterator[pa.RecordBatch]:
+            dense = np.zeros((2, numbered), dtype=np.int64)
+
+            def drawn_blocks() -> Iterator[tuple[int, int, bytes]]:
+                for batch in batches:
+                    for where, block in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                        if sweep:
+                            code, c, every, ts, t = blocks.unpacked(block, _STATE)
+                        else:
+                            code, c, every = (x[blocks.unpacked(block, _COUNTED[CORE])[1] > 1] for x in blocks.unpacked(block, _COUNTED[CORE]))
+                            ts, t = np.zeros(len(c), dtype=np.int64), np.ones(len(c), dtype=np.int32)
+                        ctx, word = code >> 32, code & 0xFFFFFFFF
+                        t = tables(ctx, word, c, t, sent.value[0][ctx], sent.value[1][word])
+                        np.add.at(dense[0], word, t)
+                        np.add.at(dense[1], ctx, t)
+                        yield where, STATE, blocks.packed([code, c, every, ts + t, t])
+                yield from _sums(dense)
+
+            yield from blocks.batches(drawn_blocks())
+
         names_ = [c.split()[0] for c in pair_state.split(", ")]
-        rest = _looked_up(pairs.where(~core), words, hot, by).select(*names_, "_mass", "_p").mapInArrow(draw, pair_state)
-        made = materialise(pairs.where(core).select(*names_).mapInArrow(draw, pair_state).unionByName(rest), 50_000)
-        pairs, old = made, pairs
-        if sweep:
-            discard(old)
+        made = core.mapInArrow(draw_core, blocks.SCHEMA), _looked_up(pairs, words, hot, by).select(*names_, "_mass", "_p").mapInArrow(draw, pair_state)
+        made = materialise(made[0], _BLOCKS), materialise(made[1], 50_000)
+        discard(*[old for old in (core, pairs) if sweep or old is pairs])
+        (core_sums, pairs), core = made, made[0].where(F.col("_kind") == STATE)
 
         # their parent, whose customers are their tables
         def seats(batches: Iterator[pa.RecordBatch], sweep=sweep, mass=mass) -> Iterator[pa.RecordBatch]:
@@ -506,8 +630,7 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, strength: float = 10.0, contexts:
                 t = reseat(n, np.minimum(t, n), mass * np.exp(g), discount, key) if sweep else seat(n, mass * np.exp(g), discount, key)
                 yield _arrow([*batch.columns[:8], t, *batch.columns[9:]], state)
 
-        by_word, by_ctx = sums(pairs, "_t")
-        made = words.join(by_word, "_code", "left").join(by_ctx, "_code", "left")
+        made = words.join(sums(core_sums, pairs, "_t"), "_code", "left")
         taken = F.col("_alone") + of("_t_ctx")
         made = made.select("_key", "_code", "_token", "_c", "_all", "_direct", "_alone", (F.col("_direct") + of("_t_word")).alias("_n"), "_t", taken.alias("_seats"), (F.col("_seated") + taken).alias("_seated"), "_g", "_sum")
         drawn, old = materialise(made.mapInArrow(seats, state), 20_000), words
@@ -537,10 +660,47 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, strength: float = 10.0, contexts:
     back = (strength + F.col("_seated") * (pair_discount / each)) / (strength + F.col("_c"))
     table = materialise(both.select("_key", "_code", "_token", "_c", "_all", ((F.col("_sum") - math.log(each)) / math.log(10)).alias("_lp"), (strength + F.col("_c")).alias("_whole"), back.alias("_back")), 20_000)
     discard(words, every)
-    # pairs that come at most once in training have as many tables
-    several = pairs.select("_ctx", "_word", "_all", (F.col("_c") - F.col("_ts") * (pair_discount / each)).alias("_over"))
-    several = several.unionByName(found.where("_c <= 1").select("_ctx", "_word", "_all", (F.col("_c") * (1 - pair_discount)).alias("_over")))
-    return Model(table, several, pair_discount, n, v, least, coded, numbered, keys, names, docs)
+    share = pair_discount / each
+
+    def over_core(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[int, int, bytes]]:
+            for batch in batches:
+                for where, block in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                    code, c, every, ts, _ = blocks.unpacked(block, _STATE)
+                    yield where, CORE, blocks.packed([code, every, c - ts * share])
+
+        return blocks.batches(rows())
+
+    def over_few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs that come at most once in training have as many tables."""
+
+        def rows() -> Iterator[tuple[int, int, bytes]]:
+            for batch in batches:
+                for where, kind, block in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                    *codes, c, every = blocks.unpacked(block, _COUNTED[kind])
+                    keep = c <= (1 if sweeps or kind == REST else np.inf)
+                    yield where, kind, blocks.packed([x[keep] for x in (*codes, every, np.where(c <= 1, c * (1 - pair_discount), c))])
+
+        return blocks.batches(rows())
+
+    def over_rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple[int, int, bytes]]:
+            for batch in batches:
+                ctx, word, c, every, _, ts = (np.array(x) for x in batch.columns)
+                yield from _dealt_pairs(ctx, word, [every, c - ts * share], numbered, buckets)
+
+        return blocks.batches(rows())
+
+    several = found.mapInArrow(over_few, blocks.SCHEMA)
+    several = several.unionByName(core.mapInArrow(over_core, blocks.SCHEMA)) if sweeps else several
+    made = materialise(several, _BLOCKS).unionByName(materialise(pairs.mapInArrow(over_rest, blocks.SCHEMA), 50_000))
+    discard(found, pairs, *[core] * (sweeps > 0))
+    return Model(table, made, buckets, strength, pair_discount, n, v, least, coded, numbered, keys, names, docs)
+
+
+def _buckets(tokens: int) -> int:
+    made = max(8, tokens // _BUCKET)
+    return made if made <= 1000 else math.isqrt(1000 * made)
 
 
 def _spelling_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -558,15 +718,42 @@ def _spelling_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def _least(rows: DataFrame, most: int) -> int:
     """A number of occurrences that at most ``most`` rows have or exceed."""
-    bins = rows.groupBy(F.floor(F.log2("_all") * 16).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("_all").alias("least")).collect()  # by the number's logarithm: some hundreds
+    return _least_of(rows.groupBy(F.floor(F.log2("_all") * 16).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("_all").alias("least")), most)
+
+
+def _least_of(bins: DataFrame, most: int) -> int:
+    """The same from rows by the number's logarithm: bin, n, least."""
     least, total = 1 << 62, 0
-    for b in sorted(bins, reverse=True):
+    for b in sorted(bins.collect(), reverse=True):  # some hundreds
         if (total := total + b.n) > most:
             break
         least = b.least
     return least
 
 
+def _frequent(pairs: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and customers of the most frequent pairs of numbered words, at most so many."""
+
+    def bins(block: bytes) -> list[np.ndarray]:
+        every = blocks.unpacked(block, _PAIRS[CORE])[1]
+        some, to, n = np.unique(np.floor(np.log2(every) * 16).astype(np.int64), return_inverse=True, return_counts=True)
+        least = np.full(len(some), 1 << 62)
+        np.minimum.at(least, to, every)
+        return [some, n, least]
+
+    made = _rows(pairs, CORE, bins, "bin long, n long, least long").groupBy("bin").agg(F.sum("n").alias("n"), F.min("least").alias("least"))
+    least = _least_of(made, most)
+
+    def first(block: bytes) -> list[np.ndarray]:
+        code, every, over = blocks.unpacked(block, _PAIRS[CORE])
+        return [code[every >= least], over[every >= least]]
+
+    found = _rows(pairs, CORE, first, "_code long, _over double").toArrow()  # at most ``most`` rows
+    code = np.array(found.column(0), dtype=np.int64)
+    order = np.argsort(code)
+    return code[order], np.array(found.column(1), dtype=np.float64)[order]
+
+
 @dataclass
 class _Head:
     """What scoring knows of the most frequent words, by number, and log10 of the probability of the most frequent pairs, by number of the context * 2 ** 32 + number."""
@@ -595,11 +782,7 @@ class _Head:
         at = np.flatnonzero((ids >= 0) & (before >= 0) & ~free)
         p[at] = self.after(before[at], ids[at], once[at])
         if len(self.codes) and len(at):
-            codes = before[at] << 32 | ids[at]
-            order = np.argsort(codes)
-            place = np.empty(len(at), dtype=np.int64)
-            place[order] = np.minimum(np.searchsorted(self.codes, codes[order]), len(self.codes) - 1)
-            found = self.codes[place] == codes
+            place, found = blocks.places(before[at] << 32 | ids[at], self.codes)
             told[at[found]] = True
             p[at[found]] = self.pair_log_p[place[found]]
         return p, told
@@ -618,112 +801,164 @@ def score(docs: DataFrame, train, sweeps: int = SWEEPS, head: int = HEAD, paired
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"), F.coalesce(train, F.lit(False)).alias("_train"))
     model = fit(rows.select("_text", "_train"), sweeps, contexts=contexts, head=head)
-    base = F.log10((F.col("_c") + 0.1) / F.lit(model.n + 0.1 * (model.v + 1)))
-    words = model.table.withColumn("_base", base)
-    coded, numbered, keys, once = model.head, model.numbered, model.keys, 1 - model.discount
-    hot = min(HOT, numbered)
-    first = words.where(F.col("_all") >= model.least).select("_code", "_c", "_base", "_lp", "_back", "_whole").toArrow()  # at most ``head`` rows
+    coded, numbered, keys, once, strength, buckets = model.head, model.numbered, model.keys, 1 - model.discount, model.strength, model.buckets
+    n = model.n + 0.1 * (model.v + 1)
+    first = model.table.where(F.col("_all") >= model.least).select("_code", "_c", "_lp", "_back").toArrow()  # at most ``head`` rows
     order = np.argsort(np.array(first.column(0), dtype=np.int64))
-    column = lambda i: np.append(np.array(first.column(i), dtype=np.float64)[order], 0.0)
+    c, lp, back = (np.append(np.array(first.column(i), dtype=np.float64)[order], 0.0) for i in (1, 2, 3))
     none = np.zeros(0, dtype=np.int64)
-    table = _Head(column(2), (column(1) > 0).astype(np.float64), column(3), column(4), column(5), none, none.astype(np.float64))
+    table = _Head(np.log10((c + 0.1) / n), (c > 0).astype(np.float64), lp, back, c + strength, none, none.astype(np.float64))
     del first, order
-    lone = docs.sparkSession.sparkContext.broadcast(table)
-
-    # each pair that comes more than once, with its probability, and what else scoring needs of words without a number
-    def tell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ctx, word, over = (np.array(batch.column(i)) for i in (0, 1, 3))
-            yield _arrow([*batch.columns[:3], lone.value.after(ctx, word, over)], "_ctx, _word, _all, _p")
-
-    # without an own part the product stays a sum of logarithms: a long word's probability is below any double
-    own = F.col("_over") / F.col("_whole")
-    after = F.when(own > 0, F.log10(own + F.col("_back") * F.pow(F.lit(10.0), F.col("_lp")))).otherwise(F.log10("_back") + F.col("_lp"))
-    of_ctx, of_word = ["_whole", "_back"], ["_lp", "_base", F.col("_c").alias("_known")]
-    core, unnumbered = _below("_ctx", numbered) & _below("_word", numbered), ~_below("_word", numbered)
-    told = model.several.where(core).select("_ctx", "_word", "_all", "_over").mapInArrow(tell, "_ctx long, _word long, _all long, _p double")
-    asked = _looked_up(model.several.where(~core), words, hot, {"_ctx": of_ctx, "_word": of_word})
-    told = told.select("*", F.lit(None).cast("double").alias("_b"), F.lit(None).cast("int").alias("_k"))
-    several = materialise(told.unionByName(asked.select("_ctx", "_word", "_all", after.alias("_p"), F.when(unnumbered, F.col("_base")).alias("_b"), F.when(unnumbered, (F.col("_known") > 0).cast("int")).alias("_k"))), 50_000)
-    discard(model.several)
-    several_core = several.where(core)
-    found = several_core.where(F.col("_all") >= _least(several_core, paired)).select("_ctx", "_word", "_p").toArrow()  # at most ``paired`` rows
-    codes = np.array(found.column(0), dtype=np.int64) << 32 | np.array(found.column(1), dtype=np.int64)
-    order = np.argsort(codes)
-    table.codes, table.pair_log_p = codes[order], np.array(found.column(2), dtype=np.float64)[order]
+    codes, over = _frequent(model.blocks, paired)
+    table.codes, table.pair_log_p = codes, table.after(codes >> 32, codes & 0xFFFFFFFF, over)
     sent = docs.sparkSession.sparkContext.broadcast(table)
-    del found, codes, order, table
+    del codes, over, table
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, number = sent.value, coded.value.number
-        for every in batches:
-            for at in range(0, every.num_rows, 400):
-                batch = every.slice(at, 400)
-                found = [[*tokens(t), END] for t in texts(batch.column(2))]
-                sizes = np.array([len(x) for x in found])
-                flat = [w for x in found for w in x]
-                ids = np.array([number.get(w, -1) for w in flat], dtype=np.int64)
-                code = ids.copy()
-                seldom = np.flatnonzero(ids < 0)
-                code[seldom] = hashed([flat[i] for i in seldom.tolist()])
-                doc = np.repeat(np.arange(len(found)), sizes)
-                starts = np.cumsum(sizes) - sizes
-                before, ctx = np.roll(ids, 1), np.roll(code, 1)
-                before[starts] = number.get(END, -1)
-                ctx[starts] = number.get(END, hashed([END])[0])  # the start of a text
-                free = np.zeros(len(flat), dtype=bool) if keys is None else ~np.isin(coded.value.key(ctx), keys)
-                row, train = np.array(batch.column(0)), batch.column(3).to_numpy(zero_copy_only=False)
-                p, told = table.score(ids, before, free, np.where(train[doc], once, 0.0))
-                known = ids >= 0
-                sums = np.column_stack([np.bincount(doc, x, len(found)) for x in (np.where(known, table.base[ids], 0.0), np.where(told, p, 0.0), np.where(known, table.known[ids], 0.0), np.ones(len(flat)))])
-                # the rest, and a row of its own for each text
-                rest = np.flatnonzero(~told)
-                kind = np.where(free[rest], _FREE, np.where(train[doc[rest]], _TRAIN, _OTHER)).astype(np.int8)
-                none = len(rest)
-                yield _arrow(
-                    [
-                        np.concatenate((row[doc[rest]], row)), np.concatenate((np.where(free[rest], code[rest], ctx[rest]), row)), np.concatenate((code[rest], row)), np.concatenate((kind, np.full(len(row), _TEXT, dtype=np.int8))),
-                        pa.array(np.concatenate((p[rest], np.full(len(row), np.nan))), from_pandas=True), pa.concat_arrays([pa.nulls(none, pa.int64()), batch.column(1)]), pa.array([*[None] * none, *sums.tolist()], pa.list_(pa.float64())),
-                    ],
-                    rest_rows,
-                )
-
-    rest_rows = "_row long, _ctx long, _word long, _kind byte, _once double, _doc long, _sums array<double>"
-    kind = F.col("_kind")
-    # a pair that comes once in all texts has a customer if its text is a training text
-    p = F.when(kind < _FREE, F.coalesce("_p", "_once"))
-    # texts are summed up; a row whose words are not both in the head, and whose pair comes once, stays by itself
-    apart = (kind != _TEXT) & p.isNull()
-    alone = [F.when(apart, F.col(c)).alias(c) for c in ("_ctx", "_word", "_kind")]
-    of = lambda i: F.sum(F.get("_sums", F.lit(i)))
+    def seldom(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Words without a number."""
+        return blocks.batches(row for b in batches for columns in [[np.array(x) for x in b.columns]] for row in blocks.dealt(WORDS, blocks.bucket(columns[0], buckets), columns))
+
+    words = model.table.where(~_below("_code", numbered)).select("_code", "_lp", "_back", F.col("_c").cast("double").alias("_c"))
+    words = materialise(words.mapInArrow(seldom, blocks.SCHEMA), 500_000)
     rows = rows.select(F.xxhash64("_doc", "_text").alias("_row"), "_doc", "_text", "_train")
-    pair = several.select("_ctx", "_word", "_p", "_b", "_k").hint("shuffle_hash")  # one row a pair, so no key of the hashed side has many
-    some = []
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts with what the head tells of them, and what they ask."""
+        table, number = sent.value, coded.value.number
+
+        def of(batch: pa.RecordBatch) -> dict[int, list[np.ndarray]]:
+            found = [[*tokens(t), END] for t in texts(batch.column(2))]
+            sizes = np.array([len(x) for x in found])
+            flat = [w for x in found for w in x]
+            ids = np.array([number.get(w, -1) for w in flat], dtype=np.int64)
+            code = ids.copy()
+            rare = np.flatnonzero(ids < 0)
+            code[rare] = hashed([flat[i] for i in rare.tolist()])
+            doc = np.repeat(np.arange(len(found)), sizes)
+            starts = np.cumsum(sizes) - sizes
+            before, ctx = np.roll(ids, 1), np.roll(code, 1)
+            before[starts] = number.get(END, -1)
+            ctx[starts] = number.get(END, hashed([END])[0])  # the start of a text
+            free = np.zeros(len(flat), dtype=bool) if keys is None else ~np.isin(coded.value.key(ctx), keys)
+            row, train = np.array(batch.column(0)), batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
+            p, told = table.score(ids, before, free, np.zeros(len(flat)))
+            known = ids >= 0
+            sums = [np.bincount(doc, x, len(found)) for x in (np.where(told, p, 0.0), np.where(known, table.base[ids], 0.0), np.where(known, table.known[ids], 0.0), np.ones(len(flat)))]
+            id_ = batch.column(1)
+            texts_ = [row, np.array(id_.fill_null(0)), np.ones(len(row), dtype=np.int64), np.array(id_.is_null()).astype(np.int8), *sums]
+            flag = (np.where(train, _TRAINS, 0)[doc] | np.where(free, _FREE, 0)).astype(np.int8)
+            near = np.flatnonzero(~told & known & (before >= 0))
+            asked = {TEXT: texts_, NEAR: [before[near] << 32 | ids[near] | np.where(train[doc[near]], _NEAR_TRAINS, 0), row[doc[near]]]}
+            for kind, at in ((WORD, rare), (CONTEXT, np.flatnonzero(~told & known & (before < 0)))):
+                asked[kind] = [ctx[at], code[at], row[doc[at]], *([np.full(len(at), np.nan)] if kind == CONTEXT else []), flag[at]]
+            return asked
+
+        def dealt(held: list[dict[int, list[np.ndarray]]]) -> Iterator[tuple[int, int, bytes]]:
+            for kind in (TEXT, NEAR, WORD, CONTEXT):
+                columns = [np.concatenate(x) for x in zip(*(h[kind] for h in held), strict=True)]
+                if kind == NEAR:
+                    where = _pair_key(columns[0] >> 32 & 0x3FFFFFFF, columns[0] & 0xFFFFFFFF)
+                else:
+                    where = columns[0] if kind in (TEXT, CONTEXT) else columns[1]
+                yield from blocks.dealt(kind, blocks.bucket(where, buckets), columns)
+
+        def made() -> Iterator[tuple[int, int, bytes]]:
+            held, size = [], 0
+            for every in batches:
+                for at in range(0, every.num_rows, 400):
+                    held.append(of(every.slice(at, 400)))
+                    size += sum(len(x[0]) for x in held[-1].values())
+                    if size > _ASKS:
+                        yield from dealt(held)
+                        held, size = [], 0
+            if held:
+                yield from dealt(held)
+
+        return blocks.batches(made())
+
+    Made = Iterator[tuple[int, int, bytes]]
+
+    def looked_up(of: dict[int, list[bytes]], kind: int, by: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """What asks for words without a number, by the column that has their codes, and what these have: _lp, _back, _c."""
+        asked = blocks.gathered(of.pop(kind, []), _ASKED[kind])
+        code, *has = blocks.gathered(of.pop(WORDS, []), _ASKED[WORDS])
+        order = np.argsort(code)
+        at, found = blocks.places(asked[by], code[order])
+        if not found.all():
+            raise ValueError("a text has a word that the vocabulary lacks")
+        return asked, [x[order[at]] if len(at) else x[:0] for x in has]
+
+    def passed(where: int, of: dict[int, list[bytes]]) -> Made:
+        return ((where, kind, block) for kind, some in of.items() for block in some)
+
+    def tell_words(where: int, of: dict[int, list[bytes]]) -> Made:
+        (ctx, word, row, flag), (lp, _, c) = looked_up(of, WORD, 1)
+        yield from blocks.dealt(OF_WORD, blocks.bucket(row, buckets), [row, np.log10((c + 0.1) / n), (c > 0).astype(np.float64)])
+        free = (flag & _FREE) > 0
+        yield from blocks.dealt(OF_PAIR, blocks.bucket(row[free], buckets), [row[free], lp[free]])
+        has = (ctx >= 0) & (ctx < numbered)
+        at = ~has & ~free
+        yield from blocks.dealt(CONTEXT, blocks.bucket(ctx[at], buckets), [x[at] for x in (ctx, word, row, lp, flag)])
+        at, nan = has & ~free, np.full(len(ctx), np.nan)
+        yield from blocks.dealt(PAIR, blocks.bucket(_pair_key(ctx, word), buckets)[at], [x[at] for x in (ctx, word, row, lp, nan, nan, flag)])
+        yield from passed(where, of)
+
+    def tell_contexts(where: int, of: dict[int, list[bytes]]) -> Made:
+        (ctx, word, row, lp, flag), (_, back, c) = looked_up(of, CONTEXT, 0)
+        yield from blocks.dealt(PAIR, blocks.bucket(_pair_key(ctx, word), buckets), [ctx, word, row, lp, back, c + strength, flag])
+        yield from passed(where, of)
+
+    def tell_pairs(where: int, of: dict[int, list[bytes]]) -> Made:
+        """A pair that comes once in all texts has a customer if its text is a training text."""
+        table = sent.value
+        code, _, over = blocks.gathered(of.pop(CORE, []), _PAIRS[CORE])
+        order = np.argsort(code)
+        asked, row = blocks.gathered(of.pop(NEAR, []), _ASKED[NEAR])
+        train, asked = asked >= _NEAR_TRAINS, asked & (_NEAR_TRAINS - 1)
+        at, found = blocks.places(asked, code[order])
+        own = np.where(train, once, 0.0)
+        own[found] = over[order[at[found]]]
+        p = table.after(asked >> 32, asked & 0xFFFFFFFF, own)
+        ctxs, words, _, over = blocks.gathered(of.pop(REST, []), _PAIRS[REST])
+        key = _pair_key(ctxs, words)
+        order = np.argsort(key)
+        ctx, word, rows, lp, back, whole, flag = blocks.gathered(of.pop(PAIR, []), _ASKED[PAIR])
+        at, found = blocks.places(_pair_key(ctx, word), key[order])
+        own = np.where(flag & _TRAINS, once, 0.0)
+        own[found] = over[order[at[found]]]
+        id_, to = np.where((word >= 0) & (word < numbered), word, -1), np.where((ctx >= 0) & (ctx < numbered), ctx, -1)
+        lp, back, whole = np.where(id_ >= 0, table.log_p[id_], lp), np.where(to >= 0, table.back[to], back), np.where(to >= 0, table.whole[to], whole)
+        # without an own part the product stays a sum of logarithms: a long word's probability is below any double
+        with np.errstate(divide="ignore"):
+            lp = np.where(own > 0, np.log10(own / whole + back * 10.0**lp), np.log10(back) + lp)
+        row, p = blocks.summed([np.concatenate((row, rows)), np.concatenate((p, lp))], 1)
+        yield from blocks.dealt(OF_PAIR, blocks.bucket(row, buckets), [row, p])
+        yield from passed(where, of)
+
+    def total(made: pa.Table) -> pa.Table:
+        of = blocks.by_kind(made)
+        row, doc, times, null, *sums = blocks.gathered(of.get(TEXT, []), _ASKED[TEXT])
+        row, doc, null, times, *sums = blocks.summed([row, doc, null, times, *sums], 3)
+        for kind, to in ((OF_PAIR, [0]), (OF_WORD, [1, 2])):
+            key, *more = blocks.gathered(of.get(kind, []), _ASKED[kind])
+            at, _ = blocks.places(key, row)
+            for i, x in zip(to, more, strict=True):
+                sums[i] = sums[i] + np.bincount(at, x, len(row))
+        # rows alike in id and text came together: one for each again
+        p, base, known, size = (np.repeat(x / times, times) for x in sums)
+        with np.errstate(over="ignore"):
+            perplexity = 10.0 ** (-p / size)
+        columns = [pa.array(np.repeat(doc, times), mask=np.repeat(null, times) > 0), np.rint(size).astype(np.int64), np.rint(known).astype(np.int64), base, p, perplexity]
+        return pa.Table.from_batches([_arrow(columns, scores)])
+
+    scores, some = "doc_id long, n_tokens long, n_known long, base_score double, score double, perplexity double", []
     for part in range(PARTS):
-        found = rows.where(F.pmod("_row", F.lit(PARTS)) == part).mapInArrow(add, rest_rows).join(pair, ["_ctx", "_word"], "left")
-        found = found.select("_row", *alone, p.alias("_p"), *[F.when(kind < _FREE, F.col(c)).alias(c) for c in ("_b", "_k")], "_doc", "_sums").groupBy("_row", "_ctx", "_word", "_kind")
-        some.append(materialise(found.agg(F.sum("_p").alias("_p"), F.sum("_b").alias("_b"), F.sum("_k").alias("_k"), F.count(F.lit(1)).alias("_m"), F.count("_sums").alias("_times"), F.max("_doc").alias("_doc"), *[of(i).alias(f"_{i}") for i in range(4)])))
-    discard(several)
-    some = functools.reduce(DataFrame.unionByName, some)
-    zero = F.lit(0.0)
-    whole = some.where("_word IS NULL").select("_row", "_times", "_doc", (F.col("_0") + F.coalesce("_b", zero)).alias("_b"), (F.coalesce("_p", zero) + F.col("_1")).alias("_s"), (F.col("_2") + F.coalesce("_k", F.lit(0))).alias("_k"), F.col("_3").alias("_w"))
-    over = F.when(kind == _TRAIN, F.lit(once)).otherwise(zero).alias("_over")
-    seldom = some.where("_word IS NOT NULL").select("_row", "_ctx", "_word", "_kind", over, "_m")
-    asked = _looked_up(seldom.where(kind < _FREE), words, hot, {"_ctx": of_ctx})
-    if keys is not None:
-        asked = asked.unionByName(seldom.where(kind == _FREE).withColumns({"_whole": zero, "_back": zero}))
-    asked = _looked_up(asked, words, hot, {"_word": of_word}).withColumn("_seldom", F.when(unnumbered, F.lit(1.0)).otherwise(zero))
-    lp = F.when(kind >= _FREE, F.col("_lp")).otherwise(after)
-    # the text's own row has the base and the count of words in the head
-    times = F.col("_m") * F.col("_seldom")
-    seldom = asked.select(
-        "_row", F.lit(0).cast("long").alias("_times"), F.lit(None).cast("long").alias("_doc"), (F.col("_base") * times).alias("_b"), (lp * F.col("_m")).alias("_s"), (F.when(F.col("_known") > 0, times).otherwise(zero)).alias("_k"), zero.alias("_w")
-    )
-    whole = whole.unionByName(seldom).groupBy("_row").agg(F.sum("_times").alias("_times"), F.max("_doc").alias("doc_id"), *[F.sum(c).alias(c) for c in ("_b", "_s", "_k", "_w")])
-    each = lambda c: F.col(c) / F.col("_times")
-    # rows alike in id and text came together: one for each again
-    whole = whole.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_times")))
-    return whole.select(
-        "doc_id", F.round(each("_w")).cast("long").alias("n_tokens"), F.round(each("_k")).cast("long").alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
-        each("_b").alias("base_score"), each("_s").alias("score"), F.pow(F.lit(10.0), -F.col("_s") / F.col("_w")).alias("perplexity"),
-    )
+        asked = materialise(rows.where(F.pmod("_row", F.lit(PARTS)) == part).mapInArrow(ask, blocks.SCHEMA), 2000)
+        kind = F.col("_kind")
+        told = blocks.grouped(asked.where(kind == WORD).unionByName(words), tell_words)
+        told = blocks.grouped(told.unionByName(asked.where(kind == CONTEXT)).unionByName(words), tell_contexts)
+        told = blocks.grouped(told.unionByName(asked.where(kind.isin(TEXT, NEAR))).unionByName(model.blocks), tell_pairs)
+        some.append(materialise(told.groupBy("_bucket").applyInArrow(total, scores)))
+        discard(asked)
+    discard(model.blocks, words)
+    return functools.reduce(DataFrame.unionByName, some).select("doc_id", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
