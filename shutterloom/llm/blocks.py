@@ -108,6 +108,17 @@ def places(sought: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, among[at] == sought
 
 
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in their order, a place of each, and for every key its place among the distinct ones."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    to = np.empty(len(keys), dtype=np.int64)
+    to[order] = np.cumsum(new) - 1
+    return keys[new], order[new], to
+
+
 def summed(columns: list[np.ndarray], keys: int) -> list[np.ndarray]:
     """Rows alike in the first ``keys`` columns as one, in their order, the other columns summed up."""
     order = np.argsort(columns[0]) if keys == 1 else np.lexsort(columns[:keys][::-1])

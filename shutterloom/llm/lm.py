@@ -29,13 +29,13 @@ from __future__ import annotations
 
 import functools
 import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,7 +53,8 @@ PAIRED = 1_000_000  # the most frequent pairs of them that are broadcast for sco
 PARTS = 4  # of the texts, scored one after another, so that few of their rows lie on disk at once
 SWEEPS = 3
 MOVES = 4  # of each dish, in a sweep
-_FLUSH = 200_000
+_FLUSH = 600_000  # distinct words of parts of texts that a task holds
+_TEXTS = 1_000_000  # bytes of such a part
 _TOKENS = 4_000_000  # of texts that a task counts at once, at most, and of the last one
 _BUCKET = 750_000  # tokens to a bucket; beyond 1000 buckets their size grows too, by the root, as each task has a block for each
 _SLICE = 16_384  # numbers of words whose sums meet in one task
@@ -163,8 +164,9 @@ class Spelling:
             own = 0.0
         return np.log(own + self.back[context] * self.parent[context % 1024, symbols])
 
-    def log_words(self, words: list[bytes]) -> np.ndarray:
-        symbols, context, of = spelled(words)
+    def log_words(self, words: list[bytes], letters: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+        """Of words, whose spelled() letters may be given."""
+        symbols, context, of = letters or spelled(words)
         return np.bincount(of, self.log_p(symbols, context), len(words))
 
 
@@ -247,28 +249,83 @@ def hashed(words: list[bytes]) -> np.ndarray:
     return pd.util.hash_array(np.array([*words, None], dtype=object)[:-1], categorize=False).view(np.int64) if words else np.zeros(0, dtype=np.int64)
 
 
+def _parts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts with some _TEXTS bytes of texts, so that what is made of them stays in a processor's cache."""
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _TEXTS, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
+_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # a number for each byte
+_ODD = 0xD1342543DE82EF95
+
+
+@functools.lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of _ODD, and those of its inverse, modulo 2 ** 64."""
+    return tuple(np.cumprod(np.concatenate((np.ones(1, dtype=np.uint64), np.full(n - 1, x, dtype=np.uint64)))) for x in (_ODD, pow(_ODD, -1, 1 << 64)))
+
+
+def lexed(column: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct tokens of some texts (never null), a number by which each is known, the place there of each token of each text and of its end, and how many these are by text.
+
+    The number is a polynomial of the token's bytes modulo 2 ** 64, mixed with its length; 0, the least, is the end's.
+    """
+    data = b" ".join([*texts(column), b""]).lower()
+    sizes = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64)
+    raw = np.frombuffer(data, dtype=np.uint8)
+    space = np.ones(len(raw) + 2, dtype=bool)
+    space[1:-1] = (raw == 0x20) | (raw - np.uint8(9) < 5)
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    powers, inverse = _powers(1 << max(20, len(raw).bit_length()))
+    sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(_BYTE[raw] * powers[: len(raw)], out=sums[1:])
+    key = _mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    # an end of each text stands after its tokens
+    of = np.searchsorted(starts, np.cumsum(sizes + 1))
+    key = np.insert(key, of, np.uint64(0))
+    some, first, ids = blocks.distinct(key)
+    # places of the first ones among tokens without ends
+    first -= np.searchsorted(of + np.arange(len(of)), first)
+    words = [data[a:b] for a, b in zip(*(np.append(x, 0)[first].tolist() for x in (starts, ends)), strict=True)]
+    if len(some):
+        words[0] = END
+    return words, some, ids, np.diff(of, prepend=0) + 1
+
+
+def _together(parts: list[tuple[list[bytes], np.ndarray]]) -> tuple[list[bytes], np.ndarray]:
+    """The distinct words of several lists with their numbers by lexed(), and the place there of each of their words."""
+    words = [w for part in parts for w in part[0]]
+    _, first, to = blocks.distinct(np.concatenate([np.zeros(0, dtype=np.uint64), *[part[1] for part in parts]]))
+    return [words[i] for i in first.tolist()], to
+
+
 def vocabulary(docs: DataFrame) -> DataFrame:
     """_token, _key, _c, _all: each word of the texts, its count in those with _train and in all; the end counts once a text. Texts are never null."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[bytes] = Counter()
-        others: Counter[bytes] = Counter()
+        held: list[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]] = []
 
         def made() -> pa.RecordBatch:
-            every = list(seen.keys() | others.keys())
-            train = np.array([seen[w] for w in every], dtype=np.int64)
-            counts = train, train + np.array([others[w] for w in every], dtype=np.int64)
-            made = pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), pa.array(hashed(every)), *map(pa.array, counts)], ["_token", "_key", "_c", "_all"])
-            seen.clear(), others.clear()
-            return made
-
-        for batch in batches:
-            for train, text in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
-                to = seen if train else others
-                to.update(tokens(text))
-                to[END] += 1
-                if len(seen) + len(others) > _FLUSH:
-                    yield made()
+            every, to = _together([x[:2] for x in held])
+            counts = [np.bincount(to, np.concatenate([x[i] for x in held]), len(every)).astype(np.int64) if held else np.zeros(0, dtype=np.int64) for i in (2, 3)]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), pa.array(hashed(every)), *map(pa.array, counts)], ["_token", "_key", "_c", "_all"])
+
+        size = 0
+        for part in _parts(batches, 1):
+            words, key, ids, sizes = lexed(part.column(1))
+            train = np.repeat(part.column(0).to_numpy(zero_copy_only=False), sizes)
+            held.append((words, key, np.bincount(ids, train, len(words)), np.bincount(ids, minlength=len(words))))
+            size += len(words)
+            if size > _FLUSH:
+                yield made()
+                size = 0
         yield made()
 
     made = docs.select("_train", "_text").mapInArrow(count, "_token binary, _key long, _c long, _all long")
@@ -279,19 +336,15 @@ def vocabulary(docs: DataFrame) -> DataFrame:
 class _Coded:
     """The most frequent words, numbered. A word's code is its number, or its key if it has none."""
 
-    number: dict[bytes, int]
     keys: np.ndarray
     by_key: np.ndarray  # numbers in the order of keys
-
-    def codes(self, words: list[bytes], keys: np.ndarray) -> np.ndarray:
-        numbers = np.fromiter((self.number.get(w, -1) for w in words), np.int64, len(words))
-        return np.where(numbers < 0, keys, numbers)
+    ordered: np.ndarray  # keys in their order
 
     def code(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return keys
-        at = self.by_key[np.minimum(np.searchsorted(self.keys, keys, sorter=self.by_key), len(self.keys) - 1)]
-        return np.where(self.keys[at] == keys, at, keys)
+        at, found = blocks.places(keys, self.ordered)
+        return np.where(found, self.by_key[at], keys)
 
     def key(self, codes: np.ndarray) -> np.ndarray:
         has = (codes >= 0) & (codes < len(self.keys))
@@ -300,12 +353,10 @@ class _Coded:
 
 def _numbered(words: DataFrame, least: int) -> tuple[Broadcast, int]:
     """Numbers of the words with at least so many occurrences, from the most frequent on, and how many these are."""
-    first = words.where(F.col("_all") >= least).select("_token", "_key", "_all").toArrow()  # at most ``head`` rows
-    keys = np.array(first.column(1), dtype=np.int64)
-    order = np.lexsort((keys, -np.array(first.column(2), dtype=np.int64)))
-    tokens = first.column(0).take(pa.array(order)).to_pylist()
-    made = _Coded({w: i for i, w in enumerate(tokens)}, keys[order], np.argsort(keys[order]))
-    return words.sparkSession.sparkContext.broadcast(made), len(tokens)
+    first = words.where(F.col("_all") >= least).select("_key", "_all").toArrow()  # at most ``head`` rows
+    keys = np.array(first.column(0), dtype=np.int64)
+    keys = keys[np.lexsort((keys, -np.array(first.column(1), dtype=np.int64)))]
+    return words.sparkSession.sparkContext.broadcast(_Coded(keys, np.argsort(keys), np.sort(keys))), len(keys)
 
 
 def _below(code: str, n: int) -> Column:
@@ -313,14 +364,6 @@ def _below(code: str, n: int) -> Column:
     return F.col(code).between(0, n - 1)
 
 
-class _Numbers(dict):
-    """Numbers words as they come."""
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def follows(docs: DataFrame, head: Broadcast, contexts: np.ndarray | None = None) -> DataFrame:
     """_ctx, _word, _c, _all: how often a word (its code) comes after another or after the start, in texts with _train and in all.
 
@@ -339,29 +382,33 @@ def follows(docs: DataFrame, head: Broadcast, contexts: np.ndarray | None = None
 
 def _followers(batches: Iterator[pa.RecordBatch], head: Broadcast, contexts: np.ndarray | None) -> Iterator[list[np.ndarray]]:
     """Columns of follows(), counted over some millions of tokens at once."""
-    numbers, codes, held = _Numbers(), [], 0
+    held: list[tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]] = []
 
     def made() -> list[np.ndarray]:
-        words = list(numbers)
+        words, to = _together([([END], np.zeros(1, dtype=np.uint64)), *[x[:2] for x in held]])
         key = hashed(words)
-        code = head.value.codes(words, key)
+        code = head.value.code(key)
+        codes, at = [], 1
+        for part, _, ids, train in held:
+            ids = to[at : at + len(part)][ids]
+            before = np.concatenate(([0], ids[:-1]))  # each text has an end, and so has the start
+            codes.append(before << 32 | ids << 1 | train)
+            at += len(part)
+        held.clear()
         some, n = np.unique(np.concatenate(codes) if codes else np.zeros(0, dtype=np.int64), return_counts=True)
         before, after, train = some >> 32, some >> 1 & 0x7FFFFFFF, some & 1
-        ctx, word = (code[before], code[after]) if len(code) else (some, some)
-        keep = slice(None) if contexts is None else np.isin(key[before], contexts) if len(key) else slice(None)
-        numbers.clear(), codes.clear()
+        ctx, word = code[before], code[after]
+        keep = slice(None) if contexts is None else np.isin(key[before], contexts)
         return [x[keep] for x in (ctx, word, n * train, n)]
 
-    for batch in batches:
-        train = batch.column(0).to_pylist()
-        for flag, text in zip(train, texts(batch.column(1)), strict=True):
-            ws = tokens(text)
-            ids = np.fromiter(map(numbers.__getitem__, (END, *ws, END)), np.int64, len(ws) + 2)
-            codes.append(ids[:-1] << 32 | ids[1:] << 1 | flag)
-            held += len(ws) + 1
-            if held > _TOKENS or len(numbers) > _FLUSH:
-                yield made()
-                held = 0
+    tokens_, words_ = 0, 0
+    for part in _parts(batches, 1):
+        words, key, ids, sizes = lexed(part.column(1))
+        held.append((words, key, ids, np.repeat(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64), sizes)))
+        tokens_, words_ = tokens_ + len(ids), words_ + len(words)
+        if tokens_ > _TOKENS or words_ > 2 * _FLUSH:
+            yield made()
+            tokens_, words_ = 0, 0
     yield made()
 
 
@@ -649,8 +696,9 @@ def fit(docs: DataFrame, sweeps: int = SWEEPS, strength: float = 10.0, contexts:
         for batch in batches:
             some, c = list(texts(batch.column(1))), np.array(batch.column(2))
             own, total = np.where(c > 0, 1 - discount, 0.0), np.full(batch.num_rows, -np.inf)
+            letters = spelled(some)
             for spelling, mass, whole in drawn_by:
-                g = spelling.value.log_words(some)
+                g = spelling.value.log_words(some, letters)
                 with np.errstate(divide="ignore"):
                     total = np.logaddexp(total, np.where(own > 0, np.log(own + mass * np.exp(g)), math.log(mass) + g) - math.log(whole))
             yield _arrow([*batch.columns, coded.value.code(np.array(batch.column(0))), c * sweeps, total], few_state)
@@ -824,26 +872,25 @@ def score(docs: DataFrame, train, sweeps: int = SWEEPS, head: int = HEAD, paired
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts with what the head tells of them, and what they ask."""
-        table, number = sent.value, coded.value.number
+        table, head = sent.value, coded.value
+        end = hashed([END])
+        start = int(head.code(end)[0])
 
         def of(batch: pa.RecordBatch) -> dict[int, list[np.ndarray]]:
-            found = [[*tokens(t), END] for t in texts(batch.column(2))]
-            sizes = np.array([len(x) for x in found])
-            flat = [w for x in found for w in x]
-            ids = np.array([number.get(w, -1) for w in flat], dtype=np.int64)
-            code = ids.copy()
+            words, _, ids, sizes = lexed(batch.column(2))
+            code = head.code(hashed(words))[ids]
+            ids = np.where((code >= 0) & (code < numbered), code, -1)
             rare = np.flatnonzero(ids < 0)
-            code[rare] = hashed([flat[i] for i in rare.tolist()])
-            doc = np.repeat(np.arange(len(found)), sizes)
+            doc = np.repeat(np.arange(len(sizes)), sizes)
             starts = np.cumsum(sizes) - sizes
             before, ctx = np.roll(ids, 1), np.roll(code, 1)
-            before[starts] = number.get(END, -1)
-            ctx[starts] = number.get(END, hashed([END])[0])  # the start of a text
-            free = np.zeros(len(flat), dtype=bool) if keys is None else ~np.isin(coded.value.key(ctx), keys)
+            before[starts] = start if 0 <= start < numbered else -1
+            ctx[starts] = start  # the start of a text
+            free = np.zeros(len(ids), dtype=bool) if keys is None else ~np.isin(coded.value.key(ctx), keys)
             row, train = np.array(batch.column(0)), batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
-            p, told = table.score(ids, before, free, np.zeros(len(flat)))
+            p, told = table.score(ids, before, free, np.zeros(len(ids)))
             known = ids >= 0
-            sums = [np.bincount(doc, x, len(found)) for x in (np.where(told, p, 0.0), np.where(known, table.base[ids], 0.0), np.where(known, table.known[ids], 0.0), np.ones(len(flat)))]
+            sums = [np.bincount(doc, x, len(sizes)) for x in (np.where(told, p, 0.0), np.where(known, table.base[ids], 0.0), np.where(known, table.known[ids], 0.0), np.ones(len(ids)))]
             id_ = batch.column(1)
             texts_ = [row, np.array(id_.fill_null(0)), np.ones(len(row), dtype=np.int64), np.array(id_.is_null()).astype(np.int8), *sums]
             flag = (np.where(train, _TRAINS, 0)[doc] | np.where(free, _FREE, 0)).astype(np.int8)
@@ -864,13 +911,12 @@ def score(docs: DataFrame, train, sweeps: int = SWEEPS, head: int = HEAD, paired
 
         def made() -> Iterator[tuple[int, int, bytes]]:
             held, size = [], 0
-            for every in batches:
-                for at in range(0, every.num_rows, 400):
-                    held.append(of(every.slice(at, 400)))
-                    size += sum(len(x[0]) for x in held[-1].values())
-                    if size > _ASKS:
-                        yield from dealt(held)
-                        held, size = [], 0
+            for batch in _parts(batches, 2):
+                held.append(of(batch))
+                size += sum(len(x[0]) for x in held[-1].values())
+                if size > _ASKS:
+                    yield from dealt(held)
+                    held, size = [], 0
             if held:
                 yield from dealt(held)
 

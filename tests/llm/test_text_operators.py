@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -481,3 +482,31 @@ def test_seating_is_bounded_and_repeatable():
     key = np.arange(6, dtype=np.uint64)
     a, b = (lm.seat(count, np.full(6, 2.0), 0.5, key) for _ in range(2))
     assert (a == b).all() and a[0] == 0 and a[1] == 1 and (a <= count).all() and a[5] > a[4] > a[3]
+
+
+def test_tokens_of_a_column_are_those_of_each_text(spark):
+    """White space of six kinds, empty texts, bytes beyond ASCII, a slice of a column; tokens never join over texts."""
+    rng = np.random.default_rng(9)
+    for _ in range(100):
+        some = [bytes(rng.choice(list(b" \t\n\x0b\x0c\r\x08\x0eAbc\xc3\xa9\x00z "), int(rng.integers(12))).tolist()) for _ in range(int(rng.integers(6)))]
+        words, keys, ids, sizes = lm.lexed(pa.array([b"x y", *some], pa.binary()).slice(1))
+        want = [[*lm.tokens(t), lm.END] for t in some]
+        assert [words[i] for i in ids.tolist()] == [w for ws in want for w in ws]
+        assert sizes.tolist() == [len(ws) for ws in want] and len(set(words)) == len(words) == len(keys)
+
+
+def test_pairs_travel_as_blocks(spark):
+    """Pairs that come more than once, counted as by plain Python; rows are some a bucket and task, not one a pair."""
+    rng = np.random.default_rng(10)
+    rows = [(i % 3 > 0, " ".join(f"w{int(x)}" for x in rng.integers(60, size=40))) for i in range(300)]
+    df = spark.createDataFrame(rows, "_train boolean, _text string").repartition(3)
+    trained, every = Counter(), Counter()
+    for train, text in rows:
+        ws = lm.hashed([lm.END, *lm.tokens(text.encode()), lm.END]).tolist()
+        every.update(zip(ws, ws[1:], strict=False))
+        trained.update(zip(ws, ws[1:], strict=False) if train else [])
+    model = lm.fit(df, sweeps=1, head=30)
+    key = {r._code: r._key for r in model.table.collect()}
+    assert {(key[r._ctx], key[r._word]): r._all for r in model.several.collect()} == {p: n for p, n in every.items() if n > 1}
+    assert {(r._ctx, r._word) for r in model.pairs.collect()} == set(trained)
+    assert model.blocks.count() <= 5 * model.buckets < len(every) / 10
